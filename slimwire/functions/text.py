@@ -109,7 +109,7 @@ def fnv1a32(text: Column | str) -> Column:
     h = F.aggregate(
         utf16_units(text),
         F.lit(FNV_OFFSET).cast("bigint"),
-        lambda acc, u: F.pmod(F.bitwise_xor(acc, u) * F.lit(FNV_PRIME), F.lit(1 << 32)),
+        lambda acc, u: F.pmod(acc.bitwiseXOR(u) * F.lit(FNV_PRIME), F.lit(1 << 32)),
     )
     return F.lower(F.conv(h.cast("string"), 10, 16))
 

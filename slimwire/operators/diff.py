@@ -16,7 +16,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -71,25 +71,37 @@ def line_diff_udf(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series(res, dtype=object)
 
 
-def diff_counts(old: Column, new: Column) -> Column:
-    """Struct(prefix, suffix, removed, added) line counts, native Spark only."""
-    a = F.split(old, "\n", -1)
-    b = F.split(new, "\n", -1)
-    na, nb = F.size(a), F.size(b)
-    m = F.least(na, nb)
+def with_line_arrays(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Materialize the two line arrays once (and their sizes) before :func:`diff_counts`."""
+    return (df.withColumn("_la", F.split(F.col(old), "\n", -1)).withColumn("_lb", F.split(F.col(new), "\n", -1))
+              .withColumn("_na", F.size("_la")).withColumn("_nb", F.size("_lb"))
+              .withColumn("_m", F.least("_na", "_nb")))
+
+
+def diff_counts(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Adds struct ``counts`` (prefix, suffix, removed, added) of line counts, native Spark only."""
+    df = with_line_arrays(df, old, new)
+    a, b = F.col("_la"), F.col("_lb")
+    na, nb, m = F.col("_na"), F.col("_nb"), F.col("_m")
     # first index (1-based) where lines differ, else m+1
     pre = F.coalesce(F.array_position(
         F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-                    lambda i: F.when(i <= m, F.element_at(a, i) == F.element_at(b, i)).otherwise(F.lit(False))),
+                    lambda i: F.when(i <= m, F.element_at(a, i.cast("int")) == F.element_at(b, i.cast("int"))).otherwise(F.lit(False))),
         F.lit(False)), F.lit(0)) - 1
-    prefix = F.when(pre < 0, m).otherwise(pre)
-    rest = m - prefix
+    df = df.withColumn("_pre", F.when(pre < 0, m).otherwise(pre))
+    prefix = F.col("_pre")
+    df = df.withColumn("_rest", m - prefix)
+    rest = F.col("_rest")
     suf = F.array_position(
         F.transform(F.sequence(F.lit(1), F.greatest(rest, F.lit(1))),
-                    lambda i: F.when(i <= rest, F.element_at(a, na - i + 1) == F.element_at(b, nb - i + 1))
+                    lambda i: F.when(i <= rest, F.element_at(a, (na - i + 1).cast("int")) == F.element_at(b, (nb - i + 1).cast("int")))
                                .otherwise(F.lit(False))),
         F.lit(False)) - 1
     suffix = F.when(rest == 0, F.lit(0)).when(suf < 0, rest).otherwise(suf)
-    return F.struct(prefix.cast("bigint").alias("prefix"), suffix.cast("bigint").alias("suffix"),
-                    (na - prefix - suffix).cast("bigint").alias("removed"),
-                    (nb - prefix - suffix).cast("bigint").alias("added"))
+    df = df.withColumn("_suf", suffix)
+    suffix = F.col("_suf")
+    return df.withColumn("counts", F.struct(
+        prefix.cast("bigint").alias("prefix"), suffix.cast("bigint").alias("suffix"),
+        (na - prefix - suffix).cast("bigint").alias("removed"),
+        (nb - prefix - suffix).cast("bigint").alias("added"))).drop(
+        "_la", "_lb", "_na", "_nb", "_m", "_pre", "_rest", "_suf")

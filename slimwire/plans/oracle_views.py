@@ -40,6 +40,12 @@ _view("line_blocks", """
          CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS block_idx, 'user' AS role, unnest(l) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 
+_view("system_blocks", """
+  SELECT doc_id AS request_id, concat('y', CAST(doc_id AS VARCHAR)) AS session_id, doc_id AS at_ms,
+         'anthropic' AS provider, 'model_1' AS model, 'system' AS section, CAST(0 AS BIGINT) AS msg_idx,
+         CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS block_idx, 'system' AS role, unnest(l) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+
 _view("noisy_docs", """
   SELECT doc_id, replace(text, '. ', concat('.  ', chr(10), chr(10), chr(10), chr(10))) AS text
   FROM documents""")

@@ -27,9 +27,11 @@ def pipeline_sql(view: str, min_savings: int, dedup: bool = True, strip: bool =
                                                ORDER BY msg_idx, block_idx) > 1 AS dup FROM d0),
   d2 AS (SELECT *, CASE WHEN dup THEN '{OMIT}' ELSE text END AS text_d FROM d1),
   d3 AS (SELECT *, sum(tok0) OVER (PARTITION BY request_id)
-                   - sum({ov.tok_sql('text_d')}) OVER (PARTITION BY request_id) AS saved_dedup FROM d2),
-  b1 AS (SELECT * REPLACE (CASE WHEN saved_dedup < {min_savings} THEN text ELSE text_d END AS text) FROM d3),
-""" if dedup else "  b1 AS (SELECT * FROM b0),\n"
+                   - sum({ov.tok_sql('text_d')}) OVER (PARTITION BY request_id) AS saved_dedup,
+                   sum(CASE WHEN dup THEN 1 ELSE 0 END) OVER (PARTITION BY request_id) AS hits FROM d2),
+  b1 AS (SELECT * REPLACE (CASE WHEN saved_dedup < {min_savings} THEN text ELSE text_d END AS text),
+                CASE WHEN saved_dedup < {min_savings} THEN tok0 ELSE {ov.tok_sql('text_d')} END AS tok1 FROM d3),
+""" if dedup else "  b1 AS (SELECT *, tok0 AS tok1, 0 AS saved_dedup, 0 AS hits FROM b0),\n"
     strip_sql = f"""
   s0 AS (SELECT *, {ov.clean_sql('text')} AS clean FROM b1),
   s1 AS (SELECT *, regexp_matches(clean, '{ov.RE_BLANK}') AS blank FROM s0),
@@ -53,7 +55,10 @@ def pipeline_sql(view: str, min_savings: int, dedup: bool = True, strip: bool =
                  CAST(sum(tok0) - sum(tok_final) AS BIGINT) AS saved,
                  CAST(count(*) AS BIGINT) AS blocks_in,
                  CAST(sum(CASE WHEN dropped THEN 0 ELSE 1 END) AS BIGINT) AS blocks_out,
-                 CAST(sum(CASE WHEN marker THEN 1 ELSE 0 END) AS BIGINT) AS markers_added
+                 CAST(sum(CASE WHEN marker THEN 1 ELSE 0 END) AS BIGINT) AS markers_added,
+                 CAST(sum(tok1) AS BIGINT) AS tokens_dedup, any_value(saved_dedup) AS saved_dedup,
+                 any_value(hits) AS hits, any_value(provider) AS provider,
+                 bool_or(section = 'system') AS has_sys
           FROM marked GROUP BY request_id)"""
 
 

@@ -96,6 +96,19 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_block_defaults(out)
 
 
+def system_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per request of the cached provider; each of its lines is a system block."""
+    d = read_table(spark, sf_dir, "documents")
+    ex = d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "ln"))
+    out = ex.select(F.col("doc_id").alias("request_id"),
+                    F.concat(F.lit("y"), F.col("doc_id").cast("string")).alias("session_id"),
+                    F.col("doc_id").alias("at_ms"), F.lit("anthropic").alias("provider"),
+                    F.lit("model_1").alias("model"), F.lit("system").alias("section"),
+                    F.lit(0).cast("bigint").alias("msg_idx"), F.col("pos").cast("bigint").alias("block_idx"),
+                    F.lit("system").alias("role"), F.col("ln").alias("text"))
+    return _text_block_defaults(out)
+
+
 def noisy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with trailing blanks and runs of blank lines added after each sentence."""
     d = read_table(spark, sf_dir, "documents")
