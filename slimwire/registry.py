@@ -27,4 +27,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from slimwire.plans import queries_core, queries_stages, queries_state  # noqa: F401
+    from slimwire.plans import queries_core, queries_ingest, queries_stages, queries_state  # noqa: F401

@@ -232,3 +232,90 @@ def context_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("pos") % 3 == 0, F.col("source")).otherwise(F.lit("")).alias("label"),
                       (F.col("doc_id") * 1000 + F.col("pos")).alias("at_ms"),
                       F.concat(F.lit("d"), (F.col("doc_id") % 20).cast("string")).alias("session_id")))
+
+
+def _jstr(s: Column) -> Column:
+    j = F.to_json(F.array(s))
+    return j.substr(F.lit(2), F.length(j) - 2)
+
+
+def request_json(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
+    """Wire bodies built from ``request_blocks`` (one per request) plus invalid bodies.
+
+    Anthropic: system as a string, or (conv_id % 3 = 0) as an array whose block is
+    already cache-marked; user content as a string, assistant content as a block
+    array; ``max_tokens`` and ``stream``. OpenAI: everything inline, string content,
+    ``max_completion_tokens`` (conv_id % 3 = 1) instead of ``max_tokens``, and a
+    numeric string temperature (conv_id % 5 = 0) that must not parse as a number.
+    Invalid bodies are the raw HTML of ``pages`` (request ids from 10^9).
+    """
+    rb = request_blocks(spark, sf_dir)
+    r = requests(spark, sf_dir).select("request_id", "conv_id")
+    b = rb.join(r, "request_id")
+    anth = F.col("provider") == "anthropic"
+    text_obj = F.concat(F.lit('{"type":"text","text":'), _jstr(F.col("text")), F.lit("}"))
+    content = F.when(anth & (F.col("role") == "assistant"), F.concat(F.lit("["), text_obj, F.lit("]"))) \
+               .otherwise(_jstr(F.col("text")))
+    msg = F.concat(F.lit('{"role":'), _jstr(F.col("role")), F.lit(',"content":'), content, F.lit("}"))
+    sys_obj = F.concat(F.lit('[{"type":"text","text":'), _jstr(F.col("text")),
+                       F.lit(',"cache_control":{"type":"ephemeral"}}]'))
+    sysj = F.when(F.col("conv_id") % 3 == 0, sys_obj).otherwise(_jstr(F.col("text")))
+    per = (b.groupBy("request_id")
+             .agg(F.first("provider").alias("provider"), F.first("model").alias("model"),
+                  F.first("conv_id").alias("conv_id"), F.first("session_id").alias("session_id"),
+                  F.first("at_ms").alias("at_ms"),
+                  F.array_sort(F.collect_list(F.when(F.col("section") == "message",
+                                                     F.struct("msg_idx", msg.alias("j"))))).alias("ms"),
+                  F.first(F.when(F.col("section") == "system", sysj), ignorenulls=True).alias("sys")))
+    msgs = F.concat(F.lit("["), F.array_join(F.transform("ms", lambda x: x["j"]), ","), F.lit("]"))
+    conv = F.col("conv_id")
+    anth_body = F.concat(F.lit('{"model":'), _jstr(F.col("model")),
+                         F.lit(',"max_tokens":'), (F.lit(1024) + conv % 7).cast("string"),
+                         F.when(F.col("sys").isNotNull(), F.concat(F.lit(',"system":'), F.col("sys")))
+                          .otherwise(F.lit("")),
+                         F.lit(',"stream":'), F.when(conv % 4 == 0, F.lit("true")).otherwise(F.lit("false")),
+                         F.lit(',"messages":'), msgs, F.lit("}"))
+    oai_body = F.concat(F.lit('{"model":'), _jstr(F.col("model")), F.lit(',"messages":'), msgs,
+                        F.when(conv % 3 == 1, F.concat(F.lit(',"max_completion_tokens":'), (F.lit(512) + conv % 5).cast("string")))
+                         .otherwise(F.concat(F.lit(',"max_tokens":'), (F.lit(256) + conv % 5).cast("string"))),
+                        F.when(conv % 5 == 0, F.lit(',"temperature":"0.7"')).otherwise(F.lit(',"temperature":0.5')),
+                        F.lit(',"stop":["\\n\\n"]}'))
+    out = per.select("request_id", "session_id", "at_ms", "provider",
+                     F.when(F.col("provider") == "anthropic", anth_body).otherwise(oai_body).alias("body"))
+    if broken:
+        pages = read_table(spark, sf_dir, "pages").select(
+            (F.col("page_id") + F.lit(1_000_000_000)).alias("request_id"),
+            F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("session_id"),
+            F.col("page_id").alias("at_ms"),
+            F.when(F.col("page_id") % 2 == 0, "anthropic").otherwise("openai").alias("provider"),
+            F.col("html").alias("body"))
+        out = out.unionByName(pages)
+    return out
+
+
+def tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anthropic bodies with every block kind, derived from the conversations.
+
+    Each assistant turn is [text, tool_use(name 'search', input {"n": turn})]; each
+    later user turn is [tool_result(tool_use_id, content [text]), raw image block].
+    One request per conversation (the whole conversation), two tool definitions.
+    """
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    tid = F.concat(F.lit("tu_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    prev_tid = F.concat(F.lit("tu_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") - 1).cast("string"))
+    asst = F.concat(F.lit('[{"type":"text","text":'), _jstr(F.col("text")),
+                    F.lit('},{"type":"tool_use","id":'), _jstr(tid),
+                    F.lit(',"name":"search","input":{"n":'), F.col("turn").cast("string"), F.lit("}}]"))
+    user = F.concat(F.lit('[{"type":"tool_result","tool_use_id":'), _jstr(prev_tid),
+                    F.lit(',"content":[{"type":"text","text":'), _jstr(F.col("text")),
+                    F.lit('}]},{"type":"image","n":'), F.col("turn").cast("string"), F.lit("}]"))
+    content = F.when(F.col("role") == "assistant", asst).when(F.col("turn") == 0, _jstr(F.col("text"))).otherwise(user)
+    msg = F.concat(F.lit('{"role":'), _jstr(F.col("role")), F.lit(',"content":'), content, F.lit("}"))
+    per = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", msg.alias("j")))).alias("ms"))
+    tools = ('[{"name":"search","description":"Find text","input_schema":{"type":"object"}},'
+             '{"name":"noop","input_schema":{}}]')
+    body = F.concat(F.lit('{"model":"model_t","max_tokens":64,"tools":'), F.lit(tools), F.lit(',"messages":['),
+                    F.array_join(F.transform("ms", lambda x: x["j"]), ","), F.lit("]}"))
+    return per.select((F.col("conv_id") + F.lit(2_000_000_000)).alias("request_id"),
+                      F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("session_id"),
+                      F.col("conv_id").alias("at_ms"), F.lit("anthropic").alias("provider"), body.alias("body"))
