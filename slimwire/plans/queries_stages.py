@@ -297,3 +297,87 @@ def q_u1(spark, d):
         "n_text", F.when(F.col("type") == "text", F.upper("text")).otherwise(F.col("text"))), reversible=True)
     red = reduce_requests(tb.request_blocks(spark, d), Config(), stages=[up])
     return red.ledger.select("request_id", "stage", "saved", "reverted", "notes")
+
+
+# --------------------------------------------------------------------------- P7, H8
+def _cfg_values_sql() -> str:
+    rows = []
+    for r in tb.CONFIG_LOG:
+        vals = [str(r[0]), str(r[1])] + [("true" if x else "false") for x in r[2:8]] + [str(r[8]),
+                                                                                          "true" if r[9] else "false"]
+        rows.append("(" + ", ".join(vals) + ")")
+    return ("cfglog AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(valid_from_ms, valid_to_ms, cache, dedup, "
+            "strip, filediff, slice, intent, min_savings, store))")
+
+
+P7_SQL = ov.with_views("request_blocks") + f""",
+ {_cfg_values_sql()},
+ rc AS (SELECT r.request_id, c.* EXCLUDE (valid_from_ms, valid_to_ms) FROM requests r
+        LEFT JOIN cfglog c ON r.at_ms >= c.valid_from_ms AND r.at_ms < c.valid_to_ms)"""
+
+
+@register("p7_config_as_of", P7_SQL + """
+SELECT request_id, cache, dedup, strip, filediff, slice, intent, CAST(min_savings AS BIGINT) AS min_savings, store
+FROM rc""")
+def q_p7(spark, d):
+    from slimwire.plans.config_asof import config_as_of
+    r = tb.requests(spark, d).select("request_id", "at_ms")
+    return config_as_of(r, tb.config_log(spark)).select(
+        "request_id", "cache", "dedup", "strip", "filediff", "slice", "intent",
+        F.col("min_savings").cast("bigint").alias("min_savings"), "store")
+
+
+@register("p7_reduce_with_config_log", P7_SQL + f""",
+ b0 AS (SELECT b.*, rc.cache AS c_cache, rc.dedup AS c_dedup, rc.strip AS c_strip, rc.filediff AS c_fd,
+               rc.slice AS c_slice, rc.intent AS c_intent, rc.min_savings AS c_min, {ov.tok_sql('text')} AS tok0
+        FROM request_blocks b JOIN rc USING (request_id)),
+ d0 AS (SELECT *, c_dedup AND section = 'message' AND length(text) >= {tx.MIN_DUP_CHARS} AS elig FROM b0),
+ d1 AS (SELECT *, elig AND row_number() OVER (PARTITION BY request_id, elig, text
+                                              ORDER BY msg_idx, block_idx) > 1 AS dup FROM d0),
+ d2 AS (SELECT *, CASE WHEN dup THEN '{tx.OMIT_MARKER}' ELSE text END AS text_d FROM d1),
+ d3 AS (SELECT *, sum(tok0) OVER (PARTITION BY request_id)
+                  - sum({ov.tok_sql('text_d')}) OVER (PARTITION BY request_id) AS saved_dedup FROM d2),
+ b1 AS (SELECT * REPLACE (CASE WHEN c_dedup AND saved_dedup >= c_min THEN text_d ELSE text END AS text) FROM d3),
+ s0 AS (SELECT *, CASE WHEN c_strip THEN {ov.clean_sql('text')} ELSE text END AS clean FROM b1),
+ s1 AS (SELECT *, c_strip AND regexp_matches(clean, '{ov.RE_BLANK}') AS blank FROM s0),
+ s2 AS (SELECT *, c_strip AND NOT blank AND row_number() OVER (
+           PARTITION BY request_id, section, CASE WHEN section = 'system' THEN -1 ELSE msg_idx END, blank, clean
+           ORDER BY msg_idx, block_idx) > 1 AS rep FROM s1),
+ fin AS (SELECT *, CASE WHEN blank OR rep THEN 0 ELSE {ov.tok_sql('clean')} END AS tok_final FROM s2),
+ req AS (SELECT request_id, CAST(sum(tok0) AS BIGINT) AS tokens_before, CAST(sum(tok_final) AS BIGINT) AS tokens_after,
+                any_value(c_cache) AS c_cache, any_value(c_dedup) AS c_dedup, any_value(c_strip) AS c_strip,
+                any_value(c_fd) AS c_fd, any_value(c_slice) AS c_slice, any_value(c_intent) AS c_intent,
+                any_value(c_min) AS c_min, any_value(saved_dedup) AS saved_dedup,
+                bool_or(provider = 'anthropic' AND section = 'system') AS cache_hit
+         FROM fin GROUP BY request_id)
+SELECT request_id, tokens_before, tokens_after,
+       CAST(CAST(c_cache AS INT) + CAST(c_dedup AS INT) + CAST(c_strip AS INT) + CAST(c_fd AS INT)
+            + CAST(c_slice AS INT) + CAST(c_intent AS INT) AS BIGINT) AS n_stages,
+       CAST(CAST(c_dedup AND saved_dedup < c_min AS INT) + CAST(c_fd AND 0 < c_min AS INT)
+            + CAST(c_slice AND 0 < c_min AS INT) + CAST(c_intent AND 0 < c_min AS INT) AS BIGINT) AS n_reverted,
+       (c_cache AND cache_hit) OR (c_dedup AND saved_dedup >= c_min) OR c_strip AS changed
+FROM req""")
+def q_p7_reduce(spark, d):
+    from slimwire.plans.config_asof import config_as_of
+    r = tb.requests(spark, d).select("request_id", "at_ms")
+    cfg = config_as_of(r, tb.config_log(spark))
+    red = reduce_requests(tb.request_blocks(spark, d), Config(), per_request_config=cfg)
+    return red.per_request.select(
+        "request_id", "tokens_before", "tokens_after", F.size("stages").cast("bigint").alias("n_stages"),
+        F.size(F.filter("stages", lambda s: s["reverted"])).cast("bigint").alias("n_reverted"), "changed")
+
+
+@register("h8_store_gate", P7_SQL + f""",
+ turns AS (SELECT b.session_id, b.request_id, any_value(b.at_ms) AS at_ms,
+                  CAST(sum({ov.tok_sql('b.text')}) AS BIGINT) AS tokens
+           FROM request_blocks b JOIN rc USING (request_id) WHERE rc.store GROUP BY b.session_id, b.request_id)
+SELECT session_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT) AS total_tokens,
+       max(at_ms) AS last_active FROM turns GROUP BY session_id""")
+def q_h8(spark, d):
+    from slimwire.operators import sessions as hs
+    from slimwire.plans.config_asof import config_as_of
+    r = tb.requests(spark, d).select("request_id", "at_ms")
+    cfg = config_as_of(r, tb.config_log(spark)).select("request_id", "store")
+    blocks = tb.request_blocks(spark, d).join(cfg, "request_id")
+    st = hs.session_state(hs.build_turns(blocks, store=F.coalesce(F.col("store"), F.lit(True))))
+    return st.select("session_id", "turns", "total_tokens", "last_active")
