@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from slimwire.functions import text as tx
 
 REQ = ["session_id", "request_id"]
-POS = F.struct(F.col("msg_idx"), F.col("block_idx"))
+
+
+def pos() -> Column:
+    """Order key of a block inside its request."""
+    return F.struct(F.col("msg_idx"), F.col("block_idx"))
 
 
 def w_request() -> Window:
@@ -60,13 +64,13 @@ def _hits(flag: Column) -> Column:
 def _cache_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
     sys_live = (F.col("section") == "system") & ~F.col("drop")
     w = w_request()
-    df = (df.withColumn("_last_sys", F.max(F.when(sys_live, POS)).over(w))
+    df = (df.withColumn("_last_sys", F.max(F.when(sys_live, pos())).over(w))
             .withColumn("_marked", F.max(F.when(sys_live & F.col("cache"), F.lit(1))).over(w)))
     apply = ((F.col("provider") == "anthropic") & F.col("_last_sys").isNotNull()
              & F.col("_marked").isNull())
     return (df.withColumn("n_text", F.col("text"))
               .withColumn("n_drop", F.col("drop"))
-              .withColumn("n_cache", F.col("cache") | (apply & sys_live & (POS == F.col("_last_sys"))))
+              .withColumn("n_cache", F.col("cache") | (apply & sys_live & (pos() == F.col("_last_sys"))))
               .withColumn("n_hits", F.when(apply, 1).otherwise(0).cast("bigint"))
               .withColumn("n_obj", apply)
               .withColumn("n_note",
@@ -87,7 +91,7 @@ def dedup_flag(df: DataFrame) -> Column:
             & long_enough)
     # Hash first so the window sort compares 8 bytes; the text itself keeps it exact.
     w = Window.partitionBy(*REQ, elig, F.xxhash64(F.col("text")), F.col("text"))
-    return elig & (POS != F.min(POS).over(w))
+    return elig & (pos() != F.min(pos()).over(w))
 
 
 def _dedup_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
@@ -114,7 +118,7 @@ def strip_columns(df: DataFrame) -> DataFrame:
     grp = F.when(F.col("section") == "system", F.lit(-1).cast("bigint")).otherwise(F.col("msg_idx"))
     w = Window.partitionBy(*REQ, F.col("section"), grp, keep_cand,
                            F.xxhash64(F.col("_clean")), F.col("_clean"))
-    return df.withColumn("_rep", keep_cand & (POS != F.min(POS).over(w)))
+    return df.withColumn("_rep", keep_cand & (pos() != F.min(pos()).over(w)))
 
 
 def _strip_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
