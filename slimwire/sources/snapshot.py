@@ -90,13 +90,10 @@ def read_snapshot(spark: SparkSession, base: str, schema: StructType) -> DataFra
 
 
 def read_json_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON-lines state file: explicit schema, PERMISSIVE, corrupt records dropped;
+    """JSON-lines state file: explicit schema, corrupt records dropped (DROPMALFORMED);
     a missing path gives an empty DataFrame."""
-    full = StructType(schema.fields + [StructField("_corrupt_record", StringType())])
     try:
-        df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-                   .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
         df.schema  # resolve now so a missing path surfaces here
         return df
     except AnalysisException:
