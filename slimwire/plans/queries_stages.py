@@ -381,3 +381,33 @@ def q_h8(spark, d):
     blocks = tb.request_blocks(spark, d).join(cfg, "request_id")
     st = hs.session_state(hs.build_turns(blocks, store=F.coalesce(F.col("store"), F.lit(True))))
     return st.select("session_id", "turns", "total_tokens", "last_active")
+
+
+# --------------------------------------------------------------------------- T4, T5, U2
+BPE_MERGES = 24
+
+
+def _ranks(spark, d):
+    from slimwire.operators import bpe
+    return bpe.learn_bpe_ranks(tb.read_table(spark, d, "benchmark").select("text"), BPE_MERGES)
+
+
+@register("t5_learn_bpe_ranks")
+def q_t5(spark, d):
+    return _ranks(spark, d)
+
+
+@register("t4_bpe_tokens")
+def q_t4(spark, d):
+    from slimwire.operators import bpe
+    conv = tb.read_table(spark, d, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return bpe.bpe_token_counts(conv, _ranks(spark, d), "id")
+
+
+@register("u2_custom_tokenizer")
+def q_u2(spark, d):
+    from slimwire.operators import bpe
+    ranks = bpe.ranks_from_table(_ranks(spark, d))
+    red = reduce_requests(tb.request_blocks(spark, d), Config(), tokenizer=bpe.bpe_tokenizer_udf(ranks))
+    return red.requests.select("request_id", "tokens_before", "tokens_after", "saved")
