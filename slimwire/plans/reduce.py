@@ -96,14 +96,16 @@ def prepare_blocks(blocks: DataFrame, partition: str = "session") -> DataFrame:
                   .withColumn("cache", F.coalesce(F.col("cache_control"), F.lit(False))))
 
 
-def choose_partitioning(blocks: DataFrame, stages: Sequence[Stage], hot_share: float = 0.05,
-                        min_rows: int = 1_000_000) -> str:
-    """Skew guard: keep session co-location only when filediff needs it or no session is hot.
-
-    Runs one small aggregate (count per session, max) — column-pruned to session_id.
+def choose_partitioning(blocks: DataFrame, hot_share: float = 0.05, min_rows: int = 1_000_000) -> str:
+    """Skew guard: co-locate sessions unless one session is hot.
+
+    Runs one small aggregate (rows per session, then max and total) over a scan
+    pruned to ``session_id``. A session is hot when it holds at least ``min_rows``
+    blocks and more than ``hot_share`` of all blocks (e.g. every header-less request
+    lands in session ``default``). Then the pipeline partitions by (session,
+    request): request windows stay exchange-free and balanced, and filediff's
+    per-(session, path) lag gets its own exchange on (session_id, path).
     """
-    if any(s.name == "filediff" for s in stages):
-        return "session"
     stats = (blocks.groupBy("session_id").count()
                    .agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first())
     if stats is None or not stats["n"]:
@@ -115,7 +117,7 @@ def choose_partitioning(blocks: DataFrame, stages: Sequence[Stage], hot_share: f
 def reduce_requests(blocks: DataFrame, config: Config | None = None,
                     stages: Sequence[Stage] | None = None,
                     tokenizer: Callable[[Column], Column] = tx.approx_tokens,
-                    partition: str = "session",
+                    partition: str = "auto",
                     per_request_config: DataFrame | None = None) -> Reduction:
     """P5: reduce every request of a blocks table.
 
@@ -131,7 +133,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
     else:
         run = all_stages
     if partition == "auto":
-        partition = choose_partitioning(blocks, run)
+        partition = choose_partitioning(blocks)
 
     df = blocks
     if per_request_config is not None:

@@ -156,3 +156,15 @@ def test_single_exchange_plan(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_session_switches_to_request_partitioning(spark):
+    from slimwire.plans.reduce import choose_partitioning
+    rows = [dict(request_id=i, session_id="default" if i % 3 == 0 else f"s{i}", text="x") for i in range(60)]
+    b = blocks_df(spark, rows)
+    assert choose_partitioning(b, hot_share=0.2, min_rows=10) == "request"
+    assert choose_partitioning(b) == "session"
+    # same results either way
+    a = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="request").requests.collect()}
+    s = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="session").requests.collect()}
+    assert a == s
