@@ -72,7 +72,11 @@ def q_g4(spark, d):
     fv = tb.file_versions(spark, d)
     fv.repartition(4, "request_id").write.parquet(src)
     stream = sj.stream_dir(spark, src, fv.schema, max_files=1)
-    out = sj.run_append(sj.stream_file_versions(stream), sj.new_run_dir(spark, "g4"))
+    # same qualification as the batch stage: a file block is >= 200 units with a path line
+    from slimwire.functions import text as tx
+    files = (stream.where(tx.utf16_len("text") >= tx.MIN_FILE_CHARS)
+                   .withColumn("path", tx.detect_path("text")).where(F.col("path").isNotNull()))
+    out = sj.run_append(sj.stream_file_versions(files), sj.new_run_dir(spark, "g4"))
     return spark.read.parquet(out).drop("batch_id")
 
 
