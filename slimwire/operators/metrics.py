@@ -13,7 +13,7 @@ from slimwire.functions import text as tx
 
 RING_CAPACITY = 1000      # fixed value: metrics ring buffer size
 RECENT_DEFAULT = 50       # fixed value: default page of recent requests
-LOG_PREFIX = "[tre]"      # fixed value: log line prefix
+LOG_PREFIX = "[reduce]"   # log line prefix (a parameter of log_line)
 
 
 def assign_sequential_ids(df: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:

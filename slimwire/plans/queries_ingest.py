@@ -85,7 +85,7 @@ SELECT request_id, name, value FROM (
   SELECT request_id, 'Authorization' AS name, '***redacted***' AS value FROM h WHERE conv_id % 5 <> 0
   UNION ALL SELECT request_id, 'X-Api-Key', '***redacted***' FROM h WHERE conv_id % 5 <> 0
   UNION ALL SELECT request_id, 'User-Agent', 'agent/1.0' FROM h WHERE conv_id % 5 <> 0
-  UNION ALL SELECT request_id, 'x-tre-session', session_id FROM h WHERE conv_id % 5 <> 0
+  UNION ALL SELECT request_id, 'x-session-id', session_id FROM h WHERE conv_id % 5 <> 0
   UNION ALL SELECT request_id, 'authorization', '***redacted***' FROM h WHERE conv_id % 5 = 0
   UNION ALL SELECT request_id, 'Anthropic-Api-Key', '***redacted***' FROM h WHERE conv_id % 5 = 0
   UNION ALL SELECT request_id, 'accept', 'application/json' FROM h WHERE conv_id % 5 = 0)""")

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from slimwire.functions import text as tx
 from slimwire.sources.tables import BLOCK_COLUMNS
 
-SESSION_HEADER = "x-tre-session"   # fixed value: request header carrying the session id
+# Request header carrying the session id; callers whose clients send another name pass it
+# to ``session_key`` / ``normalize`` (header names compare case-insensitively).
+SESSION_HEADER = "x-session-id"
 BLOCK_ARRAY = ("array<struct<type:string,text:string,tool_id:string,tool_name:string,payload:string,"
                "is_error:boolean,cache_control:boolean>>")
 
@@ -77,9 +79,10 @@ def quarantine(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(F.col("v").isNotNull()), parsed.where(F.col("v").isNull()).drop("v")
 
 
-def session_key(headers: Column) -> Column:
+def session_key(headers: Column, header: str = SESSION_HEADER) -> Column:
     """Session id from the (case-insensitive) session header, else ``default``."""
-    hit = F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == SESSION_HEADER))
+    name = header.lower()
+    hit = F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name))
     return F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(tx.DEFAULT_SESSION))
 
 
@@ -185,7 +188,8 @@ def _explode_content(df: DataFrame, keys: list[str]) -> DataFrame:
                      is_error.alias("is_error"), cache.alias("cache_control"))
 
 
-def normalize(log: DataFrame, provider: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+def normalize(log: DataFrame, provider: str | Column | None = None,
+              session_header: str = SESSION_HEADER) -> tuple[DataFrame, DataFrame]:
     """Parse a request log into (requests, blocks).
 
     ``log`` has request_id, body and optionally session_id, at_ms, provider, headers.
@@ -197,7 +201,7 @@ def normalize(log: DataFrame, provider: str | Column | None = None) -> tuple[Dat
     if provider is not None:
         df = df.withColumn("provider", F.lit(provider) if isinstance(provider, str) else provider)
     if "session_id" not in df.columns:
-        df = df.withColumn("session_id", session_key(F.col("headers")) if "headers" in df.columns
+        df = df.withColumn("session_id", session_key(F.col("headers"), session_header) if "headers" in df.columns
                            else F.lit(tx.DEFAULT_SESSION))
     if "at_ms" not in df.columns:
         df = df.withColumn("at_ms", F.lit(None).cast("bigint"))

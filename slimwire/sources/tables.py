@@ -212,7 +212,7 @@ def header_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request headers derived from the requests: a session header on most, auth headers on all."""
     r = requests(spark, sf_dir)
     hdr = F.map_from_arrays(
-        F.array(F.lit("Authorization"), F.lit("X-Api-Key"), F.lit("User-Agent"), F.lit("x-tre-session")),
+        F.array(F.lit("Authorization"), F.lit("X-Api-Key"), F.lit("User-Agent"), F.lit("x-session-id")),
         F.array(F.concat(F.lit("Bearer sk-"), F.col("request_id").cast("string")),
                 F.concat(F.lit("key-"), F.col("conv_id").cast("string")),
                 F.lit("agent/1.0"), F.col("session_id")))

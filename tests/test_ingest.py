@@ -49,7 +49,7 @@ def test_anthropic_system_forms_and_missing_role(spark):
 
 
 def test_headers_session_and_redaction(spark):
-    df = spark.createDataFrame([({"X-TRE-Session": "abc", "Authorization": "k", "accept": "a"},), ({},)],
+    df = spark.createDataFrame([({"X-Session-Id": "abc", "Authorization": "k", "accept": "a"},), ({},)],
                                "h map<string,string>")
     got = df.select(ig.session_key(F.col("h")).alias("s"), ig.redact_headers(F.col("h")).alias("r")).collect()
     assert got[0].s == "abc" and got[1].s == "default"
