@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slimwire.functions import text as tx
@@ -40,17 +40,23 @@ def build_turns(blocks: DataFrame, tokenizer: Callable[[Column], Column] = tx.ap
 
 
 def turn_index(turns: DataFrame) -> DataFrame:
-    """H2: 0-based position of each turn in its session."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER)
-    return turns.withColumn("turn_index", (F.row_number().over(w) - 1).cast("bigint"))
+    """H2: 0-based position of each turn in its session.
+
+    Numbered with :func:`slimwire.plans.sequence.sequence` (range partitions), so a
+    hot session is split across tasks instead of sorted in one window partition."""
+    from slimwire.plans.sequence import sequence
+    return sequence(turns, ORDER, "turn_index", group="session_id")
 
 
 def timeline(turns: DataFrame, cap: int = 0) -> DataFrame:
-    """H3: timeline rows (true index, A8 fixed), keeping the newest ``cap`` per session (0 = all)."""
+    """H3: timeline rows (true index, A8 fixed), keeping the newest ``cap`` per session (0 = all).
+
+    The cap compares the index with the session's turn count (a partially
+    aggregated count joined back), not a per-session window."""
     t = turn_index(turns)
     if cap > 0:
-        w = Window.partitionBy("session_id").orderBy(*[F.col(c).desc() for c in ORDER])
-        t = t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+        counts = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+        t = t.join(counts, "session_id").where(F.col("turn_index") >= F.col("_n") - cap).drop("_n")
     return t.select("session_id", "request_id", F.col("turn_index").alias("index"), "model", "tokens", "at_ms")
 
 
@@ -65,21 +71,26 @@ def session_state(turns: DataFrame) -> DataFrame:
 
 
 def resume_sessions(turns: DataFrame, cap: int = 0) -> DataFrame:
-    """H4: checkpoint per session: latest conversation, retained timeline, totals.
+    """H4: checkpoint per session: latest conversation, totals and the retained timeline.
 
-    ``turns`` is the retained timeline length (the reference's count); ``all_turns``
-    counts every turn. Filter by ``session_id`` for one checkpoint; an unknown id
-    yields no row.
+    With ``cap > 0`` the newest ``cap`` timeline rows are attached as an array (a
+    bounded group). With ``cap == 0`` the timeline is unbounded and stays in long
+    form: use :func:`timeline` — a hot session's history is never collected into
+    one row. ``turns`` is the retained count, ``all_turns`` counts every turn.
+    Filter by ``session_id`` for one checkpoint; an unknown id yields no row.
     """
     st = session_state(turns)
-    tl = (timeline(turns, cap)
-          .groupBy("session_id")
-          .agg(F.array_sort(F.collect_list(F.struct("index", "model", "tokens", "at_ms"))).alias("timeline")))
-    # Both sides are aggregated by session_id: the join reuses that partitioning.
-    return (st.join(tl, "session_id")
-              .select("session_id", "model", "messages", "timeline",
-                      F.size("timeline").cast("bigint").alias("turns"),
-                      F.col("turns").alias("all_turns"), "first_seen", "last_active", "total_tokens"))
+    cols = ["session_id", "model", "messages"]
+    if cap > 0:
+        tl = (timeline(turns, cap)
+              .groupBy("session_id")
+              .agg(F.array_sort(F.collect_list(F.struct("index", "model", "tokens", "at_ms"))).alias("timeline")))
+        # both sides are aggregated by session_id: the join reuses that partitioning
+        st = st.join(tl, "session_id")
+        return st.select(*cols, "timeline", F.size("timeline").cast("bigint").alias("turns"),
+                         F.col("turns").alias("all_turns"), "first_seen", "last_active", "total_tokens")
+    return st.select(*cols, F.col("turns").cast("bigint").alias("turns"), F.col("turns").alias("all_turns"),
+                     "first_seen", "last_active", "total_tokens")
 
 
 def list_sessions(turns: DataFrame, cap: int = 0) -> DataFrame:
@@ -98,15 +109,15 @@ def purge_sessions(turns: DataFrame, purge: DataFrame | None) -> DataFrame:
     return turns.join(purge.select("session_id").distinct(), "session_id", "left_anti")
 
 
-def ttl_purge(turns: DataFrame, ttl_ms: int, now_ms: Column | int | None = None) -> DataFrame:
-    """H7: keep sessions active within ``ttl_ms`` of ``now_ms`` (default: newest activity seen)."""
+def ttl_purge(turns: DataFrame, ttl_ms: int, now_ms: int | None = None) -> DataFrame:
+    """H7: keep sessions active within ``ttl_ms`` of ``now_ms`` (default: newest activity seen).
+
+    The default "now" is one scalar aggregate, not a window over all sessions."""
     st = session_state(turns)
     if now_ms is None:
-        now = F.max("last_active").over(Window.partitionBy())
-        st = st.withColumn("_now", now)
-    else:
-        st = st.withColumn("_now", F.lit(now_ms) if isinstance(now_ms, int) else now_ms)
-    return st.where(F.col("last_active") >= F.col("_now") - F.lit(ttl_ms)).drop("_now")
+        row = turns.agg(F.max("at_ms").alias("now")).first()
+        now_ms = row["now"] if row and row["now"] is not None else 0
+    return st.where(F.col("last_active") >= F.lit(now_ms - ttl_ms))
 
 
 def transcript_preview(messages_flat: DataFrame) -> DataFrame:

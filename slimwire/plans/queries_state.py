@@ -219,11 +219,15 @@ def q_h7(spark, d):
 
 @register("h9_history_snapshot")
 def q_h9(spark, d):
-    res = hs.resume_sessions(_turns(spark, d), cap=0).select(
-        "session_id", "model", "messages", "timeline", "first_seen", "last_active", "total_tokens")
+    turns = _turns(spark, d)
+    res = hs.resume_sessions(turns, cap=0).select(
+        "session_id", "model", "messages", "first_seen", "last_active", "total_tokens")
     path = _scratch(spark, "sessions")
     snap.write_snapshot(res, path)
-    return snap.read_snapshot(spark, path, snap.SESSION_SCHEMA)
+    snap.write_snapshot(hs.timeline(turns), path + "-timeline")
+    state = snap.read_snapshot(spark, path, snap.SESSION_SCHEMA)
+    tl = snap.read_snapshot(spark, path + "-timeline", snap.TIMELINE_SCHEMA)
+    return state.join(tl.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns")), "session_id", "left")
 
 
 @register("h10_transcript_preview", TURNS + """,

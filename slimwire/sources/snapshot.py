@@ -38,13 +38,17 @@ BLOCK_STRUCT = StructType([
 SESSION_SCHEMA = StructType([
     StructField("session_id", StringType()), StructField("model", StringType()),
     StructField("messages", ArrayType(BLOCK_STRUCT)),
-    StructField("timeline", ArrayType(StructType([
-        StructField("index", LongType()), StructField("model", StringType()),
-        StructField("tokens", LongType()), StructField("at_ms", LongType())]))),
     StructField("first_seen", LongType()), StructField("last_active", LongType()),
     StructField("total_tokens", LongType()),
 ])
 
+# Session timelines are stored in long form next to the session rows.
+TIMELINE_SCHEMA = StructType([
+    StructField("session_id", StringType()), StructField("request_id", LongType()),
+    StructField("index", LongType()), StructField("model", StringType()),
+    StructField("tokens", LongType()), StructField("at_ms", LongType()),
+])
+
 MANIFEST = "_manifest"
 
 
