@@ -121,13 +121,15 @@ def q_i10(spark, d):
                                             F.max("msg_idx").cast("bigint").alias("last_msg_idx"))
 
 
-@register("i11_snapshot_write_read")
+@register("i11_snapshot_write_read", NORMALIZED_SQL + """
+SELECT request_id, section, msg_idx, block_idx, role, type, text, cache_control FROM norm
+WHERE NOT (string_form AND text = '')""")
 def q_i11(spark, d):
     _, blocks = _normalized(spark, d)
     schema = blocks.schema
     path = _scratch(spark, "blocks")
     snap.write_snapshot(blocks, path)
-    return snap.read_snapshot(spark, path, schema)
+    return snap.read_snapshot(spark, path, schema).select(*BLOCK_OUT)
 
 
 @register("i12_json_state_read", ov.with_views("request_metrics") + """

@@ -102,7 +102,7 @@ def q_m8(spark, d):
     return mx.savings_share(mx.metrics_by_model(_rm(spark, d)))
 
 
-@register("m9_metrics_snapshot")
+@register("m9_metrics_snapshot", RM + f"\nSELECT {M_COLS} FROM request_metrics ORDER BY id DESC LIMIT 1000")
 def q_m9(spark, d):
     path = _scratch(spark, "metrics")
     mx.snapshot_metrics(_rm(spark, d), path)
@@ -217,7 +217,8 @@ def q_h7(spark, d):
     return kept.select("session_id", "model", "turns", "last_active", "total_tokens")
 
 
-@register("h9_history_snapshot")
+@register("h9_history_snapshot", TURNS + """
+SELECT session_id, model, first_seen, last_active, total_tokens, n_blocks, turns FROM state""")
 def q_h9(spark, d):
     turns = _turns(spark, d)
     res = hs.resume_sessions(turns, cap=0).select(
@@ -227,6 +228,8 @@ def q_h9(spark, d):
     snap.write_snapshot(hs.timeline(turns), path + "-timeline")
     state = snap.read_snapshot(spark, path, snap.SESSION_SCHEMA)
     tl = snap.read_snapshot(spark, path + "-timeline", snap.TIMELINE_SCHEMA)
+    state = state.select("session_id", "model", "first_seen", "last_active", "total_tokens",
+                         F.size("messages").cast("bigint").alias("n_blocks"))
     return state.join(tl.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns")), "session_id", "left")
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slimwire.plans import oracle_views as ov
+from slimwire.plans.queries_stages import PREV_SQL
 from slimwire.registry import register
 from slimwire.sources import ingest as ig
 from slimwire.sources import tables as tb
@@ -66,11 +67,17 @@ def q_g3(spark, d):
     return spark.read.parquet(out).select("session_id", "hash")
 
 
-@register("g4_stream_file_versions")
+@register("g4_stream_file_versions", PREV_SQL + """
+SELECT session_id, path, request_id, prev_request_id, prev IS NOT NULL AND prev <> text AS differs FROM lagged""")
 def q_g4(spark, d):
     src = sj.new_run_dir(spark, "file-versions")
     fv = tb.file_versions(spark, d)
-    fv.repartition(4, "request_id").write.parquet(src)
+    # the log arrives in time order: one append per time slice, oldest first
+    bounds = fv.agg(F.min("at_ms").alias("lo"), F.max("at_ms").alias("hi")).first()
+    step = (bounds["hi"] - bounds["lo"]) // 4 + 1
+    for i in range(4):
+        lo = bounds["lo"] + i * step
+        fv.where((F.col("at_ms") >= lo) & (F.col("at_ms") < lo + step)).coalesce(1).write.mode("append").parquet(src)
     stream = sj.stream_dir(spark, src, fv.schema, max_files=1)
     # same qualification as the batch stage: a file block is >= 200 units with a path line
     from slimwire.functions import text as tx

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from slimwire.session import checkpoint_dir
 
@@ -173,7 +173,7 @@ FILE_STATE = StructType([StructField("text", StringType()), StructField("at_ms",
                          StructField("request_id", LongType())])
 FILE_OUT = StructType([StructField("session_id", StringType()), StructField("path", StringType()),
                        StructField("request_id", LongType()), StructField("prev_request_id", LongType()),
-                       StructField("differs", StringType())])
+                       StructField("differs", BooleanType())])
 
 
 def _file_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -183,7 +183,7 @@ def _file_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         for _, r in pdf.sort_values(["at_ms", "request_id"]).iterrows():
             rows.append((key[0], key[1], int(r["request_id"]),
                          None if prev is None else int(prev[2]),
-                         None if prev is None else str(prev[0] != r["text"]).lower()))
+                         prev is not None and prev[0] != r["text"]))
             prev = (r["text"], int(r["at_ms"]), int(r["request_id"]))
     if prev is not None:
         state.update(prev)
