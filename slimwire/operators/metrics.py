@@ -129,6 +129,3 @@ def clear_metrics(spark: SparkSession, path: str) -> str:
     from slimwire.sources.snapshot import METRICS_SCHEMA, write_snapshot
     return write_snapshot(spark.createDataFrame([], METRICS_SCHEMA), path)
 
-
-def pct_col(saved: Column, before: Column) -> Column:
-    return F.when(before > 0, tx.js_round(saved / before * 100, 1)).otherwise(F.lit(0.0))

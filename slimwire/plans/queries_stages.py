@@ -358,10 +358,7 @@ SELECT request_id, tokens_before, tokens_after,
        (c_cache AND cache_hit) OR (c_dedup AND saved_dedup >= c_min) OR c_strip AS changed
 FROM req""")
 def q_p7_reduce(spark, d):
-    from slimwire.plans.config_asof import config_as_of
-    r = tb.requests(spark, d).select("request_id", "at_ms")
-    cfg = config_as_of(r, tb.config_log(spark))
-    red = reduce_requests(tb.request_blocks(spark, d), Config(), per_request_config=cfg)
+    red = reduce_requests(tb.request_blocks(spark, d), Config(), config_log=tb.config_log(spark))
     return red.per_request.select(
         "request_id", "tokens_before", "tokens_after", F.size("stages").cast("bigint").alias("n_stages"),
         F.size(F.filter("stages", lambda s: s["reverted"])).cast("bigint").alias("n_reverted"), "changed")

@@ -73,10 +73,6 @@ class Reduction:
         return self.per_request.drop("stages")
 
 
-def _fmt_num(x: float) -> str:
-    return str(int(x)) if float(x).is_integer() else repr(float(x))
-
-
 def block_tokens(tokenizer: Callable[[Column], Column]) -> Column:
     """Tokens of one block in its current state (0 once dropped)."""
     rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")
@@ -118,14 +114,22 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
                     stages: Sequence[Stage] | None = None,
                     tokenizer: Callable[[Column], Column] = tx.approx_tokens,
                     partition: str = "auto",
-                    per_request_config: DataFrame | None = None) -> Reduction:
+                    per_request_config: DataFrame | None = None,
+                    config_log: DataFrame | None = None) -> Reduction:
     """P5: reduce every request of a blocks table.
 
     ``per_request_config`` (from :func:`slimwire.plans.config_asof.config_as_of`) holds
     one row per request with boolean columns named after the stages plus
     ``min_savings`` and ``store``; when given, toggles are columns (P7) and every
-    stage with a toggle key is planned but gated per request.
+    stage with a toggle key is planned but gated per request. ``config_log``
+    (intervals, see ``config_asof``) does the same without a per-request table:
+    every block carries its request's ``at_ms``, so the (small, size-checked) log is
+    range-joined onto the blocks by broadcast — no shuffle before the pipeline's own.
     """
+    if config_log is not None:
+        from slimwire.plans.config_asof import config_as_of
+        blocks = config_as_of(blocks, config_log)
+        per_request_config = blocks.select("request_id")   # marker: toggles are columns now
     config = config or Config()
     all_stages = list(stages) if stages is not None else list(ORDERED_STAGES)
     if per_request_config is None:
@@ -136,7 +140,12 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         partition = choose_partitioning(blocks)
 
     df = blocks
-    if per_request_config is not None:
+    if config_log is not None:
+        df = df.select("*", *[F.col(k).alias("cfg_" + k) for k in TOGGLE_KEYS],
+                       F.col("min_savings").alias("cfg_min"), F.col("store").alias("cfg_store"))
+        min_col = F.coalesce(F.col("cfg_min").cast("double"), F.lit(float(config.min_savings)))
+        store_col = F.coalesce(F.col("cfg_store"), F.lit(config.store))
+    elif per_request_config is not None:
         cfg = per_request_config.select(
             "request_id", *[F.col(k).alias("cfg_" + k) for k in TOGGLE_KEYS],
             F.col("min_savings").alias("cfg_min"), F.col("store").alias("cfg_store"))

@@ -43,15 +43,6 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def js_string(v: Column, default: str = "") -> Column:
-    """``String(v ?? default)``."""
-    t = vtype(v)
-    return (F.when(t == "NULL", F.lit(default))
-             .when(t == "STRING", F.try_variant_get(v, "$", "string"))
-             .when(t == "OBJECT", F.lit("[object Object]"))
-             .otherwise(F.to_json(v)))
-
-
 def json_text(v: Column) -> Column:
     """``JSON.stringify(v ?? null)``."""
     return F.when(v.isNull(), F.lit("null")).otherwise(F.to_json(v))

@@ -92,3 +92,15 @@ def test_snapshot_versions_and_missing_paths(spark, tmp_path):
     got = snap.read_json_state(spark, str(tmp_path / "state"), snap.METRICS_SCHEMA)
     assert len(got.collect()) == 1
     assert snap.read_json_state(spark, str(tmp_path / "absent"), snap.METRICS_SCHEMA).count() == 0
+
+
+def test_config_change_log_to_intervals_and_asof(spark):
+    from slimwire.plans.config_asof import config_as_of, intervals_from_changes
+    cols = "at_ms long, cache boolean, dedup boolean, strip boolean, filediff boolean, slice boolean, " \
+           "intent boolean, min_savings long, store boolean"
+    changes = spark.createDataFrame([(0, True, False, True, False, False, False, 32, True),
+                                     (100, True, True, True, False, False, False, 10, False)], cols)
+    reqs = spark.createDataFrame([(1, 5), (2, 100), (3, 250)], "request_id long, at_ms long")
+    got = {r.request_id: (r.dedup, r.min_savings, r.store)
+           for r in config_as_of(reqs, intervals_from_changes(changes)).collect()}
+    assert got == {1: (False, 32, True), 2: (True, 10, False), 3: (True, 10, False)}
