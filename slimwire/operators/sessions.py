@@ -125,7 +125,9 @@ def transcript_preview(messages_flat: DataFrame) -> DataFrame:
 
     Input: one row per block with session_id, msg_idx, block_idx, role, type, text.
     """
-    piece = F.coalesce(F.col("text"), F.concat(F.lit("["), F.col("type"), F.lit("]")))
+    # only text blocks have a ``text``; any other kind shows as ``[type]``
+    piece = F.when(F.col("type") == "text", F.coalesce(F.col("text"), F.lit(""))) \
+             .otherwise(F.concat(F.lit("["), F.col("type"), F.lit("]")))
     agg = (messages_flat.groupBy("session_id", "msg_idx")
                         .agg(F.first("role").alias("role"),
                              F.array_sort(F.collect_list(F.struct("block_idx", piece.alias("p")))).alias("_b")))

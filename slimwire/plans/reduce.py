@@ -180,7 +180,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
             changed_blk, tokenizer(tx.render_block("type", "n_text", "tool_name", "payload", "rendered"))
         ).otherwise(F.col("tok"))
         df = df.withColumn("n_tok", new_tok)
-        df = df.withColumn(f"_m{ord_}", (F.sum("tok").over(w) - F.sum("n_tok").over(w)).cast("bigint"))
+        df = df.withColumn(f"_m{ord_}", F.sum(F.col("tok") - F.col("n_tok")).over(w).cast("bigint"))
         lossy = F.lit(not stage.reversible)
         df = df.withColumn(f"_r{ord_}", on & lossy & (F.col(f"_m{ord_}") < min_col))
         commit = on & ~F.col(f"_r{ord_}")

@@ -43,6 +43,11 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
+def is_true(v: Column) -> Column:
+    """``v === true``: the JSON boolean true only (the string "true" does not count)."""
+    return (F.schema_of_variant(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean")
+
+
 def json_text(v: Column) -> Column:
     """``JSON.stringify(v ?? null)``."""
     return F.when(v.isNull(), F.lit("null")).otherwise(F.to_json(v))
@@ -172,8 +177,7 @@ def _explode_content(df: DataFrame, keys: list[str]) -> DataFrame:
     payload = (F.when(t == "tool_use", json_text(field(F.col("_b"), "input")))
                 .when(t == "tool_result", F.when(F.col("_in_k") != "NULL", F.to_json(F.col("_in"))))
                 .when(t == "raw", _json_of("_b")))
-    is_error = F.when(t == "tool_result", F.coalesce(
-        F.try_variant_get("_b", "$.is_error", "string") == "true", F.lit(False)))
+    is_error = F.when(t == "tool_result", F.coalesce(is_true(field(F.col("_b"), "is_error")), F.lit(False)))
     return ex.select(*keys, F.col("block_idx").cast("bigint").alias("block_idx"), "type", text.alias("text"),
                      tool_id.alias("tool_id"), tool_name.alias("tool_name"), payload.alias("payload"),
                      is_error.alias("is_error"), cache.alias("cache_control"))
@@ -200,8 +204,7 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
     df = df.withColumn("model", _jstr_of("_model"))
     v = F.col("v")
     requests = df.select("request_id", "session_id", "at_ms", "provider", "model",
-                         F.coalesce(F.try_variant_get(field(v, "stream"), "$", "string") == "true",
-                                    F.lit(False)).alias("stream"),
+                         F.coalesce(is_true(field(v, "stream")), F.lit(False)).alias("stream"),
                          sampling_params(v, F.col("provider")).alias("params"), F.col("body").alias("raw"))
     keys = ["request_id", "session_id", "at_ms", "provider", "model"]
 

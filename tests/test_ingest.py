@@ -63,3 +63,21 @@ def test_roundtrip_is_lossless_on_clean_input(spark):
               '"tools":[{"name":"f","description":"d","input_schema":{"type":"object"}}]}']
     log = spark.createDataFrame([(1, bodies[0], "anthropic")], "request_id long, body string, provider string")
     assert ig.roundtrip_audit(log).count() == 0
+
+
+def test_flags_require_json_true(spark):
+    reqs, blocks = norm(spark, ['{"stream":"true","messages":[{"role":"user","content":[{"type":"tool_result",'
+                                '"tool_use_id":"1","content":"x","is_error":"true"}]}]}',
+                                '{"stream":true,"messages":[{"role":"user","content":[{"type":"tool_result",'
+                                '"tool_use_id":"1","content":"x","is_error":true}]}]}'])
+    assert {r.request_id: r.stream for r in reqs.collect()} == {0: False, 1: True}
+    assert {r.request_id: r.is_error for r in blocks.collect()} == {0: False, 1: True}
+
+
+def test_transcript_preview_shows_block_kinds(spark):
+    from slimwire.operators.sessions import transcript_preview
+    df = spark.createDataFrame([("s", 0, 0, "user", "text", "hi"), ("s", 0, 1, "user", "tool_result", "out"),
+                                ("s", 1, 0, "assistant", "text", "")],
+                               "session_id string, msg_idx long, block_idx long, role string, type string, text string")
+    got = {r.msg_idx: r.preview for r in transcript_preview(df).collect()}
+    assert got == {0: "hi [tool_result]", 1: "—"}
