@@ -301,14 +301,18 @@ def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
                              arr_json.alias("arr_json"), str_json.alias("str_json"))
 
     req = requests.withColumn("v", F.try_parse_json(F.col("raw")))
-    raw_msgs = req.select("request_id", F.posexplode(F.coalesce(as_array(field(F.col("v"), "messages")),
-                                                                F.array().cast("array<variant>"))).alias("msg_idx", "om"))
-    raw_msgs = raw_msgs.select("request_id", F.col("msg_idx").cast("bigint").alias("msg_idx"),
+    raw_msgs = req.select("request_id", F.col("provider").alias("req_provider"),
+                          F.posexplode(F.coalesce(as_array(field(F.col("v"), "messages")),
+                                                  F.array().cast("array<variant>"))).alias("msg_idx", "om"))
+    raw_msgs = raw_msgs.select("request_id", "req_provider", F.col("msg_idx").cast("bigint").alias("msg_idx"),
                                F.try_variant_get(F.col("om"), "$", "map<string,variant>").alias("om_map"),
                                (vtype(field(F.col("om"), "content")) == "STRING").alias("was_string"))
-    # Messages whose blocks were all removed still exist in raw: keep them (empty content keeps original).
+    # Messages whose blocks were all removed still exist in raw: anthropic sends an empty
+    # block list, openai keeps the original content (e.g. null on a pure tool-call message).
     joined = raw_msgs.join(per_msg, ["request_id", "msg_idx"], "full_outer")
-    content = F.when(F.col("arr_json").isNull(), F.lit(None).cast("string")) \
+    anth_msg = F.coalesce(F.col("req_provider"), F.col("provider")) == "anthropic"
+    content = F.when(F.col("arr_json").isNull() & anth_msg, F.lit("[]")) \
+               .when(F.col("arr_json").isNull(), F.lit(None).cast("string")) \
                .when((F.col("provider") == "openai") & F.col("was_string") & F.col("all_text"), F.col("str_json")) \
                .otherwise(F.col("arr_json"))
     other = F.map_filter(F.coalesce(F.col("om_map"), F.create_map().cast("map<string,variant>")),
@@ -316,7 +320,10 @@ def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     kept = F.transform(F.map_entries(other), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
     orig_content = F.to_json(F.element_at(F.coalesce(F.col("om_map"), F.create_map().cast("map<string,variant>")),
                                           F.lit("content")))
-    role_json = _jstr(F.coalesce(F.col("role"), F.lit("user")))
+    raw_role = F.try_variant_get(F.element_at(F.coalesce(F.col("om_map"),
+                                                         F.create_map().cast("map<string,variant>")),
+                                              F.lit("role")), "$", "string")
+    role_json = _jstr(F.coalesce(F.col("role"), raw_role, F.lit("user")))
     parts = F.concat(F.array(F.concat(F.lit('"role":'), role_json)), kept,
                      F.when(content.isNotNull(), F.array(F.concat(F.lit('"content":'), content)))
                       .when(orig_content.isNotNull(), F.array(F.concat(F.lit('"content":'), orig_content)))
@@ -338,7 +345,8 @@ def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 
     out = (req.join(msgs, "request_id", "left").join(sysj, "request_id", "left"))
     top = F.coalesce(F.try_variant_get(F.col("v"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "system", "messages"))
+    is_anth = F.col("provider") == "anthropic"
+    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "messages") & ~((k == "system") & is_anth))
     entries = F.transform(F.map_entries(keep), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
     new = F.array(F.concat(F.lit('"model":'), _jstr(F.col("model"))),
                   F.concat(F.lit('"messages":'), F.coalesce(F.col("messages_json"), F.lit("[]"))))

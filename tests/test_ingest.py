@@ -81,3 +81,20 @@ def test_transcript_preview_shows_block_kinds(spark):
                                "session_id string, msg_idx long, block_idx long, role string, type string, text string")
     got = {r.msg_idx: r.preview for r in transcript_preview(df).collect()}
     assert got == {0: "hi [tool_result]", 1: "—"}
+
+
+def test_denormalize_after_strip_drops_blocks(spark):
+    import json
+    from slimwire.plans.reduce import Config, reduce_requests
+    bodies = ['{"model":"m","system":"  ","messages":[{"role":"user","content":"   "},{"role":"user","content":"hi"}]}',
+              '{"model":"m","system":"keep me","messages":[{"role":"assistant","content":"   ","tool_calls":[1]}]}']
+    log = spark.createDataFrame([(0, bodies[0], "anthropic"), (1, bodies[1], "openai")],
+                                "request_id long, body string, provider string")
+    reqs, blocks = ig.normalize(log)
+    red = reduce_requests(blocks, Config(stages={"cache": False}))
+    out = {r.request_id: json.loads(r.body) for r in ig.denormalize(reqs, red.blocks).collect()}
+    assert "system" not in out[0] and out[0]["messages"][0]["content"] == []
+    assert out[0]["messages"][1]["content"] == [{"type": "text", "text": "hi"}]
+    # openai: all blocks stripped -> original content kept; extra keys and top-level keys survive
+    assert out[1]["messages"][0] == {"role": "assistant", "content": "   ", "tool_calls": [1]}
+    assert out[1]["system"] == "keep me"
