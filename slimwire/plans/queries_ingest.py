@@ -98,7 +98,7 @@ def q_i8(spark, d):
 SELECT request_id,
        CAST(CASE WHEN provider = 'anthropic' THEN 1024 + conv_id % 7
                  WHEN conv_id % 3 = 1 THEN 512 + conv_id % 5 ELSE 256 + conv_id % 5 END AS BIGINT) AS max_tokens,
-       CASE WHEN provider = 'openai' AND conv_id % 5 <> 0 THEN 0.5 END AS temperature,
+       CASE WHEN provider = 'openai' AND conv_id % 5 <> 0 THEN CAST(0.5 AS DOUBLE) END AS temperature,
        CAST(NULL AS DOUBLE) AS top_p,
        CAST(CASE WHEN provider = 'openai' THEN 1 ELSE 0 END AS BIGINT) AS n_stop,
        provider = 'anthropic' AND conv_id % 4 = 0 AS stream

@@ -230,8 +230,9 @@ def q_s14(spark, d):
 
 # --------------------------------------------------------------------------- pipeline
 @register("p1_ordered_stages", """
-SELECT * FROM (VALUES ('cache', 0), ('dedup', 1), ('strip', 2), ('filediff', 3), ('slice', 4), ('intent', 5))
-  v(stage, ord) WHERE (SELECT count(*) FROM conversations) > 0""")
+SELECT stage, CAST(ord AS BIGINT) AS ord
+FROM (VALUES ('cache', 0), ('dedup', 1), ('strip', 2), ('filediff', 3), ('slice', 4), ('intent', 5)) v(stage, ord)
+WHERE (SELECT count(*) FROM conversations) > 0""")
 def q_p1(spark, d):
     cfg = Config(stages={k: True for k in ("cache", "dedup", "strip", "filediff", "slice", "intent")})
     red = reduce_requests(tb.request_blocks(spark, d), cfg)
@@ -239,7 +240,8 @@ def q_p1(spark, d):
 
 
 @register("p2_stage_toggles", """
-SELECT * FROM (VALUES ('dedup', 0), ('strip', 1)) v(stage, ord) WHERE (SELECT count(*) FROM conversations) > 0""")
+SELECT stage, CAST(ord AS BIGINT) AS ord FROM (VALUES ('dedup', 0), ('strip', 1)) v(stage, ord)
+WHERE (SELECT count(*) FROM conversations) > 0""")
 def q_p2(spark, d):
     # unknown key and a non-boolean value are ignored; strip keeps its default (on)
     cfg = Config(stages={"cache": False, "dedup": True, "strip": "yes", "bogus": True})
