@@ -17,7 +17,7 @@ Windows are always ``PARTITION BY session_id, request_id, ...`` or
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,13 +47,12 @@ class StageContext:
 
 @dataclass(frozen=True)
 class Stage:
-    """A reduction stage: ``rewrite(df, ctx) -> df`` adding n_text/n_drop/n_cache/n_hits/n_obj."""
+    """A reduction stage: ``rewrite(df, ctx) -> df`` adding n_text/n_drop/n_cache/n_hits/n_obj/n_note."""
 
     name: str
     enabled: bool
     reversible: bool
     rewrite: Callable[[DataFrame, StageContext], DataFrame]
-    note: Callable[[StageContext], Column] = field(default=lambda ctx: F.lit(""))
 
 
 def _hits(flag: Column) -> Column:
@@ -144,7 +143,10 @@ def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
     # The file store is advanced by every qualifying block in arrival order, also
     # when the stage is later reverted: a lag over (session, path) reproduces it.
     order = [F.col("at_ms"), F.col("request_id"), F.col("msg_idx"), F.col("block_idx")]
-    w = Window.partitionBy("session_id", "_path").orderBy(*order)
+    # Non-file rows are keyed by their request, so they never pile up in one
+    # (session, NULL) window partition; file rows share (session, path).
+    w = Window.partitionBy("session_id", "_path",
+                           F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*order)
     df = df.withColumn("_prev", F.when(F.col("_path").isNotNull(), F.lag("text").over(w)))
     cand = F.col("_prev").isNotNull() & (F.col("_prev") != F.col("text"))
     df = df.withColumn("_diff", line_diff_udf(F.when(cand, F.col("_path")),

@@ -98,7 +98,7 @@ def sequence(df: DataFrame, order: Sequence[str], out_col: str, group: str | Non
             if first_key is None:
                 first_key = keys_.iloc[0]
             local = keys_.groupby(keys_, sort=False).cumcount()
-            start = keys_.map(lambda k: carry.get(k, 0) + (base if k == first_key else 0))
+            start = keys_.map(carry).fillna(0).astype("int64") + (keys_ == first_key).astype("int64") * base
             pdf = pdf.copy()
             pdf[out_col] = (local + start).astype("int64")
             counts = keys_.value_counts()

@@ -116,7 +116,7 @@ def noisy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``noisy_docs`` as one-block requests, plus blank blocks made of a document's spaces."""
+    """``noisy_docs`` as one-block requests (trailing blanks and blank-line runs to clean)."""
     d = noisy_docs(spark, sf_dir)
     out = d.select(F.col("doc_id").alias("request_id"),
                    F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("session_id"),

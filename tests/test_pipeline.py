@@ -150,9 +150,10 @@ def test_single_exchange_plan(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         b = blocks_df(spark, [dict(text="x")])
-        red = reduce_requests(b, Config(stages={"dedup": True}))
-        plan = red.requests._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == 1, plan
+        for stages in ({"dedup": True}, {"dedup": True, "filediff": True}):
+            red = reduce_requests(b, Config(stages=stages), partition="session")
+            plan = red.requests._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1, plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
