@@ -43,6 +43,7 @@ class StageContext:
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: Column | bool = True
     tokenizer: Callable[[Column], Column] = tx.approx_tokens
+    minimal_diff: bool = False   # True: difflib hunks in a pandas UDF instead of the native single hunk
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ def _strip_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
 
 # --------------------------------------------------------------------------- S7-S10
 def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
-    from slimwire.operators.diff import line_diff_udf
+    from slimwire.operators.diff import line_diff_udf, with_unified_diff
 
     store = ctx.store if isinstance(ctx.store, Column) else F.lit(bool(ctx.store))
     n = F.octet_length(F.col("text"))
@@ -149,9 +150,15 @@ def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
                            F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*order)
     df = df.withColumn("_prev", F.when(F.col("_path").isNotNull(), F.lag("text").over(w)))
     cand = F.col("_prev").isNotNull() & (F.col("_prev") != F.col("text"))
-    df = df.withColumn("_diff", line_diff_udf(F.when(cand, F.col("_path")),
-                                              F.when(cand, F.col("_prev")),
-                                              F.when(cand, F.col("text"))))
+    if ctx.minimal_diff:
+        # multi-hunk minimal diff in an Arrow UDF (hides partitioning: one more exchange)
+        df = df.withColumn("_diff", line_diff_udf(F.when(cand, F.col("_path")),
+                                                  F.when(cand, F.col("_prev")),
+                                                  F.when(cand, F.col("text"))))
+    else:
+        df = (df.withColumn("_dprev", F.when(cand, F.col("_prev"))).withColumn("_dcur", F.when(cand, F.col("text")))
+                .transform(lambda d: with_unified_diff(d, "_path", "_dprev", "_dcur", "_diff"))
+                .drop("_dprev", "_dcur"))
     rewrite = cand & (tx.utf16_len(F.col("_diff")) < tx.utf16_len(F.col("text")))
     new_text = F.concat(F.col("_path"), F.lit(" — "),
                         F.size(F.split(F.col("_prev"), "\n", -1)).cast("string"),

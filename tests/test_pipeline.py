@@ -169,3 +169,19 @@ def test_hot_session_switches_to_request_partitioning(spark):
     a = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="request").requests.collect()}
     s = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="session").requests.collect()}
     assert a == s
+
+
+def test_native_diff_equals_difflib_for_one_edited_region(spark):
+    from slimwire.operators.diff import unified_diff, with_unified_diff
+
+    def lines(marker, n=80, extra=""):
+        return "src/app.ts\n" + "\n".join(marker if i == 40 else f"const x{i} = {i};" for i in range(n)) + extra
+    pairs = [(lines("a = 1;"), lines("a = 2;")),                 # one changed line
+             (lines("a"), lines("a", 83)),                       # lines appended at the end
+             (lines("a", 10), lines("a", 10).replace("const x2 = 2;\n", "")),   # a line removed
+             ("x\ny\n", "x\nz\n")]                               # trailing newline kept
+    df = spark.createDataFrame([(i, "src/app.ts", a, b) for i, (a, b) in enumerate(pairs)],
+                               "i long, path string, a string, b string")
+    got = {r.i: r.d for r in with_unified_diff(df, "path", "a", "b", "d").collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == unified_diff("src/app.ts", a, b), i
