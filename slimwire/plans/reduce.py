@@ -36,6 +36,7 @@ class Config:
     stages: Mapping[str, bool] | None = None
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: bool = True
+    minimal_diff: bool = False   # filediff: difflib hunks (Arrow UDF) instead of the native single hunk
 
     def toggles(self) -> dict[str, bool]:
         # Config keys win; unknown or non-boolean values are ignored.
@@ -172,7 +173,8 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         else:
             on = F.lit(True)
         store = store_col & on if name == "filediff" else store_col
-        ctx = StageContext(min_savings=config.min_savings, store=store, tokenizer=tokenizer)
+        ctx = StageContext(min_savings=config.min_savings, store=store, tokenizer=tokenizer,
+                           minimal_diff=config.minimal_diff)
         df = stage.rewrite(df, ctx)
         # Recount only blocks whose rendered content changed.
         changed_blk = (~F.col("n_text").eqNullSafe(F.col("text"))) | (F.col("n_drop") != F.col("drop"))

@@ -185,3 +185,13 @@ def test_native_diff_equals_difflib_for_one_edited_region(spark):
     got = {r.i: r.d for r in with_unified_diff(df, "path", "a", "b", "d").collect()}
     for i, (a, b) in enumerate(pairs):
         assert got[i] == unified_diff("src/app.ts", a, b), i
+
+
+def test_minimal_diff_option_agrees_on_one_edit(spark):
+    def lines(marker):
+        return "src/app.ts\n" + "\n".join(marker if i == 40 else f"const x{i} = {i};" for i in range(80))
+    b = blocks_df(spark, [dict(request_id=1, at_ms=1, text=lines("t = 1;")), dict(request_id=2, at_ms=2, text=lines("t = 2;"))])
+    cfg = dict(stages={"filediff": True, "cache": False, "strip": False}, min_savings=0)
+    native = texts(reduce_requests(b, Config(**cfg)), 2)[0][1]
+    minimal = texts(reduce_requests(b, Config(**cfg, minimal_diff=True)), 2)[0][1]
+    assert native == minimal
