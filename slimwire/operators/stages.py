@@ -43,7 +43,7 @@ class StageContext:
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: Column | bool = True
     tokenizer: Callable[[Column], Column] = tx.approx_tokens
-    minimal_diff: bool = False   # True: difflib hunks in a pandas UDF instead of the native single hunk
+    minimal_diff: bool = True    # False: native single hunk instead of difflib hunks in an Arrow UDF
 
 
 @dataclass(frozen=True)

@@ -65,6 +65,13 @@ _view("file_versions", """
                         FROM request_blocks GROUP BY request_id) a ON a.request_id=r.request_id""",
       ["requests", "request_blocks"])
 
+_view("file_revisions", """
+  SELECT r.request_id, r.session_id, r.at_ms, concat('src/conv_', CAST(r.conv_id AS VARCHAR), '.txt') AS path,
+         concat('src/conv_', CAST(r.conv_id AS VARCHAR), '.txt', chr(10), 'rev ', CAST(r.turn AS VARCHAR), chr(10),
+                c.body) AS text
+  FROM requests r JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body
+                        FROM conversations GROUP BY conv_id) c ON c.conv_id = r.conv_id""", ["requests"])
+
 _view("request_metrics", """
   SELECT event_id AS id, event_id*1000 AS at_ms,
          CASE WHEN user_id%2=0 THEN 'anthropic' ELSE 'openai' END AS provider, event_type AS model,

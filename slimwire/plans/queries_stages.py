@@ -191,10 +191,68 @@ def q_s9(spark, d):
                      c["removed"].alias("removed"), c["added"].alias("added"))
 
 
-@register("s10_filediff_rewrite")
+def _rng_sql(s: str, n: str) -> str:
+    return f"concat(CAST(CASE WHEN {n} > 0 THEN {s} + 1 ELSE {s} END AS VARCHAR), ',', CAST({n} AS VARCHAR))"
+
+
+S10_SQL = ov.with_views("file_revisions") + f""",
+ q0 AS (SELECT *, nullif(regexp_extract(split_part(text, chr(10), 1), '{PATH_RE2}', 1), '') AS p
+        FROM file_revisions),
+ q AS (SELECT *, CASE WHEN length(text) >= 200 THEN p END AS path_q FROM q0),
+ lg AS (SELECT *, CASE WHEN path_q IS NOT NULL THEN lag(text) OVER (
+                     PARTITION BY session_id, path_q, CASE WHEN path_q IS NULL THEN request_id END
+                     ORDER BY at_ms, request_id) END AS prev FROM q),
+ c AS (SELECT *, prev IS NOT NULL AND prev <> text AS cand FROM lg),
+ arr AS (SELECT *, string_split(regexp_replace(prev, '\n$', ''), chr(10)) AS a,
+                string_split(regexp_replace(text, '\n$', ''), chr(10)) AS b FROM c WHERE cand),
+ m AS (SELECT *, len(a) AS na, len(b) AS nb, least(len(a), len(b)) AS mn FROM arr),
+ pp AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, mn + 1), lambda i: a[i] = b[i]), false), 0),
+                           mn + 1) - 1 AS pre FROM m),
+ ss AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, mn - pre + 1),
+                                                lambda i: a[na - i + 1] = b[nb - i + 1]), false), 0),
+                           mn - pre + 1) - 1 AS suf FROM pp),
+ h AS (SELECT *, greatest(pre - 4, 0) AS st, na - suf AS a_end, nb - suf AS b_end,
+              least(na - suf + 4, na) AS a_stop, least(nb - suf + 4, nb) AS b_stop FROM ss),
+ d AS (SELECT request_id,
+              regexp_replace(array_to_string(list_concat(
+                 [concat('--- ', path_q, chr(9), 'previous'), concat('+++ ', path_q, chr(9), 'current'),
+                  concat('@@ -', {_rng_sql('st', 'a_stop - st')}, ' +', {_rng_sql('st', 'b_stop - st')}, ' @@')],
+                 list_transform(a[st + 1:pre], lambda x: concat(' ', x)),
+                 list_transform(a[pre + 1:a_end], lambda x: concat('-', x)),
+                 list_transform(b[pre + 1:b_end], lambda x: concat('+', x)),
+                 list_transform(a[a_end + 1:a_stop], lambda x: concat(' ', x)),
+                 CASE WHEN a_stop = na AND b_stop = nb AND NOT ends_with(prev, chr(10)) AND NOT ends_with(text, chr(10))
+                      THEN ['\\ No newline at end of file'] ELSE [] END), chr(10)), '\s+$', '') AS diff
+       FROM h),
+ r AS (SELECT c.request_id, c.text, c.prev, c.path_q, d.diff,
+              coalesce(c.cand AND length(d.diff) < length(c.text), false) AS rw
+       FROM c LEFT JOIN d USING (request_id)),
+ t AS (SELECT request_id, {ov.tok_sql('text')} AS tok0,
+              CASE WHEN rw THEN {ov.tok_sql("concat(path_q, ' — ', CAST(len(string_split(prev, chr(10))) AS VARCHAR), ' lines, sent as a diff vs. the previous version:', chr(10), chr(10), diff)")}
+                   ELSE {ov.tok_sql('text')} END AS tok1, rw FROM r)
+SELECT request_id, 'filediff' AS stage,
+       CAST(CASE WHEN tok0 - tok1 < 32 THEN 0 ELSE tok0 - tok1 END AS BIGINT) AS saved,
+       CAST(tok0 - tok1 AS BIGINT) AS measured, tok0 - tok1 < 32 AS reverted,
+       CASE WHEN tok0 - tok1 < 32 THEN concat('reverted: saved ', CAST(tok0 - tok1 AS VARCHAR), ' < min 32')
+            WHEN rw THEN 'diffed 1 file(s)' ELSE 'no re-sent files to diff' END AS notes
+FROM t"""
+
+
+FILEDIFF_ONLY = {"filediff": True, "cache": False, "strip": False}
+
+
+@register("s10_filediff_rewrite", S10_SQL)
 def q_s10(spark, d):
-    red = reduce_requests(tb.file_blocks(spark, d), Config(stages={"filediff": True, "cache": False,
-                                                                   "strip": False}))
+    # one changed line per re-send: the multi-hunk and single-hunk diffs coincide, so the
+    # oracle (single hunk, rebuilt in SQL) checks the default (multi-hunk) stage
+    red = reduce_requests(tb.file_revision_blocks(spark, d), Config(stages=FILEDIFF_ONLY))
+    return red.ledger.select("request_id", "stage", "saved", "measured", "reverted", "notes")
+
+
+@register("s10_filediff_growing_files")
+def q_s10_growing(spark, d):
+    # files that grow at the end while an early line changes: two hunks
+    red = reduce_requests(tb.file_blocks(spark, d), Config(stages=FILEDIFF_ONLY))
     return red.ledger.select("request_id", "stage", "saved", "measured", "reverted", "notes")
 
 

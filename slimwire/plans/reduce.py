@@ -36,7 +36,9 @@ class Config:
     stages: Mapping[str, bool] | None = None
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: bool = True
-    minimal_diff: bool = False   # filediff: difflib hunks (Arrow UDF) instead of the native single hunk
+    # filediff: multi-hunk line diff (difflib in an Arrow UDF; closest to the reference, one
+    # more exchange) or, when False, the native single hunk (no Python, no extra exchange)
+    minimal_diff: bool = True
 
     def toggles(self) -> dict[str, bool]:
         # Config keys win; unknown or non-boolean values are ignored.

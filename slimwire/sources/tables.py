@@ -319,3 +319,30 @@ def tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select((F.col("conv_id") + F.lit(2_000_000_000)).alias("request_id"),
                       F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("session_id"),
                       F.col("conv_id").alias("at_ms"), F.lit("anthropic").alias("provider"), body.alias("body"))
+
+
+def file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per conversation whose only change between requests is its revision line.
+
+    text = path, ``rev <turn>``, then the whole conversation (every turn), so each
+    re-send differs from the previous version in one line: the case where a diff
+    is far smaller than the file.
+    """
+    c = read_table(spark, sf_dir, "conversations")
+    body = (c.groupBy("conv_id")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+                                           lambda x: x["text"]), "\n").alias("body")))
+    r = requests(spark, sf_dir)
+    path = F.concat(F.lit("src/conv_"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    return (r.join(body, "conv_id")
+             .select("request_id", "session_id", "at_ms", "provider", "model", path.alias("path"),
+                     F.concat(path, F.lit("\nrev "), F.col("turn").cast("string"), F.lit("\n"), F.col("body"))
+                     .alias("text")))
+
+
+def file_revision_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = file_revisions(spark, sf_dir).select(
+        "request_id", "session_id", "at_ms", "provider", "model", F.lit("message").alias("section"),
+        F.lit(0).cast("bigint").alias("msg_idx"), F.lit(0).cast("bigint").alias("block_idx"),
+        F.lit("user").alias("role"), "text")
+    return _text_block_defaults(out)

@@ -150,10 +150,11 @@ def test_single_exchange_plan(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         b = blocks_df(spark, [dict(text="x")])
-        for stages in ({"dedup": True}, {"dedup": True, "filediff": True}):
-            red = reduce_requests(b, Config(stages=stages), partition="session")
+        for stages, minimal, want in (({"dedup": True}, True, 1), ({"dedup": True, "filediff": True}, False, 1),
+                                      ({"dedup": True, "filediff": True}, True, 2)):
+            red = reduce_requests(b, Config(stages=stages, minimal_diff=minimal), partition="session")
             plan = red.requests._jdf.queryExecution().executedPlan().toString()
-            assert plan.count("Exchange hashpartitioning") == 1, plan
+            assert plan.count("Exchange hashpartitioning") == want, plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -192,6 +193,6 @@ def test_minimal_diff_option_agrees_on_one_edit(spark):
         return "src/app.ts\n" + "\n".join(marker if i == 40 else f"const x{i} = {i};" for i in range(80))
     b = blocks_df(spark, [dict(request_id=1, at_ms=1, text=lines("t = 1;")), dict(request_id=2, at_ms=2, text=lines("t = 2;"))])
     cfg = dict(stages={"filediff": True, "cache": False, "strip": False}, min_savings=0)
-    native = texts(reduce_requests(b, Config(**cfg)), 2)[0][1]
-    minimal = texts(reduce_requests(b, Config(**cfg, minimal_diff=True)), 2)[0][1]
+    native = texts(reduce_requests(b, Config(**cfg, minimal_diff=False)), 2)[0][1]
+    minimal = texts(reduce_requests(b, Config(**cfg)), 2)[0][1]
     assert native == minimal
