@@ -140,7 +140,7 @@ def q_c3(spark, d):
     return cx.context_list(_store(spark, d))
 
 
-@register("c4_context_clear")
+@register("c4_context_clear", C_SQL + "\nSELECT id, sha, content, bytes, label, last_put_ms, puts FROM store WHERE false")
 def q_c4(spark, d):
     store = _store(spark, d)
     path = _scratch(spark, "context")

@@ -59,6 +59,25 @@ def q_i3(spark, d):
     return ig.denormalize(reqs, blocks)
 
 
+@register("i3_i4_denormalize_shape", ov.with_views("request_blocks") + """
+SELECT request_id, any_value(model) AS model,
+       CAST(count(*) FILTER (WHERE section = 'message') AS BIGINT) AS n_messages,
+       bool_or(section = 'system') AS has_system,
+       CAST(sum(length(text)) FILTER (WHERE section = 'message') AS BIGINT) AS message_chars
+FROM request_blocks GROUP BY request_id""")
+def q_i3_shape(spark, d):
+    reqs, blocks = _normalized(spark, d)
+    body = ig.denormalize(reqs, blocks)
+    back_reqs, back_blocks = ig.normalize(body.join(reqs.select("request_id", "provider"), "request_id"))
+    msg = back_blocks.where(F.col("section") == "message").groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.sum(tx.utf16_len("text")).cast("bigint").alias("message_chars"))
+    sysr = back_blocks.where(F.col("section") == "system").select("request_id").distinct() \
+                      .withColumn("has_system", F.lit(True))
+    return (back_reqs.select("request_id", "model").join(msg, "request_id", "left").join(sysr, "request_id", "left")
+                     .select("request_id", "model", F.coalesce("n_messages", F.lit(0)).cast("bigint").alias("n_messages"),
+                             F.coalesce("has_system", F.lit(False)).alias("has_system"), "message_chars"))
+
+
 @register("i5_roundtrip_audit", ov.with_views("requests") + """
 SELECT request_id, true AS messages_differ, true AS system_differ FROM requests WHERE false""")
 def q_i5(spark, d):

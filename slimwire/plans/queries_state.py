@@ -109,7 +109,7 @@ def q_m9(spark, d):
     return mx.restore_metrics(spark, path)
 
 
-@register("m10_clear_metrics")
+@register("m10_clear_metrics", RM + f"\nSELECT {M_COLS} FROM request_metrics WHERE false")
 def q_m10(spark, d):
     path = _scratch(spark, "metrics")
     mx.snapshot_metrics(_rm(spark, d), path)
