@@ -178,8 +178,11 @@ def q_i12(spark, d):
 SELECT conv_id + 2000000000 AS request_id, 'message' AS section, msg_idx, CAST(block_idx AS BIGINT) AS block_idx,
        type, """ + ov.tok_sql("t") + """ AS tokens FROM b
 UNION ALL
-SELECT conv_id + 2000000000, 'tool', CAST(0 AS BIGINT), CAST(v.i AS BIGINT), 'tool', CAST(v.tk AS BIGINT)
-FROM (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system') x, (VALUES (0, 8), (1, 2)) v(i, tk)""")
+SELECT conv_id + 2000000000, 'tool', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'tool', CAST(8 AS BIGINT)
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system')
+UNION ALL
+SELECT conv_id + 2000000000, 'tool', CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'tool', CAST(2 AS BIGINT)
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system')""")
 def q_t2(spark, d):
     _, blocks = ig.normalize(tb.tool_json(spark, d))
     rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")

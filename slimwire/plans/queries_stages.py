@@ -257,9 +257,10 @@ def q_s10_growing(spark, d):
 
 
 @register("s11_s12_stub_stages", ov.with_views("requests") + """
-SELECT request_id, stage, CAST(ord AS BIGINT) AS ord, CAST(0 AS BIGINT) AS saved, true AS reverted,
-       'reverted: saved 0 < min 32' AS notes
-FROM requests, (VALUES ('slice', 0), ('intent', 1)) v(stage, ord)""")
+SELECT request_id, 'slice' AS stage, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS saved, true AS reverted,
+       'reverted: saved 0 < min 32' AS notes FROM requests
+UNION ALL
+SELECT request_id, 'intent', CAST(1 AS BIGINT), CAST(0 AS BIGINT), true, 'reverted: saved 0 < min 32' FROM requests""")
 def q_s11(spark, d):
     red = reduce_requests(tb.request_blocks(spark, d),
                           Config(stages={"cache": False, "strip": False, "slice": True, "intent": True}))
