@@ -80,11 +80,23 @@ def run_append(stream: DataFrame, out: str, mode: str = "append") -> str:
 
 
 # --------------------------------------------------------------------------- inputs
+def event_time(df: DataFrame, col: str = "ts"):
+    """An event-time TIMESTAMP that does not depend on the session time zone.
+
+    ``TIMESTAMP_NTZ`` wall-clock values are read as UTC (watermarks need TIMESTAMP;
+    a plain cast would interpret the wall clock in the session zone)."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        return F.from_utc_timestamp(F.col(col).cast("timestamp"), F.lit(tz))
+    return F.col(col)
+
+
 def metrics_stream(events: DataFrame) -> DataFrame:
     """request_metrics rows from an events stream, with an event-time TIMESTAMP."""
     saved = F.col("event_id") % 97 - 5
     before = F.col("event_id") % 900 + 100
-    return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
+    return events.select(F.col("event_id").alias("id"), event_time(events).alias("ts"),
                          (F.col("event_id") * 1000).alias("at_ms"),
                          F.when(F.col("user_id") % 2 == 0, "anthropic").otherwise("openai").alias("provider"),
                          F.col("event_type").alias("model"),
