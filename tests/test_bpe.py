@@ -53,3 +53,23 @@ def test_bpe_counts_match_python_encoder(spark):
     udf = bpe.bpe_tokenizer_udf(ranks)
     via_udf = {r.id: r.n for r in df.select("id", udf("text").alias("n")).collect()}
     assert via_udf == want
+
+
+def test_bpe_counts_same_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    ranks_df = bpe.learn_bpe_ranks(df, 6)
+    a = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
+    monkeypatch.setattr(bpe, "BROADCAST_PRETOKENS", 0)
+    b = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
+    assert a == b
+
+
+def test_input_cost_fallback_and_shuffle_path(spark, monkeypatch):
+    from slimwire.operators import tokens as tk
+    from slimwire.sources import tables as tb
+    df = spark.createDataFrame([("model_0", 2_000_000), ("model_3", 1_000_000), ("gpt-4o", 0)],
+                               "model string, tokens long")
+    want = {"model_0": 30.0, "model_3": 3.0, "gpt-4o": 0.0}
+    assert {r.model: r.usd for r in tk.input_cost(df, tb.prices(spark)).collect()} == want
+    monkeypatch.setattr(tk, "BROADCAST_MAX_ROWS", 0)
+    assert {r.model: r.usd for r in tk.input_cost(df, tb.prices(spark)).collect()} == want

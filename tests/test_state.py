@@ -104,3 +104,15 @@ def test_config_change_log_to_intervals_and_asof(spark):
     got = {r.request_id: (r.dedup, r.min_savings, r.store)
            for r in config_as_of(reqs, intervals_from_changes(changes)).collect()}
     assert got == {1: (False, 32, True), 2: (True, 10, False), 3: (True, 10, False)}
+
+
+def test_config_asof_bucketed_path_equals_broadcast(spark, monkeypatch):
+    from slimwire.plans import config_asof as ca
+    from slimwire.sources import tables as tb
+    reqs = tb.requests(spark, "/root/testdata/sf0.001").select("request_id", "at_ms")
+    cfg = tb.config_log(spark)
+    small = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
+    monkeypatch.setattr(ca, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(ca, "BUCKET_MS", 7_000_000)
+    big = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).select(*reqs.columns, *ca.CONFIG_COLS).collect()}
+    assert small == big and len(big) == reqs.count()
