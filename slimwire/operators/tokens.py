@@ -41,8 +41,9 @@ def chars_per_token(report: DataFrame) -> DataFrame:
         F.when(F.col("tokens") > 0, tx.js_round(F.col("characters") / F.col("tokens"), 2)))
 
 
-def small_dim(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def small_dim(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast a dimension only after checking its size (reads at most max_rows+1 rows)."""
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     n = dim.limit(max_rows + 1).count()
     return F.broadcast(dim) if n <= max_rows else dim
 

@@ -72,4 +72,5 @@ def test_input_cost_fallback_and_shuffle_path(spark, monkeypatch):
     want = {"model_0": 30.0, "model_3": 3.0, "gpt-4o": 0.0}
     assert {r.model: r.usd for r in tk.input_cost(df, tb.prices(spark)).collect()} == want
     monkeypatch.setattr(tk, "BROADCAST_MAX_ROWS", 0)
-    assert {r.model: r.usd for r in tk.input_cost(df, tb.prices(spark)).collect()} == want
+    out = tk.input_cost(df, tb.prices(spark))
+    assert {r.model: r.usd for r in out.collect()} == want
