@@ -279,81 +279,84 @@ def _block_json(anthropic: bool) -> Column:
 def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks back to a wire body per request, overlaid on the original body.
 
+    One exchange: block rows and request rows are unioned and grouped once by
+    ``request_id`` (a request's blocks are bounded by its size), then the body is
+    assembled row-locally with higher-order functions.
+
     Dropped blocks (``drop`` column, if present) are left out. Anthropic: system is
-    absent, a string (one uncached block) or an array; OpenAI: message *i* keeps the
-    extra fields of raw message *i*, string content is restored when the original
-    was a string and all blocks are text, and an empty block list keeps the
-    original content. Output: request_id, body (JSON text).
+    absent, a string (one uncached block) or an array; a message left without blocks
+    is sent with ``content: []``. OpenAI: message *i* keeps the extra fields of raw
+    message *i*, string content is restored when the original was a string and all
+    blocks are text, and an empty block list keeps the original content. Output:
+    request_id, body (JSON text).
     """
     b = blocks if "drop" not in blocks.columns else blocks.where(~F.col("drop"))
     is_anth = F.col("provider") == "anthropic"
     b = b.withColumn("bj", F.when(is_anth, _block_json(True)).otherwise(_block_json(False)))
-
-    # messages: one JSON object per (request, msg_idx)
-    mb = b.where(F.col("section") == "message")
-    per_msg = (mb.groupBy("request_id", "msg_idx")
-                 .agg(F.first("role").alias("role"), F.first("provider").alias("provider"),
-                      F.array_sort(F.collect_list(F.struct("block_idx", "bj", "type", "text"))).alias("bl")))
-    all_text = F.forall("bl", lambda x: x["type"] == "text")
-    arr_json = F.concat(F.lit("["), F.array_join(F.transform("bl", lambda x: x["bj"]), ","), F.lit("]"))
-    str_json = _jstr(F.array_join(F.transform("bl", lambda x: x["text"]), ""))
-    per_msg = per_msg.select("request_id", "msg_idx", "role", "provider", all_text.alias("all_text"),
-                             arr_json.alias("arr_json"), str_json.alias("str_json"))
-
-    req = requests.withColumn("v", F.try_parse_json(F.col("raw")))
-    raw_msgs = req.select("request_id", F.col("provider").alias("req_provider"),
-                          F.posexplode(F.coalesce(as_array(field(F.col("v"), "messages")),
-                                                  F.array().cast("array<variant>"))).alias("msg_idx", "om"))
-    raw_msgs = raw_msgs.select("request_id", "req_provider", F.col("msg_idx").cast("bigint").alias("msg_idx"),
-                               F.try_variant_get(F.col("om"), "$", "map<string,variant>").alias("om_map"),
-                               (vtype(field(F.col("om"), "content")) == "STRING").alias("was_string"))
-    # Messages whose blocks were all removed still exist in raw: anthropic sends an empty
-    # block list, openai keeps the original content (e.g. null on a pure tool-call message).
-    joined = raw_msgs.join(per_msg, ["request_id", "msg_idx"], "full_outer")
-    anth_msg = F.coalesce(F.col("req_provider"), F.col("provider")) == "anthropic"
-    content = F.when(F.col("arr_json").isNull() & anth_msg, F.lit("[]")) \
-               .when(F.col("arr_json").isNull(), F.lit(None).cast("string")) \
-               .when((F.col("provider") == "openai") & F.col("was_string") & F.col("all_text"), F.col("str_json")) \
-               .otherwise(F.col("arr_json"))
-    other = F.map_filter(F.coalesce(F.col("om_map"), F.create_map().cast("map<string,variant>")),
-                         lambda k, _v: ~k.isin("role", "content"))
-    kept = F.transform(F.map_entries(other), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
-    orig_content = F.to_json(F.element_at(F.coalesce(F.col("om_map"), F.create_map().cast("map<string,variant>")),
-                                          F.lit("content")))
-    raw_role = F.try_variant_get(F.element_at(F.coalesce(F.col("om_map"),
-                                                         F.create_map().cast("map<string,variant>")),
-                                              F.lit("role")), "$", "string")
-    role_json = _jstr(F.coalesce(F.col("role"), raw_role, F.lit("user")))
-    parts = F.concat(F.array(F.concat(F.lit('"role":'), role_json)), kept,
-                     F.when(content.isNotNull(), F.array(F.concat(F.lit('"content":'), content)))
-                      .when(orig_content.isNotNull(), F.array(F.concat(F.lit('"content":'), orig_content)))
-                      .otherwise(F.array().cast("array<string>")))
-    msg_json = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
-    msgs = (joined.select("request_id", "msg_idx", msg_json.alias("mj"))
-                  .groupBy("request_id")
-                  .agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(
-                      F.struct("msg_idx", "mj"))), lambda x: x["mj"]), ","), F.lit("]")).alias("messages_json")))
-
-    # system (anthropic)
-    sb = b.where(F.col("section") == "system")
-    sysj = (sb.groupBy("request_id")
-              .agg(F.array_sort(F.collect_list(F.struct("block_idx", "bj", "text", "cache_control"))).alias("sl")))
-    single = (F.size("sl") == 1) & ~F.col("sl")[0]["cache_control"]
-    sysj = sysj.select("request_id", F.when(single, _jstr(F.col("sl")[0]["text"]))
-                       .otherwise(F.concat(F.lit("["), F.array_join(F.transform("sl", lambda x: x["bj"]), ","),
-                                           F.lit("]"))).alias("system_json"))
-
-    out = (req.join(msgs, "request_id", "left").join(sysj, "request_id", "left"))
-    top = F.coalesce(F.try_variant_get(F.col("v"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    is_anth = F.col("provider") == "anthropic"
-    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "messages") & ~((k == "system") & is_anth))
+    blk = F.struct(F.col("msg_idx").cast("bigint").alias("msg_idx"), F.col("block_idx").cast("bigint").alias("block_idx"),
+                   "section", "role", "type", "text", "cache_control", "bj")
+    u = (b.select("request_id", blk.alias("blk"), F.lit(None).cast("string").alias("raw"),
+                  F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("model"))
+          .unionByName(requests.select("request_id", F.lit(None).cast(blk_type(b)).alias("blk"), "raw",
+                                       "provider", "model")))
+    g = (u.groupBy("request_id")
+          .agg(F.array_sort(F.collect_list("blk")).alias("bl"), F.first("raw", ignorenulls=True).alias("raw"),
+               F.first("provider", ignorenulls=True).alias("provider"),
+               F.first("model", ignorenulls=True).alias("model"))
+          .where(F.col("raw").isNotNull()))
+
+    v = F.try_parse_json(F.col("raw"))
+    g = g.withColumn("v", v).withColumn(
+        "om", F.coalesce(F.when(vtype(field(F.col("v"), "messages")) == "ARRAY",
+                                F.try_variant_get(F.col("v"), "$.messages", "array<variant>")),
+                         F.array().cast("array<variant>")))
+    anth = F.col("provider") == "anthropic"
+    empty_map = F.create_map().cast("map<string,variant>")
+
+    def per_message(i):
+        # evaluated once per message: its blocks and its raw object as a map
+        om_i = F.element_at(F.col("om"), i + 1)
+        return F.struct(F.filter("bl", lambda x: (x["section"] == "message") & (x["msg_idx"] == i)).alias("mb"),
+                        F.coalesce(F.try_variant_get(om_i, "$", "map<string,variant>"), empty_map).alias("om"))
+
+    def message(m):
+        mb, om_map = m["mb"], m["om"]
+        was_string = F.schema_of_variant(F.element_at(om_map, F.lit("content"))) == "STRING"
+        all_text = F.forall(mb, lambda x: x["type"] == "text")
+        arr_json = F.concat(F.lit("["), F.array_join(F.transform(mb, lambda x: x["bj"]), ","), F.lit("]"))
+        str_json = _jstr(F.array_join(F.transform(mb, lambda x: x["text"]), ""))
+        orig = F.to_json(F.element_at(om_map, F.lit("content")))
+        content = (F.when(F.size(mb) > 0, F.when(~anth & was_string & all_text, str_json).otherwise(arr_json))
+                    .when(anth, F.lit("[]")).otherwise(orig))
+        raw_role = F.try_variant_get(F.element_at(om_map, F.lit("role")), "$", "string")
+        role = F.coalesce(F.try_element_at(mb, F.lit(1))["role"], raw_role, F.lit("user"))
+        kept = F.transform(F.map_entries(F.map_filter(om_map, lambda k, _v: ~k.isin("role", "content"))),
+                           lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
+        parts = F.concat(F.array(F.concat(F.lit('"role":'), _jstr(role))), kept,
+                         F.when(content.isNotNull(), F.array(F.concat(F.lit('"content":'), content)))
+                          .otherwise(F.array().cast("array<string>")))
+        return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+    g = g.withColumn("_msgs", F.transform(F.sequence(F.lit(0), F.size("om") - 1), per_message))
+    msgs = F.when(F.size("om") == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("["), F.array_join(F.transform("_msgs", message), ","), F.lit("]")))
+    sl = F.filter("bl", lambda x: x["section"] == "system")
+    single = (F.size(sl) == 1) & ~F.try_element_at(sl, F.lit(1))["cache_control"]
+    sys_json = F.when(F.size(sl) == 0, F.lit(None).cast("string")).when(single, _jstr(F.try_element_at(sl, F.lit(1))["text"])) \
+                .otherwise(F.concat(F.lit("["), F.array_join(F.transform(sl, lambda x: x["bj"]), ","), F.lit("]")))
+    top = F.coalesce(F.try_variant_get(F.col("v"), "$", "map<string,variant>"), empty_map)
+    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "messages") & ~((k == "system") & anth))
     entries = F.transform(F.map_entries(keep), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
-    new = F.array(F.concat(F.lit('"model":'), _jstr(F.col("model"))),
-                  F.concat(F.lit('"messages":'), F.coalesce(F.col("messages_json"), F.lit("[]"))))
-    sys_part = F.when((F.col("provider") == "anthropic") & F.col("system_json").isNotNull(),
-                      F.array(F.concat(F.lit('"system":'), F.col("system_json")))).otherwise(F.array().cast("array<string>"))
+    new = F.array(F.concat(F.lit('"model":'), _jstr(F.col("model"))), F.concat(F.lit('"messages":'), msgs))
+    sys_part = F.when(anth & sys_json.isNotNull(), F.array(F.concat(F.lit('"system":'), sys_json))) \
+                .otherwise(F.array().cast("array<string>"))
     body = F.concat(F.lit("{"), F.array_join(F.concat(entries, new, sys_part), ","), F.lit("}"))
-    return out.select("request_id", body.alias("body"))
+    return g.select("request_id", body.alias("body"))
+
+
+def blk_type(b: DataFrame) -> str:
+    return ("struct<msg_idx:bigint,block_idx:bigint,section:string,role:string,type:string,text:string,"
+            "cache_control:boolean,bj:string>")
 
 
 def _fingerprint(blocks: DataFrame) -> DataFrame:
