@@ -72,6 +72,14 @@ _view("file_revisions", """
   FROM requests r JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body
                         FROM conversations GROUP BY conv_id) c ON c.conv_id = r.conv_id""", ["requests"])
 
+_view("all_blocks", """
+  SELECT request_id, session_id, at_ms, provider, model, section, msg_idx, block_idx, role, text FROM request_blocks
+  UNION ALL SELECT request_id, session_id, at_ms, provider, model, section, msg_idx, block_idx, role, text FROM dup_blocks
+  UNION ALL SELECT request_id, session_id, at_ms, provider, model, section, msg_idx, block_idx, role, text FROM noisy_blocks
+  UNION ALL SELECT request_id, session_id, at_ms, provider, model, section, msg_idx, block_idx, role, text FROM system_blocks
+  UNION ALL SELECT request_id, session_id, at_ms, provider, model, section, msg_idx, block_idx, role, text FROM line_blocks""",
+      ["request_blocks", "dup_blocks", "noisy_blocks", "system_blocks", "line_blocks"])
+
 _view("request_metrics", """
   SELECT event_id AS id, event_id*1000 AS at_ms,
          CASE WHEN user_id%2=0 THEN 'anthropic' ELSE 'openai' END AS provider, event_type AS model,

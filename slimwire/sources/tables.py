@@ -346,3 +346,13 @@ def file_revision_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("msg_idx"), F.lit(0).cast("bigint").alias("block_idx"),
         F.lit("user").alias("role"), "text")
     return _text_block_defaults(out)
+
+
+def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole derived request log: conversation requests plus the document-derived
+    repeat-heavy, noisy, system and line requests (request ids are unique per session)."""
+    parts = [request_blocks, dup_blocks, noisy_blocks, system_blocks, line_blocks]
+    out = parts[0](spark, sf_dir)
+    for f in parts[1:]:
+        out = out.unionByName(f(spark, sf_dir))
+    return out
