@@ -45,8 +45,8 @@ def config_as_of(requests: DataFrame, config_log: DataFrame, time_col: str = "at
         return requests.join(F.broadcast(cfg), cond, "left").drop("valid_from_ms", "valid_to_ms")
     # bucketed equi-join for a large log; open ends are clamped to the requests' time range
     bounds = requests.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        return requests.join(cfg.limit(0), F.lit(False), "left").drop("valid_from_ms", "valid_to_ms")
+    if bounds is None or bounds["lo"] is None:   # no requests: nothing to match
+        return requests.select("*", *[F.lit(None).cast(cfg.schema[c].dataType).alias(c) for c in CONFIG_COLS])
     lo, hi = bounds["lo"], bounds["hi"] + 1
     v_from = F.greatest(F.col("valid_from_ms"), F.lit(lo))
     v_to = F.least(F.col("valid_to_ms"), F.lit(hi))

@@ -116,3 +116,12 @@ def test_config_asof_bucketed_path_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ca, "BUCKET_MS", 7_000_000)
     big = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).select(*reqs.columns, *ca.CONFIG_COLS).collect()}
     assert small == big and len(big) == reqs.count()
+
+
+def test_config_asof_bucketed_path_on_empty_requests(spark, monkeypatch):
+    from slimwire.plans import config_asof as ca
+    from slimwire.sources import tables as tb
+    monkeypatch.setattr(ca, "BROADCAST_MAX_ROWS", 0)
+    empty = spark.createDataFrame([], "request_id long, at_ms long")
+    out = ca.config_as_of(empty, tb.config_log(spark))
+    assert out.count() == 0 and set(ca.CONFIG_COLS) <= set(out.columns)
