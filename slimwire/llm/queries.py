@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slimwire.llm import secrets
+from slimwire.llm import lm, secrets
 from slimwire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
