@@ -10,6 +10,7 @@ up, then single documents that fit what is left best. Only one row a pattern rea
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ from slimwire.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)    # by rank of the source, repeating
 SHARE = 1.5            # words of the mix as a multiple of all words
 MOST = 2               # copies of a document, at most
-FITS = 2               # documents taken alone to fill what is left
+FITS = 3               # documents taken alone to fill what is left
 SEED = "mix"
 
 
@@ -98,10 +99,6 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, most: int = MOST) ->
                 flow[y, x] -= much
 
 
-def _order() -> list[str]:
-    return ["pattern", "h", "doc_id", "size"]
-
-
 def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
     """What to take of each pattern to come near ``wanted`` words: whole passes, the last unit of the seeded
     order that is taken once more, and the units taken alone.
@@ -174,7 +171,6 @@ def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: fl
             .withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     slim = written(base.groupBy(F.col("__key").alias("key"), F.col("__h").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "size").agg(F.count("*").alias("n")), "mix")
     patterns = slim.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).orderBy("key").collect()  # one row a pattern
-    import json
     member = {i: json.loads(r["key"])["s"] for i, r in enumerate(patterns)}
     words = {i: int(r["words"]) for i, r in enumerate(patterns)}
     sizes = defaultdict(int)
