@@ -96,11 +96,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts: byte starts, byte ends, and for each text the index of its first word."""
+#: Bytes between bare words: all of ASCII but letters and digits.
+BARE = np.zeros(256, bool)
+BARE[:128] = True
+BARE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts, runs of bytes not in ``space``: byte starts, byte ends, and for each text the index of its first word."""
     if len(data) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.empty(len(data) + 1, bool)  # a text's first byte begins anew
     edge[:-1] = False
     edge[offsets] = True
@@ -161,9 +167,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ (ends - starts).astype(_U) * _U(_P))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and for each text the index of its first word."""
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = spans(data, offsets, space)
     return span_hashes(data, starts, ends), first
 
 

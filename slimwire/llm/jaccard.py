@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import buffers, mix, pair, shingles, shuffle_partitions, slices, word_hashes, written
+from slimwire.llm.common import WORD, buffers, mix, pair, shingles, shuffle_partitions, slices, word_hashes, written
 from slimwire.llm.components import Groups, components
 
 _U = np.uint64
@@ -112,8 +112,8 @@ def _describe(heavy: np.ndarray):
                 ends = np.concatenate([[0], np.cumsum(np.minimum(keep, size) * (size > 0))]).astype(np.int32)
                 own = points(h, text, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n).cast(pa.int64()), pa.array(node_ids(h, text, n)), pa.array(size.astype(np.int64)),
-                     pa.array([p.tobytes() for p in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))], ["doc_id", "node", "n", "point", "prefix"])
+                    [batch.column("doc_id").slice(i, n).cast(pa.int64()), batch.column("text_hash").slice(i, n), pa.array(node_ids(h, text, n)), pa.array(size.astype(np.int64)),
+                     pa.array([p.tobytes() for p in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))], ["doc_id", "text_hash", "node", "n", "point", "prefix"])
     return run
 
 
@@ -347,7 +347,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): n_shingles and component_id, the least doc_id that links reach.
+    """One row for each row of ``docs`` (doc_id, text): n_shingles and component_id, the least doc_id that links reach;
+    also text_hash (xxhash64 of the text) and group_id, a name of the component (null without shingles).
 
     Words are runs without white space, A-Z lower-cased; texts of fewer than five words are one shingle; null, empty and
     blank texts have no shingle, link with nothing and are their own component. Repeated rows and equal sets are in one
@@ -356,10 +357,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     top = (slim.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).select("h"))
     heavy = np.sort(np.array(top.toPandas()["h"], np.int64).view(_U))  # at most HEAVY numbers
-    rows = written(slim.mapInArrow(_describe(heavy), "doc_id long, node long, n long, point binary, prefix array<long>"), "shingles")
+    rows = written(slim.mapInArrow(_describe(heavy), "doc_id long, text_hash long, node long, n long, point binary, prefix array<long>"), "shingles")
     sized = rows.filter("n > 0")
     nodes = written(sized.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
 
@@ -376,7 +377,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(_verified, "a long, b long")
     label = written(components(exact), "labels")
     least = label.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
-    of_node = nodes.select("node", "doc_id").join(label.join(least, "label").select("node", "component"), "node", "left")
-    of_node = of_node.select("node", F.coalesce("component", "doc_id").alias("component"))
-    out = sized.select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_node = nodes.select("node", "doc_id").join(label.join(least, "label").select("node", "label", "component"), "node", "left")
+    of_node = of_node.select("node", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("group_id"))
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "group_id"]
+    out = sized.join(of_node, "node").select(names)
+    return out.unionByName(rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.lit(None).cast("long")).select(names))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the least doc_id (nulls last), then text hash; of
+    repeated rows one. Rows without words link with nothing and all stay. Columns are those of ``docs``."""
+    found = jaccard_components(docs.select("doc_id", "text")).filter("group_id is not null")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    kept = found.groupBy("group_id").agg(F.min(key).alias("k")).select("k.*").distinct()
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(docs.columns).alias("row"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"),
+                        F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("words"))
+    chosen = keyed.filter("words").join(kept, ["none", "id", "text_hash"], "left_semi").groupBy("none", "id", "text_hash").agg(F.first("row").alias("row"))
+    return chosen.select("row.*").unionByName(keyed.filter(~F.col("words")).select("row.*"))

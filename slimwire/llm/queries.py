@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slimwire.llm import fingerprint, html, jaccard, langid, lm, mixing, secrets, toxicity, urls
+from slimwire.llm import decontaminate, fingerprint, html, jaccard, langid, lm, mixing, secrets, toxicity, urls
 from slimwire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,4 +62,9 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

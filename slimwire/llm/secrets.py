@@ -75,6 +75,10 @@ def novelty(word: str, before: str, after: str, identifiers: zstandard.ZstdCompr
     return (with_it - without) / len(word)
 
 
+def dictionary_of(identifiers: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(identifiers) >= 8 else None
+
+
 def text_of(spans: dict[str, list[tuple[int, int]]]) -> str:
     """kind:start:end by start, then kind as listed in KINDS, then end; comma-joined."""
     rows = sorted((s, k, e) for k, kind in enumerate(KINDS) for s, e in spans.get(kind, ()))
@@ -97,7 +101,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _report(identifiers: bytes, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(identifiers) >= 8 else None
+        words = dictionary_of(identifiers)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -112,6 +116,47 @@ def _report(identifiers: bytes, least: float):
     return run
 
 
+MASK = "[secret]"
+
+
+def masked(text: str, spans: str) -> str:
+    """``text`` with every span (as in ``spans``) replaced; spans that overlap become one mask."""
+    parts, at, last = [], 0, -1
+    for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+        if s >= last:
+            parts += [text[at:s], MASK]
+        at = last = max(last, e)
+    return "".join([*parts, text[at:]])
+
+
+def mask_secrets(docs: DataFrame, dictionary_size: int = DICTIONARY, least: float = NOVELTY) -> DataFrame:
+    """``docs`` with the secrets in its texts masked and n_chars, if there, counted anew; all rows and columns stay.
+
+    Spans depend on a text and the corpus dictionary alone, so they are found again where the text is: the dictionary
+    comes from one scan, and the masking is a second one that moves no text."""
+    slim = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = identifier_dictionary(written(slim.mapInArrow(_scan, SCAN).filter("size(candidates) > 0"), "secrets"), dictionary_size)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = dictionary_of(words)
+        for batch in batches:
+            texts = []
+            for t in batch.column("text").to_pylist():
+                if t:
+                    own = base_spans(t)
+                    own["novel"] = [(c["s"], c["e"]) for c in candidates(t, [x for k in own.values() for x in k]) if novelty(c["word"], c["before"], c["after"], press) >= least]
+                    t = masked(t, text_of(own)) if any(own.values()) else t
+                texts.append(t)
+            new = {"text": pa.array(texts, batch.schema.field("text").type)}
+            if "n_chars" in names:
+                kind = batch.schema.field("n_chars").type
+                new["n_chars"] = pa.array([n if t is None or t == old else len(t) for t, old, n in zip(texts, batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()),
                  ("spans", pa.string()), ("n_novel", pa.int64()), ("novelty", pa.float64())])
 
