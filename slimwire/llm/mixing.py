@@ -57,13 +57,11 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, most: int = MOST) ->
     while True:
         # Dijkstra from all sources with open quota, along reversed paths: source <- pattern (free copy, or
         # taking over what the pattern now gives another source, which then must be filled in its place)
-        best, via, heap, done = {}, {}, [], None
+        best, via, heap, done, tie, ends = {}, {}, [], None, 0, {}
         for s in need:
             if need[s] > 0:
                 best[("s", s)] = 0
-                heapq.heappush(heap, (0, 0, "s", s))
-        tie = 1
-        ends = {}
+                heapq.heappush(heap, (0, tie := tie + 1, "s", s))
         while heap:
             cost, _, kind, x = heapq.heappop(heap)
             if cost > best.get((kind, x), cost):
