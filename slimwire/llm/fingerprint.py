@@ -184,7 +184,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = 4 * shuffle_partitions(spark)
     cuts = slim.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="as_bucket").transform(
         slim.withColumn("as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e308))))
     dealt = dealt.withColumn("bucket", F.col("as_bucket").cast("int")).drop("as_double", "as_bucket")
