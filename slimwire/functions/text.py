@@ -23,8 +23,6 @@ REDACTED = "***redacted***"
 SENSITIVE_HEADERS = ["authorization", "x-api-key", "openai-api-key", "anthropic-api-key"]
 # Models whose BPE count is exact (case-insensitive prefix test).
 EXACT_MODEL_PATTERN = r"(?i)^(gpt|o\d|text-|chatgpt|davinci|babbage)"
-# First line of a block that names a file, optionally as a comment.
-PATH_LINE_PATTERN = r"^\s*(?:\/\/|#|--|\/\*)?\s*([\w./@-]+\.[A-Za-z][\w]{0,8})\s*\*?\/?\s*$"
 FNV_OFFSET = 0x811C9DC5
 FNV_PRIME = 0x01000193
 # End of fixed values.
@@ -121,14 +119,15 @@ def content_key(text: Column | str) -> Column:
 
 def block_key(type_: Column | str, text: Column | str, tool_id: Column | str,
               tool_name: Column | str, payload: Column | str) -> Column:
-    """Stable identity of a block per kind: t:, u:, r:, x:."""
+    """Stable identity of a block per kind: t:, u:, r: (content as its string, an array as its JSON), x:."""
     t = col_(type_)
     return (F.when(t == "text", F.concat(F.lit("t:"), F.coalesce(col_(text), F.lit(""))))
             .when(t == "tool_use", F.concat(F.lit("u:"), F.coalesce(col_(tool_id), F.lit("")),
                                             F.coalesce(col_(tool_name), F.lit("")),
                                             F.coalesce(col_(payload), F.lit("null"))))
             .when(t == "tool_result", F.concat(F.lit("r:"), F.coalesce(col_(tool_id), F.lit("")),
-                                               F.coalesce(col_(text), F.lit(""))))
+                                               F.when(col_(payload).startswith("["), col_(payload))
+                                                .otherwise(F.coalesce(col_(text), F.lit("")))))
             .otherwise(F.concat(F.lit("x:"), F.coalesce(col_(payload), F.lit("null")))))
 
 

@@ -12,12 +12,15 @@ from slimwire.functions import text as tx
 BROADCAST_MAX_ROWS = 100_000   # dimension tables above this are joined with a shuffle
 
 
-def request_tokens(blocks: DataFrame, tokenizer: Callable[[Column], Column] = tx.approx_tokens) -> DataFrame:
-    """Per request, the sum of per-block counts (each block rounded up on its own)."""
+def request_tokens(blocks: DataFrame, tokenizer: Callable[[Column], Column] = tx.approx_tokens,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per request, the sum of per-block counts (each block rounded up on its own). Rows of type ``none``
+    (``normalize(..., keep_empty=True)``) bring in requests without blocks, with 0 tokens and 0 blocks.
+    ``keep``: columns that are the same for all blocks of a request."""
     rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")
     return (blocks.groupBy("session_id", "request_id")
-                  .agg(F.sum(tokenizer(rendered)).cast("bigint").alias("tokens"),
-                       F.count(F.lit(1)).alias("blocks")))
+                  .agg(*[F.first(c).alias(c) for c in keep], F.sum(tokenizer(rendered)).cast("bigint").alias("tokens"),
+                       F.sum(F.when(F.col("type") != "none", 1).otherwise(0)).cast("bigint").alias("blocks")))
 
 
 def token_report(texts: DataFrame, text_col: str = "text", model_col: str | None = "model",
@@ -59,13 +62,17 @@ def input_cost(df: DataFrame, prices: DataFrame, tokens_col: str = "tokens") ->
 
 
 def resend_cost(blocks: DataFrame, tokenizer: Callable[[Column], Column] = tx.approx_tokens) -> DataFrame:
-    """Per session, tokens billed again because a text is re-sent on later requests.
+    """Per session, tokens billed again because a block of any kind is re-sent on later requests.
 
-    Pre-aggregated per (session, content hash): partial aggregation combines the
-    copies map-side, so a hot session is spread over its distinct texts.
+    Blocks are the same when their keys are (S14; tool definitions by what they are counted by) and cost what
+    they are counted by (T2). Pre-aggregated per (session, key hash): partial aggregation combines the copies
+    map-side, so a hot session is spread over its distinct blocks.
     """
-    keyed = blocks.select("session_id", "request_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("h"),
-                          tokenizer(F.col("text")).alias("tok"))
+    rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")
+    key = F.when(F.col("type") == "tool", F.concat(F.lit("d:"), rendered)).otherwise(
+        tx.block_key("type", "text", "tool_id", "tool_name", "payload"))
+    keyed = blocks.where(F.col("type") != "none").select("session_id", "request_id", F.sha2(key, 256).alias("h"),
+                                                         tokenizer(rendered).alias("tok"))
     per_text = (keyed.groupBy("session_id", "h")
                      .agg(F.count(F.lit(1)).alias("times_sent"), F.first("tok").alias("tok")))
     return (per_text.groupBy("session_id")

@@ -1,17 +1,14 @@
-"""The reduction config in force for each request (as-of / range join).
+"""The reduction config in force for each row (requests, or blocks that carry their request's time).
 
-``config_log`` rows are ``[valid_from_ms, valid_to_ms)`` intervals holding the stage
-toggles, ``min_savings`` and ``store``. Two physical strategies, chosen by a size
-check on the log (never on the request side):
+``config_log`` rows are ``[valid_from_ms, valid_to_ms)`` intervals that don't overlap, holding the stage
+toggles, ``min_savings`` and ``store``. One physical strategy for a log of any size: each interval is exploded
+into the fixed-width time buckets it overlaps, and rows meet it in an equi-join on the bucket with the exact
+range as a further condition. A row's instant lies in one bucket and in one interval at most, so the join
+neither multiplies rows nor needs a way back to them; Spark broadcasts the log when it is small, and AQE
+splits a bucket that holds much of the traffic.
 
-* small log (<= ``BROADCAST_MAX_ROWS``): broadcast range join — every task
-  compares its requests with the whole (small) log, no shuffle of requests;
-* large log: bucketed equi-join — each interval is exploded into the fixed-width
-  time buckets it overlaps, requests get their bucket, and the equi-join on the
-  bucket (shuffle/sort-merge) is followed by the exact range filter.
-
-A change log (``at_ms`` + settings per change) is turned into intervals with
-``lead`` over the log itself; the log is small by nature (one row per config change).
+A change log (``at_ms`` + settings per change) becomes intervals with the next change's time, found in the
+same bucketed way (``lead`` within a day, the next day's first change where a day ends).
 """
 
 from __future__ import annotations
@@ -21,40 +18,38 @@ from pyspark.sql import functions as F
 
 from slimwire.operators.stages import TOGGLE_KEYS
 
-BROADCAST_MAX_ROWS = 50_000
 BUCKET_MS = 3_600_000
+DAY_MS = 86_400_000
 OPEN_END = 1 << 62
 CONFIG_COLS = list(TOGGLE_KEYS) + ["min_savings", "store"]
 
 
 def intervals_from_changes(changes: DataFrame) -> DataFrame:
-    """A change log (at_ms, settings...) as [valid_from, valid_to) intervals."""
-    w = Window.orderBy("at_ms")
-    return (changes.withColumn("valid_to_ms", F.coalesce(F.lead("at_ms").over(w), F.lit(OPEN_END)))
-                   .withColumnRenamed("at_ms", "valid_from_ms"))
-
-
-def config_as_of(requests: DataFrame, config_log: DataFrame, time_col: str = "at_ms",
-                 key: str = "request_id") -> DataFrame:
-    """Attach the config in force at ``time_col`` to every request (NULLs when none)."""
-    n = config_log.limit(BROADCAST_MAX_ROWS + 1).count()
+    """A change log (at_ms, settings...) as [valid_from, valid_to) intervals. Of several changes at one instant
+    all but one are empty intervals.
+
+    ``lead`` runs within a day; the day's last change ends at the first change of the next day that has one,
+    read from a table of one row a day."""
+    day = F.floor(F.col("at_ms") / DAY_MS).cast("bigint")
+    days = (changes.groupBy(day.alias("_day")).agg(F.min("at_ms").alias("_first"))
+                   .withColumn("_next", F.lead("_first").over(Window.orderBy("_day"))).select("_day", "_next"))
+    w = Window.partitionBy("_day").orderBy("at_ms")
+    return (changes.withColumn("_day", day).withColumn("_lead", F.lead("at_ms").over(w)).join(days, "_day")
+                   .withColumn("valid_to_ms", F.coalesce("_lead", "_next", F.lit(OPEN_END)))
+                   .withColumnRenamed("at_ms", "valid_from_ms").drop("_day", "_lead", "_next"))
+
+
+def config_as_of(rows: DataFrame, config_log: DataFrame, time_col: str = "at_ms") -> DataFrame:
+    """Attach the config in force at ``time_col`` to every row (NULLs when none)."""
     cfg = config_log.select("valid_from_ms", "valid_to_ms", *CONFIG_COLS)
     t = F.col(time_col)
-    if n <= BROADCAST_MAX_ROWS:
-        cond = (t >= F.col("valid_from_ms")) & (t < F.col("valid_to_ms"))
-        return requests.join(F.broadcast(cfg), cond, "left").drop("valid_from_ms", "valid_to_ms")
-    # bucketed equi-join for a large log; open ends are clamped to the requests' time range
-    bounds = requests.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:   # no requests: nothing to match
-        return requests.select("*", *[F.lit(None).cast(cfg.schema[c].dataType).alias(c) for c in CONFIG_COLS])
-    lo, hi = bounds["lo"], bounds["hi"] + 1
+    bounds = rows.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()   # open ends reach as far as the rows do
+    lo, hi = (bounds["lo"], bounds["hi"] + 1) if bounds and bounds["lo"] is not None else (0, 0)
     v_from = F.greatest(F.col("valid_from_ms"), F.lit(lo))
     v_to = F.least(F.col("valid_to_ms"), F.lit(hi))
     cfg_b = (cfg.where(v_from < v_to)
-                .withColumn("_b", F.explode(F.sequence(F.floor(v_from / BUCKET_MS).cast("bigint"),
-                                                       F.floor((v_to - 1) / BUCKET_MS).cast("bigint")))))
-    req_b = requests.select(key, t.alias("_t"), F.floor(t / BUCKET_MS).cast("bigint").alias("_b"))
-    matched = (req_b.join(cfg_b, "_b")
-                    .where((F.col("_t") >= F.col("valid_from_ms")) & (F.col("_t") < F.col("valid_to_ms")))
-                    .select(key, *CONFIG_COLS))
-    return requests.join(matched, key, "left")
+                .withColumn("_cb", F.explode(F.sequence(F.floor(v_from / BUCKET_MS).cast("bigint"),
+                                                        F.floor((v_to - 1) / BUCKET_MS).cast("bigint")))))
+    joined = rows.withColumn("_b", F.floor(t / BUCKET_MS).cast("bigint"))
+    cond = (F.col("_b") == F.col("_cb")) & (t >= F.col("valid_from_ms")) & (t < F.col("valid_to_ms"))
+    return joined.join(cfg_b, cond, "left").drop("_b", "_cb", "valid_from_ms", "valid_to_ms")

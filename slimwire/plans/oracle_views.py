@@ -16,8 +16,8 @@ def _view(name: str, sql: str, deps: list[str] | None = None) -> None:
 
 
 _view("requests", """
-  SELECT conv_id*100+turn AS request_id, concat('s', CAST(conv_id AS VARCHAR)) AS session_id,
-         conv_id*1000000+turn*1000 AS at_ms,
+  SELECT conv_id*1000000+turn AS request_id, concat('s', CAST(conv_id AS VARCHAR)) AS session_id,
+         conv_id*1000000+turn*10 AS at_ms,
          CASE WHEN conv_id%2=0 THEN 'anthropic' ELSE 'openai' END AS provider,
          concat('model_', CAST(conv_id%4 AS VARCHAR)) AS model, conv_id, turn
   FROM conversations WHERE role='user'""")
@@ -29,8 +29,8 @@ _view("request_blocks", """
   FROM requests r JOIN conversations m ON m.conv_id=r.conv_id AND m.turn<=r.turn""", ["requests"])
 
 _view("dup_blocks", """
-  SELECT n_chars%97 AS request_id, concat('b', CAST(n_chars%97 AS VARCHAR)) AS session_id,
-         n_chars%97 AS at_ms, 'openai' AS provider, 'model_0' AS model, 'message' AS section,
+  SELECT doc_id//5000*97+n_chars%97 AS request_id, concat('b', CAST(doc_id//5000*97+n_chars%97 AS VARCHAR)) AS session_id,
+         doc_id//5000*97+n_chars%97 AS at_ms, 'openai' AS provider, 'model_0' AS model, 'message' AS section,
          doc_id AS msg_idx, CAST(0 AS BIGINT) AS block_idx, 'user' AS role, text
   FROM documents""")
 
@@ -60,7 +60,7 @@ _view("file_versions", """
   SELECT r.session_id, r.at_ms, r.request_id,
          concat('src/conv_', substr(r.session_id, 2), '.txt') AS path,
          concat('src/conv_', substr(r.session_id, 2), '.txt', chr(10), 'rev ',
-                CAST(r.request_id%100 AS VARCHAR), chr(10), a.body) AS text
+                CAST(r.request_id%1000000 AS VARCHAR), chr(10), a.body) AS text
   FROM requests r JOIN (SELECT request_id, string_agg(text, chr(10) ORDER BY msg_idx) AS body
                         FROM request_blocks GROUP BY request_id) a ON a.request_id=r.request_id""",
       ["requests", "request_blocks"])
@@ -90,7 +90,7 @@ _view("request_metrics", """
 
 _view("context_puts", """
   SELECT ln AS content, CASE WHEN pos%3=0 THEN source ELSE '' END AS label,
-         doc_id*1000+pos AS at_ms, concat('d', CAST(doc_id%20 AS VARCHAR)) AS session_id
+         doc_id*100000000+pos AS at_ms, concat('d', CAST(doc_id%20 AS VARCHAR)) AS session_id
   FROM (SELECT doc_id, source, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS ln
         FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))
   WHERE ln <> ''""")

@@ -79,10 +79,64 @@ def q_i3_shape(spark, d):
 
 
 @register("i5_roundtrip_audit", ov.with_views("requests") + """
-SELECT request_id, true AS messages_differ, true AS system_differ FROM requests WHERE false""")
+SELECT session_id, request_id, conv_id % 6 IN (1, 2) AS messages_differ, conv_id % 6 IN (0, 3) AS system_differ,
+       conv_id % 6 = 4 AS tools_differ, CAST(CASE WHEN conv_id % 6 = 0 THEN 2 ELSE 0 END AS BIGINT) AS dropped_system_blocks
+FROM requests WHERE conv_id % 6 <> 5""")
 def q_i5(spark, d):
+    return ig.roundtrip_audit(tb.lossy_json(spark, d))
+
+
+@register("i5_roundtrip_audit_clean", ov.with_views("requests") + """
+SELECT session_id, request_id, true AS messages_differ, true AS system_differ, true AS tools_differ,
+       CAST(0 AS BIGINT) AS dropped_system_blocks FROM requests WHERE false""")
+def q_i5_clean(spark, d):
+    return ig.roundtrip_audit(tb.request_json(spark, d, broken=False))
+
+
+# --------------------------------------------------------------------------- P6: the body that is sent on
+def _body_sql(strip: bool) -> str:
+    """The bodies of ``request_json`` after cache (and strip), spelled out for both providers. The keys of a body come
+    back in order of their names, then model, messages and system."""
+    clean = ov.clean_sql("text") if strip else "text"
+    blank = f"regexp_matches({clean}, '{ov.RE_BLANK}')" if strip else "false"
+    return NORMALIZED_SQL + f""",
+ cl AS (SELECT n.*, r.session_id, r.conv_id, r.model, {clean} AS c, ({blank} OR (string_form AND text = '')) AS gone
+        FROM norm n JOIN requests r USING (request_id)),
+ sy AS (SELECT request_id, bool_or(NOT gone) AS kept, any_value(c) AS c FROM cl WHERE section = 'system' GROUP BY request_id),
+ ms AS (SELECT request_id, string_agg(concat('{{"role":', CAST(to_json(role) AS VARCHAR), ',"content":',
+              CASE WHEN provider = 'anthropic' AND gone THEN '[]'
+                   WHEN provider = 'anthropic' THEN concat('[{{"type":"text","text":', CAST(to_json(c) AS VARCHAR), '}}]')
+                   WHEN gone THEN CAST(to_json(text) AS VARCHAR) ELSE CAST(to_json(c) AS VARCHAR) END, '}}'), ',' ORDER BY msg_idx) AS m
+        FROM cl WHERE section = 'message' GROUP BY request_id),
+ sent AS (SELECT r.session_id, r.request_id, r.provider, r.conv_id, CASE WHEN r.provider = 'anthropic' THEN
+   concat('{{"max_tokens":', CAST(1024 + conv_id % 7 AS VARCHAR), ',"stream":', CASE WHEN conv_id % 4 = 0 THEN 'true' ELSE 'false' END,
+          ',"model":"', r.model, '","messages":[', coalesce(ms.m, ''), ']',
+          CASE WHEN sy.kept THEN concat(',"system":[{{"type":"text","text":', CAST(to_json(sy.c) AS VARCHAR), ',"cache_control":{{"type":"ephemeral"}}}}]') ELSE '' END, '}}')
+   ELSE concat('{{', CASE WHEN conv_id % 3 = 1 THEN concat('"max_completion_tokens":', CAST(512 + conv_id % 5 AS VARCHAR))
+                          ELSE concat('"max_tokens":', CAST(256 + conv_id % 5 AS VARCHAR)) END,
+          ',"stop":["\\n\\n"],"temperature":', CASE WHEN conv_id % 5 = 0 THEN '"0.7"' ELSE '0.5' END,
+          ',"model":"', r.model, '","messages":[', coalesce(ms.m, ''), ']}}') END AS body, sy.kept AS has_system
+   FROM requests r LEFT JOIN ms USING (request_id) LEFT JOIN sy USING (request_id))"""
+
+
+@register("p6_optimized_body", _body_sql(True) + " SELECT session_id, request_id, body FROM sent")
+def q_p6_body(spark, d):
+    return ig.optimized_bodies(tb.request_json(spark, d))
+
+
+# Only the cache stage on: whatever it can't mark keeps its raw body, whose keys are in the order they were sent in.
+@register("p6_body_passthrough", _body_sql(False) + """
+SELECT session_id, request_id, CASE WHEN provider = 'anthropic' AND has_system AND conv_id % 3 <> 0 THEN body END AS body,
+       provider = 'anthropic' AND coalesce(has_system, false) AND conv_id % 3 <> 0 AS changed
+FROM sent""")
+def q_p6_passthrough(spark, d):
+    from slimwire.plans.reduce import Config
     log = tb.request_json(spark, d, broken=False)
-    return ig.roundtrip_audit(log)
+    out = ig.optimized_bodies(log, Config(stages={"strip": False}))
+    raw = log.select("session_id", "request_id", F.col("body").alias("raw"))
+    both = out.join(raw, ["session_id", "request_id"])
+    return both.select("session_id", "request_id", F.when(F.col("body") != F.col("raw"), F.col("body")).alias("body"),
+                       (F.col("body") != F.col("raw")).alias("changed"))
 
 
 @register("i6_quarantine_malformed", "SELECT page_id + 1000000000 AS request_id FROM pages")
@@ -158,12 +212,11 @@ def q_i12(spark, d):
     rm = tb.request_metrics(spark, d)
     rm.write.json(path + "/good")
     # corrupt lines: document texts are not JSON records
-    tb.read_table(spark, d, "documents").select(F.substring("text", 1, 40).alias("value")) \
-      .write.text(path + "/bad")
+    tb.read_table(spark, d, "documents").select(F.col("text").alias("value")).write.text(path + "/bad")
     return snap.read_json_state(spark, path + "/*", snap.METRICS_SCHEMA)
 
 
-@register("t2_block_text", ov.with_views("requests") + """,
+TOOL_BLOCKS_SQL = ov.with_views("requests") + """,
  c AS (SELECT conv_id, turn, role, text,
               CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS msg_idx
        FROM conversations WHERE role <> 'system'),
@@ -172,9 +225,12 @@ def q_i12(spark, d):
    UNION ALL SELECT conv_id, msg_idx, 1, 'tool_use', concat('search{"n":', CAST(turn AS VARCHAR), '}') FROM c
      WHERE role = 'assistant'
    UNION ALL SELECT conv_id, msg_idx, 0, 'text', text FROM c WHERE role <> 'assistant' AND turn = 0 AND text <> ''
-   UNION ALL SELECT conv_id, msg_idx, 0, 'tool_result', text FROM c WHERE role <> 'assistant' AND turn > 0
+   UNION ALL SELECT conv_id, msg_idx, 0, 'tool_result', concat(text, 'deep') FROM c WHERE role <> 'assistant' AND turn > 0
    UNION ALL SELECT conv_id, msg_idx, 1, 'raw', concat('{"n":', CAST(turn AS VARCHAR), ',"type":"image"}') FROM c
-     WHERE role <> 'assistant' AND turn > 0)
+     WHERE role <> 'assistant' AND turn > 0)"""
+
+
+@register("t2_block_text", TOOL_BLOCKS_SQL + """
 SELECT conv_id + 2000000000 AS request_id, 'message' AS section, msg_idx, CAST(block_idx AS BIGINT) AS block_idx,
        type, """ + ov.tok_sql("t") + """ AS tokens FROM b
 UNION ALL
@@ -188,3 +244,48 @@ def q_t2(spark, d):
     rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")
     return blocks.select("request_id", "section", "msg_idx", "block_idx", "type",
                          tx.approx_tokens(rendered).alias("tokens"))
+
+
+@register("t3_tool_requests", TOOL_BLOCKS_SQL + f"""
+SELECT conv_id + 2000000000 AS request_id, concat('t', CAST(conv_id AS VARCHAR)) AS session_id,
+       CAST(sum({ov.tok_sql('t')}) + 10 AS BIGINT) AS tokens, CAST(count(*) + 2 AS BIGINT) AS blocks FROM b GROUP BY conv_id""")
+def q_t3_tools(spark, d):
+    from slimwire.operators.tokens import request_tokens
+    return request_tokens(ig.normalize(tb.tool_json(spark, d))[1])
+
+
+@register("t10_resend_cost_of_all_kinds", TOOL_BLOCKS_SQL + f""",
+ keyed AS (SELECT conv_id, {ov.tok_sql('t')} AS tok,
+                  CASE WHEN type = 'tool_use' THEN concat('u', CAST(msg_idx AS VARCHAR)) WHEN type = 'tool_result' THEN concat('r', CAST(msg_idx AS VARCHAR))
+                       WHEN type = 'raw' THEN concat('x', CAST(msg_idx AS VARCHAR)) ELSE concat('t', t) END AS k FROM b),
+ per AS (SELECT conv_id, k, any_value(tok) AS tok, count(*) AS n FROM keyed GROUP BY conv_id, k)
+SELECT concat('t', CAST(conv_id AS VARCHAR)) AS session_id, CAST(count(*) + 2 AS BIGINT) AS distinct_texts,
+       CAST(sum(tok * n) + 10 AS BIGINT) AS billed_tokens, CAST(sum(tok * (n - 1)) AS BIGINT) AS resent_tokens
+FROM per GROUP BY conv_id""")
+def q_t10_tools(spark, d):
+    from slimwire.operators.tokens import resend_cost
+    return resend_cost(ig.normalize(tb.tool_json(spark, d))[1])
+
+
+EDGE_SQL = ov.with_views("requests") + f""",
+ e AS (SELECT r.request_id, r.session_id, r.model, r.conv_id, CASE WHEN r.conv_id % 5 IN (2, 4) THEN c.text ELSE '' END AS t
+       FROM requests r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn AND c.role = 'user'),
+ x AS (SELECT *, {ov.clean_sql('t')} AS clean FROM e)"""
+
+
+@register("p5_requests_without_blocks", EDGE_SQL + f"""
+SELECT request_id, session_id, model, {ov.tok_sql('t')} AS tokens_before,
+       CASE WHEN regexp_matches(clean, '{ov.RE_BLANK}') THEN CAST(0 AS BIGINT) ELSE {ov.tok_sql('clean')} END AS tokens_after,
+       CAST(CASE WHEN t <> '' THEN 1 ELSE 0 END AS BIGINT) AS blocks_in,
+       CAST(CASE WHEN regexp_matches(clean, '{ov.RE_BLANK}') THEN 0 ELSE 1 END AS BIGINT) AS blocks_out FROM x""")
+def q_p5_empty(spark, d):
+    from slimwire.plans.reduce import Config, reduce_requests
+    red = reduce_requests(ig.normalize(tb.edge_json(spark, d), keep_empty=True)[1], Config())
+    return red.requests.select("request_id", "session_id", "model", "tokens_before", "tokens_after", "blocks_in", "blocks_out")
+
+
+@register("t3_requests_without_blocks", EDGE_SQL + f"""
+SELECT request_id, session_id, {ov.tok_sql('t')} AS tokens, CAST(CASE WHEN t <> '' THEN 1 ELSE 0 END AS BIGINT) AS blocks FROM x""")
+def q_t3_empty(spark, d):
+    from slimwire.operators.tokens import request_tokens
+    return request_tokens(ig.normalize(tb.edge_json(spark, d), keep_empty=True)[1])

@@ -88,8 +88,7 @@ SELECT rt.request_id, rt.model, rt.tokens,
 FROM rt LEFT JOIN prices p ON p.model = rt.model""")
 def q_t9(spark, d):
     blocks = tb.request_blocks(spark, d)
-    rt = tk.request_tokens(blocks).join(blocks.select("request_id", "model").distinct(), "request_id")
-    return tk.input_cost(rt.select("request_id", "model", "tokens"), tb.prices(spark))
+    return tk.input_cost(tk.request_tokens(blocks, keep=("model",)).select("request_id", "model", "tokens"), tb.prices(spark))
 
 
 @register("t10_resend_cost", ov.with_views("request_blocks") + f""",
@@ -434,9 +433,9 @@ SELECT session_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT
 def q_h8(spark, d):
     from slimwire.operators import sessions as hs
     from slimwire.plans.config_asof import config_as_of
-    r = tb.requests(spark, d).select("request_id", "at_ms")
-    cfg = config_as_of(r, tb.config_log(spark)).select("request_id", "store")
-    blocks = tb.request_blocks(spark, d).join(cfg, "request_id")
+    r = tb.requests(spark, d).select("session_id", "request_id", "at_ms")
+    cfg = config_as_of(r, tb.config_log(spark)).select("session_id", "request_id", "store")
+    blocks = tb.request_blocks(spark, d).join(cfg, ["session_id", "request_id"])
     st = hs.session_state(hs.build_turns(blocks, store=F.coalesce(F.col("store"), F.lit(True))))
     return st.select("session_id", "turns", "total_tokens", "last_active")
 
@@ -459,7 +458,7 @@ def q_t5(spark, d):
 def q_t4(spark, d):
     from slimwire.operators import bpe
     conv = tb.read_table(spark, d, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+        (F.col("conv_id") * tb.TURNS + F.col("turn")).alias("id"), "text")
     return bpe.bpe_token_counts(conv, _ranks(spark, d), "id")
 
 

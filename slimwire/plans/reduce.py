@@ -1,10 +1,10 @@
 """Run the ordered stages over a blocks table with measured savings and a guardrail.
 
-Shape of the plan (one hash exchange on ``session_id``; every window and the final
-per-request aggregate are partitioned by a superset of it, so Spark adds sorts but
-no further exchanges)::
+Shape of the plan (one hash exchange on ``(session_id, request_id)``; every window but
+filediff's and the final per-request aggregate are partitioned by a superset of it, so
+Spark adds sorts but no further exchanges)::
 
-    blocks -> repartition(session_id) -> tok
+    blocks -> repartition(session_id, request_id) -> tok
       for stage in enabled: rewrite -> n_tok -> saved = sum(tok)-sum(n_tok) OVER request
                             revert = lossy AND saved < min -> commit or keep
       -> per-request aggregate (totals + stage array) -> ledger via inline()
@@ -82,66 +82,45 @@ def block_tokens(tokenizer: Callable[[Column], Column]) -> Column:
     return F.when(F.col("drop"), F.lit(0).cast("bigint")).otherwise(tokenizer(rendered))
 
 
-def prepare_blocks(blocks: DataFrame, partition: str = "session") -> DataFrame:
-    """Repartition once and add the mutable state columns.
+def prepare_blocks(blocks: DataFrame) -> DataFrame:
+    """Repartition once by request and add the mutable state columns.
 
-    ``partition='session'`` co-locates a whole session (needed by filediff's
-    per-session lag); ``'request'`` spreads a hot session over many tasks when
-    filediff is off. ``'auto'`` is resolved by :func:`choose_partitioning`.
+    A request is the unit of every stage but filediff, so a hot session (say every
+    header-less request, in session ``default``) is spread over many tasks; filediff's
+    lag over (session, path) brings exchanges of its own when it is on.
     """
-    keys = ["session_id"] if partition == "session" else REQ
-    return (blocks.repartition(*keys)
-                  .withColumn("drop", F.lit(False))
+    return (blocks.repartition(*REQ)
+                  .withColumn("drop", F.lit(False)).withColumn("edited", F.lit(False))
                   .withColumn("cache", F.coalesce(F.col("cache_control"), F.lit(False))))
 
 
-def choose_partitioning(blocks: DataFrame, hot_share: float = 0.05, min_rows: int = 1_000_000) -> str:
-    """Skew guard: co-locate sessions unless one session is hot.
-
-    Runs one small aggregate (rows per session, then max and total) over a scan
-    pruned to ``session_id``. A session is hot when it holds at least ``min_rows``
-    blocks and more than ``hot_share`` of all blocks (e.g. every header-less request
-    lands in session ``default``). Then the pipeline partitions by (session,
-    request): request windows stay exchange-free and balanced, and filediff's
-    per-(session, path) lag gets its own exchange on (session_id, path).
-    """
-    stats = (blocks.groupBy("session_id").count()
-                   .agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first())
-    if stats is None or not stats["n"]:
-        return "session"
-    hot = stats["mx"] >= min_rows and stats["mx"] > hot_share * stats["n"]
-    return "request" if hot else "session"
-
-
 def reduce_requests(blocks: DataFrame, config: Config | None = None,
                     stages: Sequence[Stage] | None = None,
                     tokenizer: Callable[[Column], Column] = tx.approx_tokens,
-                    partition: str = "auto",
                     per_request_config: DataFrame | None = None,
                     config_log: DataFrame | None = None) -> Reduction:
     """P5: reduce every request of a blocks table.
 
     ``per_request_config`` (from :func:`slimwire.plans.config_asof.config_as_of`) holds
-    one row per request with boolean columns named after the stages plus
+    one row per (session_id, request_id) with boolean columns named after the stages plus
     ``min_savings`` and ``store``; when given, toggles are columns (P7) and every
     stage with a toggle key is planned but gated per request. ``config_log``
     (intervals, see ``config_asof``) does the same without a per-request table:
-    every block carries its request's ``at_ms``, so the (small, size-checked) log is
-    range-joined onto the blocks by broadcast — no shuffle before the pipeline's own.
+    every block carries its request's ``at_ms``, so the log is joined onto the blocks by
+    time bucket and range. Blocks of type ``none`` stand for requests and messages without
+    blocks (``normalize(..., keep_empty=True)``): they cost nothing and count as no block,
+    but their request gets its row.
     """
     if config_log is not None:
         from slimwire.plans.config_asof import config_as_of
         blocks = config_as_of(blocks, config_log)
-        per_request_config = blocks.select("request_id")   # marker: toggles are columns now
+        per_request_config = blocks.select(*REQ)   # marker: toggles are columns now
     config = config or Config()
     all_stages = list(stages) if stages is not None else list(ORDERED_STAGES)
     if per_request_config is None:
         run = enabled_stages(config, all_stages)
     else:
         run = all_stages
-    if partition == "auto":
-        partition = choose_partitioning(blocks)
-
     df = blocks
     if config_log is not None:
         df = df.select("*", *[F.col(k).alias("cfg_" + k) for k in TOGGLE_KEYS],
@@ -150,18 +129,17 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         store_col = F.coalesce(F.col("cfg_store"), F.lit(config.store))
     elif per_request_config is not None:
         cfg = per_request_config.select(
-            "request_id", *[F.col(k).alias("cfg_" + k) for k in TOGGLE_KEYS],
+            *REQ, *[F.col(k).alias("cfg_" + k) for k in TOGGLE_KEYS],
             F.col("min_savings").alias("cfg_min"), F.col("store").alias("cfg_store"))
-        # The per-request config is one row per request: broadcast only when it is small
-        # is decided by AQE; a plain join on request_id keeps it exact at any size.
-        df = df.join(cfg, "request_id", "left")
+        # one row per request; the join's strategy is left to AQE
+        df = df.join(cfg, REQ, "left")
         min_col = F.coalesce(F.col("cfg_min").cast("double"), F.lit(float(config.min_savings)))
         store_col = F.coalesce(F.col("cfg_store"), F.lit(config.store))
     else:
         min_col = F.lit(float(config.min_savings))
         store_col = F.lit(config.store)
 
-    df = prepare_blocks(df, partition)
+    df = prepare_blocks(df)
     df = df.withColumn("tok", block_tokens(tokenizer))
     w = w_request()
     df = df.withColumn("tokens_before", F.sum("tok").over(w).cast("bigint"))
@@ -177,7 +155,8 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         store = store_col & on if name == "filediff" else store_col
         ctx = StageContext(min_savings=config.min_savings, store=store, tokenizer=tokenizer,
                            minimal_diff=config.minimal_diff)
-        df = stage.rewrite(df, ctx)
+        df = stage.rewrite(df, ctx).withColumn("_edit", ~F.col("n_text").eqNullSafe(F.col("text")))
+        _edit = F.col("_edit")
         # Recount only blocks whose rendered content changed.
         changed_blk = (~F.col("n_text").eqNullSafe(F.col("text"))) | (F.col("n_drop") != F.col("drop"))
         new_tok = F.when(F.col("n_drop"), F.lit(0).cast("bigint")).when(
@@ -196,20 +175,22 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
                 .withColumn("drop", F.when(commit, F.col("n_drop")).otherwise(F.col("drop")))
                 .withColumn("cache", F.when(commit, F.col("n_cache")).otherwise(F.col("cache")))
                 .withColumn("tok", F.when(commit, F.col("n_tok")).otherwise(F.col("tok")))
+                .withColumn("edited", F.col("edited") | (commit & _edit))
                 .withColumn("_changed", F.col("_changed") | (commit & F.col("n_obj")))
                 .withColumn(f"_n{ord_}", note).withColumn(f"_on{ord_}", on)
-                .drop("n_text", "n_drop", "n_cache", "n_tok", "n_hits", "n_obj", "n_note"))
+                .drop("n_text", "n_drop", "n_cache", "n_tok", "n_hits", "n_obj", "n_note", "_edit"))
         stage_structs.append((ord_, stage))
 
     out_blocks = df.withColumn("tokens_after", F.sum("tok").over(w).cast("bigint"))
 
+    is_block = F.col("type") != "none"
     aggs = [F.first("model").alias("model"), F.first("provider").alias("provider"),
             F.first("at_ms").alias("at_ms"),
             F.first("tokens_before").alias("tokens_before"),
             F.sum("tok").cast("bigint").alias("tokens_after"),
             F.max(F.col("_changed").cast("int")).alias("_chg"),
-            F.count(F.lit(1)).alias("blocks_in"),
-            F.sum(F.when(~F.col("drop"), 1).otherwise(0)).cast("bigint").alias("blocks_out"),
+            F.sum(F.when(is_block, 1).otherwise(0)).cast("bigint").alias("blocks_in"),
+            F.sum(F.when(is_block & ~F.col("drop"), 1).otherwise(0)).cast("bigint").alias("blocks_out"),
             F.sum(F.when(F.col("cache") & ~F.col("drop") & ~F.coalesce(F.col("cache_control"), F.lit(False)), 1)
                   .otherwise(0)).cast("bigint").alias("markers_added")]
     for ord_, stage in stage_structs:

@@ -1,10 +1,10 @@
 """Request bodies (two provider wire formats) <-> the canonical block table.
 
-Bodies are parsed once into ``VARIANT`` with ``try_parse_json`` (bad JSON -> NULL ->
-quarantine, I6). Arrays are turned into Spark arrays with ``try_variant_get(...,
-'array<variant>')`` and exploded with ``posexplode_outer``; the element kind is
-read from ``schema_of_variant``. The reader is tolerant like the reference:
-missing or wrongly typed fields become defaults, never errors.
+Bodies are read and parsed once into ``VARIANT`` with ``try_parse_json`` (NULL ->
+quarantine, I6). Messages, system and tools become one array of items, exploded once,
+and each item's content is exploded into blocks; the element kind is read from
+``schema_of_variant``. The reader is tolerant like the reference: missing or wrongly
+typed fields become defaults, never errors. Of duplicate keys the last one counts.
 
 JSON text of opaque payloads (tool input, raw blocks, tool schemas) is
 ``to_json(variant)``: compact like ``JSON.stringify`` with keys sorted; the length,
@@ -13,6 +13,9 @@ and so the token count, is the same except for number spellings such as ``1e3``.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +68,36 @@ def number(v: Column, target: str) -> Column:
 
 # --------------------------------------------------------------------------- normalize
 def parse_bodies(log: DataFrame) -> DataFrame:
-    """Adds ``v`` (VARIANT, NULL for invalid JSON). Input: request_id, body, ..."""
+    """Adds ``v`` (VARIANT, NULL for what can't be parsed). Input: request_id, body, ...
+
+    Turns on ``spark.sql.variant.allowDuplicateKeys`` in the session, as JSON readers elsewhere
+    keep the last of duplicate keys."""
+    log.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return log.withColumn("v", F.try_parse_json(F.col("body")))
 
 
+@F.pandas_udf("string")
+def _why_rejected(bodies: pd.Series) -> pd.Series:
+    def why(body: str | None) -> str:
+        try:
+            json.loads(body or "")
+        except RecursionError:
+            return "unsupported"
+        except ValueError:
+            return "malformed"
+        return "unsupported"
+    return bodies.map(why)
+
+
 def quarantine(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) — rejected bodies produce no metric or history."""
+    """(valid, rejected) — rejected bodies produce no metric or history.
+
+    ``reason`` of a rejected row: ``malformed`` (not JSON), or ``unsupported`` for JSON beyond what a VARIANT
+    holds (a string over some 20 million characters, about a thousand nested levels), so that neither is
+    taken for the other. The reason is found in Python, for rejected rows alone."""
     parsed = parse_bodies(log)
-    return parsed.where(F.col("v").isNotNull()), parsed.where(F.col("v").isNull()).drop("v")
+    bad = parsed.where(F.col("v").isNull()).drop("v")
+    return parsed.where(F.col("v").isNotNull()), bad.withColumn("reason", _why_rejected(F.col("body")))
 
 
 def session_key(headers: Column, header: str = SESSION_HEADER) -> Column:
@@ -129,68 +154,59 @@ def _json_of(name: str) -> Column:
     return F.when(F.col(name + "_k") == "NULL", F.lit("null")).otherwise(F.to_json(F.col(name)))
 
 
-def _render_inner(b: Column) -> Column:
-    """blockText of a block nested in a tool_result (one level; deeper nesting renders as JSON)."""
+# Levels of tool results within tool results that are rendered as text; the wire formats know one. Column
+# expressions can't recurse, so the levels are written out; a block below them is rendered as its JSON.
+NESTED_LEVELS = 8
+
+
+def _render_inner(b: Column, levels: int = NESTED_LEVELS) -> Column:
+    """blockText of a block within a tool_result: its text, name and input, its own content's text, or its JSON."""
     t = F.try_variant_get(b, "$.type", "string")
     content = field(b, "content")
+    if levels:
+        within = F.when(vtype(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(
+            F.array_join(F.transform(F.coalesce(as_array(content), F.array().cast("array<variant>")),
+                                     lambda c: _render_inner(c, levels - 1)), ""))
+    else:
+        within = json_text(content)
     return (F.when(t == "text", F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")))
              .when(t == "tool_use", F.concat(F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("")),
                                              json_text(field(b, "input"))))
-             .when(t == "tool_result", F.coalesce(F.try_variant_get(content, "$", "string"), F.to_json(content),
-                                                  F.lit("")))
+             .when(t == "tool_result", within)
              .otherwise(json_text(b)))
 
 
-def _explode_content(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of (keys, block_idx, typed block columns) from a ``content`` variant column.
+ITEM = "array<struct<section:string,idx:bigint,v:variant>>"
 
-    A string content is one text block (none when empty); an array gives one block
-    per element; anything else gives no block. Runs per row, never per request.
-    """
-    df = _with_variant(df, "_c", F.col("content"))
-    arr = (F.when((F.col("_c_k") == "STRING") & (F.length(F.try_variant_get("_c", "$", "string")) > 0),
-                  F.array(F.col("_c")))
-            .when(F.col("_c_k") == "ARRAY", F.try_variant_get("_c", "$", "array<variant>")))
-    ex = df.select(*keys, (F.col("_c_k") == "STRING").alias("_from_str"),
-                   F.posexplode(arr).alias("block_idx", "b"))
-    ex = _with_variant(ex, "_b", F.col("b"))
-    ex = ex.withColumn("_bt", F.when(F.col("_b_k") == "OBJECT", F.try_variant_get("_b", "$.type", "string")))
-    ex = _with_variant(ex, "_tx", field(F.col("_b"), "text"))
-    ex = _with_variant(ex, "_in", field(F.col("_b"), "content"))
-    anth = F.col("provider") == "anthropic"
-    bt = F.when(F.col("_from_str"), F.lit("text")).when(F.col("_bt") == "text", F.lit("text")) \
-          .when(anth & F.col("_bt").isin("tool_use", "tool_result"), F.col("_bt")).otherwise(F.lit("raw"))
-    ex = ex.withColumn("type", bt)
-    t = F.col("type")
-    text = (F.when(F.col("_from_str"), F.try_variant_get("_b", "$", "string"))
-             .when(t == "text", _jstr_of("_tx"))
-             .when(t == "tool_result",
-                   F.when(F.col("_in_k") == "STRING", F.try_variant_get("_in", "$", "string"))
-                    .when(F.col("_in_k") == "ARRAY",
-                          F.array_join(F.transform(F.try_variant_get("_in", "$", "array<variant>"), _render_inner), ""))
-                    .otherwise(F.lit(""))))
-    cache = anth & ~F.col("_from_str") & (t == "text") & (
-        _kind(F.schema_of_variant(field(F.col("_b"), "cache_control"))) == "OBJECT")
-    tool_id = (F.when(t == "tool_use", F.coalesce(F.try_variant_get("_b", "$.id", "string"), F.lit("")))
-                .when(t == "tool_result", F.coalesce(F.try_variant_get("_b", "$.tool_use_id", "string"), F.lit(""))))
-    tool_name = F.when(t == "tool_use", F.coalesce(F.try_variant_get("_b", "$.name", "string"), F.lit("")))
-    payload = (F.when(t == "tool_use", json_text(field(F.col("_b"), "input")))
-                .when(t == "tool_result", F.when(F.col("_in_k") != "NULL", F.to_json(F.col("_in"))))
-                .when(t == "raw", _json_of("_b")))
-    is_error = F.when(t == "tool_result", F.coalesce(is_true(field(F.col("_b"), "is_error")), F.lit(False)))
-    return ex.select(*keys, F.col("block_idx").cast("bigint").alias("block_idx"), "type", text.alias("text"),
-                     tool_id.alias("tool_id"), tool_name.alias("tool_name"), payload.alias("payload"),
-                     is_error.alias("is_error"), cache.alias("cache_control"))
+
+def _items(v: Column, provider: Column) -> Column:
+    """Messages, system (anthropic) and tools of a body as one array of (section, idx, variant), after an
+    item that stands for the request itself."""
+    none = F.array().cast(ITEM)
+
+    def listed(name: str, section: str) -> Column:
+        arr = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(arr, lambda x, i: F.struct(F.lit(section).alias("section"), i.cast("bigint").alias("idx"),
+                                                      x.alias("v"))).cast(ITEM)
+    own = F.array(F.struct(F.lit("request").alias("section"), F.lit(0).cast("bigint").alias("idx"),
+                           F.lit(None).cast("variant").alias("v"))).cast(ITEM)
+    system = F.when(provider == "anthropic", F.array(F.struct(
+        F.lit("system").alias("section"), F.lit(0).cast("bigint").alias("idx"), field(v, "system").alias("v"))).cast(ITEM)).otherwise(none)
+    return F.concat(own, system, listed("messages", "message"), listed("tools", "tool"))
 
 
 def normalize(log: DataFrame, provider: str | Column | None = None,
-              session_header: str = SESSION_HEADER) -> tuple[DataFrame, DataFrame]:
+              session_header: str = SESSION_HEADER, keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse a request log into (requests, blocks).
 
     ``log`` has request_id, body and optionally session_id, at_ms, provider, headers.
     The provider comes from the argument or the ``provider`` column. Invalid JSON
     rows are dropped here (see :func:`quarantine`). Blocks carry (msg_idx, block_idx)
     as the order key; system blocks have section ``system`` and msg_idx 0.
+
+    ``keep_empty`` adds rows of type ``none`` (block_idx -1): one for each request (section
+    ``request``, msg_idx -1) and one for each message without blocks, so that requests and
+    messages without blocks are seen downstream. The log is read, parsed and exploded once.
     """
     df = parse_bodies(log).where(F.col("v").isNotNull())
     if provider is not None:
@@ -207,49 +223,62 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
                          F.coalesce(is_true(field(v, "stream")), F.lit(False)).alias("stream"),
                          sampling_params(v, F.col("provider")).alias("params"), F.col("body").alias("raw"))
     keys = ["request_id", "session_id", "at_ms", "provider", "model"]
+    anth = F.col("provider") == "anthropic"
 
-    # messages
-    msgs = df.select(*keys, F.posexplode(F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"),
-                                                    F.array().cast("array<variant>"))).alias("msg_idx", "m"))
-    msgs = _with_variant(msgs, "_role", field(F.col("m"), "role"))
-    msgs = msgs.select(*keys, F.col("msg_idx").cast("bigint").alias("msg_idx"),
-                       _jstr_of("_role", "user").alias("role"), field(F.col("m"), "content").alias("content"))
-    mkeys = keys + ["msg_idx", "role"]
-    mblocks = _explode_content(msgs, mkeys).withColumn("section", F.lit("message"))
-
-    # system (anthropic only): text blocks of a string or array system
-    sys = df.where(F.col("provider") == "anthropic").select(
-        *keys, F.lit(0).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"),
-        field(v, "system").alias("content"))
-    sblocks = _explode_content(sys, mkeys).where(F.col("type") == "text").withColumn("section", F.lit("system"))
-
-    # tools: name + description + JSON(schema)
-    tl = df.select(*keys, F.posexplode(F.coalesce(F.try_variant_get(v, "$.tools", "array<variant>"),
-                                                  F.array().cast("array<variant>"))).alias("block_idx", "t"))
-    tl = tl.withColumn("_fn", F.when(F.col("provider") == "anthropic", F.col("t"))
-                       .otherwise(field(F.col("t"), "function")))
-    tl = _with_variant(tl, "_name", field(F.col("_fn"), "name"))
-    tl = _with_variant(tl, "_desc", field(F.col("_fn"), "description"))
-    tl = tl.withColumn("_schema", F.when(F.col("provider") == "anthropic", field(F.col("t"), "input_schema"))
-                       .otherwise(field(F.col("t"), "function")))
+    items = df.select(*keys, F.explode(_items(v, F.col("provider"))).alias("it")) \
+              .select(*keys, F.col("it.section").alias("section"), F.col("it.idx").alias("idx"), F.col("it.v").alias("iv"))
+    items = _with_variant(items, "_role", field(F.col("iv"), "role"))
+    # the content: a message's, a system value itself, a tool definition as one block
+    is_msg, is_tool = F.col("section") == "message", F.col("section") == "tool"
+    items = _with_variant(items, "_c", F.when(is_msg, field(F.col("iv"), "content")).otherwise(F.col("iv")))
+    arr = (F.when(is_tool, F.array(F.col("iv")))
+            .when((F.col("_c_k") == "STRING") & (F.length(F.try_variant_get("_c", "$", "string")) > 0), F.array(F.col("_c")))
+            .when(F.col("_c_k") == "ARRAY", F.try_variant_get("_c", "$", "array<variant>")))
+    ex = items.select(*keys, "section", "idx", F.when(is_msg, _jstr_of("_role", "user")).when(F.col("section") == "system", F.lit("system")).alias("role"),
+                      ((F.col("_c_k") == "STRING") & ~is_tool).alias("_from_str"), F.posexplode_outer(arr).alias("pos", "b"))
+    ex = _with_variant(ex, "_b", F.col("b"))
+    ex = ex.withColumn("_bt", F.when(F.col("_b_k") == "OBJECT", F.try_variant_get("_b", "$.type", "string")))
+    ex = _with_variant(ex, "_tx", field(F.col("_b"), "text"))
+    ex = _with_variant(ex, "_in", field(F.col("_b"), "content"))
+    ex = ex.withColumn("_fn", F.when(is_tool, F.when(anth, F.col("_b")).otherwise(field(F.col("_b"), "function"))))
+    ex = _with_variant(ex, "_desc", field(F.col("_fn"), "description"))
+    ex = _with_variant(ex, "_name", field(F.col("_fn"), "name"))
+    ex = ex.withColumn("type", F.when(F.col("pos").isNull(), F.lit("none")).when(is_tool, F.lit("tool"))
+                       .when(F.col("_from_str"), F.lit("text")).when(F.col("_bt") == "text", F.lit("text"))
+                       .when(anth & F.col("_bt").isin("tool_use", "tool_result"), F.col("_bt")).otherwise(F.lit("raw")))
+    t = F.col("type")
     falsy = (F.col("_desc_k") == "NULL") | (_jstr_of("_desc") == "") | (F.to_json(F.col("_desc")).isin("false", "0"))
-    tl = tl.withColumn("tool_name", _jstr_of("_name")) \
-           .withColumn("text", F.when(falsy, F.lit(None).cast("string")).otherwise(_jstr_of("_desc"))) \
-           .withColumn("payload", F.coalesce(F.to_json(F.col("_schema")), F.lit("{}")))
-    tblocks = tl.select(*keys, F.lit("tool").alias("section"), F.lit(0).cast("bigint").alias("msg_idx"),
-                        F.lit(None).cast("string").alias("role"), F.col("block_idx").cast("bigint").alias("block_idx"),
-                        F.lit("tool").alias("type"), "text", F.lit(None).cast("string").alias("tool_id"),
-                        "tool_name", "payload", F.lit(None).cast("boolean").alias("is_error"),
-                        F.lit(False).alias("cache_control"),
-                        F.concat("tool_name", F.coalesce("text", F.lit("")), "payload").alias("rendered"))
-
-    def flat(x: DataFrame) -> DataFrame:
-        if "rendered" not in x.columns:
-            x = x.withColumn("rendered", F.lit(None).cast("string"))
-        return x.select(*BLOCK_COLUMNS)
-
-    blocks = flat(sblocks).unionByName(flat(mblocks)).unionByName(flat(tblocks))
-    return requests, blocks
+    text = (F.when(is_tool, F.when(falsy, F.lit(None).cast("string")).otherwise(_jstr_of("_desc")))
+             .when(t == "none", F.lit(None).cast("string"))
+             .when(F.col("_from_str"), F.try_variant_get("_b", "$", "string"))
+             .when(t == "text", _jstr_of("_tx"))
+             .when(t == "tool_result",
+                   F.when(F.col("_in_k") == "STRING", F.try_variant_get("_in", "$", "string"))
+                    .when(F.col("_in_k") == "ARRAY",
+                          F.array_join(F.transform(F.try_variant_get("_in", "$", "array<variant>"), lambda x: _render_inner(x)), ""))
+                    .otherwise(F.lit(""))))
+    cache = anth & ~F.col("_from_str") & (t == "text") & (
+        _kind(F.schema_of_variant(field(F.col("_b"), "cache_control"))) == "OBJECT")
+    tool_id = (F.when(t == "tool_use", F.coalesce(F.try_variant_get("_b", "$.id", "string"), F.lit("")))
+                .when(t == "tool_result", F.coalesce(F.try_variant_get("_b", "$.tool_use_id", "string"), F.lit(""))))
+    tool_name = (F.when(t == "tool", _jstr_of("_name"))
+                  .when(t == "tool_use", F.coalesce(F.try_variant_get("_b", "$.name", "string"), F.lit(""))))
+    schema = F.when(anth, field(F.col("_b"), "input_schema")).otherwise(F.col("_fn"))
+    payload = (F.when(t == "tool", F.coalesce(F.to_json(schema), F.lit("{}")))
+                .when(t == "tool_use", json_text(field(F.col("_b"), "input")))
+                .when(t == "tool_result", F.when(F.col("_in_k") != "NULL", F.to_json(F.col("_in"))))
+                .when(t == "raw", _json_of("_b")))
+    is_error = F.when(t == "tool_result", F.coalesce(is_true(field(F.col("_b"), "is_error")), F.lit(False)))
+    blocks = ex.select(
+        *keys, "section", F.when(is_msg, F.col("idx")).when(F.col("section") == "request", F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("msg_idx"),
+        F.when(t == "none", F.lit(-1)).when(is_tool, F.col("idx")).otherwise(F.col("pos")).cast("bigint").alias("block_idx"),
+        "role", "type", text.alias("text"), tool_id.alias("tool_id"), tool_name.alias("tool_name"), payload.alias("payload"),
+        is_error.alias("is_error"), F.coalesce(cache, F.lit(False)).alias("cache_control"))
+    blocks = blocks.withColumn("rendered", F.when(t == "tool", F.concat("tool_name", F.coalesce("text", F.lit("")), "payload")))
+    kept = (t != "none") | (F.col("section").isin("request", "message") if keep_empty else F.lit(False))
+    # a system value's blocks are its text blocks
+    kept = kept & ((F.col("section") != "system") | (t == "text"))
+    return requests, blocks.where(kept).select(*BLOCK_COLUMNS)
 
 
 # --------------------------------------------------------------------------- denormalize
@@ -261,55 +290,69 @@ def _jstr(s: Column) -> Column:
 
 def _block_json(anthropic: bool) -> Column:
     t = F.col("type")
-    text_json = F.concat(F.lit('{"type":"text","text":'), _jstr(F.col("text")),
-                         F.when(F.col("cache_control") & F.lit(anthropic),
-                                F.lit(',"cache_control":{"type":"ephemeral"}')).otherwise(F.lit("")), F.lit("}"))
     if not anthropic:
         return F.when(t == "text", F.concat(F.lit('{"type":"text","text":'), _jstr(F.col("text")), F.lit("}"))) \
+                .when(t == "tool", F.concat(F.lit('{"type":"function","function":'), F.col("payload"), F.lit("}"))) \
                 .otherwise(F.col("payload"))
+    mark = F.when(F.col("marked"), F.lit(',"cache_control":{"type":"ephemeral"}')).otherwise(F.lit(""))
+    text_json = F.concat(F.lit('{"type":"text","text":'), _jstr(F.col("text")), mark, F.lit("}"))
     tool_use = F.concat(F.lit('{"type":"tool_use","id":'), _jstr(F.col("tool_id")), F.lit(',"name":'),
                         _jstr(F.col("tool_name")), F.lit(',"input":'), F.col("payload"), F.lit("}"))
-    tool_result = F.concat(F.lit('{"type":"tool_result","tool_use_id":'), _jstr(F.col("tool_id")),
-                           F.lit(',"content":'), F.coalesce(F.col("payload"), _jstr(F.col("text"))),
+    # a result that a stage rewrote is sent as its text
+    content = F.when(F.col("edited") | F.col("payload").isNull(), _jstr(F.coalesce("text", F.lit("")))).otherwise(F.col("payload"))
+    tool_result = F.concat(F.lit('{"type":"tool_result","tool_use_id":'), _jstr(F.col("tool_id")), F.lit(',"content":'), content,
                            F.when(F.col("is_error"), F.lit(',"is_error":true')).otherwise(F.lit("")), F.lit("}"))
+    tool = F.concat(F.lit('{"name":'), _jstr(F.col("tool_name")),
+                    F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.concat(F.lit(',"description":'), _jstr(F.col("text")))).otherwise(F.lit("")),
+                    F.lit(',"input_schema":'), F.col("payload"), F.lit("}"))
     return (F.when(t == "text", text_json).when(t == "tool_use", tool_use)
-             .when(t == "tool_result", tool_result).otherwise(F.col("payload")))
+             .when(t == "tool_result", tool_result).when(t == "tool", tool).otherwise(F.col("payload")))
 
 
-def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks back to a wire body per request, overlaid on the original body.
+def denormalize(requests: DataFrame, blocks: DataFrame, per_request: DataFrame | None = None) -> DataFrame:
+    """Blocks back to a wire body per request, overlaid on the original body.
 
     One exchange: block rows and request rows are unioned and grouped once by
-    ``request_id`` (a request's blocks are bounded by its size), then the body is
-    assembled row-locally with higher-order functions.
-
-    Dropped blocks (``drop`` column, if present) are left out. Anthropic: system is
-    absent, a string (one uncached block) or an array; a message left without blocks
-    is sent with ``content: []``. OpenAI: message *i* keeps the extra fields of raw
-    message *i*, string content is restored when the original was a string and all
-    blocks are text, and an empty block list keeps the original content. Output:
+    (session_id, request_id) (a request's blocks are bounded by its size), then the body
+    is assembled row-locally with higher-order functions.
+
+    Reads the state a reduction leaves, where it is there: ``drop`` (left out), ``cache`` (the
+    marker in force, else ``cache_control``), ``edited`` (a tool result or tool definition whose
+    text a stage rewrote). ``per_request`` (a reduction's requests, with ``changed``): a request that
+    no stage changed keeps its raw body, byte for byte.
+
+    Anthropic: system is absent, a string (one unmarked block) or an array; a message left
+    without blocks is sent with ``content: []``. OpenAI: message *i* keeps the extra fields of raw
+    message *i*, string content is restored when the original was a string and all blocks are
+    text, and an empty block list keeps the original content. Tool definitions that no stage
+    touched stay as they were; if all are dropped, the original ones stay. Output: session_id,
     request_id, body (JSON text).
     """
     b = blocks if "drop" not in blocks.columns else blocks.where(~F.col("drop"))
+    b = b.withColumn("marked", F.coalesce(F.col("cache" if "cache" in b.columns else "cache_control"), F.lit(False)))
+    if "edited" not in b.columns:
+        b = b.withColumn("edited", F.lit(False))
     is_anth = F.col("provider") == "anthropic"
-    b = b.withColumn("bj", F.when(is_anth, _block_json(True)).otherwise(_block_json(False)))
+    b = b.where(F.col("type") != "none").withColumn("bj", F.when(is_anth, _block_json(True)).otherwise(_block_json(False)))
     blk = F.struct(F.col("msg_idx").cast("bigint").alias("msg_idx"), F.col("block_idx").cast("bigint").alias("block_idx"),
-                   "section", "role", "type", "text", "cache_control", "bj")
-    u = (b.select("request_id", blk.alias("blk"), F.lit(None).cast("string").alias("raw"),
-                  F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("model"))
-          .unionByName(requests.select("request_id", F.lit(None).cast(blk_type(b)).alias("blk"), "raw",
-                                       "provider", "model")))
-    g = (u.groupBy("request_id")
+                   "section", "role", "type", "text", "marked", "edited", "bj")
+    keys = ["session_id", "request_id"]
+    none = F.lit(None).cast("string")
+    rows = (b.select(*keys, blk.alias("blk"), none.alias("raw"), none.alias("provider"), none.alias("model"), F.lit(None).cast("boolean").alias("changed"))
+             .unionByName(requests.select(*keys, F.lit(None).cast(BLK).alias("blk"), "raw", "provider", "model", F.lit(None).cast("boolean").alias("changed"))))
+    if per_request is not None:
+        rows = rows.unionByName(per_request.select(*keys, F.lit(None).cast(BLK).alias("blk"), none.alias("raw"), none.alias("provider"), none.alias("model"), "changed"))
+    g = (rows.groupBy(*keys)
           .agg(F.array_sort(F.collect_list("blk")).alias("bl"), F.first("raw", ignorenulls=True).alias("raw"),
                F.first("provider", ignorenulls=True).alias("provider"),
-               F.first("model", ignorenulls=True).alias("model"))
+               F.first("model", ignorenulls=True).alias("model"), F.coalesce(F.max("changed"), F.lit(True)).alias("changed"))
           .where(F.col("raw").isNotNull()))
 
     v = F.try_parse_json(F.col("raw"))
-    g = g.withColumn("v", v).withColumn(
-        "om", F.coalesce(F.when(vtype(field(F.col("v"), "messages")) == "ARRAY",
-                                F.try_variant_get(F.col("v"), "$.messages", "array<variant>")),
-                         F.array().cast("array<variant>")))
+    empty_arr = F.array().cast("array<variant>")
+    listed = lambda name: F.coalesce(F.when(vtype(field(F.col("v"), name)) == "ARRAY",
+                                            F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>")), empty_arr)
+    g = g.withColumn("v", v).withColumn("om", listed("messages")).withColumn("ot", listed("tools"))
     anth = F.col("provider") == "anthropic"
     empty_map = F.create_map().cast("map<string,variant>")
 
@@ -341,48 +384,91 @@ def denormalize(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     msgs = F.when(F.size("om") == 0, F.lit("[]")).otherwise(
         F.concat(F.lit("["), F.array_join(F.transform("_msgs", message), ","), F.lit("]")))
     sl = F.filter("bl", lambda x: x["section"] == "system")
-    single = (F.size(sl) == 1) & ~F.try_element_at(sl, F.lit(1))["cache_control"]
+    single = (F.size(sl) == 1) & ~F.try_element_at(sl, F.lit(1))["marked"]
     sys_json = F.when(F.size(sl) == 0, F.lit(None).cast("string")).when(single, _jstr(F.try_element_at(sl, F.lit(1))["text"])) \
                 .otherwise(F.concat(F.lit("["), F.array_join(F.transform(sl, lambda x: x["bj"]), ","), F.lit("]")))
+    tl = F.filter("bl", lambda x: x["section"] == "tool")
+    touched = (F.size(tl) > 0) & ((F.size(tl) < F.size("ot")) | F.exists(tl, lambda x: x["edited"]))
+    tools_json = F.concat(F.lit("["), F.array_join(F.transform(tl, lambda x: F.when(
+        x["edited"], x["bj"]).otherwise(F.to_json(F.element_at(F.col("ot"), x["block_idx"].cast("int") + 1)))), ","), F.lit("]"))
     top = F.coalesce(F.try_variant_get(F.col("v"), "$", "map<string,variant>"), empty_map)
-    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "messages") & ~((k == "system") & anth))
+    keep = F.map_filter(top, lambda k, _v: ~k.isin("model", "messages") & ~((k == "system") & anth) & ~((k == "tools") & touched))
     entries = F.transform(F.map_entries(keep), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), F.to_json(e["value"])))
     new = F.array(F.concat(F.lit('"model":'), _jstr(F.col("model"))), F.concat(F.lit('"messages":'), msgs))
-    sys_part = F.when(anth & sys_json.isNotNull(), F.array(F.concat(F.lit('"system":'), sys_json))) \
-                .otherwise(F.array().cast("array<string>"))
-    body = F.concat(F.lit("{"), F.array_join(F.concat(entries, new, sys_part), ","), F.lit("}"))
-    return g.select("request_id", body.alias("body"))
+    no_part = F.array().cast("array<string>")
+    sys_part = F.when(anth & sys_json.isNotNull(), F.array(F.concat(F.lit('"system":'), sys_json))).otherwise(no_part)
+    tool_part = F.when(touched, F.array(F.concat(F.lit('"tools":'), tools_json))).otherwise(no_part)
+    body = F.concat(F.lit("{"), F.array_join(F.concat(entries, new, sys_part, tool_part), ","), F.lit("}"))
+    return g.select(*keys, F.when(F.col("changed"), body).otherwise(F.col("raw")).alias("body"))
 
 
-def blk_type(b: DataFrame) -> str:
-    return ("struct<msg_idx:bigint,block_idx:bigint,section:string,role:string,type:string,text:string,"
-            "cache_control:boolean,bj:string>")
+def optimized_bodies(log: DataFrame, config=None, provider: str | Column | None = None, **reduction) -> DataFrame:
+    """A request log to the bodies that would be sent on: (session_id, request_id, body).
 
+    log -> normalize -> reduce -> denormalize; the raw body where no stage changed the request. Invalid JSON
+    is left out. Further arguments go to ``reduce_requests``."""
+    from slimwire.plans.reduce import reduce_requests
+    requests, blocks = normalize(log, provider, keep_empty=True)
+    red = reduce_requests(blocks, config, **reduction)
+    return denormalize(requests, red.blocks, red.requests)
 
-def _fingerprint(blocks: DataFrame) -> DataFrame:
-    piece = F.concat_ws("\u0001", "section", F.col("msg_idx").cast("string"), F.col("block_idx").cast("string"),
-                        "type", F.coalesce("text", F.lit("")), F.coalesce("tool_id", F.lit("")),
-                        F.coalesce("tool_name", F.lit("")), F.coalesce("payload", F.lit("")),
-                        F.coalesce("role", F.lit("")), F.col("cache_control").cast("string"))
-    return (blocks.groupBy("request_id")
-                  .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(piece)), "\u0002"), 256).alias("fp")))
 
+BLK = ("struct<msg_idx:bigint,block_idx:bigint,section:string,role:string,type:string,text:string,"
+       "marked:boolean,edited:boolean,bj:string>")
 
-def roundtrip_audit(log: DataFrame) -> DataFrame:
-    """Request ids whose content changes under normalize -> denormalize -> normalize.
 
-    The contract ``denormalize(normalize(b)) == b`` is checked on the normalized
-    form (blocks, roles, tool definitions, cache markers), because the wire form may
-    legitimately change shape (a string content comes back as a one-block array).
-    Expected empty on clean input; real losses (extra keys on blocks, non-text
-    system blocks) show up here.
+# --------------------------------------------------------------------------- round trip
+def _extra_keys(b: Column, known: tuple[str, ...]) -> Column:
+    keys = F.map_keys(F.try_variant_get(b, "$", "map<string,variant>"))
+    return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, F.lit(False))
+
+
+def _lossy_block(b: Column, provider: Column) -> Column:
+    """Whether a content block of a body comes back differently than it was."""
+    t = F.try_variant_get(b, "$.type", "string")
+    anth = provider == "anthropic"
+    mark = field(b, "cache_control")
+    other_mark = (vtype(mark) != "NULL") & (F.to_json(mark) != '{"type":"ephemeral"}')
+    text = _extra_keys(b, ("type", "text", "cache_control")) | (vtype(field(b, "text")) != "STRING") | other_mark
+    plain = _extra_keys(b, ("type", "text")) | (vtype(field(b, "text")) != "STRING")
+    use = _extra_keys(b, ("type", "id", "name", "input"))
+    wrong_flag = (vtype(field(b, "is_error")) != "NULL") & ~F.coalesce(is_true(field(b, "is_error")), F.lit(False))
+    result = _extra_keys(b, ("type", "tool_use_id", "content", "is_error")) | wrong_flag
+    return F.coalesce(F.when(~anth, (t == "text") & plain).when(t == "text", text).when(t == "tool_use", use)
+                       .when(t == "tool_result", result), F.lit(False))
+
+
+def roundtrip_audit(log: DataFrame) -> DataFrame:
+    """Requests whose content ``denormalize(normalize(body))`` does not give back, compared with the parsed
+    source body: (session_id, request_id, messages_differ, system_differ, tools_differ, dropped_system_blocks).
+
+    Row-local, no exchange. What counts as a loss: keys of a content block beyond the model's, a text that is no
+    string, a cache marker of another kind or on another block than text, an ``is_error`` that isn't true, content
+    that is neither string nor array, system blocks that aren't text, a system of another kind, tools that are no
+    array. A string content that comes back as a one-block array is the same content; extra keys of messages and of
+    tool definitions come back and are no loss.
     """
-    reqs, blocks = normalize(log)
-    back = denormalize(reqs, blocks)
-    back_log = back.join(log.drop("body"), "request_id")
-    _, blocks2 = normalize(back_log)
-    fp1 = _fingerprint(blocks).withColumnRenamed("fp", "fp1")
-    fp2 = _fingerprint(blocks2).withColumnRenamed("fp", "fp2")
-    j = reqs.select("request_id").join(fp1, "request_id", "left").join(fp2, "request_id", "left")
-    differ = ~F.col("fp1").eqNullSafe(F.col("fp2"))
-    return j.where(differ).select("request_id", differ.alias("messages_differ"), F.lit(False).alias("system_differ"))
+    df = parse_bodies(log).where(F.col("v").isNotNull())
+    if "session_id" not in df.columns:
+        df = df.withColumn("session_id", F.lit(tx.DEFAULT_SESSION))
+    v, provider = F.col("v"), F.col("provider")
+    empty = F.array().cast("array<variant>")
+    df = df.withColumn("_m", F.coalesce(as_array(field(v, "messages")), empty)).withColumn("_s", field(v, "system"))
+    df = df.withColumn("_sl", F.coalesce(as_array(F.col("_s")), empty))
+
+    def lossy_message(m: Column) -> Column:
+        content = field(m, "content")
+        blocks = F.coalesce(as_array(content), empty)
+        other = ~vtype(content).isin("STRING", "ARRAY", "NULL") & (provider == "anthropic")
+        return other | F.exists(blocks, lambda b: _lossy_block(b, provider))
+
+    not_text = F.filter("_sl", lambda b: ~F.coalesce(F.try_variant_get(b, "$.type", "string") == "text", F.lit(False)))
+    anth = provider == "anthropic"
+    system = anth & ((F.size(not_text) > 0) | F.exists("_sl", lambda b: _lossy_block(b, provider))
+                     | ~vtype(F.col("_s")).isin("STRING", "ARRAY", "NULL") | (F.try_variant_get("_s", "$", "string") == ""))
+    tools = field(v, "tools")
+    out = df.select("session_id", "request_id", F.exists("_m", lossy_message).alias("messages_differ"),
+                    F.coalesce(system, F.lit(False)).alias("system_differ"),
+                    (~vtype(tools).isin("ARRAY", "NULL")).alias("tools_differ"),
+                    F.when(anth, F.size(not_text)).otherwise(0).cast("bigint").alias("dropped_system_blocks"))
+    return out.where("messages_differ or system_differ or tools_differ")

@@ -14,6 +14,12 @@ RAW_TABLES = ("region nation customer supplier part orders lineitem events docum
               "embeddings pages benchmark labels conversations").split()
 
 # Canonical block schema (column order of every ``blocks`` DataFrame).
+# Ids of conversations are spaced by this many turns, document lines by this many lines.
+TURNS = 1_000_000
+LINES = 100_000_000
+# Documents whose copies can meet in one derived request.
+DUP_RANGE = 5_000
+
 BLOCK_COLUMNS = ["request_id", "session_id", "at_ms", "provider", "model", "section",
                  "msg_idx", "block_idx", "role", "type", "text", "tool_id", "tool_name",
                  "payload", "is_error", "cache_control", "rendered"]
@@ -44,9 +50,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per user turn of a conversation (the conversation so far is re-sent)."""
     c = read_table(spark, sf_dir, "conversations")
     return (c.where(F.col("role") == "user")
-             .select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+             .select((F.col("conv_id") * TURNS + F.col("turn")).alias("request_id"),
                      F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
-                     (F.col("conv_id") * 1000000 + F.col("turn") * 1000).alias("at_ms"),
+                     (F.col("conv_id") * TURNS + F.col("turn") * 10).alias("at_ms"),
                      F.when(F.col("conv_id") % 2 == 0, "anthropic").otherwise("openai").alias("provider"),
                      F.concat(F.lit("model_"), (F.col("conv_id") % 4).cast("string")).alias("model"),
                      F.col("conv_id"), F.col("turn")))
@@ -72,9 +78,10 @@ def request_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents grouped by length into 97 requests; exact copies meet in one request."""
+    """Documents of an id range grouped by length into 97 requests, where exact copies meet; the
+    number of requests grows with the documents."""
     d = read_table(spark, sf_dir, "documents")
-    k = F.col("n_chars") % 97
+    k = F.floor(F.col("doc_id") / DUP_RANGE).cast("bigint") * 97 + F.col("n_chars") % 97
     out = d.select(k.alias("request_id"), F.concat(F.lit("b"), k.cast("string")).alias("session_id"),
                    k.alias("at_ms"), F.lit("openai").alias("provider"), F.lit("model_0").alias("model"),
                    F.lit("message").alias("section"), F.col("doc_id").alias("msg_idx"),
@@ -140,7 +147,7 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/conv_"), F.substring(F.col("session_id"), 2, 1 << 30), F.lit(".txt"))
     return (r.join(bodies, "request_id")
              .select("session_id", "at_ms", "request_id", path.alias("path"),
-                     F.concat(path, F.lit("\n"), F.lit("rev "), (F.col("request_id") % 100).cast("string"),
+                     F.concat(path, F.lit("\n"), F.lit("rev "), (F.col("request_id") % TURNS).cast("string"),
                               F.lit("\n"), F.col("body")).alias("text")))
 
 
@@ -230,7 +237,7 @@ def context_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ex.where(F.col("ln") != "")
               .select(F.col("ln").alias("content"),
                       F.when(F.col("pos") % 3 == 0, F.col("source")).otherwise(F.lit("")).alias("label"),
-                      (F.col("doc_id") * 1000 + F.col("pos")).alias("at_ms"),
+                      (F.col("doc_id") * LINES + F.col("pos")).alias("at_ms"),
                       F.concat(F.lit("d"), (F.col("doc_id") % 20).cast("string")).alias("session_id")))
 
 
@@ -297,7 +304,7 @@ def tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anthropic bodies with every block kind, derived from the conversations.
 
     Each assistant turn is [text, tool_use(name 'search', input {"n": turn})]; each
-    later user turn is [tool_result(tool_use_id, content [text]), raw image block].
+    later user turn is [tool_result(tool_use_id, content [text, tool_result [text "deep"]]), raw image block].
     One request per conversation (the whole conversation), two tool definitions.
     """
     c = read_table(spark, sf_dir, "conversations").where(F.col("role") != "system")
@@ -308,7 +315,8 @@ def tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(',"name":"search","input":{"n":'), F.col("turn").cast("string"), F.lit("}}]"))
     user = F.concat(F.lit('[{"type":"tool_result","tool_use_id":'), _jstr(prev_tid),
                     F.lit(',"content":[{"type":"text","text":'), _jstr(F.col("text")),
-                    F.lit('}]},{"type":"image","n":'), F.col("turn").cast("string"), F.lit("}]"))
+                    F.lit('},{"type":"tool_result","tool_use_id":"in","content":[{"type":"text","text":"deep"}]}]},{"type":"image","n":'),
+                    F.col("turn").cast("string"), F.lit("}]"))
     content = F.when(F.col("role") == "assistant", asst).when(F.col("turn") == 0, _jstr(F.col("text"))).otherwise(user)
     msg = F.concat(F.lit('{"role":'), _jstr(F.col("role")), F.lit(',"content":'), content, F.lit("}"))
     per = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", msg.alias("j")))).alias("ms"))
@@ -321,6 +329,38 @@ def tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("conv_id").alias("at_ms"), F.lit("anthropic").alias("provider"), body.alias("body"))
 
 
+def edge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of every user turn that mostly hold no block, by conv_id % 5: an empty message list; an empty
+    content; an empty block list before the turn's text; no messages at all; the text after a duplicate model key."""
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    r = requests(spark, sf_dir).join(c, ["conv_id", "turn"])
+    model = F.concat(F.lit('"model":'), _jstr(F.col("model")))
+    text, kind = _jstr(F.col("text")), F.col("conv_id") % 5
+    body = (F.when(kind == 0, F.concat(F.lit("{"), model, F.lit(',"messages":[]}')))
+             .when(kind == 1, F.concat(F.lit("{"), model, F.lit(',"messages":[{"role":"user","content":""}]}')))
+             .when(kind == 2, F.concat(F.lit("{"), model, F.lit(',"messages":[{"role":"user","content":[]},{"role":"assistant","content":'), text, F.lit("}]}")))
+             .when(kind == 3, F.concat(F.lit("{"), model, F.lit("}")))
+             .otherwise(F.concat(F.lit('{"model":"first",'), model, F.lit(',"messages":[{"role":"user","content":'), text, F.lit("}]}"))))
+    return r.select("request_id", "session_id", "at_ms", "provider", body.alias("body"))
+
+
+def lossy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anthropic bodies of every user turn, by conv_id % 6: an image among the system blocks; an extra key on a text
+    block; a cache marker on a tool result; a cache marker of another kind on a system block; tools that are no list;
+    nothing that a round trip loses."""
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    r = requests(spark, sf_dir).join(c, ["conv_id", "turn"])
+    text, kind = _jstr(F.col("text")), F.col("conv_id") % 6
+    plain = F.concat(F.lit('"messages":[{"role":"user","content":'), text, F.lit("}]}"))
+    body = (F.when(kind == 0, F.concat(F.lit('{"system":[{"type":"text","text":"S"},{"type":"image"},{"type":"image"}],'), plain))
+             .when(kind == 1, F.concat(F.lit('{"messages":[{"role":"user","content":[{"type":"text","citations":[],"text":'), text, F.lit("}]}]}")))
+             .when(kind == 2, F.concat(F.lit('{"messages":[{"role":"user","content":[{"type":"tool_result","tool_use_id":"t","cache_control":{"type":"ephemeral"},"content":'), text, F.lit("}]}]}")))
+             .when(kind == 3, F.concat(F.lit('{"system":[{"type":"text","text":"S","cache_control":{"type":"ephemeral","ttl":"1h"}}],'), plain))
+             .when(kind == 4, F.concat(F.lit('{"tools":{"a":1},'), plain))
+             .otherwise(F.concat(F.lit('{"system":"S","tools":[{"name":"n","input_schema":{}}],'), plain)))
+    return r.select("request_id", "session_id", "at_ms", F.lit("anthropic").alias("provider"), body.alias("body"))
+
+
 def file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per conversation whose only change between requests is its revision line.
 
