@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slimwire.llm.common import crc_mod, written
@@ -114,8 +114,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     slim = slim.withColumn("held_out", crc_mod("doc_id", FOLDS) == 1)
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
              .filter(crc_mod("doc_id", FOLDS) != 1).groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id")))
-    few = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).filter(F.col("r") <= sample)
-    few = few.select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).alias("third"))
+    least = [known.filter(F.col("label") == label).orderBy("h", "doc_id").limit(sample) for label in (0, 1)]  # each task sends its own least ones
+    few = least[0].unionByName(least[1]).select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).alias("third"))
     rows = written(slim.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label", "half", "third"), "toxic-sample")  # 2 * sample rows, at most
     crossed = [with_features(rows.filter(F.col("half") == i), *lexicon(rows.filter(F.col("half") != i))) for i in (0, 1)]
     learned = written(crossed[0].unionByName(crossed[1]), "toxic-features")
