@@ -25,6 +25,85 @@ def test_invalid_json_is_quarantined(spark):
     assert [r.request_id for r in bad.collect()] == [1] and ok.count() == 1
 
 
+def test_valid_json_is_not_called_malformed(spark):
+    deep = "[" * 1200 + "]" * 1200
+    log = spark.createDataFrame([(1, '{"model":"a","model":"b"}'), (2, deep), (3, "{bad"), (4, None)], "request_id long, body string")
+    ok, bad = ig.quarantine(log)
+    assert [r.request_id for r in ok.collect()] == [1]
+    assert {r.request_id: r.reason for r in bad.collect()} == {2: "unsupported", 3: "malformed", 4: "malformed"}
+    reqs, _ = ig.normalize(log.where("request_id = 1").withColumn("provider", F.lit("openai")))
+    assert reqs.first().model == "b"
+
+
+def test_nested_tool_results_count_their_text(spark):
+    inner = '{"type":"text","text":"abcd"}'
+    for _ in range(5):
+        inner = '{"type":"tool_result","tool_use_id":"t","content":[%s]}' % inner
+    _, blocks = norm(spark, ['{"messages":[{"role":"user","content":[%s]}]}' % inner,
+                             '{"messages":[{"role":"user","content":[{"type":"tool_result","content":[{"type":"tool_result","content":7}]}]}]}'])
+    assert {r.request_id: r.text for r in blocks.collect()} == {0: "abcd", 1: ""}
+
+
+def test_requests_and_messages_without_blocks_are_seen(spark):
+    from slimwire.plans.reduce import Config, reduce_requests
+    bodies = ['{"model":"m"}', '{"model":"m","messages":[]}', '{"model":"m","messages":[{"role":"assistant","content":[]}]}', '{"model":"m","messages":[{"content":"hi"}]}']
+    log = spark.createDataFrame([(i, b, "anthropic") for i, b in enumerate(bodies)], "request_id long, body string, provider string")
+    _, blocks = ig.normalize(log, keep_empty=True)
+    got = {r.request_id: (r.tokens_before, r.blocks_in) for r in reduce_requests(blocks, Config()).requests.collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (1, 1)}
+    empty = blocks.where("type = 'none' and section = 'message'").collect()
+    assert [(r.request_id, r.msg_idx, r.role) for r in empty] == [(2, 0, "assistant")]
+
+
+def bodies_of(spark, rows, **kw):
+    import json
+    log = spark.createDataFrame([(i, b, p) for i, (b, p) in enumerate(rows)], "request_id long, body string, provider string")
+    return {r.request_id: (r.body, json.loads(r.body)) for r in ig.optimized_bodies(log, **kw).collect()}
+
+
+def test_cache_marker_reaches_the_body(spark):
+    out = bodies_of(spark, [('{"model":"m","system":"sys text","messages":[]}', "anthropic")])
+    assert out[0][1]["system"] == [{"type": "text", "text": "sys text", "cache_control": {"type": "ephemeral"}}]
+
+
+def test_untouched_requests_keep_their_raw_body(spark):
+    from slimwire.plans.reduce import Config
+    raw = '{ "messages" : [ {"content":"x","role":"user"} ],"model":"m" , "n":1.50}'
+    out = bodies_of(spark, [(raw, "openai"), (raw, "anthropic")], config=Config(stages={"strip": False}))
+    assert out[0][0] == raw and out[1][0] == raw
+
+
+def test_stage_edits_of_tool_results_and_definitions_reach_the_body(spark):
+    from slimwire.operators.stages import custom_stage
+    body = ('{"model":"m","tools":[{"name":"f","description":"a long description","input_schema":{"type":"object"},"cache_control":{"type":"ephemeral"}},{"name":"g","input_schema":{}}],'
+            '"messages":[{"role":"user","content":[{"type":"tool_result","tool_use_id":"t","content":[{"type":"text","text":"long result"}]},'
+            '{"type":"tool_result","tool_use_id":"u","content":[{"type":"text","text":"kept"}],"is_error":true}]}]}')
+
+    def short(df):
+        cut = F.when((F.col("type") == "tool_result") & (F.col("tool_id") == "t"), F.lit("cut")).when(F.col("tool_name") == "f", F.lit("d")).otherwise(F.col("text"))
+        return df.withColumn("n_text", cut)
+    out = bodies_of(spark, [(body, "anthropic")], stages=[custom_stage("cut", short, reversible=True)])[0][1]
+    results = out["messages"][0]["content"]
+    assert results[0]["content"] == "cut" and results[1] == {"type": "tool_result", "tool_use_id": "u", "content": [{"type": "text", "text": "kept"}], "is_error": True}
+    assert out["tools"] == [{"name": "f", "description": "d", "input_schema": {"type": "object"}}, {"name": "g", "input_schema": {}}]
+
+
+def test_equal_request_ids_of_two_sessions_stay_apart(spark):
+    log = spark.createDataFrame([("a", '{"model":"m","messages":[{"role":"user","content":"A"}]}'), ("b", '{"model":"m","messages":[{"role":"user","content":"B"}]}')],
+                                "session_id string, body string").withColumn("request_id", F.lit(1)).withColumn("provider", F.lit("openai"))
+    got = {r.session_id: r.body for r in ig.optimized_bodies(log).collect()}
+    assert '"A"' in got["a"] and '"B"' in got["b"] and '"B"' not in got["a"]
+
+
+def test_audit_reports_what_is_lost(spark):
+    bodies = ['{"system":[{"type":"text","text":"a"},{"type":"image"}],"messages":[]}', '{"messages":[{"role":"user","content":[{"type":"text","text":"a","citations":[]}]}]}',
+              '{"messages":[{"role":"user","content":[{"type":"tool_result","tool_use_id":"1","content":"x","cache_control":{"type":"ephemeral"}}]}]}',
+              '{"system":"s","messages":[{"role":"user","content":"x","name":"kept"}]}']
+    log = spark.createDataFrame([(i, b, "anthropic") for i, b in enumerate(bodies)], "request_id long, body string, provider string")
+    got = {r.request_id: (r.messages_differ, r.system_differ, r.dropped_system_blocks) for r in ig.roundtrip_audit(log).collect()}
+    assert got == {0: (False, True, 1), 1: (True, False, 0), 2: (True, False, 0)}
+
+
 def test_openai_params_and_inline_system(spark):
     body = ('{"model":"gpt-4o","messages":[{"role":"system","content":"be brief"},'
             '{"role":"user","content":[{"type":"text","text":"hi"},{"type":"image_url","image_url":{"url":"u"}}]},'

@@ -145,14 +145,14 @@ def test_request_tokens_vector(spark):
 
 
 def test_single_exchange_plan(spark):
-    """P5 keeps one hash exchange: every window is partitioned by a superset of session_id."""
+    """P5 keeps one hash exchange: every window is partitioned by a superset of the request. Filediff's lag
+    over (session, path) brings one exchange there and one back."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         b = blocks_df(spark, [dict(text="x")])
-        for stages, minimal, want in (({"dedup": True}, True, 1), ({"dedup": True, "filediff": True}, False, 1),
-                                      ({"dedup": True, "filediff": True}, True, 2)):
-            red = reduce_requests(b, Config(stages=stages, minimal_diff=minimal), partition="session")
+        for stages, want in (({"dedup": True}, 1), ({"dedup": True, "filediff": True}, 3)):
+            red = reduce_requests(b, Config(stages=stages))
             plan = red.requests._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange hashpartitioning") == want, plan
     finally:
@@ -160,16 +160,11 @@ def test_single_exchange_plan(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_session_switches_to_request_partitioning(spark):
-    from slimwire.plans.reduce import choose_partitioning
-    rows = [dict(request_id=i, session_id="default" if i % 3 == 0 else f"s{i}", text="x") for i in range(60)]
-    b = blocks_df(spark, rows)
-    assert choose_partitioning(b, hot_share=0.2, min_rows=10) == "request"
-    assert choose_partitioning(b) == "session"
-    # same results either way
-    a = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="request").requests.collect()}
-    s = {r.request_id: r.tokens_after for r in reduce_requests(b, partition="session").requests.collect()}
-    assert a == s
+def test_requests_of_a_hot_session_are_spread(spark):
+    rows = [dict(request_id=i, session_id="default", text=f"x{i}") for i in range(200)]
+    red = reduce_requests(blocks_df(spark, rows).repartition(3), Config())
+    spread = red.blocks.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread > 1 and red.requests.count() == 200
 
 
 def test_native_diff_equals_difflib_for_one_edited_region(spark):

@@ -106,22 +106,39 @@ def test_config_change_log_to_intervals_and_asof(spark):
     assert got == {1: (False, 32, True), 2: (True, 10, False), 3: (True, 10, False)}
 
 
-def test_config_asof_bucketed_path_equals_broadcast(spark, monkeypatch):
+def test_config_asof_does_not_multiply_blocks(spark, monkeypatch):
+    """More than 50,000 intervals and several blocks a request: the same totals as with one interval a day."""
+    from conftest import blocks_df
+    from slimwire.plans import config_asof as ca
+    from slimwire.plans.reduce import Config, reduce_requests
+    rows = [dict(request_id=i, session_id=f"s{i % 3}", at_ms=i * 1000, block_idx=k, text="a text of some length " * 9) for i in range(40) for k in range(4)]
+    blocks = blocks_df(spark, rows)
+    settings = ["true AS cache", "true AS dedup", "true AS strip", "false AS filediff", "false AS slice", "false AS intent", "32L AS min_savings", "true AS store"]
+    many = spark.range(60_000).selectExpr("id * 1000 AS valid_from_ms", "(id + 1) * 1000 AS valid_to_ms", *settings)
+    one = spark.range(1).selectExpr("0L AS valid_from_ms", f"{ca.OPEN_END}L AS valid_to_ms", *settings)
+    got = [sorted((r.session_id, r.request_id, r.tokens_before, r.tokens_after, r.blocks_in) for r in reduce_requests(blocks, Config(), config_log=log).requests.collect())
+           for log in (many, one)]
+    assert got[0] == got[1] and len(got[0]) == 40 and all(r[4] == 4 for r in got[0])
+    assert ca.config_as_of(blocks, many).count() == 160
+
+
+def test_config_asof_buckets(spark, monkeypatch):
     from slimwire.plans import config_asof as ca
     from slimwire.sources import tables as tb
     reqs = tb.requests(spark, "/root/testdata/sf0.001").select("request_id", "at_ms")
     cfg = tb.config_log(spark)
-    small = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
-    monkeypatch.setattr(ca, "BROADCAST_MAX_ROWS", 0)
+    first = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
     monkeypatch.setattr(ca, "BUCKET_MS", 7_000_000)
-    big = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).select(*reqs.columns, *ca.CONFIG_COLS).collect()}
-    assert small == big and len(big) == reqs.count()
+    other = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
+    assert first == other and len(other) == reqs.count()
+    empty = spark.createDataFrame([], "request_id long, at_ms long")
+    out = ca.config_as_of(empty, cfg)
+    assert out.count() == 0 and set(ca.CONFIG_COLS) <= set(out.columns)
 
 
-def test_config_asof_bucketed_path_on_empty_requests(spark, monkeypatch):
+def test_change_log_over_many_days(spark):
     from slimwire.plans import config_asof as ca
-    from slimwire.sources import tables as tb
-    monkeypatch.setattr(ca, "BROADCAST_MAX_ROWS", 0)
-    empty = spark.createDataFrame([], "request_id long, at_ms long")
-    out = ca.config_as_of(empty, tb.config_log(spark))
-    assert out.count() == 0 and set(ca.CONFIG_COLS) <= set(out.columns)
+    at = [5, 90_000_000, 90_000_001, 700_000_000]
+    changes = spark.createDataFrame([(t, i) for i, t in enumerate(at)], "at_ms long, min_savings long")
+    got = sorted((r.valid_from_ms, r.valid_to_ms) for r in ca.intervals_from_changes(changes).collect())
+    assert got == list(zip(at, [*at[1:], ca.OPEN_END]))
