@@ -66,6 +66,18 @@ def js_round(x: Column | str, digits: int = 1) -> Column:
     return (F.floor(col_(x) * scale + F.lit(0.5)) / F.lit(scale)).cast("double")
 
 
+def js_fixed1(x: Column | str) -> Column:
+    """``x.toFixed(1)``: the exact binary value to one place, halves away from zero, as text.
+
+    The fraction is taken in units of 2^-52, so the rounding is done on integers."""
+    v = F.abs(col_(x).cast("double"))
+    whole = F.floor(v).cast("bigint")
+    part = ((v - whole) * F.lit(float(1 << 52))).cast("bigint")
+    tenths = whole * 10 + F.shiftright(part * 10 + F.lit(1 << 51), 52)
+    sign = F.when((col_(x) < 0) & (tenths > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def clean_text(text: Column | str) -> Column:
     """Strip trailing spaces/tabs on every line, then collapse 3+ newlines to 2."""
     no_trailing = F.regexp_replace(col_(text), r"[ \t]+(?=\n|\z)", "")

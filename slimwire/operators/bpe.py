@@ -7,9 +7,10 @@ merged symbol is the concatenation of its parts' hex. A rank table maps a token
 T5 is an iterative Spark job over the *distinct word table* (pre-tokenize ->
 ``groupBy(word).count`` is the only pass over the corpus). Each round counts
 adjacent symbol pairs weighted by word frequency (a grouped sum with map-side
-combine), takes the best pair (highest count, ties by smallest pair), and
-rewrites the word table with a higher-order ``aggregate``. The word table is
-cached and its lineage is cut with ``checkpoint()`` every few rounds.
+combine) and takes the best pairs (highest count, ties by smallest pair) as far as
+they are sure to come next whatever the ones before them change, then rewrites the
+word table with higher-order ``aggregate``s. The word table's lineage is cut with
+``checkpoint()`` every round.
 
 T4 pre-tokenizes texts, pre-aggregates (text, pre-token) counts, encodes each
 *distinct* pre-token once in ``mapInPandas`` (rank table shipped in the closure;
@@ -30,7 +31,8 @@ from slimwire.session import checkpoint_dir
 # Fixed value: GPT-2 style pre-tokenizer (contractions, letters, digits, other, spaces).
 PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_RANKS_IN_TASK = 2_000_000        # rank tables above this are not shipped to tasks
-BROADCAST_PRETOKENS = 200_000        # distinct pre-tokens joined by broadcast below this
+MERGES_A_ROUND = 32                  # merges learned from one count of pairs, at most
+PAIRS_A_ROUND = 2_000                # most frequent pairs looked at for that
 
 
 def pretokens(text: Column) -> Column:
@@ -64,26 +66,47 @@ def _merge(syms: Column, a: str, b: str) -> Column:
     return F.aggregate(syms, F.array().cast("array<string>"), step)
 
 
-def learn_bpe_ranks(texts: DataFrame, merges: int, text_col: str = "text",
-                    checkpoint_every: int = 10) -> DataFrame:
-    """T5: ``merges`` rounds of byte-pair merging; returns (rank, left, right, token)."""
+def _sure_merges(pairs: list[tuple[str, str, int]], most: int, whole: bool) -> list[tuple[str, str, int]]:
+    """Of pairs in order of their counts: the first ones that one-by-one merging would take next, in this order.
+
+    Merging (a, b) changes only counts of pairs with a or b, and a pair with the new symbol can't be more frequent than
+    a pair (x, a) or (b, y) was. So the next pair is sure if it shares no symbol with those taken and every such pair of
+    theirs is rarer than it. ``whole``: the list holds all pairs; else pairs beyond it count as its last."""
+    taken: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    bound = 0
+    floor = 0 if whole or not pairs else pairs[-1][2]
+    for a, b, n in pairs:
+        if taken and (a in used or b in used or n <= max(bound, floor)):
+            break
+        taken.append((a, b, n))
+        used |= {a, b}
+        bound = max([bound, *(c for x, y, c in pairs if (x, y) != (a, b) and (y == a or x == b))])
+        if a == b or len(taken) == most:  # runs of one symbol change their own counts
+            break
+    return taken
+
+
+def learn_bpe_ranks(texts: DataFrame, merges: int, text_col: str = "text") -> DataFrame:
+    """T5: ``merges`` byte-pair merges, the same as one by one; returns (rank, left, right, token, pair_count)."""
     spark = texts.sparkSession
     checkpoint_dir(spark)
     words = word_table(texts, text_col).select("n", "syms").where(F.size("syms") > 1).checkpoint(eager=True)
-    learned = []
-    for r in range(merges):
+    learned: list[tuple] = []
+    while len(learned) < merges:
         zipped = F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1), F.slice("syms", 2, F.size("syms")))
         pairs = (words.select("n", F.explode(zipped).alias("p"))
                       .select("n", F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b"))
                       .groupBy("a", "b").agg(F.sum("n").alias("cnt")))
-        best = pairs.orderBy(F.col("cnt").desc(), "a", "b").limit(1).collect()
-        if not best:
+        best = pairs.orderBy(F.col("cnt").desc(), "a", "b").limit(PAIRS_A_ROUND).collect()   # a bounded head of the list
+        found = _sure_merges([(r["a"], r["b"], int(r["cnt"])) for r in best],
+                             min(MERGES_A_ROUND, merges - len(learned)), len(best) < PAIRS_A_ROUND)
+        if not found:
             break
-        a, b = best[0]["a"], best[0]["b"]
-        learned.append((r, a, b, a + b, int(best[0]["cnt"])))
-        words = words.select("n", _merge(F.col("syms"), a, b).alias("syms")).where(F.size("syms") > 1)
-        if (r + 1) % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)
+        for a, b, n in found:
+            learned.append((len(learned), a, b, a + b, n))
+            words = words.withColumn("syms", _merge(F.col("syms"), a, b))
+        words = words.where(F.size("syms") > 1).checkpoint(eager=True)
     return spark.createDataFrame(learned, "rank long, left string, right string, token string, pair_count long")
 
 
@@ -128,8 +151,6 @@ def bpe_token_counts(texts: DataFrame, ranks_df: DataFrame, key: str, text_col:
                 .groupBy(key, "pretoken").agg(F.count(F.lit(1)).alias("k")))
     distinct = per.select("pretoken").distinct()
     enc = encode_counts(distinct, ranks)
-    n_distinct = distinct.limit(BROADCAST_PRETOKENS + 1).count()
-    enc = F.broadcast(enc) if n_distinct <= BROADCAST_PRETOKENS else enc
     joined = per.join(enc, "pretoken")
     counts = joined.groupBy(key).agg(F.sum(F.col("k") * F.col("tokens")).cast("bigint").alias("tokens"))
     # texts without any pre-token (empty) count 0

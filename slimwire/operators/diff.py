@@ -6,15 +6,17 @@ Two forms:
   arrays and the sizes of the changed middle. Exact for a single edited region,
   an upper bound for several separated edits.
 * ``line_diff_udf`` — the unified-diff text (4 context lines, ``---``/``+++``
-  header, ``@@ -a,b +c,d @@`` hunks) computed per (previous, current) pair in an
-  Arrow-batched pandas UDF. Spark has no line-diff expression; the pairs are
-  produced by the ``lag`` window, so the UDF is a per-row helper only.
+  header, ``@@ -a,b +c,d @@`` hunks) of the shortest edit script, computed per
+  (previous, current) pair in an Arrow-batched pandas UDF. Spark has no line-diff
+  expression; the pairs are produced by the ``lag`` window, so the UDF is a per-row
+  helper only.
+
+A line is what ends in a newline, so a file that gains or loses its final newline
+has its last line changed.
 """
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,44 +24,89 @@ from pyspark.sql.types import StringType
 
 CONTEXT_LINES = 4
 NO_NEWLINE = "\\ No newline at end of file"
+OPEN_LINE = "\u0000"   # ends a last line that has no newline, while lines are compared
+
+
+def _lines(text: str) -> list[str]:
+    lines = text.split("\n")
+    return [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+
+
+def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """A shortest edit script as (' ', i, j), ('-', i, j), ('+', i, j) steps (the greedy furthest-reaching search)."""
+    lo = 0
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    x_end, y_end = len(a) - lo - hi, len(b) - lo - hi
+    reach, trail = {1: 0}, []
+    for d in range(x_end + y_end + 1):
+        trail.append(dict(reach))
+        done = False
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            y = x - k
+            while x < x_end and y < y_end and a[lo + x] == b[lo + y]:
+                x, y = x + 1, y + 1
+            reach[k] = x
+            if x >= x_end and y >= y_end:
+                done = True
+                break
+        if done:
+            break
+    steps, x, y = [], x_end, y_end
+    for d in range(len(trail) - 1, -1, -1):
+        before, k = trail[d], x - y
+        from_k = k + 1 if k == -d or (k != d and before[k - 1] < before[k + 1]) else k - 1
+        px = before[from_k] if d else 0
+        py = px - from_k if d else 0
+        while x > px and y > py:
+            x, y = x - 1, y - 1
+            steps.append((" ", lo + x, lo + y))
+        if d:
+            x, y = px, py
+            steps.append(("+", lo + x, lo + y) if from_k == k + 1 else ("-", lo + x, lo + y))
+    return ([(" ", i, i) for i in range(lo)] + steps[::-1]
+            + [(" ", lo + x_end + i, lo + y_end + i) for i in range(hi)])
 
 
 def unified_diff(path: str, old: str, new: str, context: int = CONTEXT_LINES) -> str:
     """Unified diff of two texts without the Index/=== preamble, trailing space trimmed."""
-    a = old.split("\n")
-    b = new.split("\n")
-    # A trailing newline ends the last line rather than starting an empty one.
-    a_eol = old.endswith("\n")
-    b_eol = new.endswith("\n")
-    if a_eol:
-        a = a[:-1]
-    if b_eol:
-        b = b[:-1]
+    a, b = _lines(old), _lines(new)
+    steps = edit_script(a, b)
     out = [f"--- {path}\tprevious", f"+++ {path}\tcurrent"]
-    sm = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    for group in sm.get_grouped_opcodes(context):
-        i1, i2 = group[0][1], group[-1][2]
-        j1, j2 = group[0][3], group[-1][4]
-        old_start = i1 + 1 if i2 > i1 else i1
-        new_start = j1 + 1 if j2 > j1 else j1
-        out.append(f"@@ -{old_start},{i2 - i1} +{new_start},{j2 - j1} @@")
-        for tag, x1, x2, y1, y2 in group:
-            if tag == "equal":
-                out.extend(" " + s for s in a[x1:x2])
-                if x2 == len(a) and y2 == len(b) and not (a_eol and b_eol):
-                    out.append(NO_NEWLINE)
+    changed = [i for i, s in enumerate(steps) if s[0] != " "]
+    at = 0
+    while at < len(changed):
+        end = at
+        while end + 1 < len(changed) and changed[end + 1] - changed[end] <= 2 * context + 1:
+            end += 1
+        hunk = steps[max(0, changed[at] - context):changed[end] + context + 1]
+        removed = sum(s[0] != "+" for s in hunk)
+        added = sum(s[0] != "-" for s in hunk)
+        _, i, j = hunk[0]
+        out.append(f"@@ -{i + 1 if removed else i},{removed} +{j + 1 if added else j},{added} @@")
+        # within a run of changes the removed lines come first
+        run: list[str] = []
+        for mark, i, j in [*hunk, (" ", -1, -1)]:
+            if mark == "+":
+                run += _shown("+", b[j])
                 continue
-            if tag in ("replace", "delete"):
-                out.extend("-" + s for s in a[x1:x2])
-                if x2 == len(a) and not a_eol:
-                    out.append(NO_NEWLINE)
-            if tag in ("replace", "insert"):
-                out.extend("+" + s for s in b[y1:y2])
-                if y2 == len(b) and not b_eol:
-                    out.append(NO_NEWLINE)
+            if mark == " ":
+                out += run
+                run = []
+            if i >= 0:
+                out += _shown(mark, a[i])
+        at = end + 1
     return "\n".join(out).rstrip()
 
 
+def _shown(mark: str, line: str) -> list[str]:
+    return [mark + line[:-1]] if line.endswith("\n") else [mark + line, NO_NEWLINE]
+
+
 @F.pandas_udf(StringType())
 def line_diff_udf(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     res = []
@@ -117,9 +164,10 @@ def with_unified_diff(df: DataFrame, path: str, old: str, new: str, out: str,
     region; for several separated edits the single hunk is valid but not minimal.
     Rows where ``old`` or ``new`` is NULL get NULL.
     """
-    # a final newline ends the last line rather than starting an empty one
-    df = (df.withColumn("_uo", F.regexp_replace(F.col(old), r"\n\z", ""))
-            .withColumn("_un", F.regexp_replace(F.col(new), r"\n\z", "")))
+    # a final newline ends the last line rather than starting an empty one; a last line without one is another line
+    def ended(c: str) -> Column:
+        return F.when(F.col(c).endswith("\n"), F.regexp_replace(F.col(c), r"\n\z", "")).otherwise(F.concat(F.col(c), F.lit(OPEN_LINE)))
+    df = df.withColumn("_uo", ended(old)).withColumn("_un", ended(new))
     df = diff_counts(df, "_uo", "_un")
     df = df.withColumn("_ua", F.split(F.col("_uo"), "\n", -1)).withColumn("_ub", F.split(F.col("_un"), "\n", -1))
     na, nb = F.size("_ua"), F.size("_ub")
@@ -131,7 +179,7 @@ def with_unified_diff(df: DataFrame, path: str, old: str, new: str, out: str,
 
     def lines(arr: Column, lo: Column, hi: Column, mark: str) -> Column:
         piece = F.slice(arr, lo + 1, F.greatest(hi - lo, F.lit(0)))
-        return F.transform(piece, lambda x: F.concat(F.lit(mark), x))
+        return F.transform(piece, lambda x: F.concat(F.lit(mark), F.replace(x, F.lit(OPEN_LINE), F.lit("\n" + NO_NEWLINE))))
 
     def rng(s: Column, n: Column) -> Column:
         return F.concat(F.when(n > 0, s + 1).otherwise(s).cast("string"), F.lit(","), n.cast("string"))
@@ -140,10 +188,8 @@ def with_unified_diff(df: DataFrame, path: str, old: str, new: str, out: str,
                      F.concat(F.lit("+++ "), F.col(path), F.lit("\tcurrent")),
                      F.concat(F.lit("@@ -"), rng(start, a_stop - start), F.lit(" +"),
                               rng(start, b_stop - start), F.lit(" @@")))
-    at_eof = (a_stop == na) & (b_stop == nb) & ~F.col(old).endswith("\n") & ~F.col(new).endswith("\n")
     body = F.concat(header, lines(F.col("_ua"), start, p, " "), lines(F.col("_ua"), p, a_end, "-"),
-                    lines(F.col("_ub"), p, b_end, "+"), lines(F.col("_ua"), a_end, a_stop, " "),
-                    F.when(at_eof, F.array(F.lit(NO_NEWLINE))).otherwise(F.array().cast("array<string>")))
+                    lines(F.col("_ub"), p, b_end, "+"), lines(F.col("_ua"), a_end, a_stop, " "))
     text = F.regexp_replace(F.array_join(body, "\n"), r"\s+\z", "")     # trimEnd
     return (df.withColumn(out, F.when(F.col(old).isNotNull() & F.col(new).isNotNull(), text))
               .drop("_ua", "_ub", "_uo", "_un", "counts"))

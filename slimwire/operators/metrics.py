@@ -54,9 +54,10 @@ def metrics_by_model(metrics: DataFrame) -> DataFrame:
                        F.sum("tokens_before").cast("bigint").alias("tokens_before"),
                        F.sum("saved").cast("bigint").alias("saved"),
                        F.min("id").alias("_first")))
-    # The aggregate has one row per model (a small, bounded set): a global rank is cheap.
-    rank = F.row_number().over(Window.orderBy(F.col("tokens_before").desc(), F.col("_first"))) - 1
-    return agg.select("model", "requests", "tokens_before", "saved", rank.cast("bigint").alias("rank"))
+    # clients name the models, so their number has no bound: ranked without a window over all of them in one task
+    from slimwire.plans.sequence import sequence
+    ranked = sequence(agg.withColumn("_down", -F.col("tokens_before")), ["_down", "_first"], "rank")
+    return ranked.select("model", "requests", "tokens_before", "saved", "rank")
 
 
 def recent_requests(metrics: DataFrame, limit: int = RECENT_DEFAULT) -> DataFrame:
@@ -75,18 +76,38 @@ def request_summary(metrics: DataFrame) -> DataFrame:
         tx.js_round(F.col("duration_ms"), 2).alias("duration_ms"))
 
 
+def run_summary(requests: DataFrame) -> DataFrame:
+    """M6 over a reduction's ``per_request`` rows: savedPct to 1 place and the stages as (name, saved, reversible)."""
+    return requests.select(
+        "session_id", "request_id", "tokens_before", "tokens_after", "saved",
+        F.when(F.col("tokens_before") > 0, tx.js_round(F.col("saved") / F.col("tokens_before") * 100, 1))
+         .otherwise(F.lit(0.0)).alias("saved_pct"),
+        F.transform("stages", lambda s: F.struct(s["stage"].alias("name"), s["saved"].alias("saved"),
+                                                 s["reversible"].alias("reversible"))).alias("stages"))
+
+
+def metrics_of_run(requests: DataFrame) -> DataFrame:
+    """The metric rows of a reduction (without ids, see :func:`assign_sequential_ids`; no clock runs in a plan, so the
+    duration is null)."""
+    return requests.select("at_ms", "provider", "model", "session_id", "tokens_before", "tokens_after", "saved",
+                           F.lit(None).cast("double").alias("duration_ms"))
+
+
 def log_line(metrics: DataFrame, prefix: str = LOG_PREFIX) -> DataFrame:
     """M7: one human-readable line per request."""
     pct = F.when(F.col("tokens_before") > 0, F.col("saved") / F.col("tokens_before") * 100).otherwise(0.0)
-    line = F.format_string(prefix + " model=%s before=%d after=%d saved=%d (%.1f%%) %.1fms",
+    line = F.format_string(prefix + " model=%s before=%d after=%d saved=%d (%s%%) %sms",
                            F.col("model"), F.col("tokens_before"), F.col("tokens_after"), F.col("saved"),
-                           pct, F.col("duration_ms"))
+                           tx.js_fixed1(pct), tx.js_fixed1("duration_ms"))
     return metrics.select("id", line.alias("line"))
 
 
 def savings_share(by_model: DataFrame) -> DataFrame:
     """M8: bar scale per model: width vs the largest model, saved share clamped to 0..100."""
-    mx = F.greatest(F.max("tokens_before").over(Window.partitionBy()), F.lit(1))
+    # one row of the largest, joined back: no window over all models in one task
+    largest = by_model.agg(F.greatest(F.max("tokens_before"), F.lit(1)).alias("_largest"))
+    by_model = by_model.join(F.broadcast(largest))
+    mx = F.col("_largest")
     share = F.when(F.col("tokens_before") > 0, F.col("saved") / F.col("tokens_before") * 100).otherwise(0.0)
     return by_model.select(
         "model", (F.col("tokens_before") / mx * 100).alias("width_pct"),
@@ -112,12 +133,25 @@ def spend_rollup(metrics: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- M9, M10
-def snapshot_metrics(metrics: DataFrame, path: str) -> str:
-    """M9: write the metrics rows as a new snapshot version (see sources.snapshot)."""
+def snapshot_metrics(metrics: DataFrame, path: str, next_id: int | None = None) -> str:
+    """M9: write the metrics rows as a new snapshot version (see sources.snapshot), and the id that the next
+    request gets (by default one more than the highest), which outlives the rows."""
     from slimwire.sources.snapshot import write_snapshot
+    if next_id is None:
+        top = metrics.agg(F.max("id")).first()[0]
+        next_id = 0 if top is None else top + 1
+    write_snapshot(metrics.sparkSession.createDataFrame([(next_id,)], "next_id long"), path + "-sequence")
     return write_snapshot(metrics, path)
 
 
+def restore_sequence(spark: SparkSession, path: str) -> int:
+    """M9: the id that the next request gets after a restore."""
+    from pyspark.sql.types import LongType, StructType
+    from slimwire.sources.snapshot import read_snapshot
+    row = read_snapshot(spark, path + "-sequence", StructType().add("next_id", LongType())).first()
+    return row["next_id"] if row else 0
+
+
 def restore_metrics(spark: SparkSession, path: str, capacity: int = RING_CAPACITY) -> DataFrame:
     """M9: read the latest snapshot and keep only the newest ``capacity`` rows."""
     from slimwire.sources.snapshot import METRICS_SCHEMA, read_snapshot
@@ -126,6 +160,6 @@ def restore_metrics(spark: SparkSession, path: str, capacity: int = RING_CAPACIT
 
 def clear_metrics(spark: SparkSession, path: str) -> str:
     """Empty the store by writing an empty snapshot version (ids restart at 0)."""
-    from slimwire.sources.snapshot import METRICS_SCHEMA, write_snapshot
-    return write_snapshot(spark.createDataFrame([], METRICS_SCHEMA), path)
+    from slimwire.sources.snapshot import METRICS_SCHEMA
+    return snapshot_metrics(spark.createDataFrame([], METRICS_SCHEMA), path, next_id=0)
 

@@ -43,7 +43,7 @@ class StageContext:
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: Column | bool = True
     tokenizer: Callable[[Column], Column] = tx.approx_tokens
-    minimal_diff: bool = True    # False: native single hunk instead of difflib hunks in an Arrow UDF
+    minimal_diff: bool = True    # False: native single hunk instead of minimal hunks in an Arrow UDF
 
 
 @dataclass(frozen=True)
@@ -133,25 +133,31 @@ def _strip_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- S7-S10
+def previous_versions(df: DataFrame, is_file_text: Column) -> DataFrame:
+    """Adds _path (named by the first line of ``is_file_text`` where that is long enough, else NULL), and of the
+    version sent before it in the session, _prev (text) and _prev_request.
+
+    Every qualifying block advances the file store in arrival order, also when the stage is later reverted: a lag over
+    (session, path). Other rows are keyed by their request, so they never pile up in one (session, NULL) partition."""
+    long_enough = (F.octet_length(is_file_text) >= tx.MIN_FILE_CHARS) & (tx.utf16_len(is_file_text) >= tx.MIN_FILE_CHARS)
+    df = df.withColumn("_path", F.when(long_enough, tx.detect_path(is_file_text)))
+    order = [F.col(c) for c in ("at_ms", "request_id", "msg_idx", "block_idx") if c in df.columns]
+    w = Window.partitionBy("session_id", "_path",
+                           F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*order)
+    known = F.col("_path").isNotNull()
+    return (df.withColumn("_prev", F.when(known, F.lag("text").over(w)))
+              .withColumn("_prev_request", F.when(known, F.lag("request_id").over(w))))
+
+
 def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
     from slimwire.operators.diff import line_diff_udf, with_unified_diff
 
     store = ctx.store if isinstance(ctx.store, Column) else F.lit(bool(ctx.store))
-    n = F.octet_length(F.col("text"))
-    is_file = ((F.col("section") == "message") & (F.col("type") == "text") & ~F.col("drop")
-               & (n >= tx.MIN_FILE_CHARS) & (tx.utf16_len(F.col("text")) >= tx.MIN_FILE_CHARS) & store)
-    df = df.withColumn("_path", F.when(is_file, tx.detect_path(F.col("text"))))
-    # The file store is advanced by every qualifying block in arrival order, also
-    # when the stage is later reverted: a lag over (session, path) reproduces it.
-    order = [F.col("at_ms"), F.col("request_id"), F.col("msg_idx"), F.col("block_idx")]
-    # Non-file rows are keyed by their request, so they never pile up in one
-    # (session, NULL) window partition; file rows share (session, path).
-    w = Window.partitionBy("session_id", "_path",
-                           F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*order)
-    df = df.withColumn("_prev", F.when(F.col("_path").isNotNull(), F.lag("text").over(w)))
+    is_file = (F.col("section") == "message") & (F.col("type") == "text") & ~F.col("drop") & store
+    df = previous_versions(df, F.when(is_file, F.col("text"))).drop("_prev_request")
     cand = F.col("_prev").isNotNull() & (F.col("_prev") != F.col("text"))
     if ctx.minimal_diff:
-        # multi-hunk minimal diff in an Arrow UDF (hides partitioning: one more exchange)
+        # multi-hunk minimal diff in an Arrow UDF
         df = df.withColumn("_diff", line_diff_udf(F.when(cand, F.col("_path")),
                                                   F.when(cand, F.col("_prev")),
                                                   F.when(cand, F.col("text"))))

@@ -167,7 +167,10 @@ def _lagged(spark, d) -> DataFrame:
 @register("s8_previous_version", PREV_SQL + """
 SELECT session_id, request_id, path, prev_request_id, prev IS NOT NULL AND prev <> text AS differs FROM lagged""")
 def q_s8(spark, d):
-    lg = _lagged(spark, d)
+    from slimwire.operators.stages import previous_versions
+    files = tb.file_versions(spark, d)
+    lg = previous_versions(files, files["text"]).where(F.col("_path").isNotNull()).withColumnRenamed("_prev", "prev")
+    lg = lg.drop("path").withColumnRenamed("_path", "path").withColumnRenamed("_prev_request", "prev_request_id")
     return lg.select("session_id", "request_id", "path", "prev_request_id",
                      (F.col("prev").isNotNull() & (F.col("prev") != F.col("text"))).alias("differs"))
 
@@ -221,7 +224,7 @@ S10_SQL = ov.with_views("file_revisions") + f""",
                  list_transform(b[pre + 1:b_end], lambda x: concat('+', x)),
                  list_transform(a[a_end + 1:a_stop], lambda x: concat(' ', x)),
                  CASE WHEN a_stop = na AND b_stop = nb AND NOT ends_with(prev, chr(10)) AND NOT ends_with(text, chr(10))
-                      THEN ['\\ No newline at end of file'] ELSE [] END), chr(10)), '\s+$', '') AS diff
+                      THEN ['\\ No newline at end of file'] ELSE [] END), chr(10)), '\\s+$', '') AS diff
        FROM h),
  r AS (SELECT c.request_id, c.text, c.prev, c.path_q, d.diff,
               coalesce(c.cand AND length(d.diff) < length(c.text), false) AS rw
@@ -350,15 +353,57 @@ def q_p8(spark, d):
     return savings_by_stage(red).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@register("u1_custom_stage")
+HEAD = 40
+
+
+@register("u1_custom_stage", ov.with_views("request_blocks") + f""",
+ m AS (SELECT request_id, CAST(sum({ov.tok_sql('text')}) - sum({ov.tok_sql(f'left(text, {HEAD})')}) AS BIGINT) AS measured,
+              count(*) FILTER (WHERE length(text) > {HEAD}) AS cut FROM request_blocks GROUP BY request_id)
+SELECT request_id, 'head' AS stage, CASE WHEN measured < 32 THEN CAST(0 AS BIGINT) ELSE measured END AS saved, measured < 32 AS reverted,
+       CASE WHEN measured < 32 THEN concat('reverted: saved ', CAST(measured AS VARCHAR), ' < min 32') ELSE 'heads only' END AS notes FROM m""")
 def q_u1(spark, d):
-    # A user stage: upper-case every text block; lossless, so never reverted.
-    up = custom_stage("shout", lambda df: df.withColumn(
-        "n_text", F.when(F.col("type") == "text", F.upper("text")).otherwise(F.col("text"))), reversible=True)
-    red = reduce_requests(tb.request_blocks(spark, d), Config(), stages=[up])
+    # A user stage: keep the head of every text block; lossy, so the guardrail applies.
+    head = custom_stage("head", lambda df: df.withColumn(
+        "n_text", F.when(F.col("type") == "text", F.left("text", F.lit(HEAD))).otherwise(F.col("text"))),
+        reversible=False, note="heads only")
+    red = reduce_requests(tb.request_blocks(spark, d), Config(), stages=[head])
     return red.ledger.select("request_id", "stage", "saved", "reverted", "notes")
 
 
+@register("u2_custom_tokenizer_words", ov.with_views("request_blocks") + f""",
+ c AS (SELECT request_id, text, {ov.clean_sql('text')} AS clean FROM request_blocks),
+ n AS (SELECT request_id, len(string_split(text, ' ')) AS before,
+              CASE WHEN regexp_matches(clean, '{ov.RE_BLANK}') THEN 0 ELSE len(string_split(clean, ' ')) END AS after FROM c)
+SELECT request_id, CAST(sum(before) AS BIGINT) AS tokens_before, CAST(sum(after) AS BIGINT) AS tokens_after FROM n GROUP BY request_id""")
+def q_u2_words(spark, d):
+    # A user tokenizer in column expressions: words between single spaces.
+    words = lambda c: F.size(F.split(c, " ", -1)).cast("bigint")
+    # anthropic system blocks repeat in no request here, so strip only cleans and drops blanks
+    return reduce_requests(tb.request_blocks(spark, d), Config(), tokenizer=words).requests.select("request_id", "tokens_before", "tokens_after")
+
+
+@register("m6_run_summary", pipeline_sql("request_blocks", 32) + """
+SELECT request_id, tokens_before, tokens_after, saved,
+       CASE WHEN tokens_before > 0 THEN floor(saved / tokens_before * 100 * 10 + 0.5) / 10 ELSE 0.0 END AS saved_pct,
+       concat('cache:0:true,dedup:', CAST(CASE WHEN saved_dedup < 32 THEN 0 ELSE saved_dedup END AS BIGINT), ':false,strip:',
+              CAST(tokens_dedup - tokens_after AS BIGINT), ':true') AS stages FROM req""")
+def q_m6_run(spark, d):
+    from slimwire.operators.metrics import run_summary
+    red = reduce_requests(tb.request_blocks(spark, d), Config(stages={"dedup": True}))
+    text = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["name"], s["saved"].cast("string"), s["reversible"].cast("string"))), ",")
+    return run_summary(red.per_request).select("request_id", "tokens_before", "tokens_after", "saved", "saved_pct", text.alias("stages"))
+
+
+@register("m3_metrics_of_run", pipeline_sql("request_blocks", 32) + """
+SELECT CAST(count(*) AS BIGINT) AS requests, CAST(sum(tokens_before) AS BIGINT) AS tokens_before, CAST(sum(tokens_after) AS BIGINT) AS tokens_after,
+       CAST(sum(saved) AS BIGINT) AS saved, CASE WHEN sum(tokens_before) > 0 THEN floor(sum(saved) / sum(tokens_before) * 100 * 10 + 0.5) / 10 ELSE 0.0 END AS saved_pct,
+       0.0 AS avg_duration_ms FROM req""")
+def q_m3_run(spark, d):
+    from slimwire.operators.metrics import metrics_of_run, metrics_total
+    red = reduce_requests(tb.request_blocks(spark, d), Config(stages={"dedup": True}))
+    return metrics_total(metrics_of_run(red.per_request))
+
+
 # --------------------------------------------------------------------------- P7, H8
 def _cfg_values_sql() -> str:
     rows = []
@@ -441,7 +486,7 @@ def q_h8(spark, d):
 
 
 # --------------------------------------------------------------------------- T4, T5, U2
-BPE_MERGES = 24
+BPE_MERGES = 100
 
 
 def _ranks(spark, d):

@@ -88,7 +88,17 @@ def q_m6(spark, d):
     return mx.request_summary(_rm(spark, d))
 
 
-@register("m7_log_line")
+def _fixed1(x: str) -> str:
+    """The exact binary value to one decimal, halves away from zero."""
+    v = f"abs(CAST({x} AS DOUBLE))"
+    n = f"(CAST(floor({v}) AS BIGINT) * 10 + ((CAST(({v} - floor({v})) * 4503599627370496 AS BIGINT) * 10 + 2251799813685248) >> 52))"
+    return f"concat(CASE WHEN {x} < 0 AND {n} > 0 THEN '-' ELSE '' END, CAST({n} // 10 AS VARCHAR), '.', CAST({n} % 10 AS VARCHAR))"
+
+
+@register("m7_log_line", RM + f"""
+SELECT id, concat('{mx.LOG_PREFIX} model=', model, ' before=', tokens_before, ' after=', tokens_after, ' saved=', saved, ' (',
+                  {_fixed1("CASE WHEN tokens_before > 0 THEN saved / tokens_before * 100 ELSE 0.0 END")}, '%) ', {_fixed1("duration_ms")}, 'ms') AS line
+FROM request_metrics""")
 def q_m7(spark, d):
     return mx.log_line(_rm(spark, d))
 
@@ -109,6 +119,15 @@ def q_m9(spark, d):
     return mx.restore_metrics(spark, path)
 
 
+@register("m9_metrics_sequence", RM + "\nSELECT CAST(max(id) + 1 AS BIGINT) AS next_id, CAST(0 AS BIGINT) AS after_clear FROM request_metrics")
+def q_m9_sequence(spark, d):
+    path = _scratch(spark, "metrics")
+    mx.snapshot_metrics(_rm(spark, d), path)
+    kept = mx.restore_sequence(spark, path)
+    mx.clear_metrics(spark, path)
+    return spark.createDataFrame([(kept, mx.restore_sequence(spark, path))], "next_id long, after_clear long")
+
+
 @register("m10_clear_metrics", RM + f"\nSELECT {M_COLS} FROM request_metrics WHERE false")
 def q_m10(spark, d):
     path = _scratch(spark, "metrics")

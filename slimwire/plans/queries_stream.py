@@ -20,9 +20,9 @@ def q_i13(spark, d):
     # the request log lands as JSON-lines files; the stream normalizes them as they arrive
     src = sj.new_run_dir(spark, "request-log")
     log = tb.request_json(spark, d)
-    log.repartition(4).write.json(src)
+    log.write.json(src)
     schema = log.schema
-    stream = sj.stream_dir(spark, src, schema, fmt="json", max_files=2)
+    stream = sj.stream_dir(spark, src, schema, fmt="json", max_files=8)
     _, blocks = ig.normalize(stream)
     out = sj.run_append(blocks.select("request_id", "section", "msg_idx", "block_idx"), sj.new_run_dir(spark, "out"))
     res = spark.read.parquet(out)
@@ -38,7 +38,7 @@ FROM m GROUP BY 1, 2, model""")
 def q_g1(spark, d):
     metrics = sj.metrics_stream(sj.stream_table(spark, d, "events"))
     out = sj.run_complete(sj.stream_metrics(metrics), sj.new_run_dir(spark, "g1"))
-    return spark.read.parquet(out)
+    return sj.read_newest(spark, out)
 
 
 @register("g2_stream_sessions", ov.with_views("request_metrics") + """,
@@ -71,14 +71,16 @@ def q_g3(spark, d):
 SELECT session_id, path, request_id, prev_request_id, prev IS NOT NULL AND prev <> text AS differs FROM lagged""")
 def q_g4(spark, d):
     src = sj.new_run_dir(spark, "file-versions")
-    fv = tb.file_versions(spark, d)
-    # the log arrives in time order: one append per time slice, oldest first
+    kept = sj.new_run_dir(spark, "file-versions-log")
+    tb.file_versions(spark, d).write.parquet(kept)
+    fv = spark.read.parquet(kept)
+    # the log arrives in time order: one append per time slice, oldest first, each session in one file of it
     bounds = fv.agg(F.min("at_ms").alias("lo"), F.max("at_ms").alias("hi")).first()
     step = (bounds["hi"] - bounds["lo"]) // 4 + 1
     for i in range(4):
         lo = bounds["lo"] + i * step
-        fv.where((F.col("at_ms") >= lo) & (F.col("at_ms") < lo + step)).coalesce(1).write.mode("append").parquet(src)
-    stream = sj.stream_dir(spark, src, fv.schema, max_files=1)
+        fv.where((F.col("at_ms") >= lo) & (F.col("at_ms") < lo + step)).repartition("session_id").write.mode("append").parquet(src)
+    stream = sj.stream_dir(spark, src, fv.schema, max_files=8)
     # same qualification as the batch stage: a file block is >= 200 units with a path line
     from slimwire.functions import text as tx
     files = (stream.where(tx.utf16_len("text") >= tx.MIN_FILE_CHARS)
@@ -95,8 +97,10 @@ def q_g4(spark, d):
  s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT session_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts) + INTERVAL 30 MINUTE) // 1000 AS end_ms,
        CAST(count(*) AS BIGINT) AS events
-FROM s GROUP BY session_id, sid""")
+FROM s GROUP BY session_id, sid
+-- spans that the watermark (a day behind the newest event) has passed
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM m)""")
 def q_g5(spark, d):
     metrics = sj.metrics_stream(sj.stream_table(spark, d, "events"))
-    out = sj.run_complete(sj.stream_idle_sessions(metrics), sj.new_run_dir(spark, "g5"))
-    return spark.read.parquet(out)
+    out = sj.run_append(sj.stream_idle_sessions(metrics), sj.new_run_dir(spark, "g5"))
+    return spark.read.parquet(out).drop("batch_id")

@@ -36,8 +36,7 @@ class Config:
     stages: Mapping[str, bool] | None = None
     min_savings: float = tx.MIN_SAVINGS_TOKENS
     store: bool = True
-    # filediff: multi-hunk line diff (difflib in an Arrow UDF; closest to the reference, one
-    # more exchange) or, when False, the native single hunk (no Python, no extra exchange)
+    # filediff: multi-hunk diff of the shortest edit script (a per-row helper in an Arrow UDF) or, when False, the native single hunk (no Python, no extra exchange)
     minimal_diff: bool = True
 
     def toggles(self) -> dict[str, bool]:

@@ -11,8 +11,8 @@ like any other data:
    group and their row counts. This is O(#partitions), collected to the driver.
 3. The driver prefix-sums the counts of groups that cross partition boundaries
    (only the first group of a partition can continue an earlier one).
-4. Pass B (``mapInPandas``): per partition ``cumcount`` per group plus the offset of
-   the partition's first group; offsets are passed in the closure (size bounded
+4. Pass B (``mapInPandas``): per batch ``cumcount`` per group plus the rows so far of the
+   group that goes on from the batch (or partition) before; offsets are passed in the closure (size bounded
    by the partition count, never by the data).
 """
 
@@ -29,23 +29,28 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from slimwire.session import checkpoint_dir
 
 
+def _keys(pdf: pd.DataFrame, group: str | None) -> pd.Series:
+    return pdf[group].astype(str) if group else pd.Series("", index=pdf.index)
+
+
 def _summary(group: str | None) -> callable:
+    """First and last group of a partition with their rows. Input is sorted by group, so only these two are held."""
     def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
-        counts: dict = {}
         first = last = None
+        n_first = n_last = total = 0
         for pdf in it:
             if pdf.empty:
                 continue
-            keys = pdf[group].astype(str) if group else pd.Series([""] * len(pdf))
+            keys = _keys(pdf, group)
             if first is None:
                 first = keys.iloc[0]
+            n_first += int((keys == first).sum())
+            tail = int((keys == keys.iloc[-1]).sum())
+            n_last = n_last + tail if keys.iloc[-1] == last else tail
             last = keys.iloc[-1]
-            for k, c in keys.value_counts(sort=False).items():
-                counts[k] = counts.get(k, 0) + int(c)
-        total = sum(counts.values())
-        yield pd.DataFrame({"pid": [pid], "first": [first], "n_first": [counts.get(first, 0)],
-                            "last": [last], "n_last": [counts.get(last, 0)], "total": [total]})
+            total += len(pdf)
+        yield pd.DataFrame({"pid": [pid], "first": [first], "n_first": [n_first], "last": [last], "n_last": [n_last], "total": [total]})
     return f
 
 
@@ -74,7 +79,7 @@ def sequence(df: DataFrame, order: Sequence[str], out_col: str, group: str | Non
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or max(spark.sparkContext.defaultParallelism, 1)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ([group] if group else []) + list(order)
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
 
@@ -88,22 +93,20 @@ def sequence(df: DataFrame, order: Sequence[str], out_col: str, group: str | Non
 
     def number(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
-        base = offsets.get(pid, 0)
-        first_key = None
-        carry: dict = {}
+        last, held = None, offsets.get(pid, 0)   # the group that may go on, and its rows so far
+        started = False
         for pdf in it:
             if pdf.empty:
                 continue
-            keys_ = pdf[group].astype(str) if group else pd.Series([""] * len(pdf), index=pdf.index)
-            if first_key is None:
-                first_key = keys_.iloc[0]
+            keys_ = _keys(pdf, group)
+            goes_on = keys_.iloc[0] if not started else last
+            started = True
             local = keys_.groupby(keys_, sort=False).cumcount()
-            start = keys_.map(carry).fillna(0).astype("int64") + (keys_ == first_key).astype("int64") * base
             pdf = pdf.copy()
-            pdf[out_col] = (local + start).astype("int64")
-            counts = keys_.value_counts()
-            for k, c in counts.items():
-                carry[k] = carry.get(k, 0) + int(c)
+            pdf[out_col] = (local + (keys_ == goes_on).astype("int64") * held).astype("int64")
+            tail = int((keys_ == keys_.iloc[-1]).sum())
+            held = held + tail if keys_.iloc[-1] == goes_on else tail
+            last = keys_.iloc[-1]
             yield pdf
 
     return ordered.mapInPandas(number, out_schema)

@@ -4,8 +4,10 @@ Sources are file streams with a fixed schema (``readStream.schema(...)``); the
 bundled tables are streamed with ``pathGlobFilter`` so a single parquet file in a
 folder becomes a stream. Sinks write parquet under the shared checkpoint folder:
 
-* aggregations run in ``complete`` mode through ``foreachBatch`` that overwrites
-  the result table (the result is the small aggregate, not the input);
+* small aggregations run in ``complete`` mode through ``foreachBatch`` that writes a
+  version of the result per batch; readers take the newest whole one;
+* spans of activity are appended once the watermark has passed them, so their state
+  and their output are bounded by the watermark;
 * stateful keyed jobs append their updates and readers keep the newest update per
   key (``max_by`` over the batch id);
 * ``trigger(availableNow=True)`` processes everything present and stops, which
@@ -55,9 +57,10 @@ def stream_dir(spark: SparkSession, path: str, schema: StructType, fmt: str = "p
 
 
 def run_complete(stream: DataFrame, out: str) -> str:
-    """Run an aggregation in complete mode; each batch overwrites ``out`` with the full result."""
+    """Run an aggregation in complete mode; each batch writes the full result as a version of its own
+    (``out/version=<batch>``), so a failure midway leaves the last whole one. See :func:`read_newest`."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
 
     q = (stream.writeStream.outputMode("complete").foreachBatch(sink)
                .option("checkpointLocation", out + "._ckpt").trigger(availableNow=True).start())
@@ -65,6 +68,15 @@ def run_complete(stream: DataFrame, out: str) -> str:
     return out
 
 
+def read_newest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version that :func:`run_complete` finished writing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [str(s.getPath()) for s in fs.listStatus(path)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(max(done, key=lambda p: int(p.rsplit("=", 1)[1])))
+
+
 def run_append(stream: DataFrame, out: str, mode: str = "append") -> str:
     """Run a stream writing each micro-batch to ``out/batch_id=<id>``.
 
@@ -138,16 +150,15 @@ def _session_update(ttl_ms: int):
         else:
             model, first, last, total, turns, last_id, max_ts = None, None, None, 0, 0, None, 0
         for pdf in pdfs:
-            # rows of one micro-batch arrive unordered: apply them in arrival order
-            pdf = pdf.sort_values(["at_ms", "id"])
+            # rows of one micro-batch arrive unordered and in pieces; every update is order-free
             max_ts = max(max_ts, int(pdf["ts"].max().value // 1_000_000))
-            for at, rid, m, tok in zip(pdf["at_ms"], pdf["id"], pdf["model"], pdf["tokens_before"]):
-                at, rid, tok = int(at), int(rid), int(tok)
-                first = at if first is None else min(first, at)
-                if last is None or (at, rid) >= (last, last_id if last_id is not None else -1):
-                    last, last_id, model = at, rid, m
-                total += tok
-                turns += 1
+            low, newest = int(pdf["at_ms"].min()), pdf.sort_values(["at_ms", "id"]).iloc[-1]
+            first = low if first is None else min(first, low)
+            at, rid = int(newest["at_ms"]), int(newest["id"])
+            if last is None or (at, rid) >= (last, last_id if last_id is not None else -1):
+                last, last_id, model = at, rid, newest["model"]
+            total += int(pdf["tokens_before"].sum())
+            turns += len(pdf)
         state.update((model, first, last, total, turns, last_id, max_ts))
         # event-time TTL: forget the session once the watermark passes its last event + ttl
         state.setTimeoutTimestamp(max_ts + ttl_ms)
@@ -175,8 +186,10 @@ def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- G3
-def stream_context_ids(puts: DataFrame, watermark: str = "3650 days") -> DataFrame:
-    """First sight of each (session, content hash); later copies within the watermark dropped."""
+def stream_context_ids(puts: DataFrame, watermark: str = "30 days") -> DataFrame:
+    """First sight of each (session, content hash); later copies within the watermark dropped.
+
+    State holds the hashes of the last ``watermark`` of event time, no more."""
     return (puts.withColumn("hash", F.md5("content"))
                 .withWatermark("ts", watermark)
                 .dropDuplicatesWithinWatermark(["session_id", "hash"])
@@ -194,12 +207,12 @@ FILE_OUT = StructType([StructField("session_id", StringType()), StructField("pat
 def _file_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     prev = state.get if state.exists else None
     rows = []
-    for pdf in pdfs:
-        for _, r in pdf.sort_values(["at_ms", "request_id"]).iterrows():
-            rows.append((key[0], key[1], int(r["request_id"]),
-                         None if prev is None else int(prev[2]),
-                         prev is not None and prev[0] != r["text"]))
-            prev = (r["text"], int(r["at_ms"]), int(r["request_id"]))
+    # the group's rows come in several Arrow chunks: put all of them in order, not each chunk
+    whole = pd.concat(list(pdfs)).sort_values(["at_ms", "request_id"])
+    for text, at, rid in zip(whole["text"], whole["at_ms"], whole["request_id"], strict=True):
+        rows.append((key[0], key[1], int(rid), None if prev is None else int(prev[2]),
+                     prev is not None and prev[0] != text))
+        prev = (text, int(at), int(rid))
     if prev is not None:
         state.update(prev)
     if rows:
@@ -209,8 +222,8 @@ def _file_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
 def stream_file_versions(versions: DataFrame) -> DataFrame:
     """Previous version per (session, path) from keyed state (as S8 in batch).
 
-    Rows of one micro-batch are applied in (at_ms, request_id) order inside the
-    group; a row arriving after a later one was already applied is treated as a new
+    Rows of one micro-batch are applied in (at_ms, request_id) order over the whole
+    group (one file's versions of one micro-batch are held together); a row arriving after a later one was already applied is treated as a new
     send (documented difference from the batch ``lag``)."""
     return (versions.groupBy("session_id", "path")
                     .applyInPandasWithState(_file_update, FILE_OUT, FILE_STATE, "append",
@@ -219,7 +232,8 @@ def stream_file_versions(versions: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- G5
 def stream_idle_sessions(metrics: DataFrame, gap: str = "30 minutes", watermark: str = "1 day") -> DataFrame:
-    """Gap-based activity spans per session (session windows)."""
+    """Gap-based activity spans per session (session windows). To be appended: a span comes out once the
+    watermark has passed its end, and its state goes."""
     return (metrics.withWatermark("ts", watermark)
                    .groupBy(F.session_window("ts", gap).alias("s"), "session_id")
                    .agg(F.count(F.lit(1)).alias("events"))

@@ -161,10 +161,10 @@ def test_single_exchange_plan(spark):
 
 
 def test_requests_of_a_hot_session_are_spread(spark):
-    rows = [dict(request_id=i, session_id="default", text=f"x{i}") for i in range(200)]
-    red = reduce_requests(blocks_df(spark, rows).repartition(3), Config())
-    spread = red.blocks.select(F.spark_partition_id().alias("p")).distinct().count()
-    assert spread > 1 and red.requests.count() == 200
+    red = reduce_requests(blocks_df(spark, [dict(request_id=i, session_id="default", text=f"x{i}") for i in range(200)]), Config())
+    plan = red.requests._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [session_id" in plan and "request_id" in plan.split("RepartitionByExpression [")[1].split("]")[0]
+    assert red.requests.count() == 200
 
 
 def test_native_diff_equals_difflib_for_one_edited_region(spark):
