@@ -72,8 +72,9 @@ def js_fixed1(x: Column | str) -> Column:
     The fraction is taken in units of 2^-52, so the rounding is done on integers."""
     v = F.abs(col_(x).cast("double"))
     whole = F.floor(v).cast("bigint")
-    part = ((v - whole) * F.lit(float(1 << 52))).cast("bigint")
-    tenths = whole * 10 + F.shiftright(part * 10 + F.lit(1 << 51), 52)
+    units = (v - whole) * F.lit(float(1 << 52))
+    part = F.floor(units).cast("bigint")
+    tenths = whole * 10 + F.shiftright(part * 10 + F.floor((units - part) * 10).cast("bigint") + F.lit(1 << 51), 52)
     sign = F.when((col_(x) < 0) & (tenths > 0), F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 

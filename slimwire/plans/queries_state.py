@@ -91,7 +91,9 @@ def q_m6(spark, d):
 def _fixed1(x: str) -> str:
     """The exact binary value to one decimal, halves away from zero."""
     v = f"abs(CAST({x} AS DOUBLE))"
-    n = f"(CAST(floor({v}) AS BIGINT) * 10 + ((CAST(({v} - floor({v})) * 4503599627370496 AS BIGINT) * 10 + 2251799813685248) >> 52))"
+    u = f"(({v} - floor({v})) * 4503599627370496)"
+    n = (f"(CAST(floor({v}) AS BIGINT) * 10 + ((CAST(floor({u}) AS BIGINT) * 10 + CAST(floor(({u} - floor({u})) * 10) AS BIGINT)"
+         f" + 2251799813685248) >> 52))")
     return f"concat(CASE WHEN {x} < 0 AND {n} > 0 THEN '-' ELSE '' END, CAST({n} // 10 AS VARCHAR), '.', CAST({n} % 10 AS VARCHAR))"
 
 
