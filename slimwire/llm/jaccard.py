@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slimwire.llm.common import WORD, buffers, mix, pair, shingles, shuffle_partitions, slices, word_hashes, written
-from slimwire.llm.components import Groups, components
+from slimwire.llm.components import components
 
 _U = np.uint64
 WORDS = 5            # words of a shingle
@@ -202,62 +202,82 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- the tree -------------------------------------------------------------------------------
 
 class CountTree:
-    """An R-tree over count vectors: leaves of LEAF points in order of size and coordinates, boxes kept as their upper
-    corners and size ranges. ``groups``: what is known to be connected; a box all in one's own group is skipped."""
+    """An R-tree over count vectors: leaves of LEAF points in order of size and coordinates, with their upper corners and
+    size ranges. Each point carries the label of what is known to be connected, so that boxes all of one's own label are
+    skipped. Points are searched in order, each among those before it, the nearest leaves first."""
 
-    def __init__(self, own: np.ndarray, size: np.ndarray, groups: Groups):
-        self.own, self.size, self.groups = own, size, groups
+    def __init__(self, own: np.ndarray, size: np.ndarray):
         lead = np.argsort(-own.sum(0, dtype=np.int64), kind="stable")[:3]
         self.order = np.lexsort((*(own[:, g] for g in lead), size))
-        cuts = np.arange(0, len(size), LEAF)
-        self.upper = np.maximum.reduceat(own[self.order], cuts, axis=0)
-        self.low, self.high = size[self.order][cuts], size[self.order][np.append(cuts[1:], len(size)) - 1]
-        self.leaves = [self.order[c:c + LEAF] for c in cuts]
-
-    def near(self, i: int, before: int | None = None) -> Iterator[np.ndarray]:
-        """Points that may link with point ``i``, leaf by leaf, without those already connected to it."""
-        n, x = int(self.size[i]), self.own[i]
-        fit = (100 * self.low <= 100 * n * 100 // SHARE) & (100 * self.high >= SHARE * n)
-        boxes = np.flatnonzero(fit)
-        if not len(boxes):
-            return
-        bound = np.minimum(self.upper[boxes], x).sum(1, dtype=np.int64)
-        for b in boxes[bound >= needed(n, self.low[boxes].astype(np.int64))]:
-            leaf = self.leaves[b]
-            me = self.groups.find(i)
-            other = np.array([self.groups.find(int(j)) != me for j in leaf])
-            if before is not None:
-                other &= leaf < before
-            leaf = leaf[other]
-            if len(leaf):
-                got = np.minimum(self.own[leaf], x).sum(1, dtype=np.int64) >= needed(n, self.size[leaf].astype(np.int64))
-                if got.any():
-                    yield leaf[got]
-
-
-def link(own: np.ndarray, size: np.ndarray, linked, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges of the links among points; ``linked(i, j)`` decides a surviving pair. ``cross``: a side (0 or 1) for
-    each point, where only pairs of both sides count."""
-    n = len(size)
-    groups, edges = Groups(n), []
-    if n <= 24 and cross is None:
-        for i in range(n):
-            for j in range(i):
-                if groups.find(i) != groups.find(j) and min(size[i], size[j]) * 100 >= SHARE * max(size[i], size[j]) \
-                        and int(np.minimum(own[i], own[j]).sum(dtype=np.int64)) >= needed(int(size[i]), int(size[j])) and linked(i, j):
-                    groups.join(i, j)
-                    edges.append((i, j))
-        return edges
-    tree = CountTree(own, size, groups)
-    for i in tree.order.tolist():
-        for some in tree.near(i):
-            for j in some.tolist():
-                if (cross is None or cross[i] != cross[j]) and groups.find(i) != groups.find(j) and linked(i, j):
-                    groups.join(i, j)
-                    edges.append((i, j))
+        self.own, self.size = own[self.order], size[self.order].astype(np.int64)
+        self.cuts = np.arange(0, len(size), LEAF)
+        self.upper = np.maximum.reduceat(self.own, self.cuts, axis=0)
+        self.low, self.high = self.size[self.cuts], self.size[np.append(self.cuts[1:], len(size)) - 1]
+        self.label = np.arange(len(size))
+
+    def boxes(self, at: int) -> np.ndarray:
+        """Leaves up to that of place ``at`` which may hold partners of another label, the nearest first."""
+        last = at // LEAF + 1
+        n = self.size[at]
+        fit = (100 * self.high[:last] >= SHARE * n) & np.logical_or.reduceat(self.label[:at + 1] != self.label[at], self.cuts[:last])
+        near = np.flatnonzero(fit)[::-1]
+        if not len(near):
+            return near
+        bound = np.minimum(self.upper[near], self.own[at]).sum(1, dtype=np.int64)
+        return near[bound >= needed(n, self.low[near])]
+
+    def partners(self, at: int, boxes: np.ndarray) -> np.ndarray:
+        """Places before ``at`` in these leaves whose bound on the overlap is enough, of another label."""
+        places = (self.cuts[boxes][:, None] + np.arange(LEAF)).ravel()
+        places = places[places < at]
+        places = places[self.label[places] != self.label[at]]
+        bound = np.minimum(self.own[places], self.own[at]).sum(1, dtype=np.int64)
+        return places[bound >= needed(self.size[at], self.size[places])]
+
+    def join(self, at: int, other: int) -> None:
+        self.label[self.label == self.label[other]] = self.label[at]
+
+
+def link(own: np.ndarray, size: np.ndarray, linked=None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the links among points. ``linked(i, many)`` tells which of many surviving partners link with
+    point i (by default all do). ``side``: 0 or 1 for each point, where only pairs of both sides count."""
+    tree, edges = CountTree(own, size), []
+    for at in range(1, len(size)):
+        i, boxes, lo, step = tree.order[at], tree.boxes(at), 0, 1
+        while lo < len(boxes):
+            places = tree.partners(at, boxes[lo:lo + step])
+            lo, step = lo + step, min(2 * step, 64)
+            if side is not None:
+                places = places[side[tree.order[places]] != side[i]]
+            if linked is not None and len(places):
+                places = places[linked(i, tree.order[places])]
+            for other in places[::-1].tolist():
+                if tree.label[other] != tree.label[at]:
+                    tree.join(at, other)
+                    edges.append((int(i), int(tree.order[other])))
     return edges
 
 
+class Overlaps:
+    """Exact overlaps of one set with many, over shingles numbered within a group."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        names, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mine = np.zeros(len(names), bool)
+
+    def linked(self, i: int, many: np.ndarray) -> np.ndarray:
+        own = self.ids[self.first[i]:self.first[i + 1]]
+        self.mine[own] = True
+        size = self.size[many]
+        starts = np.cumsum(size) - size
+        at = np.repeat(self.first[many] - starts, size) + np.arange(size.sum())
+        common = np.add.reduceat(self.mine[self.ids[at]].astype(np.int64), starts)
+        self.mine[own] = False
+        return 100 * common >= SHARE * (size + self.size[i] - common)
+
+
 # -- blocks of large groups -------------------------------------------------------------------
 
 def in_blocks(rows: DataFrame, key: str, node: str, block: int = BLOCK) -> DataFrame:
@@ -296,7 +316,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.stack([np.frombuffer(r["point"], np.uint32) for r in rows])
         size = np.array([r["n"] for r in rows], np.int64)
         side = np.array([r["side"] for r in rows]) if rows[0]["x"] != rows[0]["y"] else None
-        out += [(rows[i]["node"], rows[j]["node"]) for i, j in link(own, size, lambda i, j: True, side)]
+        out += [(rows[i]["node"], rows[j]["node"]) for i, j in link(own, size, side=side)]
         if len(out) > 50_000:
             yield _edges(out)
             out = []
@@ -313,15 +333,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(members[k][0]) for k in names], np.int64)
         side = np.array([members[k][1] for k in names]) if now[1] != now[2] else None
 
-        def linked(i: int, j: int) -> bool:
-            a, b = members[names[i]][0], members[names[j]][0]
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            common = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-            return 100 * common >= SHARE * (len(a) + len(b) - common)
-
-        return [(names[i], names[j]) for i, j in link(own, size, linked, side)]
+        exact = Overlaps([members[k][0] for k in names])
+        return [(names[i], names[j]) for i, j in link(own, size, exact.linked, side)]
 
     for batch in batches:
         data, offsets = buffers(batch.column("text"))

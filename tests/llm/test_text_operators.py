@@ -300,8 +300,13 @@ def test_tree_links_what_brute_force_links():
     for i, j in itertools.combinations(range(len(own)), 2):
         if linked(i, j):
             want.join(i, j)
-    for i, j in jaccard.link(at, size, linked):
+    for i, j in jaccard.link(at, size, lambda i, many: np.array([linked(i, j) for j in many], bool)):
         got.join(i, j)
+    exact = jaccard.Overlaps(own)
+    again = Groups(len(own))
+    for i, j in jaccard.link(at, size, exact.linked):
+        again.join(i, j)
+    assert np.array_equal(want.labels(), again.labels())
     assert np.array_equal(want.labels(), got.labels())
 
 
