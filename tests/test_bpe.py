@@ -37,10 +37,23 @@ TEXTS = ["the cat sat on the mat", "the the the hat", "aaaa aaa aa", "naïve caf
 
 def test_learned_merges_match_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    got = [(r.left, r.right) for r in bpe.learn_bpe_ranks(df, 12, checkpoint_every=4).orderBy("rank").collect()]
+    got = [(r.left, r.right) for r in bpe.learn_bpe_ranks(df, 12).orderBy("rank").collect()]
     assert got == brute_learn(TEXTS, 12)
 
 
+def test_several_merges_a_round_are_the_same_as_one_by_one(spark, monkeypatch):
+    import random
+    random.seed(4)
+    texts = [" ".join("".join(random.choice("aabbcdeé") for _ in range(random.randint(1, 7))) for _ in range(40)) for _ in range(12)]
+    want = brute_learn(texts, 60)
+    rounds = []
+    sure = bpe._sure_merges
+    monkeypatch.setattr(bpe, "_sure_merges", lambda *a: rounds.append(sure(*a)) or rounds[-1])
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.left, r.right) for r in bpe.learn_bpe_ranks(df, 60).orderBy("rank").collect()]
+    assert got == want and len(rounds) < 60 and max(map(len, rounds)) > 1
+
+
 def test_bpe_counts_match_python_encoder(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS + [""])], "id long, text string")
     ranks_df = bpe.learn_bpe_ranks(df, 10)
@@ -59,8 +72,11 @@ def test_bpe_counts_same_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
     ranks_df = bpe.learn_bpe_ranks(df, 6)
     a = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
-    monkeypatch.setattr(bpe, "BROADCAST_PRETOKENS", 0)
-    b = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert a == b
 
 

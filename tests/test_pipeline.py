@@ -167,7 +167,7 @@ def test_requests_of_a_hot_session_are_spread(spark):
     assert red.requests.count() == 200
 
 
-def test_native_diff_equals_difflib_for_one_edited_region(spark):
+def test_native_diff_equals_the_shortest_one_for_one_edited_region(spark):
     from slimwire.operators.diff import unified_diff, with_unified_diff
 
     def lines(marker, n=80, extra=""):
@@ -175,7 +175,8 @@ def test_native_diff_equals_difflib_for_one_edited_region(spark):
     pairs = [(lines("a = 1;"), lines("a = 2;")),                 # one changed line
              (lines("a"), lines("a", 83)),                       # lines appended at the end
              (lines("a", 10), lines("a", 10).replace("const x2 = 2;\n", "")),   # a line removed
-             ("x\ny\n", "x\nz\n")]                               # trailing newline kept
+             ("x\ny\n", "x\nz\n"),                               # trailing newline kept
+             ("x\ny", "x\ny\n"), ("x\ny\n", "x\ny"), ("x\ny", "x\nz")]   # gained, lost, never there
     df = spark.createDataFrame([(i, "src/app.ts", a, b) for i, (a, b) in enumerate(pairs)],
                                "i long, path string, a string, b string")
     got = {r.i: r.d for r in with_unified_diff(df, "path", "a", "b", "d").collect()}
@@ -191,3 +192,34 @@ def test_minimal_diff_option_agrees_on_one_edit(spark):
     native = texts(reduce_requests(b, Config(**cfg, minimal_diff=False)), 2)[0][1]
     minimal = texts(reduce_requests(b, Config(**cfg)), 2)[0][1]
     assert native == minimal
+
+
+def test_final_newline_is_a_change():
+    from slimwire.operators.diff import unified_diff
+    head = "--- f\tprevious\n+++ f\tcurrent\n@@ -1,2 +1,2 @@\n x\n"
+    mark = "\n\\ No newline at end of file"
+    assert unified_diff("f", "x\ny", "x\ny\n") == head + "-y" + mark + "\n+y"
+    assert unified_diff("f", "x\ny\n", "x\ny") == head + "-y\n+y" + mark
+
+
+def test_edit_script_is_shortest():
+    import itertools
+    from slimwire.operators.diff import edit_script
+    words = [list(w) for n in range(5) for w in itertools.product("ab", repeat=n)]
+    for a in words:
+        for b in words:
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            steps = edit_script(a, b)
+            assert [a[i] for m, i, _ in steps if m != "+"] == a and [b[j] for m, _, j in steps if m != "-"] == b
+            assert sum(m == " " for m, _, _ in steps) == table[-1][-1]
+
+
+def test_diff_of_separate_edits_has_separate_hunks():
+    from slimwire.operators.diff import unified_diff
+    old = "\n".join(f"l{i}" for i in range(40)) + "\n"
+    new = old.replace("l3\n", "L3\n").replace("l30\n", "l30\nnew\n")
+    diff = unified_diff("f", old, new)
+    assert diff.count("@@ -") == 2 and "@@ -1,8 +1,8 @@" in diff and "@@ -28,8 +28,9 @@" in diff

@@ -142,3 +142,17 @@ def test_change_log_over_many_days(spark):
     changes = spark.createDataFrame([(t, i) for i, t in enumerate(at)], "at_ms long, min_savings long")
     got = sorted((r.valid_from_ms, r.valid_to_ms) for r in ca.intervals_from_changes(changes).collect())
     assert got == list(zip(at, [*at[1:], ca.OPEN_END]))
+
+
+def test_sequence_ids_outlive_a_clear(spark, tmp_path):
+    from slimwire.operators import metrics as mx
+    from slimwire.sources.snapshot import METRICS_SCHEMA
+    rows = [(i, i, "p", "m", "s", 1, 1, 0, 1.0) for i in (3, 4, 8)]
+    path = str(tmp_path / "metrics")
+    assert mx.restore_sequence(spark, path) == 0
+    mx.snapshot_metrics(spark.createDataFrame(rows, METRICS_SCHEMA), path)
+    assert mx.restore_sequence(spark, path) == 9
+    mx.snapshot_metrics(spark.createDataFrame(rows[:1], METRICS_SCHEMA), path, next_id=20)
+    assert mx.restore_sequence(spark, path) == 20
+    mx.clear_metrics(spark, path)
+    assert mx.restore_sequence(spark, path) == 0
