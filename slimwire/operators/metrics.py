@@ -104,10 +104,8 @@ def log_line(metrics: DataFrame, prefix: str = LOG_PREFIX) -> DataFrame:
 
 def savings_share(by_model: DataFrame) -> DataFrame:
     """M8: bar scale per model: width vs the largest model, saved share clamped to 0..100."""
-    # one row of the largest, joined back: no window over all models in one task
-    largest = by_model.agg(F.greatest(F.max("tokens_before"), F.lit(1)).alias("_largest"))
-    by_model = by_model.join(F.broadcast(largest))
-    mx = F.col("_largest")
+    # one number, read once: no window over all models in one task
+    mx = F.lit(max(by_model.agg(F.max("tokens_before")).first()[0] or 0, 1))
     share = F.when(F.col("tokens_before") > 0, F.col("saved") / F.col("tokens_before") * 100).otherwise(0.0)
     return by_model.select(
         "model", (F.col("tokens_before") / mx * 100).alias("width_pct"),

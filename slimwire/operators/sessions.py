@@ -25,6 +25,8 @@ def build_turns(blocks: DataFrame, tokenizer: Callable[[Column], Column] = tx.ap
     ``tokens`` sums per-block counts over system, message and tool blocks (T3);
     ``messages`` keeps the message blocks in (msg_idx, block_idx) order. ``store``
     (a boolean column of the blocks, H8) drops requests that were sent with store off.
+    Rows of type ``none`` (``normalize(..., keep_empty=True)``) give requests without blocks
+    their turn, and stand in ``messages`` for messages without blocks.
     """
     b = blocks if store is None else blocks.where(store)
     rendered = tx.render_block("type", "text", "tool_name", "payload", "rendered")
@@ -51,11 +53,11 @@ def turn_index(turns: DataFrame) -> DataFrame:
 def timeline(turns: DataFrame, cap: int = 0) -> DataFrame:
     """H3: timeline rows (true index, A8 fixed), keeping the newest ``cap`` per session (0 = all).
 
-    The cap compares the index with the session's turn count (a partially
-    aggregated count joined back), not a per-session window."""
+    The cap compares the index with the session's turn count (its highest index, from the
+    same numbered table, joined back), not a per-session window."""
     t = turn_index(turns)
     if cap > 0:
-        counts = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+        counts = t.groupBy("session_id").agg((F.max("turn_index") + 1).alias("_n"))
         t = t.join(counts, "session_id").where(F.col("turn_index") >= F.col("_n") - cap).drop("_n")
     return t.select("session_id", "request_id", F.col("turn_index").alias("index"), "model", "tokens", "at_ms")
 
@@ -125,8 +127,9 @@ def transcript_preview(messages_flat: DataFrame) -> DataFrame:
 
     Input: one row per block with session_id, msg_idx, block_idx, role, type, text.
     """
-    # only text blocks have a ``text``; any other kind shows as ``[type]``
+    # only text blocks have a ``text``; any other kind shows as ``[type]``; type ``none`` stands for a message without blocks
     piece = F.when(F.col("type") == "text", F.coalesce(F.col("text"), F.lit(""))) \
+             .when(F.col("type") == "none", F.lit("")) \
              .otherwise(F.concat(F.lit("["), F.col("type"), F.lit("]")))
     agg = (messages_flat.groupBy("session_id", "msg_idx")
                         .agg(F.first("role").alias("role"),

@@ -272,3 +272,33 @@ def q_h11(spark, d):
     t = _turns(spark, d)
     return t.select("session_id", "request_id", "model", "tokens",
                     F.size("messages").cast("bigint").alias("n_blocks"))
+
+
+EDGE_TURNS = ov.with_views("requests") + f""",
+ e AS (SELECT r.*, CASE WHEN r.conv_id % 5 IN (2, 4) THEN c.text ELSE '' END AS t
+       FROM requests r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn AND c.role = 'user'),
+ last AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_ms DESC, request_id DESC) AS rev FROM e)"""
+
+
+def _edge_turns(spark: SparkSession, d: str) -> DataFrame:
+    from slimwire.sources import ingest as ig
+    return hs.build_turns(ig.normalize(tb.edge_json(spark, d), keep_empty=True)[1])
+
+
+@register("h1_requests_without_blocks", EDGE_TURNS + f"""
+SELECT session_id, max(CASE WHEN rev = 1 THEN model END) AS model, CAST(count(*) AS BIGINT) AS turns, min(at_ms) AS first_seen, max(at_ms) AS last_active,
+       CAST(sum({ov.tok_sql('t')}) AS BIGINT) AS total_tokens, CAST(max(CASE WHEN rev = 1 AND t <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks
+FROM last GROUP BY session_id""")
+def q_h1_edge(spark, d):
+    st = hs.session_state(_edge_turns(spark, d))
+    return st.select("session_id", "model", "turns", "first_seen", "last_active", "total_tokens",
+                     F.size(F.filter("messages", lambda m: m["type"] != "none")).cast("bigint").alias("n_blocks"))
+
+
+@register("h10_messages_without_blocks", EDGE_TURNS + """
+SELECT session_id, CAST(0 AS BIGINT) AS msg_idx, 'user' AS role, CASE WHEN conv_id % 5 = 4 AND t <> '' THEN t ELSE '—' END AS preview
+FROM last WHERE rev = 1 AND conv_id % 5 IN (1, 2, 4)
+UNION ALL
+SELECT session_id, CAST(1 AS BIGINT), 'assistant', CASE WHEN t <> '' THEN t ELSE '—' END FROM last WHERE rev = 1 AND conv_id % 5 = 2""")
+def q_h10_edge(spark, d):
+    return hs.transcript_preview(hs.latest_messages(_edge_turns(spark, d)))
