@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +36,10 @@ def targets(sizes: dict, weights: dict, total: float, most: float = MOST) -> dic
     reshared by weight among the others until none is above."""
     out, open_, left = {}, sorted(sizes, key=lambda s: most * sizes[s] / weights[s]), float(total)
     weight = float(sum(weights[s] for s in open_))
-    for s in open_:  # by how soon a source is full
-        out[s] = min(most * sizes[s], left * weights[s] / weight)
+    for i, s in enumerate(open_):  # by how soon a source is full
+        if left * weights[s] / weight < most * sizes[s]:
+            return out | {t: left * weights[t] / weight for t in open_[i:]}
+        out[s] = float(most * sizes[s])
         left -= out[s]
         weight -= weights[s]
     return out
@@ -178,7 +181,7 @@ def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: fl
     ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(ranked)}
     aims = targets(sizes, weight, share * sum(words.values()))
-    flow = min_cost_flow(words, {s: round(aims[s]) for s in ranked}, member)
+    flow = min_cost_flow(words, {s: math.floor(aims[s] + 0.5) for s in ranked}, member)
     wanted = defaultdict(int)
     for (p, _), x in flow.items():
         wanted[p] += x

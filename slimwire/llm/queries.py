@@ -19,6 +19,44 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+# Words and sources; targets by how soon a source is full; whole passes, the seeded order as far as it fits, then the
+# largest documents that fit what is left, one by one.
+MIX_SQL = """WITH d AS (SELECT doc_id, source, coalesce(len(""" + WORDS_SQL.format(text="text") + """), 0) AS size, md5(concat('mix:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+ s AS (SELECT source, sum(size) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+ w AS (SELECT *, CASE r % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight, 1.5 * sum(words) OVER () AS total FROM s),
+ o AS (SELECT *, coalesce(sum(2 * words) OVER q, 0) AS before, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS open_weight FROM w
+       WINDOW q AS (ORDER BY 2.0 * words / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT *, CAST(total - before AS DOUBLE) * weight / CAST(open_weight AS DOUBLE) >= 2 * words AS is_full FROM o),
+ l AS (SELECT total - coalesce(sum(2 * words) FILTER (WHERE is_full), 0) AS rest, sum(weight) FILTER (WHERE NOT is_full) AS open_weight FROM f GROUP BY total),
+ t AS (SELECT source, words, CASE WHEN is_full THEN CAST(2 * words AS DOUBLE) ELSE CAST(l.rest AS DOUBLE) * weight / CAST(l.open_weight AS DOUBLE) END AS target FROM f, l),
+ k AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), CAST(2 * words AS BIGINT)) AS wanted FROM t),
+ u AS (SELECT d.source, h, doc_id, size, count(*) AS n FROM d GROUP BY ALL),
+ c AS (SELECT u.*, k.words, k.target, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN wanted % words ELSE 0 END AS rest,
+              sum(u.size * u.n) OVER (PARTITION BY u.source ORDER BY h, doc_id, size) AS upto FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source),
+ x0 AS (SELECT *, passes < 2 AND upto <= rest AS more FROM c)""" + "".join(f""",
+ g{i} AS (SELECT *, max(rest) OVER q - sum(CASE WHEN more THEN size * n ELSE 0 END) OVER q AS spare FROM x{i} WINDOW q AS (PARTITION BY source)),
+ y{i} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (NOT more AND size > 0 AND size * n <= spare AND passes < 2) DESC, size * n DESC, h DESC, doc_id DESC) AS best FROM g{i}),
+ x{i + 1} AS (SELECT * EXCLUDE (spare, best, more), more OR (best = 1 AND size > 0 AND size * n <= spare AND passes < 2) AS more FROM y{i})"""
+                                                                            for i in range(mixing.FITS)) + f"""
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(x.words AS BIGINT) AS source_size, x.target, CAST(d.size * (x.passes + CASE WHEN x.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN x{mixing.FITS} x ON x.source IS NOT DISTINCT FROM d.source AND x.doc_id IS NOT DISTINCT FROM d.doc_id AND x.size = d.size"""
+
+# All pairs that share a shingle, and what links reach.
+JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, """ + WORDS_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS w FROM documents),
+ i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.y, reach.r FROM reach JOIN g ON g.x = reach.d)
+SELECT d AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.d GROUP BY d"""
+
+ORACLE.update({"op5_mix_sources": MIX_SQL, "op6_jaccard_join": JACCARD_SQL})
+
+
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
