@@ -27,13 +27,16 @@ from slimwire.llm.components import components
 _U = np.uint64
 WORDS = 5            # words of a shingle
 SHARE = 75           # per cent that two sets have in common, at least
-GROUPS = 128         # coordinates of a point
+# Coordinates of a point as bits of the hash, by the shingles of its set: counts of 2^7, 2^10 or 2^13 groups, so that a
+# group holds about ten shingles and the bound tells long texts apart as well as short ones. Finer groups lie in coarser ones.
+LIMITS, BITS = (1500, 12_000), (7, 10, 13)
 LEAF = 64            # points of a leaf and boxes of an inner node
 HEAVY = 200_000      # most frequent shingles, put last in the order (any order gives the same links)
 OFTEN = 4            # occurrences within a task from which a shingle may be one of them
 FLUSH = 4 << 20      # shingles a task holds before it sends them on
 CELL_BYTES = 8 << 20  # bytes of cells a shard holds, about
-BLOCK = 50_000       # points of a cell, or texts of a component, handled in one task
+BLOCK = 50_000       # points of a cell handled in one task; larger cells are handled in blocks
+TEXTS = 10_000       # texts of a provisional component compared in one task; larger ones likewise
 
 
 def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +61,31 @@ def node_ids(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return pair(total, other).view(np.int64)
 
 
-def points(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+def size_class(size: np.ndarray) -> np.ndarray:
+    """Which of BITS a set of this size is counted with."""
+    return np.searchsorted(LIMITS, size, "right")
+
+
+def points(h: np.ndarray, text: np.ndarray, n: int, bits: int = BITS[0]) -> np.ndarray:
     """Shingles of each text by hash group."""
-    cells = text * GROUPS + (h >> _U(57)).astype(np.int64)
-    return np.bincount(cells, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.uint32)
+    cells = (text << bits) + (h >> _U(64 - bits)).astype(np.int64)
+    return np.bincount(cells, minlength=n << bits).reshape(n, 1 << bits).astype(np.uint32)
+
+
+def packed_points(h: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each text's point in the groups of its size class, as 16-bit counts."""
+    out = [b""] * len(size)
+    kind = size_class(size)
+    for c in np.unique(kind):
+        of = np.flatnonzero(kind == c)
+        inside = kind[text] == c
+        for lo in range(0, len(of), 256):
+            some = of[lo:lo + 256]
+            rows = inside & (text >= some[0]) & (text <= some[-1])
+            own = points(h[rows], np.searchsorted(some, text[rows]), len(some), BITS[c]).astype(np.uint16)
+            for k, i in enumerate(some):
+                out[i] = own[k].tobytes()
+    return out
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -110,10 +134,9 @@ def _describe(heavy: np.ndarray):
                 chosen = place < np.repeat(keep, size)
                 prefix = h[order][chosen].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.minimum(keep, size) * (size > 0))]).astype(np.int32)
-                own = points(h, text, n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, n).cast(pa.int64()), batch.column("text_hash").slice(i, n), pa.array(node_ids(h, text, n)), pa.array(size.astype(np.int64)),
-                     pa.array([p.tobytes() for p in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))], ["doc_id", "text_hash", "node", "n", "point", "prefix"])
+                     pa.array(packed_points(h, text, size), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))], ["doc_id", "text_hash", "node", "n", "point", "prefix"])
     return run
 
 
@@ -238,16 +261,16 @@ class CountTree:
         self.label[self.label == self.label[other]] = self.label[at]
 
 
-def link(own: np.ndarray, size: np.ndarray, linked=None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link(own: np.ndarray, size: np.ndarray, linked=None, sides: tuple[np.ndarray, ...] = ()) -> list[tuple[int, int]]:
     """Spanning edges of the links among points. ``linked(i, many)`` tells which of many surviving partners link with
-    point i (by default all do). ``side``: 0 or 1 for each point, where only pairs of both sides count."""
+    point i (by default all do). ``sides``: each 0 or 1 for each point, where only pairs of both sides count."""
     tree, edges = CountTree(own, size), []
     for at in range(1, len(size)):
         i, boxes, lo, step = tree.order[at], tree.boxes(at), 0, 1
         while lo < len(boxes):
             places = tree.partners(at, boxes[lo:lo + step])
             lo, step = lo + step, min(2 * step, 64)
-            if side is not None:
+            for side in sides:
                 places = places[side[tree.order[places]] != side[i]]
             if linked is not None and len(places):
                 places = places[linked(i, tree.order[places])]
@@ -258,6 +281,27 @@ def link(own: np.ndarray, size: np.ndarray, linked=None, side: np.ndarray | None
     return edges
 
 
+def link_packed(packed: list[bytes], size: np.ndarray, linked=None, sides: tuple[np.ndarray, ...] = ()) -> list[tuple[int, int]]:
+    """``link`` over points of all size classes: within each class, and across the limit between two classes (in the
+    coarser groups) among sets near enough to it in size."""
+    kind, edges = size_class(size), []
+
+    def run(of: np.ndarray, bits: int, *more: np.ndarray) -> None:
+        if len(of) < 2:
+            return
+        own = np.stack([np.frombuffer(packed[i], np.uint16).reshape(1 << bits, -1).sum(1, dtype=np.uint32) for i in of])
+        mine = None if linked is None else lambda i, many: linked(of[i], of[many])
+        edges.extend((int(of[i]), int(of[j])) for i, j in link(own, size[of], mine, (*(s[of] for s in sides), *more)))
+
+    for c in np.unique(kind):
+        run(np.flatnonzero(kind == c), BITS[c])
+        if c < len(LIMITS):
+            near = np.flatnonzero(((kind == c) & (100 * size >= SHARE * LIMITS[c])) | ((kind == c + 1) & (SHARE * size <= 100 * LIMITS[c])))
+            if len(np.unique(kind[near])) == 2:
+                run(near, BITS[c], kind[near] == c)
+    return edges
+
+
 class Overlaps:
     """Exact overlaps of one set with many, over shingles numbered within a group."""
 
@@ -313,10 +357,9 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for rows in grouped(batches, ("cell", "x", "y")):
-        own = np.stack([np.frombuffer(r["point"], np.uint32) for r in rows])
         size = np.array([r["n"] for r in rows], np.int64)
-        side = np.array([r["side"] for r in rows]) if rows[0]["x"] != rows[0]["y"] else None
-        out += [(rows[i]["node"], rows[j]["node"]) for i, j in link(own, size, side=side)]
+        sides = (np.array([r["side"] for r in rows]),) if rows[0]["x"] != rows[0]["y"] else ()
+        out += [(rows[i]["node"], rows[j]["node"]) for i, j in link_packed([r["point"] for r in rows], size, sides=sides)]
         if len(out) > 50_000:
             yield _edges(out)
             out = []
@@ -329,12 +372,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> list[tuple[int, int]]:
         names = sorted(members)
-        own = np.stack([points(members[k][0], np.zeros(len(members[k][0]), np.int64), 1)[0] for k in names])
-        size = np.array([len(members[k][0]) for k in names], np.int64)
-        side = np.array([members[k][1] for k in names]) if now[1] != now[2] else None
-
-        exact = Overlaps([members[k][0] for k in names])
-        return [(names[i], names[j]) for i, j in link(own, size, exact.linked, side)]
+        sets_ = [members[k][0] for k in names]
+        size = np.array([len(x) for x in sets_], np.int64)
+        packed = [packed_points(x, np.zeros(len(x), np.int64), np.array([len(x)]))[0] for x in sets_]
+        sides = (np.array([members[k][1] for k in names]),) if now[1] != now[2] else ()
+        return [(names[i], names[j]) for i, j in link_packed(packed, size, Overlaps(sets_).linked, sides)]
 
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
@@ -385,7 +427,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     survivors = at.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(_survivors, "a long, b long")
     near = written(components(survivors).select("node", F.col("label").alias("comp")), "near")
 
-    members = in_blocks(near, "comp", "node").join(nodes.select("node", "doc_id"), "node")
+    members = in_blocks(near, "comp", "node", TEXTS).join(nodes.select("node", "doc_id"), "node")
     texts = slim.join(members, "doc_id").select("comp", "x", "y", "side", "node", "text")
     exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(_verified, "a long, b long")
     label = written(components(exact), "labels")

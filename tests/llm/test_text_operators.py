@@ -284,7 +284,7 @@ def test_jaccard_components_in_blocks_and_with_frequent_shingles(spark, monkeypa
     docs = spark.createDataFrame(rows, DOCS)
     want = sorted(naive_components(rows))
     in_blocks = jaccard.in_blocks
-    monkeypatch.setattr(jaccard, "in_blocks", lambda r, k, n: in_blocks(r, k, n, block=3))
+    monkeypatch.setattr(jaccard, "in_blocks", lambda r, k, n, block=0: in_blocks(r, k, n, block=3))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()) == want
 
 
@@ -307,6 +307,24 @@ def test_tree_links_what_brute_force_links():
     for i, j in jaccard.link(at, size, exact.linked):
         again.join(i, j)
     assert np.array_equal(want.labels(), again.labels())
+
+
+def test_size_classes_lose_no_link(monkeypatch):
+    monkeypatch.setattr(jaccard, "LIMITS", (60, 110))
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(0, 1 << 63, rng.integers(40, 150), dtype=np.uint64) for _ in range(25)]
+    own = [np.unique(np.concatenate([b[rng.random(len(b)) < rng.uniform(0.75, 1)], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for b in bases for _ in range(10)]
+    size = np.array([len(s) for s in own])
+    packed = jaccard.packed_points(np.concatenate(own), np.repeat(np.arange(len(own)), size), size)
+    assert {len(p) for p in packed} == {256, 2048, 16384}
+    from slimwire.llm.components import Groups
+    want, got = Groups(len(own)), Groups(len(own))
+    for i, j in itertools.combinations(range(len(own)), 2):
+        if 100 * len(np.intersect1d(own[i], own[j])) >= 75 * len(np.union1d(own[i], own[j])):
+            want.join(i, j)
+    for i, j in jaccard.link_packed(packed, size, jaccard.Overlaps(own).linked):
+        got.join(i, j)
+    assert np.array_equal(want.labels(), got.labels())
     assert np.array_equal(want.labels(), got.labels())
 
 
