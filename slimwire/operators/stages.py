@@ -206,14 +206,17 @@ TOGGLE_KEYS = ("cache", "dedup", "strip", "filediff", "slice", "intent")
 def custom_stage(name: str, rewrite_text: Callable[[DataFrame], DataFrame], *, reversible: bool,
                  enabled: bool = True, note: str = "") -> Stage:
     """A user stage. ``rewrite_text(df)`` returns df with ``n_text`` and optionally
-    ``n_drop``; the pipeline measures, guards and logs it like a built-in stage."""
+    ``n_drop``; the pipeline measures, guards and logs it like a built-in stage. A result may
+    also say for its request whether it is reversible (``n_reversible``) and what to note
+    (``n_note``), the same on all blocks of the request; ``reversible`` and ``note`` are the defaults."""
 
     def rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
         out = rewrite_text(df)
         if "n_drop" not in out.columns:
             out = out.withColumn("n_drop", F.col("drop"))
         changed = _hits(~F.col("n_text").eqNullSafe(F.col("text")) | (F.col("n_drop") != F.col("drop")))
+        noted = F.coalesce(F.col("n_note"), F.lit(note)) if "n_note" in out.columns else F.lit(note)
         return (out.withColumn("n_cache", F.col("cache")).withColumn("n_hits", changed)
-                   .withColumn("n_obj", F.lit(True)).withColumn("n_note", F.lit(note)))
+                   .withColumn("n_obj", F.lit(True)).withColumn("n_note", noted))
 
     return Stage(name, enabled, reversible, rewrite)

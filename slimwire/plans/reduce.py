@@ -163,8 +163,9 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         ).otherwise(F.col("tok"))
         df = df.withColumn("n_tok", new_tok)
         df = df.withColumn(f"_m{ord_}", F.sum(F.col("tok") - F.col("n_tok")).over(w).cast("bigint"))
-        lossy = F.lit(not stage.reversible)
-        df = df.withColumn(f"_r{ord_}", on & lossy & (F.col(f"_m{ord_}") < min_col))
+        usual = F.lit(stage.reversible)
+        df = df.withColumn(f"_v{ord_}", F.coalesce(F.col("n_reversible"), usual) if "n_reversible" in df.columns else usual)
+        df = df.withColumn(f"_r{ord_}", on & ~F.col(f"_v{ord_}") & (F.col(f"_m{ord_}") < min_col))
         commit = on & ~F.col(f"_r{ord_}")
         note = F.when(F.col(f"_r{ord_}"), F.format_string(
             "reverted: saved %d < min %s", F.col(f"_m{ord_}"),
@@ -177,7 +178,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
                 .withColumn("edited", F.col("edited") | (commit & _edit))
                 .withColumn("_changed", F.col("_changed") | (commit & F.col("n_obj")))
                 .withColumn(f"_n{ord_}", note).withColumn(f"_on{ord_}", on)
-                .drop("n_text", "n_drop", "n_cache", "n_tok", "n_hits", "n_obj", "n_note", "_edit"))
+                .drop("n_text", "n_drop", "n_cache", "n_tok", "n_hits", "n_obj", "n_note", "n_reversible", "_edit"))
         stage_structs.append((ord_, stage))
 
     out_blocks = df.withColumn("tokens_after", F.sum("tok").over(w).cast("bigint"))
@@ -193,7 +194,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
             F.sum(F.when(F.col("cache") & ~F.col("drop") & ~F.coalesce(F.col("cache_control"), F.lit(False)), 1)
                   .otherwise(0)).cast("bigint").alias("markers_added")]
     for ord_, stage in stage_structs:
-        aggs += [F.first(f"_m{ord_}").alias(f"_m{ord_}"), F.first(f"_r{ord_}").alias(f"_r{ord_}"),
+        aggs += [F.first(f"_v{ord_}").alias(f"_v{ord_}"), F.first(f"_m{ord_}").alias(f"_m{ord_}"), F.first(f"_r{ord_}").alias(f"_r{ord_}"),
                  F.first(f"_n{ord_}").alias(f"_n{ord_}"), F.first(f"_on{ord_}").alias(f"_on{ord_}")]
     per_req = df.groupBy(*REQ).agg(*aggs)
     structs = []
@@ -203,7 +204,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
         structs.append(F.when(F.col(f"_on{ord_}"), F.struct(
             F.lit(stage.name).alias("stage"), F.lit(ord_).alias("ord"),
             F.when(reverted, F.lit(0).cast("bigint")).otherwise(measured).alias("saved"),
-            measured.alias("measured"), F.lit(stage.reversible).alias("reversible"),
+            measured.alias("measured"), F.col(f"_v{ord_}").alias("reversible"),
             reverted.alias("reverted"), F.col(f"_n{ord_}").alias("notes"))))
     stages_arr = (F.filter(F.array(*structs), lambda s: s.isNotNull()) if structs
                   else F.array().cast("array<struct<stage:string,ord:int,saved:bigint,measured:bigint,"

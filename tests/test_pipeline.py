@@ -223,3 +223,14 @@ def test_diff_of_separate_edits_has_separate_hunks():
     new = old.replace("l3\n", "L3\n").replace("l30\n", "l30\nnew\n")
     diff = unified_diff("f", old, new)
     assert diff.count("@@ -") == 2 and "@@ -1,8 +1,8 @@" in diff and "@@ -28,8 +28,9 @@" in diff
+
+
+def test_custom_results_decide_their_own_reversibility_and_note(spark):
+    def rewrite(df):
+        safe = F.col("request_id") == 1
+        return (df.withColumn("n_text", F.lit("x")).withColumn("n_reversible", safe)
+                  .withColumn("n_note", F.when(safe, F.lit("kept a copy"))))
+    stage = custom_stage("own", rewrite, reversible=False, note="lossy")
+    b = blocks_df(spark, [dict(request_id=i, text="some words") for i in (1, 2)] + [dict(request_id=3, text="word " * 100)])
+    led = {r.request_id: (r.reversible, r.reverted, r.notes) for r in reduce_requests(b, Config(), stages=[stage]).ledger.collect()}
+    assert led == {1: (True, False, "kept a copy"), 2: (False, True, "reverted: saved 2 < min 32"), 3: (False, False, "lossy")}
