@@ -33,7 +33,7 @@ LIMITS, BITS = (1500, 12_000), (7, 10, 13)
 LEAF = 64            # points of a leaf and boxes of an inner node
 HEAVY = 200_000      # most frequent shingles, put last in the order (any order gives the same links)
 OFTEN = 4            # occurrences within a task from which a shingle may be one of them
-FLUSH = 4 << 20      # shingles a task holds before it sends them on
+FLUSH = 1 << 20      # shingles a task holds before it sends them on
 CELL_BYTES = 8 << 20  # bytes of cells a shard holds, about
 BLOCK = 50_000       # points of a cell handled in one task; larger cells are handled in blocks
 TEXTS = 10_000       # texts of a provisional component compared in one task; larger ones likewise
