@@ -15,8 +15,7 @@ from slimwire.plans.reduce import Config, reduce_requests, savings_by_stage
 from slimwire.registry import register
 from slimwire.sources import tables as tb
 
-PATH_RE2 = (r"^[\t\n\x{0B}\f\r \x{A0}]*(?://|#|--|/\*)?[\t\n\x{0B}\f\r \x{A0}]*"
-            r"([\w./@-]+\.[A-Za-z][\w]{0,8})[\t\n\x{0B}\f\r \x{A0}]*\*?/?[\t\n\x{0B}\f\r \x{A0}]*\z")
+PATH_RE2 = tx.PATH_LINE_JAVA.replace(r"\/", "/")   # RE2 spells the same classes
 
 
 # --------------------------------------------------------------------------- tokens
@@ -35,7 +34,7 @@ def q_t3(spark, d):
     return tk.request_tokens(tb.request_blocks(spark, d))
 
 
-EXACT_RE2 = "(?i)^(gpt|o[0-9]|text-|chatgpt|davinci|babbage)"
+EXACT_RE2 = tx.EXACT_MODEL_PATTERN.replace(r"\d", "[0-9]")
 
 
 @register("t6_exact_for_model", ov.with_views("requests") + f""",
@@ -73,9 +72,8 @@ def q_t8(spark, d):
     return tk.chars_per_token(rep).select("doc_id", "chars_per_token")
 
 
-PRICES_SQL = """prices AS (SELECT * FROM (VALUES ('claude-opus-4-8', 15.0), ('claude-sonnet-4-6', 3.0),
-   ('claude-haiku-4-5', 1.0), ('gpt-4o', 2.5), ('gpt-4o-mini', 0.15), ('o3', 10.0), ('generic', 3.0),
-   ('model_0', 15.0), ('model_1', 3.0), ('model_2', 0.15)) v(model, usd_per_mtok))"""
+PRICES_SQL = ("prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {usd})" for m, usd in tb.REFERENCE_PRICES + tb.FIXTURE_PRICES)
+              + ") v(model, usd_per_mtok))")
 
 
 @register("t9_input_cost", ov.with_views("request_blocks") + f""",
