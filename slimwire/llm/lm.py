@@ -116,12 +116,15 @@ def pair_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int)
 def _count(bits: int, hot: np.ndarray):
     def flush(before: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
         b, t = np.concatenate(before), np.concatenate(tokens)
-        keys = pair(b, t)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
+        before.clear()
+        tokens.clear()
+        k = pair(b, t)
+        order = np.argsort(k, kind="stable")
+        k = k[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(first, len(k)))
-        b, t, k = b[order[first]], t[order[first]], k[first]
+        order = order[first]
+        b, t, k = b[order], t[order], k[first]
         shards, blobs = [], []
         for s, (vb, vt, vc) in _dealt(pair_shard(b, k, hot, bits), b, t, count):
             o = np.argsort(vb, kind="stable")
@@ -141,7 +144,7 @@ def _count(bits: int, hot: np.ndarray):
                 held += len(t)
                 if held >= FLUSH:
                     yield flush(before, tokens)
-                    before, tokens, held = [], [], 0
+                    held = 0
         if held:
             yield flush(before, tokens)
     return run
