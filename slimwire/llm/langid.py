@@ -199,12 +199,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     return Hierarchy(langs, {r["machine"]: np.frombuffer(bytes(r["w"])) for r in got})
 
 
-def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
-    """``docs`` with lang_pred and score: ``und`` and 0 where the text is null or has no letter, or nothing was learned.
+def identify(docs: DataFrame, model: Hierarchy | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score``: ``und`` and 0 where the text is null or has no letter, or nothing was learned.
 
-    Whole texts are read; every row is kept, repeated ones too; other columns pass through, and columns named
-    lang_pred or score are replaced."""
-    kept = docs.drop("lang_pred", "score")
+    Whole texts are read; every row is kept, repeated ones too; other columns pass through, and columns of
+    these two names are replaced."""
+    kept = docs.drop(lang, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +217,10 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
                     got, sure = model.predict(features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
                 names += [g if has[i + k] else UNDETERMINED for k, g in enumerate(got)]
                 scores += [float(s) if has[i + k] else 0.0 for k, s in enumerate(sure)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang, score])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
-    schema = StructType(list(kept.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(kept.schema.fields)).add(lang, StringType()).add(score, DoubleType())
     return kept.mapInArrow(run, schema)
 
 
