@@ -18,8 +18,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is told (operator 4); those without a letter or without a clear language go."""
     model = langid.train(langid.held_out(docs).filter("not held_out").select("text", "lang"))
-    judged = langid.identify(docs, model)
-    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    judged = langid.identify(docs, model, "__lang", "__score")
+    return judged.filter((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
