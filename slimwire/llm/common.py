@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to Python: rows are whole texts, so a bound on rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of about BATCH_BYTES (a longer row is a batch of its own).
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` in the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def mounted(path: str) -> str:
     """The file-system path of a shared folder that workers map into memory.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import written
+from slimwire.llm.common import in_batches, written
 
 
 class Groups:
@@ -74,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of stars towards the least neighbour, each written to the shared folder, until the edges stay the same: a
     number of rounds that grows with the logarithm of the largest component."""
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, seen = written(ordered.mapInArrow(_contract, "a long, b long").distinct(), "edges"), None
+    now, seen = written(ordered.transform(in_batches, _contract, "a long, b long").distinct(), "edges"), None
     while True:
         sums = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(sums) == seen:

@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import mix, pair, shuffle_partitions
+from slimwire.llm.common import in_batches, mix, pair, shuffle_partitions
 
 KEEP = 64          # names in a fingerprint
 FIRST_LEVEL = 2    # the least level whose names count (about ten characters a phrase)
@@ -196,4 +196,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.array(F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))))
     spread = marked.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.tail", "doc_id", "text")
     ordered = spread.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.coalesce("text", F.lit("")))
-    return ordered.mapInArrow(_stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.transform(in_batches, _stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

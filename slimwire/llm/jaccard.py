@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import WORD, buffers, mix, pair, shingles, shuffle_partitions, slices, word_hashes, written
+from slimwire.llm.common import WORD, buffers, in_batches, mix, pair, shingles, shuffle_partitions, slices, word_hashes, written
 from slimwire.llm.components import components
 
 _U = np.uint64
@@ -413,23 +413,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    top = (slim.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).select("h"))
+    top = (slim.transform(in_batches, _frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).select("h"))
     heavy = np.sort(np.array(top.toPandas()["h"], np.int64).view(_U))  # at most HEAVY numbers
-    rows = written(slim.mapInArrow(_describe(heavy), "doc_id long, text_hash long, node long, n long, point binary, prefix array<long>"), "shingles")
+    rows = written(slim.transform(in_batches, _describe(heavy), "doc_id long, text_hash long, node long, n long, point binary, prefix array<long>"), "shingles")
     sized = rows.filter("n > 0")
     nodes = written(sized.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
 
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total * 10 / CELL_BYTES)))))
-    cells = sized.select("node", "prefix").mapInArrow(_deal(bits), "shard long, data binary").repartition(max(tasks, (1 << bits) // 4), "shard").sortWithinPartitions("shard")
-    live = written(cells.mapInArrow(_live, "cell long, node long").distinct(), "cells")
+    cells = sized.select("node", "prefix").transform(in_batches, _deal(bits), "shard long, data binary").repartition(max(tasks, (1 << bits) // 4), "shard").sortWithinPartitions("shard")
+    live = written(cells.transform(in_batches, _live, "cell long, node long").distinct(), "cells")
     at = in_blocks(live, "cell", "node").join(nodes.select("node", "n", "point"), "node")
-    survivors = at.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(_survivors, "a long, b long")
+    survivors = at.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").transform(in_batches, _survivors, "a long, b long")
     near = written(components(survivors).select("node", F.col("label").alias("comp")), "near")
 
     members = in_blocks(near, "comp", "node", TEXTS).join(nodes.select("node", "doc_id"), "node")
     texts = slim.join(members, "doc_id").select("comp", "x", "y", "side", "node", "text")
-    exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(_verified, "a long, b long")
+    exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").transform(in_batches, _verified, "a long, b long")
     label = written(components(exact), "labels")
     least = label.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
     of_node = nodes.select("node", "doc_id").join(label.join(least, "label").select("node", "label", "component"), "node", "left")

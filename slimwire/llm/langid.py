@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import buffers, crc_mod, written
+from slimwire.llm.common import buffers, crc_mod, in_batches, written
 
 # Which languages are close relatives. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -133,7 +133,7 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
     ids = keyed.select("lang", "h").distinct()
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample).drop("r")
     texts = keyed.join(F.broadcast(ids), ["lang", "h"]).select("lang", "h", "text")  # at most ``sample`` rows a language
-    return texts.mapInArrow(_featured, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
+    return texts.transform(in_batches, _featured, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
 
 
 class Hierarchy:
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, lang: str = "lang_pred",
 
     from pyspark.sql.types import DoubleType, StringType, StructType
     schema = StructType(list(kept.schema.fields)).add(lang, StringType()).add(score, DoubleType())
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_batches, run, schema)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

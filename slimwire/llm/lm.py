@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import WORD, buffers, crc_mod, mix, mounted, pair, shared_path, shuffle_partitions, slices, word_hashes
+from slimwire.llm.common import WORD, buffers, crc_mod, in_batches, mix, mounted, pair, shared_path, shuffle_partitions, slices, word_hashes
 
 _U = np.uint64
 BEGIN, END = (mix(np.array([x], _U))[0] for x in (0xB0B0, 0xE0D0))  # what stands before and after the words
@@ -291,10 +291,10 @@ def train(docs: DataFrame) -> Model:
 
     folder = mounted(shared_path(spark, "kneser-ney"))
     tasks = min(shards, max(ask, shards // 4))
-    pairs = slim.mapInArrow(_count(bits, hot), ROWS).repartition(tasks, "shard").sortWithinPartitions("shard")
-    words = pairs.mapInArrow(_add_pairs(folder, bits), ROWS).repartition(tasks, "shard").sortWithinPartitions("shard")
+    pairs = slim.transform(in_batches, _count(bits, hot), ROWS).repartition(tasks, "shard").sortWithinPartitions("shard")
+    words = pairs.transform(in_batches, _add_pairs(folder, bits), ROWS).repartition(tasks, "shard").sortWithinPartitions("shard")
     got = np.zeros(13, _U)
-    for r in words.mapInArrow(_add_words(folder), ROWS).toLocalIterator():  # 13 numbers a shard
+    for r in words.transform(in_batches, _add_words(folder), ROWS).toLocalIterator():  # 13 numbers a shard
         got += np.frombuffer(bytes(r["data"]), _U)
     p1, p2, p3, p4, types, v, n, follows, w1, w2, w3, w4, more = (int(x) for x in got)
     of_pairs, of_words = discounts(p1, p2, p3, p4), discounts(w1, w2, w3, w4)
@@ -388,7 +388,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, held_out) with its token counts, the unigram score, the model's log10
     probability and its perplexity. Null and empty texts are one end token; repeated rows are scored each."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
-    return slim.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return slim.transform(in_batches, _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_held_out(docs: DataFrame, folds: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import written
+from slimwire.llm.common import in_batches, written
 
 # The kinds in their order, the base patterns with their least lengths, and the
 # words whose presence makes a context sensitive.
@@ -135,7 +135,7 @@ def mask_secrets(docs: DataFrame, dictionary_size: int = DICTIONARY, least: floa
     Spans depend on a text and the corpus dictionary alone, so they are found again where the text is: the dictionary
     comes from one scan, and the masking is a second one that moves no text."""
     slim = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = identifier_dictionary(written(slim.mapInArrow(_scan, SCAN).filter("size(candidates) > 0"), "secrets"), dictionary_size)
+    words = identifier_dictionary(written(slim.transform(in_batches, _scan, SCAN).filter("size(candidates) > 0"), "secrets"), dictionary_size)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def mask_secrets(docs: DataFrame, dictionary_size: int = DICTIONARY, least: floa
                 new["n_chars"] = pa.array([n if t is None or t == old else len(t) for t, old, n in zip(texts, batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()),
@@ -179,6 +179,6 @@ def scan_secrets(docs: DataFrame, dictionary_size: int = DICTIONARY, least: floa
     candidates and their surroundings are written to the shared folder.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(slim.mapInArrow(_scan, SCAN), "secrets")
+    scanned = written(slim.transform(in_batches, _scan, SCAN), "secrets")
     words = identifier_dictionary(scanned, dictionary_size)
-    return scanned.mapInArrow(_report(words, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, novelty double")
+    return scanned.transform(in_batches, _report(words, least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, novelty double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import crc_mod, written
+from slimwire.llm.common import crc_mod, in_batches, written
 from slimwire.llm.trees import Boosted
 
 # A few insults and second-person words of several languages.
@@ -85,7 +85,7 @@ def with_features(docs: DataFrame, words: frozenset, stems: frozenset) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(x, pa.list_(pa.float64()))], [*kept, "x"])
 
     from pyspark.sql.types import ArrayType, DoubleType, StructType
-    return docs.mapInArrow(run, StructType([docs.schema[c] for c in kept]).add("x", ArrayType(DoubleType())))
+    return docs.transform(in_batches, run, StructType([docs.schema[c] for c in kept]).add("x", ArrayType(DoubleType())))
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[frozenset, frozenset]:

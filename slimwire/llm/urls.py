@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import written
+from slimwire.llm.common import in_batches, written
 from slimwire.llm.trees import Boosted
 
 # The rules of the query, and labelled URLs to learn from beside those that rules decide.
@@ -91,7 +91,7 @@ def with_features(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
 
     from pyspark.sql.types import ArrayType, DoubleType, StructType
-    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("x", ArrayType(DoubleType())))
+    return rows.transform(in_batches, run, StructType(list(rows.schema.fields)).add("x", ArrayType(DoubleType())))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
