@@ -22,6 +22,7 @@ from slimwire.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)    # by rank of the source, repeating
 SHARE = 1.5            # words of the mix as a multiple of all words
 MOST = 2               # copies of a document, at most
+SMALL = 100_000        # rows of a table made on the driver up to which it is broadcast; beyond it joins are shuffled
 FITS = 3               # documents taken alone to fill what is left
 SEED = "mix"
 
@@ -100,6 +101,11 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, most: int = MOST) ->
                 flow[y, x] -= much
 
 
+def _sent(rows: DataFrame, count: int) -> DataFrame:
+    """``rows``, of which there are ``count``, marked to be broadcast where they are few."""
+    return F.broadcast(rows) if count <= SMALL else rows
+
+
 def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
     """What to take of each pattern to come near ``wanted`` words: whole passes, the last unit of the seeded
     order that is taken once more, and the units taken alone.
@@ -112,12 +118,12 @@ def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
     sums = units.groupBy("pattern").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()
     passes = [(r["pattern"], *(divmod(min(wanted.get(r["pattern"], 0), MOST * r["words"]), r["words"]) if r["words"] else (0, 0))) for r in sums]
     schema = "pattern long, passes long, rest long"
-    rest = F.broadcast(spark.createDataFrame(passes, schema))  # one row a pattern, made on the driver
+    rest = _sent(spark.createDataFrame(passes, schema), len(passes))  # one row a pattern, made on the driver
     bins = units.groupBy("pattern", F.substring("h", 1, 3).alias("bin")).agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
     cut = (bins.withColumn("upto", upto).join(rest, "pattern").withColumn("before", F.col("upto") - F.col("words"))
            .filter("before <= rest and upto > rest").select("pattern", "bin", "before", "rest"))
-    inside = units.withColumn("bin", F.substring("h", 1, 3)).join(F.broadcast(cut), ["pattern", "bin"])
+    inside = units.withColumn("bin", F.substring("h", 1, 3)).join(_sent(cut, len(passes)), ["pattern", "bin"])
     upto = F.col("before") + F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size"))
     last = (inside.withColumn("upto", upto).filter("upto <= rest").groupBy("pattern")
             .agg(F.max(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")).alias("last"), F.max("upto").alias("upto")))
@@ -132,7 +138,7 @@ def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
         rows = [(x["pattern"], x["h"], x["id"], x["last_size"], x["left"], [tuple(a) for a in x["alone"]]) for x in out if x["left"] > 0 and x["passes"] < MOST]
         if not rows:
             break
-        open_ = F.broadcast(spark.createDataFrame(rows, CUT))
+        open_ = _sent(spark.createDataFrame(rows, CUT), len(rows))
         fits = (units.join(open_, "pattern").filter(~taken_once_more() & (F.col("size") > 0) & (F.col("size") * F.col("n") <= F.col("left")))
                 .groupBy("pattern").agg(F.max_by(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size", "n"),
                                                  F.struct(F.col("size") * F.col("n"), "h", "doc_id")).alias("fit")))
@@ -185,13 +191,12 @@ def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: fl
     wanted = defaultdict(int)
     for (p, _), x in flow.items():
         wanted[p] += x
-    # one row a pattern, as what was just collected: the join below lets Spark choose by its size
-    ids = spark.createDataFrame([(i, r["key"]) for i, r in enumerate(patterns)], "pattern long, key string")
+    ids = _sent(spark.createDataFrame([(i, r["key"]) for i, r in enumerate(patterns)], "pattern long, key string"), len(patterns))
     cut = plan(slim.join(ids, "key").drop("key"), dict(wanted))
     rows = [(patterns[x["pattern"]]["key"], x["passes"], x["h"], x["id"], x["last_size"], [tuple(a) for a in x["alone"]],
              sum(sizes[s] for s in member[x["pattern"]]), float(sum(aims[s] for s in member[x["pattern"]]))) for x in cut]
     take = spark.createDataFrame(rows, "__key string, passes long, h0 string, id0 long, size0 long, alone array<struct<h:string,doc_id:long,size:long>>, source_size long, target double")
-    joined = base.withColumn("h", F.col("__h")).join(take, "__key")
+    joined = base.withColumn("h", F.col("__h")).join(_sent(take, len(rows)), "__key")
     more = F.when((F.col("passes") < MOST) & taken_once_more(), 1).otherwise(0)
     out = joined.withColumn("taken", F.col("size") * (F.col("passes") + more))
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "__key", "__h")]
