@@ -4,7 +4,8 @@ A document may belong to several sources. Documents are aggregated by their set
 membership pattern); a flow network routes each pattern's words to the sources' quotas, where the
 second copy of a word costs more than the first (convex costs). The flow gives the words to take of
 each pattern: whole passes over its documents, then documents in a seeded order until the rest is used
-up, then single documents that fit what is left best. Only one row a pattern reaches the driver.
+up, then single documents that fit what is left best, then all that still fit, along the order. Only one
+row a pattern reaches the driver.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _sent(rows: DataFrame, count: int) -> DataFrame:
 
 def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
     """What to take of each pattern to come near ``wanted`` words: whole passes, the last unit of the seeded
-    order that is taken once more, and the units taken alone.
+    order that is taken once more, the units taken alone, and the rounds that go on along the order.
 
     A unit is all rows of the same (pattern, h, doc_id, size): repeated rows are taken together. The order is
     cut without sorting a pattern in one task: bins of the seeded hash are added up first, then only the units
@@ -133,7 +134,7 @@ def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
     for p, k, words in passes:
         bin_, before = cuts.get(p, ("000", 0))
         end, upto = lasts.get(p, ((bin_, None, None), before))  # nothing of the bin fits: up to its start
-        out.append({"pattern": p, "passes": k, "h": end[0], "id": end[1], "last_size": end[2], "left": words - upto, "alone": []})
+        out.append({"pattern": p, "passes": k, "h": end[0], "id": end[1], "last_size": end[2], "left": words - upto, "alone": [], "rounds": []})
     for _ in range(FITS):
         rows = [(x["pattern"], x["h"], x["id"], x["last_size"], x["left"], [tuple(a) for a in x["alone"]]) for x in out if x["left"] > 0 and x["passes"] < MOST]
         if not rows:
@@ -147,19 +148,67 @@ def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
             if f := found.get(x["pattern"]):
                 x["alone"].append((f["h"], f["doc_id"], f["size"]))
                 x["left"] -= f["size"] * f["n"]
+    while go_on(units, out):
+        pass
     return out
 
 
+def go_on(units: DataFrame, out: list[dict]) -> bool:
+    """One round along the seeded order behind what is taken, without the units larger than what is left: up to the first
+    that then no longer fits. Adds the round to each pattern of ``out`` that has such units; False if none has.
+
+    Units before a round's end that are not taken are larger than what is left, so that no round looks back."""
+    spark = units.sparkSession
+    open_ = [x for x in out if x["left"] > 0 and x["passes"] < MOST and not x.get("closed")]
+    if not open_:
+        return False
+    starts = {x["pattern"]: x["rounds"][-1][4:] if x["rounds"] else (x["h"], LEAST_ID if x["id"] is None else x["id"], -1 if x["last_size"] is None else x["last_size"]) for x in open_}
+    rows = [(x["pattern"], *starts[x["pattern"]], x["left"], [tuple(a) for a in x["alone"]]) for x in open_]
+    fit = (units.join(_sent(spark.createDataFrame(rows, CUT), len(rows)), "pattern").withColumn("bin", F.substring("h", 1, 3)).withColumn("weight", F.col("size") * F.col("n"))
+           .filter((place() > place("h0", "id0", "size0")) & (F.col("size") > 0) & (F.col("weight") <= F.col("left")) & ~F.array_contains("alone", place())))
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
+    bins = fit.groupBy("pattern", "bin", "left").agg(F.sum("weight").alias("words")).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    ends = bins.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", "before"))).alias("cut")).collect()  # one row a pattern
+    found = {r["pattern"]: r for r in ends}
+    cuts = [(r["pattern"], *r["cut"]) for r in ends if r["cut"]]
+    lasts = {}
+    if cuts:
+        inside = fit.join(_sent(spark.createDataFrame(cuts, "pattern long, bin string, before long"), len(cuts)), ["pattern", "bin"])
+        upto = F.col("before") + F.sum("weight").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size"))
+        last = inside.withColumn("upto", upto).filter("upto <= left").groupBy("pattern").agg(F.max(place()).alias("last"), F.max("upto").alias("upto"))
+        lasts = {r["pattern"]: (tuple(r["last"]), r["upto"]) for r in last.collect()}
+    for x in open_:
+        r = found.get(x["pattern"])
+        if r is None or not r["cut"]:
+            x["closed"] = True  # nothing fits, or all that fits is taken
+        if r is None:
+            continue
+        end, words = lasts.get(x["pattern"], ((r["cut"]["bin"], LEAST_ID, -1), r["cut"]["before"])) if r["cut"] else (("g", LEAST_ID, -1), r["all"])
+        x["rounds"].append((x["left"], *starts[x["pattern"]], *end))
+        x["left"] -= words
+    return True
+
+
+LEAST_ID = -(1 << 63)  # stands for a null doc_id
 CUT = "pattern long, h0 string, id0 long, size0 long, left long, alone array<struct<h:string,doc_id:long,size:long>>"
+ROUNDS = "array<struct<most:long,h0:string,id0:long,size0:long,h1:string,id1:long,size1:long>>"
+
+
+def place(h: str = "h", doc_id: str = "doc_id", size: str = "size") -> Column:
+    """A unit's place in the seeded order; a null doc_id counts as the least one."""
+    return F.struct(F.col(h).alias("h"), F.coalesce(doc_id, F.lit(LEAST_ID)).alias("doc_id"), F.col(size).alias("size"))
 
 
 def taken_once_more() -> Column:
     """Whether a unit is within the seeded order up to the cut, or taken alone. A null doc_id counts as the least one."""
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    mine = F.struct(F.col("h"), doc.alias("doc_id"), F.col("size"))
-    whole = F.when(F.col("id0").isNull(), F.col("h") < F.col("h0")).otherwise(
-        mine <= F.struct(F.col("h0").alias("h"), F.col("id0").alias("doc_id"), F.col("size0").alias("size")))
-    return whole | F.array_contains("alone", mine)
+    whole = F.when(F.col("id0").isNull(), F.col("h") < F.col("h0")).otherwise(place() <= place("h0", "id0", "size0"))
+    return whole | F.array_contains("alone", place())
+
+
+def taken_in_a_round() -> Column:
+    """Whether a unit of ``__n`` rows is taken by one of the rounds behind the cut."""
+    at = lambda r, k: F.struct(r[f"h{k}"].alias("h"), r[f"id{k}"].alias("doc_id"), r[f"size{k}"].alias("size"))
+    return (F.col("size") > 0) & F.exists("__rounds", lambda r: (place() > at(r, 0)) & (place() <= at(r, 1)) & (F.col("size") * F.col("__n") <= r["most"]))
 
 
 def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -193,11 +242,19 @@ def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: fl
         wanted[p] += x
     ids = _sent(spark.createDataFrame([(i, r["key"]) for i, r in enumerate(patterns)], "pattern long, key string"), len(patterns))
     cut = plan(slim.join(ids, "key").drop("key"), dict(wanted))
-    rows = [(patterns[x["pattern"]]["key"], x["passes"], x["h"], x["id"], x["last_size"], [tuple(a) for a in x["alone"]],
+    rows = [(patterns[x["pattern"]]["key"], x["passes"], x["h"], x["id"], x["last_size"], [tuple(a) for a in x["alone"]], x["rounds"],
              sum(sizes[s] for s in member[x["pattern"]]), float(sum(aims[s] for s in member[x["pattern"]]))) for x in cut]
-    take = spark.createDataFrame(rows, "__key string, passes long, h0 string, id0 long, size0 long, alone array<struct<h:string,doc_id:long,size:long>>, source_size long, target double")
+    take = spark.createDataFrame(rows, "__key string, passes long, h0 string, id0 long, size0 long, alone array<struct<h:string,doc_id:long,size:long>>, __rounds " + ROUNDS + ", source_size long, target double")
     joined = base.withColumn("h", F.col("__h")).join(_sent(take, len(rows)), "__key")
-    more = F.when((F.col("passes") < MOST) & taken_once_more(), 1).otherwise(0)
+    more = F.when((F.col("passes") < MOST) & (taken_once_more() | taken_in_a_round()), 1).otherwise(0)
+    # rounds compare whole units: the rows of a unit are told where there are several
+    repeated = slim.filter("n > 1").select(F.col("key").alias("__key"), F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(LEAST_ID)).alias("__id"), "size", F.col("n").alias("__n"))
+    count = repeated.count() if any(x["rounds"] for x in cut) else 0
+    if count:
+        joined = joined.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))).join(_sent(repeated, count), ["__key", "__h", "__id", "size"], "left")
+        joined = joined.withColumn("__n", F.coalesce("__n", F.lit(1)))
+    else:
+        joined = joined.withColumn("__n", F.lit(1))
     out = joined.withColumn("taken", F.col("size") * (F.col("passes") + more))
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "__key", "__h")]
     return out.select(*keep, "size", "source_size", "target", "taken")

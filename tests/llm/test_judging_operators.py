@@ -1,9 +1,11 @@
 """Operators 4, 5, 7, 8, 9 and 10 and the pipeline: exact parts against brute force, learned parts by held-out accuracy."""
 
+import hashlib
 import itertools
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -121,6 +123,39 @@ def test_overlapping_sources(spark):
     assert len(got) == 302 and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
 
 
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
+    def h(i):
+        return hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()
+
+    big, copied = sorted(range(1000), key=h)[:2]  # first of the order: a document, and rows repeated, that never fit
+    rows = [(i, "s", "w " * (20_000 if i == big else 10 + i % 7)) for i in range(1000) if i != copied]
+    rows += [(copied, "s", "w " * 10)] * 1200 + [(5000, "s", "w " * 12)] * 3 + [(None, "s", "w " * 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    words = sum(t.count("w") for *_, t in rows)
+    got = mixing.mix_sources(docs, F.array("source"), share=0.15).select("doc_id", "size", "target", "taken").collect()
+    assert len(got) == len(rows)
+    wanted = math.floor(0.15 * words + 0.5)
+    units = Counter((i, t.count("w")) for i, _, t in rows)
+    order = sorted(units, key=lambda u: (h(u[0]), -1 if u[0] is None else u[0], u[1]))
+    chosen, left = set(), wanted
+    for u in order:  # the order as far as it fits
+        if u[1] * units[u] > left:
+            break
+        chosen.add(u)
+        left -= u[1] * units[u]
+    for _ in range(mixing.FITS):  # the largest that fit
+        if fit := [u for u in order if u not in chosen and u[1] * units[u] <= left]:
+            u = max(fit, key=lambda u: (u[1] * units[u], h(u[0]), u[0] or 0))
+            chosen.add(u)
+            left -= u[1] * units[u]
+    for u in order:  # and all that still fit
+        if u not in chosen and u[1] * units[u] <= left:
+            chosen.add(u)
+            left -= u[1] * units[u]
+    assert wanted > 5000 and left < 10
+    assert {(r["doc_id"], r["size"]) for r in got if r["taken"]} == chosen and sum(r["taken"] for r in got) == wanted - left
+
+
 # -- operator 7 -------------------------------------------------------------------------------
 
 def test_benchmark_items_are_found(spark):
