@@ -417,7 +417,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heavy = np.sort(np.array(top.toPandas()["h"], np.int64).view(_U))  # at most HEAVY numbers
     rows = written(slim.transform(in_batches, _describe(heavy), "doc_id long, text_hash long, node long, n long, point binary, prefix array<long>"), "shingles")
     sized = rows.filter("n > 0")
-    nodes = written(sized.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")  # a row of each set, of the least doc_id, nulls last
+    nodes = written(sized.groupBy("node").agg(one, F.first("n").alias("n"), F.first("point").alias("point"))
+                    .select("node", "one.doc_id", "one.text_hash", "n", "point"), "sets")
 
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total * 10 / CELL_BYTES)))))
@@ -427,8 +429,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     survivors = at.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").transform(in_batches, _survivors, "a long, b long")
     near = written(components(survivors).select("node", F.col("label").alias("comp")), "near")
 
-    members = in_blocks(near, "comp", "node", TEXTS).join(nodes.select("node", "doc_id"), "node")
-    texts = slim.join(members, "doc_id").select("comp", "x", "y", "side", "node", "text")
+    members = in_blocks(near, "comp", "node", TEXTS).join(nodes.select("node", "doc_id", "text_hash"), "node")
+    wanted = ["comp", "x", "y", "side", "node", "text"]
+    # rows without an id are found by their text alone, copies once
+    nameless = slim.filter("doc_id is null").groupBy("text_hash").agg(F.first("text").alias("text")).join(members.filter("doc_id is null"), "text_hash")
+    texts = slim.join(members, ["doc_id", "text_hash"]).select(wanted).unionByName(nameless.select(wanted))
     exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").transform(in_batches, _verified, "a long, b long")
     label = written(components(exact), "labels")
     least = label.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))

@@ -288,6 +288,21 @@ def test_jaccard_components_in_blocks_and_with_frequent_shingles(spark, monkeypa
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()) == want
 
 
+def test_rows_without_an_id_link_as_others_do(spark):
+    run = ["b%d" % k for k in range(100)]
+    rows = [(1, " ".join(run[:86])), (None, " ".join(run)), (3, " ".join(run[14:]))]  # linked by the one without an id alone
+    alone = ["n%d" % k for k in range(60)]
+    rows += [(None, " ".join(alone)), (None, " ".join([*alone, "more"])), (None, " ".join([*alone, "more"])), (None, " ".join(["other", *alone]))]
+    rows += [(None, t) for _, t in near_copies()[:40]] + near_copies()[40:80]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = jaccard.jaccard_components(docs).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(naive_components(rows), key=key)
+    named = naive_components([(i, t) for i, (_, t) in enumerate(rows)])
+    kept = jaccard.one_of_each(docs).collect()
+    assert len(kept) == len({c for *_, c in named}) and sum(r["text"].startswith(("n0 ", "other ")) for r in kept) == 1
+
+
 def test_tree_links_what_brute_force_links():
     rng = np.random.default_rng(2)
     bases = [rng.integers(0, 1 << 63, rng.integers(20, 300), dtype=np.uint64) for _ in range(30)]
