@@ -48,16 +48,34 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             "hex": [m.span() for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]}
 
 
+def covered(s: int, e: int, taken: list[tuple[int, int]]) -> bool:
+    """Whether the spans, in order, cover all of [s, e)."""
+    for a, b in taken:
+        if a <= s < b:
+            s = b
+    return s >= e
+
+
+def last_part(word: str) -> int:
+    """Where the last part of a value begins that may be the name of what follows it."""
+    end = len(word.rstrip("+/.=~"))
+    if word[:end].lower().endswith(("=bearer", "=basic")):
+        end = len(word[:word.rindex("=", 0, end)].rstrip("+/.=~"))
+    return max(word.rfind(c, 0, end) for c in "+/.=~") + 1
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[dict]:
-    """Long strings in a sensitive context that no base span overlaps, with the code around them.
+    """Long strings in a sensitive context that base spans don't cover, with the code around them.
 
-    A candidate mixes at least two of lower case, upper case and digits, as plain words don't."""
-    found = []
-    for m in SENSITIVE.finditer(text):
+    A candidate mixes at least two of lower case, upper case and digits, as plain words don't. What stands after a
+    keyword may be the next one's name, so the search goes on within it."""
+    found, at, taken = [], 0, sorted(taken)
+    while m := SENSITIVE.search(text, at):
         s, e = m.span(1)
         word = m[1]
+        at = s + last_part(word)
         classes = (word != word.lower()) + (word != word.upper()) + any(c.isdigit() for c in word)
-        if e - s < SHORTEST or classes < 2 or any(a < e and s < b for a, b in taken):
+        if e - s < SHORTEST or classes < 2 or covered(s, e, taken):
             continue
         found.append({"s": s, "e": e, "before": text[max(0, s - AROUND):s], "after": text[e:e + AROUND], "word": word})
     return found

@@ -112,6 +112,19 @@ def test_novelty_tells_the_new_from_the_known():
     assert secrets.novelty("authentication_token_provider", "token = ", "", names) < 0.4
 
 
+def test_no_candidate_is_lost_behind_another_keyword(spark):
+    hidden = ["ghp_16C7e42FqX7vT9zLk2PwR4mN8bYcD1fG", "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY", "Zq9XvTRw8LmPzK0123456789abcdefYtHs4GbNc", "qX7vT9zLk2PwR4mN8bYcD1fG"]
+    texts = [f"Authorization: token {hidden[0]} sent", f"secret access_key = {hidden[1]}", f"client_id: {hidden[2]} end", f"authorization token=basic {hidden[3]}",
+             f"secret Aws_Secret_Access_Key1 = {hidden[1]}"]
+    for t, own in zip(texts, [*hidden, hidden[1]], strict=True):
+        spans = [x for k in secrets.base_spans(t).values() for x in k]
+        assert own in [c["word"] for c in secrets.candidates(t, spans)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for r in secrets.mask_secrets(docs).collect():
+        assert "[secret]" in r["text"] and not any(h in r["text"] or h[:10] in r["text"] or h[-8:] in r["text"] for h in hidden)
+    assert not secrets.candidates("token: 0123456789abcdef0123", [(0, 27)]) and not secrets.candidates("token=" * 20_000, [])
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(i, t, len(t) if t is not None else None, "s") for i, t in SECRETS], DOCS + ", n_chars long, source string")
     got = secrets.mask_secrets(docs)
