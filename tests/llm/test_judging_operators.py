@@ -322,6 +322,21 @@ def test_template_without_an_article_element(spark):
         assert r["text"] == f"Story number {r['page_id']} begins here with words.\n\nIt goes on about thing {r['page_id'] * 7} at some length."
 
 
+def test_only_frequent_tokens_of_a_host_are_gathered(spark):
+    def page(k):
+        return f"<body><div class=story><p>Story {k // 3} one.</p><p>Story {k // 3} two.</p></div><div class=end><p>The same end.</p></div></body>"
+    rows = [(k, f"http://site.org/{k}", page(k), "site.org") for k in range(60)] + [(100 + k, f"http://b.org/{k}", f"text {k}", "b.org") for k in range(3)]
+    found = html.templates(spark.createDataFrame(rows, "page_id long, url string, html string, host string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
+    before = plan[plan.rindex("collect_list"):]  # what is below the first list
+    assert re.search(r"pages#\d+L? as double\) >= ", before)
+    got = {r["host"]: r for r in found.collect()}
+    assert got["site.org"]["main"] == "body/div.story/p" or got["site.org"]["main"] == "body/div.story"
+    assert got["site.org"]["constant"] == ["%x" % (html._hash("The same end.") & (2 ** 64 - 1))]
+    assert got["b.org"]["main"] is None and got["b.org"]["constant"] == []
+
+
 # -- the pipeline ---------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark):
