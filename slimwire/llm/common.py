@@ -38,6 +38,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL = 100_000  # rows up to which a table is broadcast; beyond that a join is left to Spark
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """``rows``, marked to be broadcast where they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, column: str = "__at") -> DataFrame:
+    """``df`` with ``column``: each row's position in ``order``, without gaps, from 0. Equal rows stand in any order.
+
+    Ranges of the order are the partitions of a written table; only a count a partition is sent round. The last
+    key of a range is the row's place in the input, so that equal rows are split as well."""
+    spark = df.sparkSession
+    key = "__place"
+    placed = df.withColumn(key, F.monotonically_increasing_id())
+    ranges = placed.repartitionByRange(shuffle_partitions(spark), *order, key).sortWithinPartitions(*order, key).drop(key)
+    held = written(ranges.withColumn("__range", F.spark_partition_id())
+                   .withColumn("__within", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
+    before, total = [], 0
+    for r in held.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # one row a partition
+        before.append((r["__range"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "__range int, __before long"))
+    return held.join(starts, "__range").withColumn(column, F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
+
+
 #: Bytes of an Arrow batch that goes to Python: rows are whole texts, so a bound on rows alone bounds nothing.
 BATCH_BYTES = 4 << 20
 
