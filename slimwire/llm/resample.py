@@ -31,7 +31,7 @@ SEED = "2024"
 LEAST_WORDS = 20       # documents with fewer are not drawn
 PERCENT = 10
 SCALE = 1000
-HEAD = 20_000          # words, and as many pairs, of the head
+HEAD = 4_000           # words, and as many pairs, of the head
 LONGEST = 64           # bytes of a word or pair of the head, at most
 COUNTED = 200_000      # words that a task counts at a time while the head is sought
 WINDOW = 1 << 20       # bytes of a text that are cut into words at a time
