@@ -149,6 +149,21 @@ def previous_versions(df: DataFrame, is_file_text: Column) -> DataFrame:
               .withColumn("_prev_request", F.when(known, F.lag("request_id").over(w))))
 
 
+# Fixed value: what stands between a file's name with its line count and the diff.
+SENT_AS_DIFF = " lines, sent as a diff vs. the previous version:\n\n"
+
+
+def restored_text(sent: Column, previous: Column) -> Column:
+    """The whole text of a file block, also where filediff ``sent`` it as a diff against its ``previous`` version."""
+    from slimwire.operators.diff import apply_diff_udf
+
+    at = F.locate(SENT_AS_DIFF, sent)
+    head = F.substring_index(sent, SENT_AS_DIFF, 1)
+    is_diff = (at > 0) & previous.isNotNull() & head.rlike(r"\A\S+ — \d+\z")
+    diff = F.when(is_diff, F.substr(sent, at + len(SENT_AS_DIFF)))
+    return F.coalesce(apply_diff_udf(F.when(is_diff, previous), diff), sent)
+
+
 def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
     from slimwire.operators.diff import line_diff_udf, with_unified_diff
 
@@ -167,8 +182,7 @@ def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
                 .drop("_dprev", "_dcur"))
     rewrite = cand & (tx.utf16_len(F.col("_diff")) < tx.utf16_len(F.col("text")))
     new_text = F.concat(F.col("_path"), F.lit(" — "),
-                        F.size(F.split(F.col("_prev"), "\n", -1)).cast("string"),
-                        F.lit(" lines, sent as a diff vs. the previous version:\n\n"), F.col("_diff"))
+                        F.size(F.split(F.col("_prev"), "\n", -1)).cast("string"), F.lit(SENT_AS_DIFF), F.col("_diff"))
     df = df.withColumn("_rw", F.coalesce(rewrite, F.lit(False)))
     return (df.withColumn("n_text", F.when(F.col("_rw"), new_text).otherwise(F.col("text")))
               .withColumn("n_drop", F.col("drop"))

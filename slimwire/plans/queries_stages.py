@@ -249,11 +249,33 @@ def q_s10(spark, d):
     return red.ledger.select("request_id", "stage", "saved", "measured", "reverted", "notes")
 
 
-@register("s10_filediff_growing_files")
+# What is sent, put together again from the versions sent before, is what the client had; all changes of a growing file are the
+# line of its revision, its last line where that gets a line end, and the new lines.
+S10_GROWING_SQL = PREV_SQL + """,
+ l AS (SELECT f.request_id, f.text, g.prev, g.prev IS NOT NULL AND g.prev <> f.text AS cand,
+              string_split(regexp_replace(replace(g.prev, chr(10), concat('$', chr(10))), '\n$', ''), chr(10)) AS a,
+              string_split(regexp_replace(replace(f.text, chr(10), concat('$', chr(10))), '\n$', ''), chr(10)) AS b
+       FROM file_versions f LEFT JOIN lagged g USING (request_id)),
+ p AS (SELECT *, len(a) - 2 AS na, len(b) - 2 AS nb, coalesce(list_position(list_transform(range(3, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false), 0) AS stop FROM l)
+SELECT request_id, md5(text) AS restored_md5,
+       CAST(CASE WHEN cand THEN 1 + na - CASE WHEN stop = 0 THEN least(na, nb) ELSE stop - 1 END ELSE 0 END AS BIGINT) AS removed,
+       CAST(CASE WHEN cand THEN 1 + nb - CASE WHEN stop = 0 THEN least(na, nb) ELSE stop - 1 END ELSE 0 END AS BIGINT) AS added FROM p"""
+
+
+@register("s10_filediff_growing_files", S10_GROWING_SQL)
 def q_s10_growing(spark, d):
     # files that grow at the end while an early line changes: two hunks
-    red = reduce_requests(tb.file_blocks(spark, d), Config(stages=FILEDIFF_ONLY))
-    return red.ledger.select("request_id", "stage", "saved", "measured", "reverted", "notes")
+    from slimwire.operators.stages import previous_versions, restored_text
+    files = tb.file_blocks(spark, d)
+    sent = reduce_requests(files, Config(stages=FILEDIFF_ONLY, min_savings=-(1 << 40))).blocks.select("request_id", F.col("text").alias("sent"))
+    known = previous_versions(files, files["text"]).select("request_id", "_path", F.col("_prev").alias("previous"), "text")
+    both = sent.join(known, "request_id")
+    differs = F.col("previous") != F.col("text")
+    script = df_.line_diff_udf(F.when(differs, F.col("_path")), F.when(differs, F.col("previous")), F.when(differs, F.col("text")))
+    counted = both.withColumn("restored", restored_text(F.col("sent"), F.col("previous"))).withColumn("lines", F.slice(F.split(script, "\n", -1), 3, 1 << 30))
+    count = lambda mark: F.coalesce(F.size(F.filter("lines", lambda x: x.startswith(mark))), F.lit(0)).cast("bigint")
+    return counted.select("request_id", F.md5("restored").alias("restored_md5"), F.when(F.col("lines").isNull(), 0).otherwise(count("-")).cast("bigint").alias("removed"),
+                          F.when(F.col("lines").isNull(), 0).otherwise(count("+")).cast("bigint").alias("added"))
 
 
 @register("s11_s12_stub_stages", ov.with_views("requests") + """

@@ -1,5 +1,6 @@
 """Stages, guardrail, ledger and pass-through on tiny requests (reference vectors)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import blocks_df
@@ -234,3 +235,64 @@ def test_custom_results_decide_their_own_reversibility_and_note(spark):
     b = blocks_df(spark, [dict(request_id=i, text="some words") for i in (1, 2)] + [dict(request_id=3, text="word " * 100)])
     led = {r.request_id: (r.reversible, r.reverted, r.notes) for r in reduce_requests(b, Config(), stages=[stage]).ledger.collect()}
     assert led == {1: (True, False, "kept a copy"), 2: (False, True, "reverted: saved 2 < min 32"), 3: (False, False, "lossy")}
+
+
+def test_linear_space_script_is_as_short_as_brute_force(monkeypatch):
+    import random
+    from slimwire.operators import diff
+    monkeypatch.setattr(diff, "GREEDY", -1)   # always by halving
+    random.seed(5)
+    for _ in range(300):
+        a, b = ([random.choice("abcdef"[:random.randint(1, 6)]) for _ in range(random.randint(0, 40))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        steps = diff.edit_script(a, b)
+        assert [a[i] for m, i, _ in steps if m != "+"] == a and [b[j] for m, _, j in steps if m != "-"] == b
+        assert sum(m == " " for m, _, _ in steps) == table[-1][-1]
+
+
+def test_many_differing_lines_need_little_memory():
+    import random
+    import time
+    import tracemalloc
+    from slimwire.operators.diff import apply_diff, edit_script, unified_diff
+    n = 20_000
+    old = [f"line {i}\n" for i in range(n)]
+    moved = old[:]
+    random.seed(1)
+    random.shuffle(moved)
+    for new in ([f"other {i}\n" for i in range(n)], moved, [random.choice("abc") + "\n" for _ in range(n)]):
+        tracemalloc.start()
+        begun = time.time()
+        steps = edit_script(old, new)
+        assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - begun < 60
+        tracemalloc.stop()
+        assert sum(m != "+" for m, *_ in steps) == n and sum(m != "-" for m, *_ in steps) == n
+        assert apply_diff("".join(old), unified_diff("f", "".join(old), "".join(new))) == "".join(new)
+
+
+def test_diffs_turn_one_text_into_the_other():
+    import random
+    from slimwire.operators.diff import apply_diff, unified_diff
+    random.seed(6)
+    for _ in range(400):
+        a, b = ("".join(random.choice(["x\n", "y\n", "\n", "  z\n", "x"]) for _ in range(random.randint(0, 30))) for _ in range(2))
+        assert apply_diff(a, unified_diff("f", a, b)) == b, (a, b)
+    assert apply_diff("", "--- f\tprevious\n+++ f\tcurrent") == ""
+    with pytest.raises(ValueError):
+        apply_diff("a\n", "--- f\n+++ f\n@@ -1,1 +1,1 @@\n-b\n+c")
+    with pytest.raises(ValueError):
+        apply_diff("a\n", "--- f\n+++ f\n@@ nonsense")
+
+
+def test_blocks_sent_as_diffs_are_restored(spark):
+    from slimwire.operators.stages import restored_text
+    from slimwire.operators.diff import unified_diff
+    old = "src/a.py\n" + "\n".join(f"x{i}" for i in range(60)) + "\n"
+    new = old.replace("x7\n", "y7\nz7\n").replace("x50\n", "")
+    sent = "src/a.py — 62 lines, sent as a diff vs. the previous version:\n\n" + unified_diff("src/a.py", old, new)
+    df = spark.createDataFrame([(1, sent, old), (2, new, old), (3, "plain", None), (4, None, old), (5, "a lines, sent as a diff vs. the previous version:\n\nx", old)], "i long, sent string, prev string")
+    got = {r.i: r.t for r in df.select("i", restored_text(F.col("sent"), F.col("prev")).alias("t")).collect()}
+    assert got == {1: new, 2: new, 3: "plain", 4: None, 5: "a lines, sent as a diff vs. the previous version:\n\nx"}
