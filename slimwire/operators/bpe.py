@@ -2,37 +2,45 @@
 
 Byte-level BPE: a word is its UTF-8 bytes, written as two-hex-digit symbols; a
 merged symbol is the concatenation of its parts' hex. A rank table maps a token
-(hex of its bytes) to its merge rank; the 256 single bytes are implicit.
+(hex of its bytes) to its merge rank, or a pair of tokens where it has their columns;
+the 256 single bytes are implicit.
 
 T5 is an iterative Spark job over the *distinct word table* (pre-tokenize ->
-``groupBy(word).count`` is the only pass over the corpus). Each round counts
-adjacent symbol pairs weighted by word frequency (a grouped sum with map-side
-combine) and takes the best pairs (highest count, ties by smallest pair) as far as
-they are sure to come next whatever the ones before them change, then rewrites the
-word table with higher-order ``aggregate``s. The word table's lineage is cut with
-``checkpoint()`` every round.
-
-T4 pre-tokenizes texts, pre-aggregates (text, pre-token) counts, encodes each
-*distinct* pre-token once in ``mapInPandas`` (rank table shipped in the closure;
-its size is the vocabulary size, checked), joins the counts back and sums.
+``groupBy(word).count`` is the only pass over the corpus). It keeps two tables: counts by
+adjacent pair, and an index from pair to the words that ever held it, in order of the pairs.
+A round takes the best pairs (highest count, ties by smallest pair) as far as they are sure to
+come next whatever the ones before them change, reads the index's rows of these pairs alone,
+and adds to both tables what merging changes in those words: count deltas, and index rows of
+the pairs that are new. Words are never rewritten: a word's symbols are its bytes with the merges
+learned so far. Tables are written to the shared folder, so a lost executor loses no round.
+
+T4 and U2 encode texts where they are, without a shuffle: pre-tokens in Python, a memo of short
+ones a task, and a heap of merges over linked pieces, so that a pre-token of n bytes takes n log n.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
 
-from slimwire.session import checkpoint_dir
+from slimwire.session import store_table, stored
 
-# Fixed value: GPT-2 style pre-tokenizer (contractions, letters, digits, other, spaces).
-PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: GPT-2 style pre-tokenizer (contractions, letters, digits, other, spaces). White space is spelt out,
+# so that it is the same for every engine.
+SPACE = r"\t-\r\x{85}\p{Z}"
+PRETOKEN_PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 MAX_RANKS_IN_TASK = 2_000_000        # rank tables above this are not shipped to tasks
 MERGES_A_ROUND = 32                  # merges learned from one count of pairs, at most
 PAIRS_A_ROUND = 2_000                # most frequent pairs looked at for that
+PARTS = 12                           # deltas of a table until it is written as one
+MEMO, MEMO_BYTES = 200_000, 64       # pre-tokens a task remembers, and how long they are at most
 
 
 def pretokens(text: Column) -> Column:
@@ -53,19 +61,6 @@ def word_table(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return counts.select("word", "n", hex_symbols(F.col("word")).alias("syms"))
 
 
-def _merge(syms: Column, a: str, b: str) -> Column:
-    """Merge every non-overlapping adjacent (a, b), left to right."""
-    ab = a + b
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        can = (F.size(acc) > 0) & (last == F.lit(a)) & (x == F.lit(b))
-        return F.when(can, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(ab)))) \
-                .otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(syms, F.array().cast("array<string>"), step)
-
-
 def _sure_merges(pairs: list[tuple[str, str, int]], most: int, whole: bool) -> list[tuple[str, str, int]]:
     """Of pairs in order of their counts: the first ones that one-by-one merging would take next, in this order.
 
@@ -87,93 +82,153 @@ def _sure_merges(pairs: list[tuple[str, str, int]], most: int, whole: bool) -> l
     return taken
 
 
+class Encoder:
+    """Byte-pair encoding with ranks by token (bytes) or by pair of tokens."""
+
+    def __init__(self, ranks: dict):
+        self.ranks = ranks
+        self.by_pair = any(isinstance(k, tuple) for k in ranks)
+        self.longest = max((len(k[0]) + len(k[1]) if self.by_pair else len(k) for k in ranks), default=0)
+        self.memo: dict[str, int] = {}
+
+    def _rank(self, word: bytes, at: int, mid: int, end: int) -> int | None:
+        if end - at > self.longest:
+            return None
+        return self.ranks.get((word[at:mid], word[mid:end]) if self.by_pair else word[at:end])
+
+    def encode(self, word: bytes) -> list[bytes]:
+        """Tokens of a pre-token: the pair of the lowest rank is merged first, the leftmost of equal ones."""
+        n = len(word)
+        end = list(range(1, n + 1))    # of the piece that starts at i; 0 once it is part of another
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := self._rank(word, i, i + 1, i + 2)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, j, k = heapq.heappop(heap)
+            if end[i] != j or end[j] != k:
+                continue  # one of the two has been merged otherwise
+            end[i], end[j] = k, 0
+            if k < n:
+                before[k] = i
+                if (r := self._rank(word, i, k, end[k])) is not None:
+                    heapq.heappush(heap, (r, i, k, end[k]))
+            if (h := before[i]) >= 0 and (r := self._rank(word, h, i, k)) is not None:
+                heapq.heappush(heap, (r, h, i, k))
+        out, i = [], 0
+        while i < n:
+            out.append(word[i:end[i]])
+            i = end[i]
+        return out
+
+    def count(self, pretoken: str) -> int:
+        got = self.memo.get(pretoken)
+        if got is None:
+            raw = pretoken.encode()
+            got = len(self.encode(raw))
+            if len(raw) <= MEMO_BYTES:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[pretoken] = got
+        return got
+
+
+# --------------------------------------------------------------------------- T5
+INDEX = "a string, b string, word string, n long"
+CHANGES = INDEX + ", more long, fresh boolean"
+
+
+def _pairs(tokens: list[bytes]) -> Counter:
+    return Counter(zip(tokens, tokens[1:]))
+
+
+def _changes(known: dict, found: dict):
+    """What merging ``found`` changes in the pairs of each word, after the merges ``known``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new = Encoder(known), Encoder({**known, **found})
+        for batch in batches:
+            rows = []
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                was, now = _pairs(old.encode(word.encode())), _pairs(new.encode(word.encode()))
+                rows += [(a.hex(), b.hex(), word, n, now[a, b] - was[a, b], (a, b) not in was) for a, b in was.keys() | now.keys() if now[a, b] != was[a, b]]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "word", "n", "more", "fresh"])
+    return run
+
+
 def learn_bpe_ranks(texts: DataFrame, merges: int, text_col: str = "text") -> DataFrame:
     """T5: ``merges`` byte-pair merges, the same as one by one; returns (rank, left, right, token, pair_count)."""
     spark = texts.sparkSession
-    checkpoint_dir(spark)
-    words = word_table(texts, text_col).select("n", "syms").where(F.size("syms") > 1).checkpoint(eager=True)
+    words = word_table(texts, text_col).where(F.size("syms") > 1)
+    zipped = F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1).alias("a"), F.slice("syms", 2, F.size("syms")).alias("b"))
+    rows = words.select("word", "n", F.explode(zipped).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "word", "n")
+    by_word = rows.groupBy("a", "b", "word", "n").agg(F.count("*").alias("more"))
+
+    def in_order(df: DataFrame) -> DataFrame:
+        # a round then reads the files' parts of its pairs alone; the words of a frequent pair are split
+        return stored(df.repartitionByRange("a", "b", "word").sortWithinPartitions("a", "b"), "bpe-index")
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+
+    held = in_order(by_word)
+    index = held.drop("more")
+    pairs = stored(summed(held.select("a", "b", (F.col("n") * F.col("more")).alias("cnt"))), "bpe-pairs")
+    paths: list[str] = []     # of the changes since both tables were written
     learned: list[tuple] = []
+    known: dict[tuple[bytes, bytes], int] = {}
     while len(learned) < merges:
-        zipped = F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1), F.slice("syms", 2, F.size("syms")))
-        pairs = (words.select("n", F.explode(zipped).alias("p"))
-                      .select("n", F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b"))
-                      .groupBy("a", "b").agg(F.sum("n").alias("cnt")))
-        best = pairs.orderBy(F.col("cnt").desc(), "a", "b").limit(PAIRS_A_ROUND).collect()   # a bounded head of the list
+        now, whole = pairs, index
+        if paths:
+            changes = spark.read.schema(CHANGES).parquet(*paths)
+            now = summed(pairs.unionByName(changes.select("a", "b", (F.col("n") * F.col("more")).alias("cnt"))))
+            whole = index.unionByName(changes.where("fresh").select(index.columns))
+        if len(paths) == PARTS:
+            now, whole, paths = stored(now, "bpe-pairs"), in_order(whole), []
+            pairs, index = now, whole
+        best = now.orderBy(F.col("cnt").desc(), "a", "b").limit(PAIRS_A_ROUND).collect()   # a bounded head of the list
         found = _sure_merges([(r["a"], r["b"], int(r["cnt"])) for r in best],
                              min(MERGES_A_ROUND, merges - len(learned)), len(best) < PAIRS_A_ROUND)
         if not found:
             break
-        for a, b, n in found:
-            learned.append((len(learned), a, b, a + b, n))
-            words = words.withColumn("syms", _merge(F.col("syms"), a, b))
-        words = words.where(F.size("syms") > 1).checkpoint(eager=True)
+        ranks = {(bytes.fromhex(a), bytes.fromhex(b)): len(learned) + i for i, (a, b, _) in enumerate(found)}
+        learned += [(len(learned) + i, a, b, a + b, n) for i, (a, b, n) in enumerate(found)]
+        if len(learned) < merges:
+            one_of = " or ".join(f"(a = '{a}' and b = '{b}')" for a, b, _ in found)
+            touched = whole.where(one_of).select("word", "n").distinct()
+            paths.append(store_table(touched.mapInArrow(_changes(dict(known), ranks), CHANGES).sortWithinPartitions("a", "b"), "bpe-changes"))
+            known.update(ranks)
     return spark.createDataFrame(learned, "rank long, left string, right string, token string, pair_count long")
 
 
-# --------------------------------------------------------------------------- T4
-def _encode_len(word: bytes, ranks: dict[bytes, int]) -> int:
-    """Token count of one pre-token under merge ranks (lowest rank merged first)."""
-    parts = [word[i:i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, best_i = None, -1
-        for i in range(len(parts) - 1):
-            rk = ranks.get(parts[i] + parts[i + 1])
-            if rk is not None and (best is None or rk < best):
-                best, best_i = rk, i
-        if best is None:
-            break
-        parts[best_i:best_i + 2] = [parts[best_i] + parts[best_i + 1]]
-    return len(parts)
-
-
-def ranks_from_table(ranks_df: DataFrame) -> dict[bytes, int]:
-    """Rank table as a dict; refused above ``MAX_RANKS_IN_TASK`` entries (size bound)."""
+# --------------------------------------------------------------------------- T4, U2
+def ranks_from_table(ranks_df: DataFrame) -> dict:
+    """A rank table as a dict, by pair of tokens where it has ``left`` and ``right``, else by token; refused above
+    ``MAX_RANKS_IN_TASK`` entries (size bound)."""
     n = ranks_df.limit(MAX_RANKS_IN_TASK + 1).count()
     if n > MAX_RANKS_IN_TASK:
         raise ValueError(f"rank table has more than {MAX_RANKS_IN_TASK} entries")
+    if {"left", "right"} <= set(ranks_df.columns):
+        return {(bytes.fromhex(r["left"]), bytes.fromhex(r["right"])): int(r["rank"]) for r in ranks_df.select("left", "right", "rank").collect()}
     return {bytes.fromhex(r["token"]): int(r["rank"]) for r in ranks_df.select("token", "rank").collect()}
 
 
-def encode_counts(pre: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(pretoken) -> (pretoken, tokens) for distinct pre-tokens, in Arrow batches."""
-    def enc(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"pretoken": pdf["pretoken"],
-                                "tokens": [_encode_len(w.encode("utf-8"), ranks) for w in pdf["pretoken"]]})
-    schema = StructType([StructField("pretoken", StringType()), StructField("tokens", LongType())])
-    return pre.mapInPandas(enc, schema)
-
-
-def bpe_token_counts(texts: DataFrame, ranks_df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """T4: exact BPE token count per text (``key`` identifies a text)."""
-    ranks = ranks_from_table(ranks_df)
-    per = (texts.select(key, F.explode(pretokens(F.col(text_col))).alias("pretoken"))
-                .groupBy(key, "pretoken").agg(F.count(F.lit(1)).alias("k")))
-    distinct = per.select("pretoken").distinct()
-    enc = encode_counts(distinct, ranks)
-    joined = per.join(enc, "pretoken")
-    counts = joined.groupBy(key).agg(F.sum(F.col("k") * F.col("tokens")).cast("bigint").alias("tokens"))
-    # texts without any pre-token (empty) count 0
-    return texts.select(key).join(counts, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"))
-
-
-def bpe_tokenizer_udf(ranks: dict[bytes, int]):
-    """A ``Column -> Column`` tokenizer (Arrow-batched) for ``reduce_requests``."""
-    import regex as _regex  # the stdlib re has no \\p{L}
-    pat = _regex.compile(PRETOKEN_PATTERN)
+def bpe_tokenizer_udf(ranks: dict):
+    """A ``Column -> Column`` tokenizer (Arrow-batched) for ``reduce_requests``; a null text has no tokens."""
+    import regex  # the stdlib re has no \\p{L}
+    pattern = regex.compile(PRETOKEN_PATTERN.replace(r"\x{85}", "\x85"))
+    encoders: list[Encoder] = []  # one a task's process, made there
 
     @F.pandas_udf(LongType())
     def count(s: pd.Series) -> pd.Series:
-        memo: dict[str, int] = {}
-        out = []
-        for t in s:
-            total = 0
-            for w in pat.findall(t or ""):
-                c = memo.get(w)
-                if c is None:
-                    c = memo[w] = _encode_len(w.encode("utf-8"), ranks)
-                total += c
-            out.append(total)
-        return pd.Series(out, dtype="int64")
+        if not encoders:
+            encoders.append(Encoder(ranks))
+        one = encoders[0].count
+        return pd.Series([sum(one(m[0]) for m in pattern.finditer(t or "")) for t in s], dtype="int64")
 
     return count
+
+
+def bpe_token_counts(texts: DataFrame, ranks_df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """T4: exact BPE token count of each text (``key`` identifies it), in one pass and without a shuffle."""
+    return texts.select(key, bpe_tokenizer_udf(ranks_from_table(ranks_df))(F.col(text_col)).alias("tokens"))

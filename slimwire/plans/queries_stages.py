@@ -507,19 +507,59 @@ def q_h8(spark, d):
 
 # --------------------------------------------------------------------------- T4, T5, U2
 BPE_MERGES = 100
+_learned: dict[tuple[str, str], list] = {}   # by application and folder: T4 and U2 count with the table that T5 learns
 
 
 def _ranks(spark, d):
     from slimwire.operators import bpe
-    return bpe.learn_bpe_ranks(tb.read_table(spark, d, "benchmark").select("text"), BPE_MERGES)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _learned:
+        ranks = bpe.learn_bpe_ranks(tb.read_table(spark, d, "documents").select("text"), BPE_MERGES)
+        _learned[key] = [tuple(r) for r in ranks.collect()]   # BPE_MERGES rows
+    return spark.createDataFrame(_learned[key], "rank long, left string, right string, token string, pair_count long")
 
 
-@register("t5_learn_bpe_ranks")
+CUT = "chr(983040)"   # a private character that no text has
+
+
+def _pretokens_sql(text: str) -> str:
+    """Pre-tokens without a look ahead: the last blank of a run before something else goes with that, so the run is cut before it."""
+    from slimwire.operators.bpe import PRETOKEN_PATTERN, SPACE
+    plain = PRETOKEN_PATTERN.replace(f"[{SPACE}]+(?![^{SPACE}])|", "").replace("'", "''")
+    cut = rf"regexp_replace(coalesce({text}, ''), '([{SPACE}])([{SPACE}][^{SPACE}])', concat('\1', {CUT}, '\2'), 'g')"
+    return f"flatten(list_transform(string_split({cut}, {CUT}), lambda p: regexp_extract_all(p, '{plain}')))"
+
+
+def _bpe_sql(texts: str) -> str:
+    """Merging one by one: ``r`` has the words of ``documents`` and of the query's own ``texts``, which don't count, after each merge."""
+    return f"""
+ bw AS (SELECT unnest({_pretokens_sql('text')}) AS word, 1 AS n FROM documents UNION ALL SELECT unnest({_pretokens_sql('text')}), 0 FROM (SELECT DISTINCT text FROM {texts})),
+ w0 AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, regexp_extract_all(lower(hex(encode(word))), '..') AS syms FROM bw GROUP BY word),
+ r(step, word, n, syms, a, b, cnt) AS (
+  SELECT 0, word, n, syms, '', '', CAST(0 AS BIGINT) FROM w0
+  UNION ALL
+  SELECT step + 1, word, n, CASE WHEN contains(concat(' ', array_to_string(syms, ' '), ' '), concat(' ', p.a, ' ', p.b, ' ')) THEN
+     list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(syms, lambda x: [x])),
+                 lambda s, x: CASE WHEN len(s) > 0 AND s[-1] = p.a AND x[1] = p.b THEN list_append(s[:-2], concat(p.a, p.b)) ELSE list_concat(s, x) END) ELSE syms END,
+     p.a, p.b, p.cnt
+  FROM r, (SELECT a, b, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT n, unnest(syms[:-2]) AS a, unnest(syms[2:]) AS b FROM r WHERE len(syms) > 1 AND n > 0)
+           GROUP BY a, b ORDER BY cnt DESC, a, b LIMIT 1) p
+  WHERE step < {BPE_MERGES}),
+ last_step AS (SELECT max(step) AS step FROM r),
+ tokens AS (SELECT word, len(syms) AS tokens FROM r JOIN last_step USING (step)),
+ text_words AS (SELECT text, unnest({_pretokens_sql('text')}) AS word FROM (SELECT DISTINCT text FROM {texts})),
+ text_tokens AS (SELECT text, CAST(sum(tokens) AS BIGINT) AS tokens FROM text_words JOIN tokens USING (word) GROUP BY text)"""
+
+
+@register("t5_learn_bpe_ranks", "WITH RECURSIVE one AS (SELECT '' AS text)," + _bpe_sql("one") + """
+SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, a AS left, b AS right, concat(a, b) AS token, cnt AS pair_count FROM r WHERE step > 0""")
 def q_t5(spark, d):
-    return _ranks(spark, d)
+    from slimwire.operators import bpe
+    return bpe.learn_bpe_ranks(tb.read_table(spark, d, "documents").select("text"), BPE_MERGES)
 
 
-@register("t4_bpe_tokens")
+@register("t4_bpe_tokens", "WITH RECURSIVE" + _bpe_sql("conversations") + f"""
+SELECT conv_id * {tb.TURNS} + turn AS id, coalesce(tokens, 0) AS tokens FROM conversations c LEFT JOIN text_tokens t ON t.text = c.text""")
 def q_t4(spark, d):
     from slimwire.operators import bpe
     conv = tb.read_table(spark, d, "conversations").select(
@@ -527,7 +567,13 @@ def q_t4(spark, d):
     return bpe.bpe_token_counts(conv, _ranks(spark, d), "id")
 
 
-@register("u2_custom_tokenizer")
+@register("u2_custom_tokenizer", ov.with_views("request_blocks").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ c AS (SELECT request_id, text, {ov.clean_sql('text')} AS clean FROM request_blocks),
+ both_texts AS (SELECT text FROM c UNION SELECT clean FROM c),""" + _bpe_sql("both_texts") + f""",
+ q AS (SELECT request_id, coalesce(t.tokens, 0) AS before, CASE WHEN regexp_matches(clean, '{ov.RE_BLANK}') THEN 0 ELSE coalesce(u.tokens, 0) END AS after
+       FROM c LEFT JOIN text_tokens t ON t.text = c.text LEFT JOIN text_tokens u ON u.text = clean),
+ z AS (SELECT request_id, CAST(sum(before) AS BIGINT) AS tokens_before, CAST(sum(after) AS BIGINT) AS tokens_after FROM q GROUP BY request_id)
+SELECT *, tokens_before - tokens_after AS saved FROM z""")
 def q_u2(spark, d):
     from slimwire.operators import bpe
     ranks = bpe.ranks_from_table(_ranks(spark, d))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for local runs and tests. On a cluster the submitter's settings win:
 # ``builder.config`` only fills what an existing session has not set.
@@ -57,3 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
+
+
+def store_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a new table of the shared folder; returns its path."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new table of the shared folder and read back: computed once, kept when executors are lost."""
+    return df.sparkSession.read.schema(df.schema).parquet(store_table(df, name))

@@ -3,12 +3,13 @@
 from collections import Counter
 
 import regex
+from pyspark.sql import functions as F
 
 from slimwire.operators import bpe
 
 
 def brute_learn(texts, merges):
-    pat = regex.compile(bpe.PRETOKEN_PATTERN)
+    pat = regex.compile(bpe.PRETOKEN_PATTERN.replace(r"\x{85}", "\x85"))
     words = Counter(w for t in texts for w in pat.findall(t))
     table = {w: [f"{b:02x}" for b in w.encode("utf-8")] for w in words}
     out = []
@@ -54,30 +55,74 @@ def test_several_merges_a_round_are_the_same_as_one_by_one(spark, monkeypatch):
     assert got == want and len(rounds) < 60 and max(map(len, rounds)) > 1
 
 
-def test_bpe_counts_match_python_encoder(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS + [""])], "id long, text string")
+def brute_encode(word, ranks):
+    """Tokens of a word by looking at all pairs again after every merge."""
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while True:
+        able = [(ranks[p], i) for i in range(len(parts) - 1) if (p := (parts[i], parts[i + 1])) in ranks or (p := parts[i] + parts[i + 1]) in ranks]
+        if not able:
+            return parts
+        i = min(able)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_counts_match_brute_force(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "", None, "the\u00a0the \u2003 the\n\n the"])], "id long, text string")
     ranks_df = bpe.learn_bpe_ranks(df, 10)
-    ranks = bpe.ranks_from_table(ranks_df)
-    got = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
-    pat = regex.compile(bpe.PRETOKEN_PATTERN)
-    want = {i: sum(bpe._encode_len(w.encode(), ranks) for w in pat.findall(t)) for i, t in enumerate(TEXTS + [""])}
-    assert got == want
-    # the pandas tokenizer (U2) agrees with the job
-    udf = bpe.bpe_tokenizer_udf(ranks)
-    via_udf = {r.id: r.n for r in df.select("id", udf("text").alias("n")).collect()}
-    assert via_udf == want
-
-
-def test_bpe_counts_same_without_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
-    ranks_df = bpe.learn_bpe_ranks(df, 6)
-    a = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        b = {r.id: r.tokens for r in bpe.bpe_token_counts(df, ranks_df, "id").collect()}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert a == b
+    pat = regex.compile(bpe.PRETOKEN_PATTERN.replace(r"\x{85}", "\x85"))
+    for table in (ranks_df, ranks_df.select("rank", "token")):
+        ranks = bpe.ranks_from_table(table)
+        got = {r.id: r.tokens for r in bpe.bpe_token_counts(df, table, "id").collect()}
+        assert got == {r.id: sum(len(brute_encode(w.encode(), ranks)) for w in pat.findall(r.text or "")) for r in df.collect()}
+    # the engine's pre-tokens are those of the tasks
+    assert {r.id: r.w for r in df.select("id", bpe.pretokens(F.col("text")).alias("w")).collect()} == {r.id: pat.findall(r.text or "") for r in df.collect()}
+
+
+def test_encoder_against_brute_force():
+    import random
+    random.seed(3)
+    for _ in range(300):
+        tokens = [bytes(random.choice(b"abc") for _ in range(random.randint(2, 4))) for _ in range(8)]
+        ranks = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        pairs = {(t[:k], t[k:]): i for i, t in enumerate(ranks) for k in [random.randint(1, len(t) - 1)]}
+        word = bytes(random.choice(b"abc") for _ in range(random.randint(0, 30)))
+        assert bpe.Encoder(ranks).encode(word) == brute_encode(word, ranks)
+        assert bpe.Encoder(pairs).encode(word) == brute_encode(word, pairs)
+
+
+def test_a_long_pretoken_takes_seconds():
+    import time
+    ranks = {b"ab": 0, b"abab": 1, b"ba": 2, b"x" * 2: 3, b"x" * 4: 4, b"x" * 8: 5}
+    for word in (b"ab" * 50_000, b"x" * 100_000):
+        begun = time.time()
+        assert len(bpe.Encoder(ranks).encode(word)) in (25_000, 12_500)
+        assert time.time() - begun < 10
+
+
+def test_counting_does_not_shuffle(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, text string")
+    plan = bpe.bpe_token_counts(df, bpe.learn_bpe_ranks(df, 1), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_round_touches_only_words_of_its_pairs(spark, monkeypatch):
+    """Deltas and index rows come from words with a merged pair alone, also after the tables are written as one."""
+    import random
+    random.seed(8)
+    texts = [" ".join("".join(random.choice("aabbcdeé") for _ in range(random.randint(1, 7))) for _ in range(40)) for _ in range(12)]
+    monkeypatch.setattr(bpe, "PARTS", 2)
+    written, rounds, orders = [], [], []
+    store, changes, stored = bpe.store_table, bpe._changes, bpe.stored
+    monkeypatch.setattr(bpe, "store_table", lambda df, name: written.append(store(df, name)) or written[-1])
+    monkeypatch.setattr(bpe, "_changes", lambda known, found: rounds.append((known, found)) or changes(known, found))
+    monkeypatch.setattr(bpe, "stored", lambda df, name: orders.append(name) or stored(df, name))
+    ranks = bpe.learn_bpe_ranks(spark.createDataFrame([(t,) for t in texts], "text string"), 40).collect()
+    assert [(r.left, r.right) for r in ranks] == brute_learn(texts, 40)
+    assert len(written) == len(rounds) > 3 and orders.count("bpe-index") > 1
+    for path, (known, found) in zip(written, rounds, strict=True):
+        before = bpe.Encoder(known)
+        words = {r.word for r in spark.read.parquet(path).collect()}
+        assert words and all(any(p in found for p in bpe._pairs(before.encode(w.encode()))) for w in words)
 
 
 def test_input_cost_fallback_and_shuffle_path(spark, monkeypatch):
