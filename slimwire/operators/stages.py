@@ -44,6 +44,7 @@ class StageContext:
     store: Column | bool = True
     tokenizer: Callable[[Column], Column] = tx.approx_tokens
     minimal_diff: bool = True    # False: native single hunk instead of minimal hunks in an Arrow UDF
+    distinct_versions: bool = False   # True: diffs against the version before it, not against the send before it
 
 
 @dataclass(frozen=True)
@@ -133,22 +134,53 @@ def _strip_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- S7-S10
+def _with_path(df: DataFrame, is_file_text: Column) -> DataFrame:
+    """Adds _path, named by the first line of ``is_file_text`` where that is long enough, else NULL."""
+    long_enough = (F.octet_length(is_file_text) >= tx.MIN_FILE_CHARS) & (tx.utf16_len(is_file_text) >= tx.MIN_FILE_CHARS)
+    return df.withColumn("_path", F.when(long_enough, tx.detect_path(is_file_text)))
+
+
+def _arrival(df: DataFrame) -> list[str]:
+    return [c for c in ("at_ms", "request_id", "msg_idx", "block_idx") if c in df.columns]
+
+
 def previous_versions(df: DataFrame, is_file_text: Column) -> DataFrame:
-    """Adds _path (named by the first line of ``is_file_text`` where that is long enough, else NULL), and of the
-    version sent before it in the session, _prev (text) and _prev_request.
+    """Adds _path, and of the version sent before it in the session, _prev (text) and _prev_request.
 
     Every qualifying block advances the file store in arrival order, also when the stage is later reverted: a lag over
     (session, path). Other rows are keyed by their request, so they never pile up in one (session, NULL) partition."""
-    long_enough = (F.octet_length(is_file_text) >= tx.MIN_FILE_CHARS) & (tx.utf16_len(is_file_text) >= tx.MIN_FILE_CHARS)
-    df = df.withColumn("_path", F.when(long_enough, tx.detect_path(is_file_text)))
-    order = [F.col(c) for c in ("at_ms", "request_id", "msg_idx", "block_idx") if c in df.columns]
+    df = _with_path(df, is_file_text)
     w = Window.partitionBy("session_id", "_path",
-                           F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*order)
+                           F.when(F.col("_path").isNull(), F.col("request_id"))).orderBy(*map(F.col, _arrival(df)))
     known = F.col("_path").isNotNull()
     return (df.withColumn("_prev", F.when(known, F.lag("text").over(w)))
               .withColumn("_prev_request", F.when(known, F.lag("request_id").over(w))))
 
 
+def previous_distinct_versions(df: DataFrame, is_file_text: Column) -> DataFrame:
+    """The columns of :func:`previous_versions`, where a version is a text that is new to its file: every send of it has the
+    version before it as _prev, and no send the version itself. So a history that sends v1 and v2 again has v2 against v1,
+    and v1 whole.
+
+    Versions of a file are numbered in order of their first sends, in ranges, and a version meets the one before it
+    by its number: neither a file of many versions nor a version of many sends is one task's work."""
+    from slimwire.plans.ordered import numbered
+
+    df = _with_path(df, is_file_text).withColumn("_version", F.when(F.col("_path").isNotNull(), F.sha2("text", 256)))
+    file = ["session_id", "_path"]
+    order = _arrival(df)
+    sends = df.where("_path is not null").select(*file, "_version", "text", F.struct(*order).alias("_first"))
+    versions = sends.groupBy(*file, "_version").agg(F.min("_first").alias("_first"), F.first("text").alias("_text"))
+    placed = numbered(versions, [*file, "_first"], "_at", "file-versions")
+    before = placed.select((F.col("_at") + 1).alias("_at"), *(F.col(c).alias(f"_before{c}") for c in file),
+                           F.col("_text").alias("_prev"), F.col("_first.request_id").alias("_prev_request"))
+    same = F.lit(True)
+    for c in file:
+        same = same & (F.col(c) == F.col(f"_before{c}"))
+    linked = placed.join(before, "_at").where(same).select(*file, "_version", "_prev", "_prev_request")
+    return df.join(linked, [*file, "_version"], "left").select(*(c for c in df.columns if c != "_version"), "_prev", "_prev_request")
+
+
 # Fixed value: what stands between a file's name with its line count and the diff.
 SENT_AS_DIFF = " lines, sent as a diff vs. the previous version:\n\n"
 
@@ -169,7 +201,8 @@ def _filediff_rewrite(df: DataFrame, ctx: StageContext) -> DataFrame:
 
     store = ctx.store if isinstance(ctx.store, Column) else F.lit(bool(ctx.store))
     is_file = (F.col("section") == "message") & (F.col("type") == "text") & ~F.col("drop") & store
-    df = previous_versions(df, F.when(is_file, F.col("text"))).drop("_prev_request")
+    versions = previous_distinct_versions if ctx.distinct_versions else previous_versions
+    df = versions(df, F.when(is_file, F.col("text"))).drop("_prev_request")
     cand = F.col("_prev").isNotNull() & (F.col("_prev") != F.col("text"))
     if ctx.minimal_diff:
         # multi-hunk minimal diff in an Arrow UDF

@@ -1,26 +1,26 @@
 """The reduction config in force for each row (requests, or blocks that carry their request's time).
 
 ``config_log`` rows are ``[valid_from_ms, valid_to_ms)`` intervals that don't overlap, holding the stage
-toggles, ``min_savings`` and ``store``. One physical strategy for a log of any size: each interval is exploded
-into the fixed-width time buckets it overlaps, and rows meet it in an equi-join on the bucket with the exact
-range as a further condition. A row's instant lies in one bucket and in one interval at most, so the join
-neither multiplies rows nor needs a way back to them; Spark broadcasts the log when it is small, and AQE
-splits a bucket that holds much of the traffic.
-
-A change log (``at_ms`` + settings per change) becomes intervals with the next change's time, found in the
-same bucketed way (``lead`` within a day, the next day's first change where a day ends).
+toggles, ``min_savings`` and ``store``. A log of a counted, small size is taken along: a binary search over its
+sorted starts gives each row the place of its interval, and an equi-join on the place brings the settings, so that
+rows are read once, stay where they are and never multiply. A longer log is merged with the rows: both are put in
+order of time in ranges, and the last interval's settings are carried along, over the borders of the ranges as well
+(:mod:`slimwire.plans.ordered`). No buckets of time are made, so a wrong timestamp costs nothing.
+
+A change log (``at_ms`` + settings per change) becomes intervals with the next change's time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slimwire.operators.stages import TOGGLE_KEYS
+from slimwire.plans.ordered import last_known
 
-BUCKET_MS = 3_600_000
 DAY_MS = 86_400_000
 OPEN_END = 1 << 62
+TAKEN_ALONG = 20_000   # intervals up to which the log's starts are part of the plan
 CONFIG_COLS = list(TOGGLE_KEYS) + ["min_savings", "store"]
 
 
@@ -39,17 +39,38 @@ def intervals_from_changes(changes: DataFrame) -> DataFrame:
                    .withColumnRenamed("at_ms", "valid_from_ms").drop("_day", "_lead", "_next"))
 
 
+def _place(starts: list[int], at: Column) -> Column:
+    """How many of the sorted ``starts`` are not after ``at``, by halving steps (none for a null)."""
+    n = len(starts)
+    array = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")  # folded to one literal
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+
+    def step(place: Column, s: Column) -> Column:
+        on = place + s
+        return F.when((on <= n) & (F.element_at(array, F.least(on, F.lit(n))) <= at), on).otherwise(place)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
 def config_as_of(rows: DataFrame, config_log: DataFrame, time_col: str = "at_ms") -> DataFrame:
-    """Attach the config in force at ``time_col`` to every row (NULLs when none)."""
-    cfg = config_log.select("valid_from_ms", "valid_to_ms", *CONFIG_COLS)
+    """Attach the config in force at ``time_col`` to every row (NULLs when none, or without a time)."""
+    cfg = config_log.select("valid_from_ms", "valid_to_ms", *CONFIG_COLS).where("valid_from_ms < valid_to_ms")
+    some = cfg.select("valid_from_ms").limit(TAKEN_ALONG + 1).collect()
     t = F.col(time_col)
-    bounds = rows.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()   # open ends reach as far as the rows do
-    lo, hi = (bounds["lo"], bounds["hi"] + 1) if bounds and bounds["lo"] is not None else (0, 0)
-    v_from = F.greatest(F.col("valid_from_ms"), F.lit(lo))
-    v_to = F.least(F.col("valid_to_ms"), F.lit(hi))
-    cfg_b = (cfg.where(v_from < v_to)
-                .withColumn("_cb", F.explode(F.sequence(F.floor(v_from / BUCKET_MS).cast("bigint"),
-                                                        F.floor((v_to - 1) / BUCKET_MS).cast("bigint")))))
-    joined = rows.withColumn("_b", F.floor(t / BUCKET_MS).cast("bigint"))
-    cond = (F.col("_b") == F.col("_cb")) & (t >= F.col("valid_from_ms")) & (t < F.col("valid_to_ms"))
-    return joined.join(cfg_b, cond, "left").drop("_b", "_cb", "valid_from_ms", "valid_to_ms")
+    inside = t < F.col("_cfg.valid_to_ms")
+    if len(some) > TAKEN_ALONG:
+        merged = last_known(_union(rows, cfg, time_col), [time_col, F.col("_cfg").isNull()], F.col("_cfg").isNotNull(), ["_cfg"], "_last")
+        found = merged.where("_is_row").withColumn("_cfg", F.col("_last._cfg"))
+    elif some:
+        starts = sorted(r["valid_from_ms"] for r in some)
+        own = cfg.select(_place(starts, F.col("valid_from_ms")).alias("_place"), F.struct(*cfg.columns).alias("_cfg"))
+        found = rows.withColumn("_place", _place(starts, t)).join(F.broadcast(own), "_place", "left")
+    else:
+        found = rows.withColumn("_cfg", F.lit(None).cast(cfg.select(F.struct(*cfg.columns).alias("c")).schema["c"].dataType))
+    return found.select(*rows.columns, *(F.when(inside, F.col(f"_cfg.{c}")).alias(c) for c in CONFIG_COLS))
+
+
+def _union(rows: DataFrame, cfg: DataFrame, time_col: str) -> DataFrame:
+    """Rows and intervals under one another: an interval has its start as its time and its settings in ``_cfg``."""
+    events = cfg.select(F.col("valid_from_ms").cast(rows.schema[time_col].dataType).alias(time_col), F.struct(*cfg.columns).alias("_cfg"), F.lit(False).alias("_is_row"))
+    return rows.withColumn("_is_row", F.lit(True)).unionByName(events, allowMissingColumns=True)

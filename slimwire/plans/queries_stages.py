@@ -134,6 +134,13 @@ def q_s5(spark, d):
                                "blocks_in", "blocks_out", "markers_added")
 
 
+# The cache marks the last system block; the marker is lost where strip drops that as a repeat or blank.
+@register("s5_lost_cache_markers", pipeline_sql("system_blocks", 32, dedup=False) + """
+SELECT request_id, CAST(CASE WHEN max_by(dropped, block_idx) THEN 1 ELSE 0 END AS BIGINT) AS markers_lost FROM fin GROUP BY request_id""")
+def q_s5_markers(spark, d):
+    return reduce_requests(tb.system_blocks(spark, d), Config()).requests.select("request_id", "markers_lost")
+
+
 @register("s7_detect_path", ov.with_views("file_versions") + f""",
  texts AS (SELECT request_id AS id, 'file' AS src, text FROM file_versions
            UNION ALL SELECT doc_id, 'doc', text FROM documents)
@@ -173,6 +180,22 @@ def q_s8(spark, d):
                      (F.col("prev").isNotNull() & (F.col("prev") != F.col("text"))).alias("differs"))
 
 
+# Every request sends all versions of its file again: a version's sends meet the version that came before its first send.
+@register("s8_distinct_versions", ov.with_views("file_versions") + f""",
+ sends AS (SELECT n.session_id, n.request_id, n.at_ms, t.at_ms AS block_idx, t.text FROM file_versions n JOIN file_versions t ON t.session_id = n.session_id AND t.at_ms <= n.at_ms),
+ p AS (SELECT *, nullif(regexp_extract(split_part(text, chr(10), 1), '{PATH_RE2}', 1), '') AS path FROM sends),
+ q AS (SELECT * REPLACE (CASE WHEN length(text) >= 200 THEN path END AS path) FROM p),
+ v AS (SELECT session_id, path, text, min((at_ms, request_id, block_idx)) AS sent FROM q WHERE path IS NOT NULL GROUP BY session_id, path, text),
+ w AS (SELECT *, lag(text) OVER k AS prev, lag(sent[2]) OVER k AS prev_request_id FROM v WINDOW k AS (PARTITION BY session_id, path ORDER BY sent))
+SELECT q.request_id, q.block_idx, md5(w.prev) AS prev_md5, CAST(w.prev_request_id AS BIGINT) AS prev_request_id
+FROM q LEFT JOIN w ON w.session_id = q.session_id AND w.path = q.path AND w.text = q.text""")
+def q_s8_distinct(spark, d):
+    from slimwire.operators.stages import previous_distinct_versions
+    sends = tb.resent_files(spark, d)
+    found = previous_distinct_versions(sends, sends["text"])
+    return found.select("request_id", "block_idx", F.md5("_prev").alias("prev_md5"), F.col("_prev_request").alias("prev_request_id"))
+
+
 @register("s9_line_diff", PREV_SQL + """,
  arr AS (SELECT request_id, string_split(prev, chr(10)) AS a, string_split(text, chr(10)) AS b FROM lagged
          WHERE prev IS NOT NULL),
@@ -498,9 +521,8 @@ SELECT session_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT
 def q_h8(spark, d):
     from slimwire.operators import sessions as hs
     from slimwire.plans.config_asof import config_as_of
-    r = tb.requests(spark, d).select("session_id", "request_id", "at_ms")
-    cfg = config_as_of(r, tb.config_log(spark)).select("session_id", "request_id", "store")
-    blocks = tb.request_blocks(spark, d).join(cfg, ["session_id", "request_id"])
+    # every block has its request's time, so the log is met where the blocks are
+    blocks = config_as_of(tb.request_blocks(spark, d), tb.config_log(spark))
     st = hs.session_state(hs.build_turns(blocks, store=F.coalesce(F.col("store"), F.lit(True))))
     return st.select("session_id", "turns", "total_tokens", "last_active")
 

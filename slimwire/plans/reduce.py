@@ -38,6 +38,8 @@ class Config:
     store: bool = True
     # filediff: multi-hunk diff of the shortest edit script (a per-row helper in an Arrow UDF) or, when False, the native single hunk (no Python, no extra exchange)
     minimal_diff: bool = True
+    # filediff against the version before a text's first send rather than against the send before it
+    distinct_versions: bool = False
 
     def toggles(self) -> dict[str, bool]:
         # Config keys win; unknown or non-boolean values are ignored.
@@ -153,7 +155,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
             on = F.lit(True)
         store = store_col & on if name == "filediff" else store_col
         ctx = StageContext(min_savings=config.min_savings, store=store, tokenizer=tokenizer,
-                           minimal_diff=config.minimal_diff)
+                           minimal_diff=config.minimal_diff, distinct_versions=config.distinct_versions)
         df = stage.rewrite(df, ctx).withColumn("_edit", ~F.col("n_text").eqNullSafe(F.col("text")))
         _edit = F.col("_edit")
         # Recount only blocks whose rendered content changed.
@@ -192,7 +194,9 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
             F.sum(F.when(is_block, 1).otherwise(0)).cast("bigint").alias("blocks_in"),
             F.sum(F.when(is_block & ~F.col("drop"), 1).otherwise(0)).cast("bigint").alias("blocks_out"),
             F.sum(F.when(F.col("cache") & ~F.col("drop") & ~F.coalesce(F.col("cache_control"), F.lit(False)), 1)
-                  .otherwise(0)).cast("bigint").alias("markers_added")]
+                  .otherwise(0)).cast("bigint").alias("markers_added"),
+            # a cache marker goes with its block when a later stage drops that
+            F.sum(F.when(F.col("cache") & F.col("drop"), 1).otherwise(0)).cast("bigint").alias("markers_lost")]
     for ord_, stage in stage_structs:
         aggs += [F.first(f"_v{ord_}").alias(f"_v{ord_}"), F.first(f"_m{ord_}").alias(f"_m{ord_}"), F.first(f"_r{ord_}").alias(f"_r{ord_}"),
                  F.first(f"_n{ord_}").alias(f"_n{ord_}"), F.first(f"_on{ord_}").alias(f"_on{ord_}")]
@@ -212,7 +216,7 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
     per_req = per_req.select(
         *REQ, "model", "provider", "at_ms", "tokens_before", "tokens_after",
         (F.col("tokens_before") - F.col("tokens_after")).alias("saved"),
-        (F.col("_chg") == 1).alias("changed"), "blocks_in", "blocks_out", "markers_added",
+        (F.col("_chg") == 1).alias("changed"), "blocks_in", "blocks_out", "markers_added", "markers_lost",
         stages_arr.alias("stages"))
     return Reduction(out_blocks, per_req, [s.name for _, s in stage_structs])
 

@@ -151,6 +151,15 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.lit("\n"), F.col("body")).alias("text")))
 
 
+def resent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that re-send every version of their file so far, one block a version."""
+    fv = file_versions(spark, sf_dir)
+    now = fv.select("session_id", "request_id", "at_ms")
+    then = fv.select("session_id", F.col("at_ms").alias("sent_ms"), "text")
+    return (now.join(then, "session_id").where("sent_ms <= at_ms")
+               .select("session_id", "request_id", "at_ms", F.lit(0).cast("bigint").alias("msg_idx"), F.col("sent_ms").alias("block_idx"), "text"))
+
+
 def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_versions`` as requests of one message each, for the filediff stage."""
     fv = file_versions(spark, sf_dir)

@@ -296,3 +296,43 @@ def test_blocks_sent_as_diffs_are_restored(spark):
     df = spark.createDataFrame([(1, sent, old), (2, new, old), (3, "plain", None), (4, None, old), (5, "a lines, sent as a diff vs. the previous version:\n\nx", old)], "i long, sent string, prev string")
     got = {r.i: r.t for r in df.select("i", restored_text(F.col("sent"), F.col("prev")).alias("t")).collect()}
     assert got == {1: new, 2: new, 3: "plain", 4: None, 5: "a lines, sent as a diff vs. the previous version:\n\nx"}
+
+
+def test_distinct_versions_are_never_diffed_against_themselves(spark):
+    import random
+    from slimwire.operators.stages import previous_distinct_versions
+
+    def file(name, v):
+        return f"src/{name}.py\n" + f"version {v} " * 30
+    random.seed(9)
+    sends = [("s", 1, 1, file("a", 1)), ("s", 2, 2, file("a", 2)), ("s", 3, 3, file("a", 1)), ("s", 4, 4, file("a", 2)), ("s", 5, 5, "no file"), ("s", 5, 6, "no file")]
+    sends += [(random.choice("st"), 10 + i, 10 + i, file(random.choice("ab"), random.randrange(6))) for i in range(120)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in sends], "session_id string, request_id long, at_ms long, text string, msg_idx long, block_idx long")
+    got = {r.at_ms: (r._prev, r._prev_request) for r in previous_distinct_versions(df.repartition(3), F.col("text")).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4, 5, 6)] == [None, file("a", 1), None, file("a", 1), None, None]
+    seen, want = {}, {}
+    for s, req, at, text in sends:
+        known = seen.setdefault((s, text.split("\n")[0]), [])
+        if "\n" in text and text not in [t for t, _ in known]:
+            known.append((text, req))
+        at_ = [t for t, _ in known].index(text) if "\n" in text else 0
+        want[at] = known[at_ - 1] if at_ else (None, None)
+    assert got == want
+
+
+def test_filediff_against_distinct_versions(spark):
+    def lines(v):
+        return "src/app.ts\n" + "\n".join(f"const x{i} = {v if i == 7 else i};" for i in range(60))
+    rows = [dict(request_id=1, at_ms=1, text=lines(1)), dict(request_id=2, at_ms=2, block_idx=0, text=lines(1)), dict(request_id=2, at_ms=2, block_idx=1, text=lines(2)),
+            dict(request_id=3, at_ms=3, block_idx=0, text=lines(1)), dict(request_id=3, at_ms=3, block_idx=1, text=lines(2))]
+    cfg = dict(stages={"filediff": True, "cache": False, "strip": False}, min_savings=0)
+    b = blocks_df(spark, rows)
+    sent = lambda **o: ["sent as a diff" in t for _, t, _ in texts(reduce_requests(b, Config(**cfg, **o)), 3)]
+    assert sent() == [True, True] and sent(distinct_versions=True) == [False, True]
+
+
+def test_a_marker_is_lost_with_its_block(spark):
+    rows = [dict(request_id=1, section="system", block_idx=i, text=t) for i, t in enumerate(["be kind", "be brief", "be kind"])]
+    rows += [dict(request_id=2, section="system", block_idx=i, text=t) for i, t in enumerate(["be kind", "be brief"])]
+    got = {r.request_id: (r.markers_added, r.markers_lost) for r in reduce_requests(blocks_df(spark, rows), Config()).requests.collect()}
+    assert got == {1: (0, 1), 2: (1, 0)}

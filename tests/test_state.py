@@ -122,18 +122,56 @@ def test_config_asof_does_not_multiply_blocks(spark, monkeypatch):
     assert ca.config_as_of(blocks, many).count() == 160
 
 
-def test_config_asof_buckets(spark, monkeypatch):
+SETTINGS = "cache boolean, dedup boolean, strip boolean, filediff boolean, slice boolean, intent boolean, min_savings long, store boolean"
+
+
+def test_config_asof_both_ways_against_brute_force(spark, monkeypatch):
+    """A log taken along and a log merged in ranges give the same; wrong timestamps, gaps, ties and nulls included."""
+    import random
+    from slimwire.plans import config_asof as ca
+    random.seed(2)
+    at = sorted(random.sample(range(1000), 60))
+    log = [(a, b if i % 5 else a + (b - a) // 2, i % 2 == 0, i % 3 == 0, True, False, False, False, i, i % 7 == 0)
+           for i, (a, b) in enumerate(zip(at, at[1:]))] + [(at[-1], ca.OPEN_END, True, True, True, True, True, True, 99, True), (at[3], at[3], None, None, None, None, None, None, -1, None)]
+    cfg = spark.createDataFrame(log, "valid_from_ms long, valid_to_ms long, " + SETTINGS)
+    times = [random.randrange(-50, 1100) for _ in range(300)] + [500] * 300 + [None, 1 << 60, -(1 << 60), *at]
+    reqs = spark.createDataFrame(list(enumerate(times)), "request_id long, at_ms long").repartition(3)
+    want = {}
+    for i, t in enumerate(times):
+        hit = [r[2:] for r in log if t is not None and r[0] <= t < r[1]]
+        want[i] = hit[0] if hit else (None,) * 8
+    for bound in (ca.TAKEN_ALONG, 10):
+        monkeypatch.setattr(ca, "TAKEN_ALONG", bound)
+        out = ca.config_as_of(reqs, cfg)
+        assert out.columns == ["request_id", "at_ms", *ca.CONFIG_COLS]
+        assert {r.request_id: tuple(r)[2:] for r in out.collect()} == want
+        assert ca.config_as_of(reqs.limit(0), cfg).count() == 0
+        none = ca.config_as_of(reqs, cfg.limit(0)).collect()
+        assert len(none) == len(times) and all(r.store is None for r in none)
+
+
+def test_a_config_taken_along_reads_rows_once_and_moves_none(spark):
     from slimwire.plans import config_asof as ca
     from slimwire.sources import tables as tb
-    reqs = tb.requests(spark, "/root/testdata/sf0.001").select("request_id", "at_ms")
-    cfg = tb.config_log(spark)
-    first = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
-    monkeypatch.setattr(ca, "BUCKET_MS", 7_000_000)
-    other = {r.request_id: tuple(r) for r in ca.config_as_of(reqs, cfg).collect()}
-    assert first == other and len(other) == reqs.count()
-    empty = spark.createDataFrame([], "request_id long, at_ms long")
-    out = ca.config_as_of(empty, cfg)
-    assert out.count() == 0 and set(ca.CONFIG_COLS) <= set(out.columns)
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_id").alias("request_id"), (F.col("event_id") * 1000).alias("at_ms"))
+    plan = ca.config_as_of(rows, tb.config_log(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hashpartitioning" not in plan and "sequence" not in plan.lower()
+
+
+def test_last_known_values_cross_the_borders(spark):
+    import random
+    from slimwire.plans.ordered import last_known, numbered
+    random.seed(7)
+    rows = [(random.choice(["a", "b", None, "hot", "hot", "hot"]), i, random.choice([None, None, None, i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, t long, v long").repartition(5)
+    got = {r.t: r.o and r.o.v for r in last_known(df, ["t"], F.col("v").isNotNull(), ["v"], "o", ["g"]).collect()}
+    last, want = {}, {}
+    for g, t, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        want[t] = last[g]
+    assert got == want
+    at = numbered(df.select("g"), ["g"], "at").collect()
+    assert sorted(r.at for r in at) == list(range(900)) and [r.g for r in sorted(at, key=lambda r: r.at)] == sorted((g for g, *_ in rows), key=lambda g: (g is not None, g))
 
 
 def test_change_log_over_many_days(spark):
