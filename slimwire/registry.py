@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from slimwire.plans import (queries_context, queries_core, queries_ingest,  # noqa: F401
-                                queries_stages, queries_state, queries_stream)
+                                queries_stages, queries_state, queries_stream, queries_upkeep)
