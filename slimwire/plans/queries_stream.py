@@ -67,28 +67,59 @@ def q_g3(spark, d):
     return spark.read.parquet(out).select("session_id", "hash")
 
 
-@register("g4_stream_file_versions", PREV_SQL + """
-SELECT session_id, path, request_id, prev_request_id, prev IS NOT NULL AND prev <> text AS differs FROM lagged""")
+EPOCH_MS = 1_704_067_200_000   # event times begin here: the initial watermark is 0 ms
+SLICES = 4
+
+
+# Sends come in four slices of their time, every fifth one a slice late; the watermark is two slices behind, so all come in order.
+@register("g4_stream_file_versions", PREV_SQL + f""",
+ span AS (SELECT max(at_ms) AS hi, (max(at_ms) - min(at_ms)) // {SLICES} + 1 AS step FROM q WHERE p IS NOT NULL)
+SELECT l.session_id, l.path, l.request_id, prev_request_id, prev IS NOT NULL AND prev <> l.text AS differs
+FROM lagged l JOIN q USING (request_id), span WHERE q.at_ms <= hi - 2 * step""")
 def q_g4(spark, d):
-    src = sj.new_run_dir(spark, "file-versions")
-    kept = sj.new_run_dir(spark, "file-versions-log")
-    tb.file_versions(spark, d).write.parquet(kept)
-    fv = spark.read.parquet(kept)
-    # the log arrives in time order: one append per time slice, oldest first, each session in one file of it
-    bounds = fv.agg(F.min("at_ms").alias("lo"), F.max("at_ms").alias("hi")).first()
-    step = (bounds["hi"] - bounds["lo"]) // 4 + 1
-    for i in range(4):
-        lo = bounds["lo"] + i * step
-        fv.where((F.col("at_ms") >= lo) & (F.col("at_ms") < lo + step)).repartition("session_id").write.mode("append").parquet(src)
-    stream = sj.stream_dir(spark, src, fv.schema, max_files=8)
-    # same qualification as the batch stage: a file block is >= 200 units with a path line
     from slimwire.functions import text as tx
-    files = (stream.where(tx.utf16_len("text") >= tx.MIN_FILE_CHARS)
-                   .withColumn("path", tx.detect_path("text")).where(F.col("path").isNotNull()))
-    out = sj.run_append(sj.stream_file_versions(files), sj.new_run_dir(spark, "g4"))
+    src, kept = sj.new_run_dir(spark, "file-versions"), sj.new_run_dir(spark, "file-versions-log")
+    # same qualification as the batch stage: a file block is >= 200 units with a path line
+    files = (tb.file_versions(spark, d).where(tx.utf16_len("text") >= tx.MIN_FILE_CHARS)
+               .withColumn("path", tx.detect_path("text")).where(F.col("path").isNotNull()))
+    files.withColumn("ts", F.timestamp_millis(F.col("at_ms") + EPOCH_MS)).write.parquet(kept)
+    log = spark.read.parquet(kept)
+    span = log.agg(F.min("at_ms").alias("lo"), F.max("at_ms").alias("hi")).first()
+    lo, step = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // SLICES + 1
+    late = F.when(F.col("request_id") % 5 == 0, 1).otherwise(0)
+    arrival = F.least(F.floor((F.col("at_ms") - lo) / step) + late, F.lit(SLICES - 1))
+    for i in range(SLICES):
+        log.where(arrival == i).write.mode("append").parquet(src)
+    stream = sj.stream_dir(spark, src, log.schema, max_files=8)
+    out = sj.run_append(sj.stream_file_versions(stream, f"{2 * step} milliseconds"), sj.new_run_dir(spark, "g4"))
+    return spark.read.parquet(out).drop("batch_id")
+
+
+WINDOWS_SQL = ov.with_views("request_metrics") + """,
+ m AS (SELECT r.*, epoch_ms(e.ts) AS t FROM request_metrics r JOIN events e ON e.event_id = r.id),
+ w AS (SELECT *, unnest(range((t // {slide} - {window} // {slide} + 1) * {slide}, t + 1, {slide})) AS start FROM m)
+SELECT start AS window_start_ms, start + {window} AS window_end_ms, model, CAST(count(*) AS BIGINT) AS requests,
+       CAST(sum(tokens_before) AS BIGINT) AS tokens_before, CAST(sum(saved) AS BIGINT) AS saved
+FROM w GROUP BY ALL HAVING start + {window} <= (SELECT max(t) FROM m) - 86400000"""
+
+
+def _appended(spark, d, name: str, window: str, slide: str | None = None):
+    metrics = sj.metrics_stream(sj.stream_table(spark, d, "events"))
+    out = sj.run_append(sj.stream_metrics(metrics, window, slide), sj.new_run_dir(spark, name))
     return spark.read.parquet(out).drop("batch_id")
 
 
+# Windows that the watermark, a day behind the newest event, has passed.
+@register("g1_stream_metrics_appended", WINDOWS_SQL.format(window=86_400_000, slide=86_400_000))
+def q_g1_appended(spark, d):
+    return _appended(spark, d, "g1-day", "1 day")
+
+
+@register("g1_stream_metrics_sliding", WINDOWS_SQL.format(window=86_400_000, slide=21_600_000))
+def q_g1_sliding(spark, d):
+    return _appended(spark, d, "g1-sliding", "1 day", "6 hours")
+
+
 @register("g5_stream_idle_sessions", ov.with_views("request_metrics") + """,
  m AS (SELECT r.session_id, e.ts FROM request_metrics r JOIN events e ON e.event_id = r.id),
  g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY session_id ORDER BY ts) IS NULL

@@ -4,7 +4,8 @@ Sources are file streams with a fixed schema (``readStream.schema(...)``); the
 bundled tables are streamed with ``pathGlobFilter`` so a single parquet file in a
 folder becomes a stream. Sinks write parquet under the shared checkpoint folder:
 
-* small aggregations run in ``complete`` mode through ``foreachBatch`` that writes a
+* windows are appended once the watermark has passed them; rows behind it go to a side table;
+* small aggregations can also run in ``complete`` mode through ``foreachBatch`` that writes a
   version of the result per batch; readers take the newest whole one;
 * spans of activity are appended once the watermark has passed them, so their state
   and their output are bounded by the watermark;
@@ -17,6 +18,7 @@ folder becomes a stream. Sinks write parquet under the shared checkpoint folder:
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -120,7 +122,10 @@ def metrics_stream(events: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- G1
 def stream_metrics(metrics: DataFrame, window: str = "1 day", slide: str | None = None,
                    watermark: str = "1 day") -> DataFrame:
-    """G1: savings per model per event-time window (tumbling, or sliding with ``slide``)."""
+    """G1: savings per model per event-time window (tumbling, or sliding with ``slide``).
+
+    Appended (:func:`run_append`), a window comes out once, when the watermark has passed its end, and its state goes;
+    rows that come later are in :func:`stream_late_rows`. In complete mode all windows come out with every batch."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (metrics.withWatermark("ts", watermark)
                    .groupBy(w.alias("w"), "model")
@@ -132,6 +137,33 @@ def stream_metrics(metrics: DataFrame, window: str = "1 day", slide: str | None
                            "model", "requests", "tokens_before", "saved"))
 
 
+LATE_OUT = StructType([StructField("id", LongType()), StructField("ts_ms", LongType()), StructField("model", StringType()), StructField("tokens_before", LongType()),
+                       StructField("saved", LongType()), StructField("missed", LongType()), StructField("windows", LongType())])
+LATE_KEYS = 64   # keys over which rows are dealt, for their watermark alone
+
+
+def _late(window_ms: int, slide_ms: int):
+    def find(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        for pdf in pdfs:
+            newest = pdf["ts_ms"] // slide_ms * slide_ms          # start of the last window that holds the row
+            windows = (window_ms - (pdf["ts_ms"] - newest) + slide_ms - 1) // slide_ms
+            # windows end at newest + window, a slide earlier each; those up to the watermark have been given out
+            missed = ((passed - (newest + window_ms)) // slide_ms + windows).clip(0, None).clip(upper=windows)
+            rows = pdf.assign(missed=missed.astype("int64"), windows=windows.astype("int64"))
+            yield rows.loc[rows["missed"] > 0, [f.name for f in LATE_OUT.fields]]
+    return find
+
+
+def stream_late_rows(metrics: DataFrame, window_ms: int, slide_ms: int | None = None, watermark: str = "1 day") -> DataFrame:
+    """G1's side table: rows that came when the watermark had passed the end of some of their ``windows``, and how many
+    of these they ``missed``. No state is kept; keys only deal the rows."""
+    rows = metrics.select("id", "ts", F.unix_millis("ts").alias("ts_ms"), "model", F.col("tokens_before").cast("long"), F.col("saved").cast("long"),
+                          F.pmod(F.xxhash64("id"), F.lit(LATE_KEYS)).alias("_k"))
+    return (rows.withWatermark("ts", watermark).groupBy("_k")
+                .applyInPandasWithState(_late(window_ms, slide_ms or window_ms), LATE_OUT, StructType([StructField("_", LongType())]), "append", GroupStateTimeout.NoTimeout))
+
+
 # --------------------------------------------------------------------------- G2
 SESSION_FIELDS = [StructField("model", StringType()), StructField("first_seen", LongType()),
                   StructField("last_active", LongType()), StructField("total_tokens", LongType()),
@@ -197,37 +229,51 @@ def stream_context_ids(puts: DataFrame, watermark: str = "30 days") -> DataFrame
 
 
 # --------------------------------------------------------------------------- G4
-FILE_STATE = StructType([StructField("text", StringType()), StructField("at_ms", LongType()),
-                         StructField("request_id", LongType())])
+FILE_STATE = StructType([StructField("digest", StringType()), StructField("ts_ms", LongType()),
+                         StructField("request_id", LongType()), StructField("waiting", StringType())])
 FILE_OUT = StructType([StructField("session_id", StringType()), StructField("path", StringType()),
                        StructField("request_id", LongType()), StructField("prev_request_id", LongType()),
                        StructField("differs", BooleanType())])
+FOREVER_MS = 365 * 24 * 3600 * 1000
+
+
+def _file_update(ttl_ms: int):
+    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = None, []
+        if state.exists:
+            digest, ts, rid, held = state.get
+            last, waiting = (None if rid is None else (ts, rid, digest)), [tuple(x) for x in json.loads(held)]
+        for pdf in pdfs:  # none when the timer has run out
+            waiting += zip(pdf["ts_ms"].tolist(), pdf["request_id"].tolist(), pdf["digest"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort()
+        rows = []
+        while waiting and waiting[0][0] <= passed:  # nothing earlier can come any more
+            now = waiting.pop(0)
+            rows.append((key[0], key[1], now[1], None if last is None else last[1], last is not None and last[2] != now[2]))
+            last = now
+        if not waiting and (last is None or last[0] + ttl_ms <= passed):
+            if state.exists:
+                state.remove()
+        else:
+            ts, rid, digest = last or (None, None, None)
+            state.update((digest, ts, rid, json.dumps(waiting)))
+            state.setTimeoutTimestamp(waiting[0][0] if waiting else last[0] + ttl_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=[f.name for f in FILE_OUT.fields])
+    return update
+
 
+def stream_file_versions(versions: DataFrame, watermark: str = "1 hour", ttl_ms: int = FOREVER_MS) -> DataFrame:
+    """Previous version per (session, path) from keyed state (as S8 in batch), for a stream with event time ``ts``.
 
-def _file_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev = state.get if state.exists else None
-    rows = []
-    # the group's rows come in several Arrow chunks: put all of them in order, not each chunk
-    whole = pd.concat(list(pdfs)).sort_values(["at_ms", "request_id"])
-    for text, at, rid in zip(whole["text"], whole["at_ms"], whole["request_id"], strict=True):
-        rows.append((key[0], key[1], int(rid), None if prev is None else int(prev[2]),
-                     prev is not None and prev[0] != text))
-        prev = (text, int(at), int(rid))
-    if prev is not None:
-        state.update(prev)
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in FILE_OUT.fields])
-
-
-def stream_file_versions(versions: DataFrame) -> DataFrame:
-    """Previous version per (session, path) from keyed state (as S8 in batch).
-
-    Rows of one micro-batch are applied in (at_ms, request_id) order over the whole
-    group (one file's versions of one micro-batch are held together); a row arriving after a later one was already applied is treated as a new
-    send (documented difference from the batch ``lag``)."""
-    return (versions.groupBy("session_id", "path")
-                    .applyInPandasWithState(_file_update, FILE_OUT, FILE_STATE, "append",
-                                            GroupStateTimeout.NoTimeout))
+    A send waits until the watermark has passed it, so sends that come out of order within the watermark are put in
+    order of (ts, request_id) and give what the batch ``lag`` gives; a timer lets them go. Sends behind the watermark are
+    dropped, as everywhere in a watermarked stream. The state holds a digest of the last text, the digests of the sends
+    that wait, and goes when the file has been idle for ``ttl_ms``: its next send is then a first one."""
+    rows = versions.select("session_id", "path", "request_id", "ts", F.unix_millis("ts").alias("ts_ms"), F.sha2("text", 256).alias("digest"))
+    return (rows.withWatermark("ts", watermark).groupBy("session_id", "path")
+                .applyInPandasWithState(_file_update(ttl_ms), FILE_OUT, FILE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --------------------------------------------------------------------------- G5

@@ -39,27 +39,85 @@ def test_stream_sessions_equal_batch(spark):
     assert got == want
 
 
+T0 = 1_704_067_200_000
+FILE_SCHEMA = "session_id string, path string, text string, request_id long, ts timestamp"
+
+
+def in_batches(spark, schema, batches):
+    """A stream that takes one batch of rows after the other."""
+    import time
+
+    from slimwire.streaming import jobs as sj
+    src = sj.new_run_dir(spark, "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.02)   # files are taken in order of their times
+    return sj.stream_dir(spark, src, spark.createDataFrame([], schema).schema, max_files=1)
+
+
+def at(ms):
+    import datetime
+    return datetime.datetime.fromtimestamp((T0 + ms) / 1000, datetime.UTC).replace(tzinfo=None)
+
+
 def test_stream_file_versions_equal_batch_lag(spark):
     from slimwire.plans.queries_stages import q_s8
     from slimwire.plans.queries_stream import q_g4
     s = {r.request_id: r.prev_request_id for r in q_g4(spark, SF_SMALL).collect()}
     b = {r.request_id: r.prev_request_id for r in q_s8(spark, SF_SMALL).collect()}
-    assert {k: s[k] for k in b} == b
+    assert s and all(b[k] == v for k, v in s.items())
 
 
-def test_stream_file_versions_keep_order_over_small_chunks(spark):
+def test_stream_file_versions_put_late_sends_in_order(spark):
+    """Sends within the watermark land in order whatever order they came in, in pieces of small Arrow chunks; an idle file's state goes."""
+    import random
+
     from slimwire.streaming import jobs as sj
-    rows = [("s", "p", f"text {i}", i, i) for i in reversed(range(6))]
-    src = sj.new_run_dir(spark, "chunks")
-    df = spark.createDataFrame(rows, "session_id string, path string, text string, at_ms long, request_id long")
-    df.coalesce(1).write.parquet(src)
+    random.seed(4)
+    sends = [("s", random.choice("pq"), f"text {i // 3}", i, at(i * 1000)) for i in range(60)]
+    shaken = sorted(sends, key=lambda r: r[4].timestamp() + random.uniform(0, 9))
+    batches = [shaken[i:i + 12] for i in range(0, 60, 12)] + [[("x", "x", "x", 900, at(100_000))], [("x", "x", "y", 901, at(400_000))], [("x", "x", "y", 902, at(800_000))]]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
-        out = sj.run_append(sj.stream_file_versions(sj.stream_dir(spark, src, df.schema)), sj.new_run_dir(spark, "chunks-out"))
+        stream = sj.stream_file_versions(in_batches(spark, FILE_SCHEMA, batches), "30 seconds", ttl_ms=60_000)
+        out = sj.new_run_dir(spark, "out")
+        kept = []
+
+        def sink(batch, n):
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+        q = stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", out + "._ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = {r.request_id: r.prev_request_id for r in spark.read.parquet(out).collect()}
-    assert got == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
+    got = {r.request_id: (r.prev_request_id, r.differs) for r in spark.read.parquet(out).collect() if r.session_id == "s"}
+    last, want = {}, {}
+    for _, path, text, rid, _ in sends:
+        prev = last.get(path)
+        want[rid] = (prev and prev[0], prev is not None and prev[1] != text)
+        last[path] = (rid, text)
+    assert got == want
+    assert max(kept) == 3 and kept[-1] == 1   # the two idle files are forgotten
+
+
+METRIC_SCHEMA = "id long, ts timestamp, model string, tokens_before long, saved long"
+
+
+def test_windows_come_out_once_and_late_rows_go_aside(spark):
+    from slimwire.streaming import jobs as sj
+    day = 86_400_000
+    batches = [[(1, at(0), "m", 10, 1), (2, at(day), "m", 20, 2)], [(3, at(5 * day), "m", 30, 3)], [(4, at(5 * day), "m", 40, 4)],
+               [(5, at(1000), "m", 50, 5), (6, at(5 * day + 1), "m", 60, 6)], [(7, at(9 * day), "m", 70, 7)]]
+    for slide, missed in ((None, {5: (1, 1)}), ("6 hours", {5: (4, 4)})):
+        stream = sj.stream_metrics(in_batches(spark, METRIC_SCHEMA, batches), "1 day", slide)
+        got = spark.read.parquet(sj.run_append(stream, sj.new_run_dir(spark, "out"))).collect()
+        assert len({(r.window_start_ms, r.model) for r in got}) == len(got)    # once each
+        assert all(r.window_end_ms <= T0 + 8 * day for r in got)
+        first = {r.window_start_ms - T0: r.requests for r in got}
+        assert first[0] == 1 and first[day] == 1 and first[5 * day] == 3       # without the late row
+        late = sj.stream_late_rows(in_batches(spark, METRIC_SCHEMA, batches), day, None if slide is None else day // 4)
+        rows = spark.read.parquet(sj.run_append(late, sj.new_run_dir(spark, "late"))).collect()
+        assert {r.id: (r.missed, r.windows) for r in rows} == missed
 
 
 def test_complete_results_are_versions(spark):
