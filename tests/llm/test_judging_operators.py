@@ -337,6 +337,62 @@ def test_only_frequent_tokens_of_a_host_are_gathered(spark):
     assert got["b.org"]["main"] is None and got["b.org"]["constant"] == []
 
 
+def extracted(spark, pages):
+    rows = [(k, f"http://site.org/{k}", p) for k, p in enumerate(pages)]
+    return [r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_all_of_main_and_all_articles_are_kept(spark):
+    whole = "<main><h1>Head</h1><article class=a><p>First.</p></article><article class=b><p>Second, longer one.</p></article><p>Closing words.</p></main>"
+    several = "<body><div><article class=a><p>First.</p></article></div><article class=b><header><h2>Two</h2></header><p>Second.</p></article><footer>no</footer></body>"
+    assert extracted(spark, [whole, several]) == ["Head\n\nFirst.\n\nSecond, longer one.\n\nClosing words.", "First.\n\nTwo\n\nSecond."]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    def page(k):
+        return f"<body><div class=nav-links><a href=/>Home</a></div><div class=story><p>Story {k} begins.</p><p>It is about {k * 7}.</p></div><div class=end><p>The same end.</p></div></body>"
+    pages = [page(k) for k in range(6)] + [page(99)] * 6
+    assert extracted(spark, pages) == [f"Story {k} begins.\n\nIt is about {k * 7}." for k in [*range(6), *[99] * 6]]
+    # a host whose pages are all the same has no template at all
+    assert extracted(spark, [page(5)] * 5) == ["Story 5 begins.\n\nIt is about 35.\n\nThe same end."] * 5
+
+
+def test_a_slot_holds_practically_all_text_of_each_page(spark):
+    def page(k, lead=""):
+        return f"<body><div class=story><div class=lead><p>{lead or f'Lead {k} ' + 'of some length ' * 8}</p></div><div class=rest><p>{f'Rest {k} ' + 'and more text ' * 15}</p></div></div></body>"
+    got = extracted(spark, [page(k) for k in range(8)])
+    assert got == [f"Lead {k} {('of some length ' * 8).strip()}\n\nRest {k} {('and more text ' * 15).strip()}" for k in range(8)]
+    # where the host's slot misses much of one page's text, that page is taken further out
+    short = [page(k, "x") for k in range(40)] + [page(41, "A lead of its own. " * 20)]
+    assert extracted(spark, short)[-1].startswith("A lead of its own.")
+
+
+def test_marks_are_whole_names_and_containers_within_an_article():
+    page = ("<article><section id='search-results-in-physics'><p>One.</p></section><p class='ad hoc'>Two.</p><p>Up <span class='share-of-total'>42 %</span></p>"
+            "<pre><code class='menu'>ls</code></pre><div class='ad hoc'>Three.</div><div class='notice'>Four.</div><figure class='social-history'>Five.</figure>"
+            "<div class='ad'>no</div><div class='share-buttons clearfix'>no</div><section id=comments><p>no</p></section><ul class='related-posts'><li>no</ul>"
+            "<article class='comment'>no</article><div hidden>no</div><div class=adSlot>no</div></article>")
+    assert html.main_text(page) == "One.\n\nTwo.\n\nUp 42 %\n\nls\n\nThree.\n\nFour.\n\nFive."
+    outside = "<body><div class='site-header'>no</div><div class='left-sidebar'>no</div><div class='menu-of-the-day'><p>Soup.</p></div><div id='cookie-notice'>no</div></body>"
+    assert html.main_text(outside) == "Soup."
+
+
+@pytest.mark.parametrize("piece", ["<a", "<", "<!", "<!--", "</", "<script", "<p>", "<div>", "</div>", "<div><p>x", "<b class=ad>", "<a href='", '<a "<b>\' ', "&", "&#", '<b " > " \' > \'', "<td class=x", "<script>a", "class = "])
+def test_a_megabyte_of_broken_markup_takes_seconds(piece):
+    import time
+    page = "<article>kept" + piece * (1_000_000 // len(piece))
+    begun = time.time()
+    assert html.main_text(page + "</article>").startswith("kept") or piece in ("<!--", "<script>a")
+    html.main_text(page)
+    assert time.time() - begun < 12, time.time() - begun
+
+
+def test_tags_that_never_end_are_text():
+    assert html.main_text("<p>one</p> 2 < 3 <a href=x") == "one\n\n2 < 3 <a href=x"
+    assert html.main_text("<p>one</p><!-- never > closed <p>two") == "one"
+    assert html.main_text("<p title=\"a'>b\">q</p>r") == "q\n\nr"
+
+
 # -- the pipeline ---------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark):
