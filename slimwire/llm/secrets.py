@@ -27,10 +27,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-SENSITIVE = re.compile(
+KEYWORD = re.compile(
     r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|"
-    r"authorization|client[_-]?id)[\w-]*[\"']?[\x20\t]*(?:[:=]|=>|\x20)[\x20\t]*(?:bearer|basic)?[\x20\t]*[\"'`]?"
-    r"([A-Za-z0-9+/_.=~-]+)", re.I | re.A)
+    r"authorization|client[_-]?id)[\w-]*+", re.I | re.A)
+VALUE = re.compile(
+    r"[\"']?+(?:[\x20\t]*+(?:=>|[:=])|\t*+\x20)[\x20\t]*+(?:(?:bearer|basic)[\x20\t]*+[\"'`]?+([A-Za-z0-9+/_.=~-]++)|[\"'`]?+([A-Za-z0-9+/_.=~-]++))", re.I | re.A)
 
 WORDS = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 SHORTEST = 16          # characters of a candidate, at least
@@ -48,11 +49,13 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             "hex": [m.span() for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]}
 
 
-def covered(s: int, e: int, taken: list[tuple[int, int]]) -> bool:
-    """Whether the spans, in order, cover all of [s, e)."""
-    for a, b in taken:
-        if a <= s < b:
-            s = b
+def covered(s: int, e: int, taken: list[tuple[int, int]], first: int = 0) -> bool:
+    """Whether the spans, in order from the ``first`` one, cover all of [s, e)."""
+    for k in range(first, len(taken)):
+        a, b = taken[k]
+        if a > s or s >= e:
+            break
+        s = max(s, b)
     return s >= e
 
 
@@ -68,14 +71,23 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[dict]:
     """Long strings in a sensitive context that base spans don't cover, with the code around them.
 
     A candidate mixes at least two of lower case, upper case and digits, as plain words don't. What stands after a
-    keyword may be the next one's name, so the search goes on within it."""
+    keyword may be the next one's name, so the search goes on within it. Time grows with the text's length: a name is read
+    once, whatever number of keywords it holds."""
     found, at, taken = [], 0, sorted(taken)
-    while m := SENSITIVE.search(text, at):
-        s, e = m.span(1)
-        word = m[1]
+    first = 0  # of the spans that may cover a value: values come in order
+    while k := KEYWORD.search(text, at):
+        # the name that holds the keyword is read to its end once, and so is what stands between it and a value
+        m = VALUE.match(text, k.end())
+        if not m:
+            at = k.end()
+            continue
+        s, e = m.span(1) if m[1] is not None else m.span(2)
+        word = text[s:e]
+        while first < len(taken) and taken[first][1] <= s:
+            first += 1
         at = s + last_part(word)
         classes = (word != word.lower()) + (word != word.upper()) + any(c.isdigit() for c in word)
-        if e - s < SHORTEST or classes < 2 or covered(s, e, taken):
+        if e - s < SHORTEST or classes < 2 or covered(s, e, taken, first):
             continue
         found.append({"s": s, "e": e, "before": text[max(0, s - AROUND):s], "after": text[e:e + AROUND], "word": word})
     return found
@@ -193,7 +205,8 @@ def scan_secrets(docs: DataFrame, dictionary_size: int = DICTIONARY, least: floa
     spans, all spans, how many the method added and the highest novelty it measured (null: no candidate).
 
     Null and empty texts have no spans; repeated rows are each reported; other columns are ignored; an
-    empty table gives no rows. Positions are code points, ends exclusive. The text is read once; only
+    empty table gives no rows. Positions are code points, ends exclusive. A text of any length is searched in time that
+    grows with it. The text is read once; only
     candidates and their surroundings are written to the shared folder.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
