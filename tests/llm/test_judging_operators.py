@@ -206,6 +206,57 @@ def test_blocks_of_a_benchmark_find_the_same(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
 
 
+def long_benchmark(spark, rng, n, length):
+    """Items of ``length`` words, documents with a run of 100 words of one each (half of them with every tenth word changed), and clean documents."""
+    words = np.array([f"w{k}" for k in range(9000)])
+    odds = 1 / np.arange(1, 9001)
+    some = lambda k: rng.choice(words, k, p=odds / odds.sum()).tolist()
+    items = [(k, " ".join(some(length))) for k in range(n)]
+    docs, want = [], set()
+    for k, (i, t) in enumerate(items):
+        own = t.split()
+        at = int(rng.integers(0, length - 100))
+        run = own[at:at + 100]
+        if k % 2:
+            run = [w if j % 10 else f"other{j}" for j, w in enumerate(run)]
+        docs.append((k, " ".join(some(int(rng.integers(0, 300))) + run + some(int(rng.integers(0, 300))))))
+        want.add((k, i))
+    docs += [(10_000 + k, " ".join(some(400))) for k in range(n)]
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), want
+
+
+@pytest.mark.parametrize(("n", "length"), [(200, 300), (60, 1000)])
+def test_passages_of_long_items_are_found(spark, n, length):
+    """Far more passages than the space has dimensions; what is found is what exact runs of words find."""
+    import time
+    docs, bench, want = long_benchmark(spark, np.random.default_rng(length), n, length)
+    begun = time.time()
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert time.time() - begun < 300
+    assert len(want & got) >= 0.9 * len(want)
+    assert not {d for d, _ in got} & set(range(10_000, 20_000))
+
+
+def test_a_bounded_fit_finds_what_a_fit_on_all_finds(spark):
+    docs, bench, want = long_benchmark(spark, np.random.default_rng(1), 80, 200)
+    copies = docs.unionByName(docs.filter("doc_id = 3").crossJoin(spark.range(300)).select("doc_id", "text"))   # one text with most of all rows
+    assert decontaminate.sampled(copies.select("text"), 50).count() <= 50
+    few = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(copies, bench, sample=50).select("doc_id", F.explode("matches.item_id").alias("item_id")).distinct().collect()}
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(copies, bench, sample=10 ** 6).select("doc_id", F.explode("matches.item_id").alias("item_id")).distinct().collect()}
+    assert len(few & whole) >= 0.95 * len(whole) and len(few & want) >= 0.9 * len(want)
+
+
+def test_blocks_are_bounded_by_passages_and_words():
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(100))) for k in range(20)] + [(99, "too few words"), (100, None or "a b c d e answer: f g")]
+    passages = list(decontaminate.passages_of(items))
+    assert [p.item for p in passages].count(3) == 6 and max(len(p.words) for p in passages) == decontaminate.WINDOW
+    assert {p.item for p in passages} == {*range(20), 100}
+    blocks = list(decontaminate.blocks_of(passages, 50, 300))
+    assert sum(map(len, blocks)) == len(passages)
+    assert all(len(b) <= 50 and len({w for p in b for w in p.words.tolist()}) <= 300 + decontaminate.WINDOW for b in blocks) and len(blocks) > 3
+    assert decontaminate.merged([{"item_id": 2, "overlap": 0.7}], [{"item_id": 2, "overlap": 0.9}, {"item_id": 1, "overlap": 1.0}]) == [{"item_id": 1, "overlap": 1.0}, {"item_id": 2, "overlap": 0.9}]
+
+
 def test_weighted_common_subsequence():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 9, 3, 2, 4])
     assert decontaminate.weighted_common(a, b, np.ones(4)) == 0.75
