@@ -3,9 +3,8 @@
 A document may belong to several sources. Documents are aggregated by their set of sources (the
 membership pattern); a flow network routes each pattern's words to the sources' quotas, where the
 second copy of a word costs more than the first (convex costs). The flow gives the words to take of
-each pattern: whole passes over its documents, then documents in a seeded order until the rest is used
-up, then single documents that fit what is left best, then all that still fit, along the order. Only one
-row a pattern reaches the driver.
+each pattern: whole passes over its documents, then documents along a seeded order, each one that still
+fits what is left. Only one row a pattern reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +17,11 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slimwire.llm.common import WORD, written
+from slimwire.llm.common import SMALL, WORD, numbered, written
 
 WEIGHTS = (5, 2, 1)    # by rank of the source, repeating
 SHARE = 1.5            # words of the mix as a multiple of all words
 MOST = 2               # copies of a document, at most
-SMALL = 100_000        # rows of a table made on the driver up to which it is broadcast; beyond it joins are shuffled
-FITS = 3               # documents taken alone to fill what is left
 SEED = "mix"
 
 
@@ -107,124 +104,86 @@ def _sent(rows: DataFrame, count: int) -> DataFrame:
     return F.broadcast(rows) if count <= SMALL else rows
 
 
+LEAST_ID = -(1 << 63)  # stands for a null doc_id
+BEHIND = "g"           # behind all hashes
+PLACE = "struct<h:string,doc_id:long,size:long>"
+ROUNDS = f"array<struct<most:long,start:{PLACE},stop:{PLACE},part:long>>"
+BIN = 4                # hexadecimal digits of the seeded hash that make a bin of the order
+
+
+def place() -> Column:
+    """A unit's place in the seeded order; a null doc_id counts as the least one."""
+    return F.struct("h", F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "size")
+
+
 def plan(units: DataFrame, wanted: dict[int, int]) -> list[dict]:
-    """What to take of each pattern to come near ``wanted`` words: whole passes, the last unit of the seeded
-    order that is taken once more, the units taken alone, and the rounds that go on along the order.
+    """What to take of each pattern to come near ``wanted`` words: whole passes, and the rounds that go once more along the
+    seeded order and take each document that still fits.
 
-    A unit is all rows of the same (pattern, h, doc_id, size): repeated rows are taken together. The order is
-    cut without sorting a pattern in one task: bins of the seeded hash are added up first, then only the units
-    of the bin in which the cut falls are put in order.
-    """
-    spark = units.sparkSession
+    A unit is all rows of the same (pattern, h, doc_id, size); of the one at which a round stops, as many rows are
+    taken as fit. The next round goes on behind it, without the units larger than what is then left: what a round
+    passes over is larger than what is left, so none looks back."""
     sums = units.groupBy("pattern").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()
-    passes = [(r["pattern"], *(divmod(min(wanted.get(r["pattern"], 0), MOST * r["words"]), r["words"]) if r["words"] else (0, 0))) for r in sums]
-    schema = "pattern long, passes long, rest long"
-    rest = _sent(spark.createDataFrame(passes, schema), len(passes))  # one row a pattern, made on the driver
-    bins = units.groupBy("pattern", F.substring("h", 1, 3).alias("bin")).agg(F.sum(F.col("size") * F.col("n")).alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
-    cut = (bins.withColumn("upto", upto).join(rest, "pattern").withColumn("before", F.col("upto") - F.col("words"))
-           .filter("before <= rest and upto > rest").select("pattern", "bin", "before", "rest"))
-    inside = units.withColumn("bin", F.substring("h", 1, 3)).join(_sent(cut, len(passes)), ["pattern", "bin"])
-    upto = F.col("before") + F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size"))
-    last = (inside.withColumn("upto", upto).filter("upto <= rest").groupBy("pattern")
-            .agg(F.max(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")).alias("last"), F.max("upto").alias("upto")))
-    cuts = {r["pattern"]: (r["bin"], r["before"]) for r in cut.collect()}
-    lasts = {r["pattern"]: (tuple(r["last"]), r["upto"]) for r in last.collect()}
     out = []
-    for p, k, words in passes:
-        bin_, before = cuts.get(p, ("000", 0))
-        end, upto = lasts.get(p, ((bin_, None, None), before))  # nothing of the bin fits: up to its start
-        out.append({"pattern": p, "passes": k, "h": end[0], "id": end[1], "last_size": end[2], "left": words - upto, "alone": [], "rounds": []})
-    for _ in range(FITS):
-        rows = [(x["pattern"], x["h"], x["id"], x["last_size"], x["left"], [tuple(a) for a in x["alone"]]) for x in out if x["left"] > 0 and x["passes"] < MOST]
-        if not rows:
-            break
-        open_ = _sent(spark.createDataFrame(rows, CUT), len(rows))
-        fits = (units.join(open_, "pattern").filter(~taken_once_more() & (F.col("size") > 0) & (F.col("size") * F.col("n") <= F.col("left")))
-                .groupBy("pattern").agg(F.max_by(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size", "n"),
-                                                 F.struct(F.col("size") * F.col("n"), "h", "doc_id")).alias("fit")))
-        found = {r["pattern"]: r["fit"] for r in fits.collect()}
-        for x in out:
-            if f := found.get(x["pattern"]):
-                x["alone"].append((f["h"], f["doc_id"], f["size"]))
-                x["left"] -= f["size"] * f["n"]
+    for r in sums:
+        passes, rest = divmod(min(wanted.get(r["pattern"], 0), MOST * r["words"]), r["words"]) if r["words"] else (0, 0)
+        out.append({"pattern": r["pattern"], "passes": passes, "left": rest, "at": ("", LEAST_ID, -1), "rounds": []})
     while go_on(units, out):
         pass
     return out
 
 
 def go_on(units: DataFrame, out: list[dict]) -> bool:
-    """One round along the seeded order behind what is taken, without the units larger than what is left: up to the first
-    that then no longer fits. Adds the round to each pattern of ``out`` that has such units; False if none has.
+    """One round of each pattern of ``out`` with words left, added to its rounds; False if there is none.
 
-    Units before a round's end that are not taken are larger than what is left, so that no round looks back."""
+    The order is cut without sorting a pattern in one task: bins of the seeded hash are added up first, then only the
+    units of the bin in which the cut falls are put in order."""
     spark = units.sparkSession
-    open_ = [x for x in out if x["left"] > 0 and x["passes"] < MOST and not x.get("closed")]
+    open_ = [x for x in out if x["left"] > 0 and x["passes"] < MOST and x["at"][0] < BEHIND]
     if not open_:
         return False
-    starts = {x["pattern"]: x["rounds"][-1][4:] if x["rounds"] else (x["h"], LEAST_ID if x["id"] is None else x["id"], -1 if x["last_size"] is None else x["last_size"]) for x in open_}
-    rows = [(x["pattern"], *starts[x["pattern"]], x["left"], [tuple(a) for a in x["alone"]]) for x in open_]
-    fit = (units.join(_sent(spark.createDataFrame(rows, CUT), len(rows)), "pattern").withColumn("bin", F.substring("h", 1, 3)).withColumn("weight", F.col("size") * F.col("n"))
-           .filter((place() > place("h0", "id0", "size0")) & (F.col("size") > 0) & (F.col("weight") <= F.col("left")) & ~F.array_contains("alone", place())))
+    starts = spark.createDataFrame([(x["pattern"], x["left"], x["at"]) for x in open_], f"pattern long, left long, start {PLACE}")
+    fit = (units.join(_sent(starts, len(open_)), "pattern").filter((place() > F.col("start")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+           .withColumn("bin", F.substring("h", 1, BIN)).withColumn("words", F.col("size") * F.col("n")))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
-    bins = fit.groupBy("pattern", "bin", "left").agg(F.sum("weight").alias("words")).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
-    ends = bins.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", "before"))).alias("cut")).collect()  # one row a pattern
-    found = {r["pattern"]: r for r in ends}
+    bins = fit.groupBy("pattern", "bin", "left").agg(F.sum("words").alias("words")).withColumn("upto", upto)
+    ends = bins.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("cut")).collect()
+    found = {r["pattern"]: r for r in ends}  # one row a pattern
     cuts = [(r["pattern"], *r["cut"]) for r in ends if r["cut"]]
-    lasts = {}
+    stops = {}
     if cuts:
         inside = fit.join(_sent(spark.createDataFrame(cuts, "pattern long, bin string, before long"), len(cuts)), ["pattern", "bin"])
-        upto = F.col("before") + F.sum("weight").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size"))
-        last = inside.withColumn("upto", upto).filter("upto <= left").groupBy("pattern").agg(F.max(place()).alias("last"), F.max("upto").alias("upto"))
-        lasts = {r["pattern"]: (tuple(r["last"]), r["upto"]) for r in last.collect()}
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size"))
+        first = inside.withColumn("upto", upto).filter("upto > left").groupBy("pattern").agg(F.min(F.struct(place().alias("place"), (F.col("upto") - F.col("words")).alias("before"))).alias("stop"))
+        stops = {r["pattern"]: r["stop"] for r in first.collect()}
     for x in open_:
-        r = found.get(x["pattern"])
-        if r is None or not r["cut"]:
-            x["closed"] = True  # nothing fits, or all that fits is taken
-        if r is None:
-            continue
-        end, words = lasts.get(x["pattern"], ((r["cut"]["bin"], LEAST_ID, -1), r["cut"]["before"])) if r["cut"] else (("g", LEAST_ID, -1), r["all"])
-        x["rounds"].append((x["left"], *starts[x["pattern"]], *end))
-        x["left"] -= words
+        p, left, start = x["pattern"], x["left"], x["at"]
+        if p in stops:
+            stop, part = tuple(stops[p]["place"]), (left - stops[p]["before"]) // stops[p]["place"]["size"]
+            x["left"] = left - stops[p]["before"] - part * stop[2]
+        else:  # all that fits is taken
+            stop, part = (BEHIND, LEAST_ID, -1), 0
+            x["left"] = left - (found[p]["all"] if p in found else 0)
+        x["at"] = stop
+        x["rounds"].append((left, start, stop, part))
     return True
 
 
-LEAST_ID = -(1 << 63)  # stands for a null doc_id
-CUT = "pattern long, h0 string, id0 long, size0 long, left long, alone array<struct<h:string,doc_id:long,size:long>>"
-ROUNDS = "array<struct<most:long,h0:string,id0:long,size0:long,h1:string,id1:long,size1:long>>"
-
-
-def place(h: str = "h", doc_id: str = "doc_id", size: str = "size") -> Column:
-    """A unit's place in the seeded order; a null doc_id counts as the least one."""
-    return F.struct(F.col(h).alias("h"), F.coalesce(doc_id, F.lit(LEAST_ID)).alias("doc_id"), F.col(size).alias("size"))
-
-
-def taken_once_more() -> Column:
-    """Whether a unit is within the seeded order up to the cut, or taken alone. A null doc_id counts as the least one."""
-    whole = F.when(F.col("id0").isNull(), F.col("h") < F.col("h0")).otherwise(place() <= place("h0", "id0", "size0"))
-    return whole | F.array_contains("alone", place())
-
-
-def taken_in_a_round() -> Column:
-    """Whether a unit of ``__n`` rows is taken by one of the rounds behind the cut."""
-    at = lambda r, k: F.struct(r[f"h{k}"].alias("h"), r[f"id{k}"].alias("doc_id"), r[f"size{k}"].alias("size"))
-    return (F.col("size") > 0) & F.exists("__rounds", lambda r: (place() > at(r, 0)) & (place() <= at(r, 1)) & (F.col("size") * F.col("__n") <= r["most"]))
-
-
 def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Every row of ``docs`` with its ``size``, the words of its sources (``source_size``) and their targets, and
     ``taken``: how many of its words the mix takes (0, 1 or 2 times its size).
 
     ``membership``: an array of source names (a null element is the source "null", ranked last; no array: that
     source too). For a document of several sources, source_size and target are those of all its sources added up.
-    Ties and repeated rows: equal (doc_id, size) in a pattern are taken together; null and empty texts have size 0
-    and nothing is taken; an empty table gives no rows. Columns of ``docs`` with the names of results are replaced.
+    Repeated rows and rows of equal (doc_id, size) are documents of their own, any of them as good as the other; rows without
+    doc_id are told apart by their texts. Null and empty texts have size 0 and nothing is taken; an empty table gives no
+    rows. Columns of ``docs`` with the names of results are replaced.
     """
     spark = docs.sparkSession
     own = F.coalesce(membership, F.array(F.lit(None).cast("string")))
     key = F.to_json(F.struct(F.array_sort(F.array_distinct(F.when(F.size(own) == 0, F.array(F.lit(None).cast("string"))).otherwise(own))).alias("s")), {"ignoreNullFields": "false"})
     base = (docs.drop("size", "source_size", "target", "taken", "__key", "__h").withColumn("__key", key).withColumn("size", size_of("text"))
-            .withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
+            .withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))))))
     slim = written(base.groupBy(F.col("__key").alias("key"), F.col("__h").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "size").agg(F.count("*").alias("n")), "mix")
     patterns = slim.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).orderBy("key").collect()  # one row a pattern
     member = {i: json.loads(r["key"])["s"] for i, r in enumerate(patterns)}
@@ -242,19 +201,29 @@ def mix_sources(docs: DataFrame, membership: Column, seed: str = SEED, share: fl
         wanted[p] += x
     ids = _sent(spark.createDataFrame([(i, r["key"]) for i, r in enumerate(patterns)], "pattern long, key string"), len(patterns))
     cut = plan(slim.join(ids, "key").drop("key"), dict(wanted))
-    rows = [(patterns[x["pattern"]]["key"], x["passes"], x["h"], x["id"], x["last_size"], [tuple(a) for a in x["alone"]], x["rounds"],
-             sum(sizes[s] for s in member[x["pattern"]]), float(sum(aims[s] for s in member[x["pattern"]]))) for x in cut]
-    take = spark.createDataFrame(rows, "__key string, passes long, h0 string, id0 long, size0 long, alone array<struct<h:string,doc_id:long,size:long>>, __rounds " + ROUNDS + ", source_size long, target double")
-    joined = base.withColumn("h", F.col("__h")).join(_sent(take, len(rows)), "__key")
-    more = F.when((F.col("passes") < MOST) & (taken_once_more() | taken_in_a_round()), 1).otherwise(0)
-    # rounds compare whole units: the rows of a unit are told where there are several
-    repeated = slim.filter("n > 1").select(F.col("key").alias("__key"), F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(LEAST_ID)).alias("__id"), "size", F.col("n").alias("__n"))
-    count = repeated.count() if any(x["rounds"] for x in cut) else 0
-    if count:
-        joined = joined.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))).join(_sent(repeated, count), ["__key", "__h", "__id", "size"], "left")
-        joined = joined.withColumn("__n", F.coalesce("__n", F.lit(1)))
-    else:
-        joined = joined.withColumn("__n", F.lit(1))
-    out = joined.withColumn("taken", F.col("size") * (F.col("passes") + more))
+    rows = [(patterns[x["pattern"]]["key"], x["passes"], x["rounds"], sum(sizes[s] for s in member[x["pattern"]]), float(sum(aims[s] for s in member[x["pattern"]]))) for x in cut]
+    take = spark.createDataFrame(rows, f"__key string, __passes long, __rounds {ROUNDS}, source_size long, target double")
+    at = F.struct(F.col("__h").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), "size")
+    joined = base.join(_sent(take, len(rows)), "__key").withColumn("__at", at)
+    within = F.exists("__rounds", lambda r: (F.col("__at") > r["start"]) & (F.col("__at") < r["stop"]) & (F.col("size") <= r["most"])) & (F.col("size") > 0)
+    part = F.aggregate("__rounds", F.lit(None).cast("long"), lambda a, r: F.when(F.col("__at") == r["stop"], r["part"]).otherwise(a))
+    joined = joined.withColumn("__part", part)
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "__key", "__h")]
-    return out.select(*keep, "size", "source_size", "target", "taken")
+    result = [*keep, "size", "source_size", "target"]
+    more = F.when(F.coalesce(F.col("__part"), F.lit(0)) > 0, 1).when(within, 1).otherwise(0)
+    whole = joined.select(*result, (F.col("size") * (F.col("__passes") + more)).alias("taken"))
+    # of a unit of several rows at which a round stops, only some rows are taken: they are numbered
+    split = [(x["pattern"], stop, part) for x in cut for _, _, stop, part in x["rounds"] if part > 0]
+    if split:
+        stops = spark.createDataFrame([(patterns[p]["key"], *stop, part) for p, stop, part in split], "key string, h string, __id long, size long, part long")
+        units = slim.withColumn("__id", F.coalesce("doc_id", F.lit(LEAST_ID)))
+        some = units.join(_sent(stops, len(split)), ["key", "h", "__id", "size"]).filter("part < n").limit(1).count() > 0
+        if some:
+            mine = F.col("__part") > 0
+            order = numbered(joined.filter(mine).select(*result, "__passes", "__part", "__key", "__at"), ["__key", "__at"], "mix-units", "__n")
+            first = order.groupBy("__key", "__at").agg(F.min("__n").alias("__first"))  # one row a round and pattern at most
+            told = order.join(F.broadcast(first), ["__key", "__at"])
+            more = F.when(F.col("__n") - F.col("__first") < F.col("__part"), 1).otherwise(0)
+            others = joined.filter(~F.coalesce(mine, F.lit(False))).select(*result, (F.col("size") * (F.col("__passes") + F.when(within, 1).otherwise(0))).alias("taken"))
+            whole = others.unionByName(told.select(*result, (F.col("size") * (F.col("__passes") + more)).alias("taken")))
+    return whole

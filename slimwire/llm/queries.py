@@ -21,9 +21,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
-# Words and sources; targets by how soon a source is full; whole passes, the seeded order as far as it fits, then the
-# largest documents that fit what is left, one by one.
-MIX_SQL = """WITH d AS (SELECT doc_id, source, coalesce(len(""" + WORDS_SQL.format(text="text") + """), 0) AS size, md5(concat('mix:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+# Words and sources; targets by how soon a source is full; whole passes, then documents along the seeded order, each one that
+# still fits what is left of its source's target.
+MIX_SQL = """WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, CAST(coalesce(len(""" + WORDS_SQL.format(text="text") + """), 0) AS BIGINT) AS size,
+             md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), concat('text:', md5(coalesce(text, '')))))) AS h FROM documents),
  s AS (SELECT source, sum(size) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
  w AS (SELECT *, CASE r % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight, 1.5 * sum(words) OVER () AS total FROM s),
  o AS (SELECT *, coalesce(sum(2 * words) OVER q, 0) AS before, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS open_weight FROM w
@@ -32,16 +33,14 @@ MIX_SQL = """WITH d AS (SELECT doc_id, source, coalesce(len(""" + WORDS_SQL.form
  l AS (SELECT total - coalesce(sum(2 * words) FILTER (WHERE is_full), 0) AS rest, sum(weight) FILTER (WHERE NOT is_full) AS open_weight FROM f GROUP BY total),
  t AS (SELECT source, words, CASE WHEN is_full THEN CAST(2 * words AS DOUBLE) ELSE CAST(l.rest AS DOUBLE) * weight / CAST(l.open_weight AS DOUBLE) END AS target FROM f, l),
  k AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), CAST(2 * words AS BIGINT)) AS wanted FROM t),
- u AS (SELECT d.source, h, doc_id, size, count(*) AS n FROM d GROUP BY ALL),
- c AS (SELECT u.*, k.words, k.target, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN wanted % words ELSE 0 END AS rest,
-              sum(u.size * u.n) OVER (PARTITION BY u.source ORDER BY h, doc_id, size) AS upto FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source),
- x0 AS (SELECT *, passes < 2 AND upto <= rest AS more FROM c)""" + "".join(f""",
- g{i} AS (SELECT *, max(rest) OVER q - sum(CASE WHEN more THEN size * n ELSE 0 END) OVER q AS spare FROM x{i} WINDOW q AS (PARTITION BY source)),
- y{i} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (NOT more AND size > 0 AND size * n <= spare AND passes < 2) DESC, size * n DESC, h DESC, doc_id DESC) AS best FROM g{i}),
- x{i + 1} AS (SELECT * EXCLUDE (spare, best, more), more OR (best = 1 AND size > 0 AND size * n <= spare AND passes < 2) AS more FROM y{i})"""
-                                                                            for i in range(mixing.FITS)) + f"""
-SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(x.words AS BIGINT) AS source_size, x.target, CAST(d.size * (x.passes + CASE WHEN x.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN x{mixing.FITS} x ON x.source IS NOT DISTINCT FROM d.source AND x.doc_id IS NOT DISTINCT FROM d.doc_id AND x.size = d.size"""
+ p AS (SELECT *, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN wanted % words ELSE 0 END AS rest FROM k),
+ u AS (SELECT source, list(n ORDER BY h, doc_id NULLS FIRST, size, n) AS ns, list(size ORDER BY h, doc_id NULLS FIRST, size, n) AS sizes FROM d WHERE size > 0 GROUP BY source),
+ g AS (SELECT u.source, ns, list_reduce(list_prepend({'spare': CAST(rest AS BIGINT), 'more': CAST([] AS INTEGER[])}, list_transform(sizes, lambda x: {'spare': x, 'more': CAST([] AS INTEGER[])})),
+         lambda a, x: CASE WHEN x.spare <= a.spare THEN {'spare': a.spare - x.spare, 'more': list_append(a.more, 1)} ELSE {'spare': a.spare, 'more': list_append(a.more, 0)} END).more AS more
+       FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source),
+ m AS (SELECT unnest(ns) AS n, unnest(more) AS more FROM g)
+SELECT d.doc_id, d.size, CAST(p.words AS BIGINT) AS source_size, p.target, CAST(d.size * (p.passes + CASE WHEN p.passes < 2 THEN coalesce(m.more, 0) ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source LEFT JOIN m ON m.n = d.n"""
 
 # All pairs that share a shingle, and what links reach.
 JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, """ + WORDS_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS w FROM documents),

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,28 +136,47 @@ def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
     got = mixing.mix_sources(docs, F.array("source"), share=0.15).select("doc_id", "size", "target", "taken").collect()
     assert len(got) == len(rows)
     wanted = math.floor(0.15 * words + 0.5)
-    units = Counter((i, t.count("w")) for i, _, t in rows)
-    order = sorted(units, key=lambda u: (h(u[0]), -1 if u[0] is None else u[0], u[1]))
-    chosen, left = set(), wanted
-    for u in order:  # the order as far as it fits
-        if u[1] * units[u] > left:
-            break
-        chosen.add(u)
-        left -= u[1] * units[u]
-    for _ in range(mixing.FITS):  # the largest that fit
-        if fit := [u for u in order if u not in chosen and u[1] * units[u] <= left]:
-            u = max(fit, key=lambda u: (u[1] * units[u], h(u[0]), u[0] or 0))
-            chosen.add(u)
-            left -= u[1] * units[u]
-    for u in order:  # and all that still fit
-        if u not in chosen and u[1] * units[u] <= left:
-            chosen.add(u)
-            left -= u[1] * units[u]
+    order = sorted(((i, t.count("w"), t) for i, _, t in rows), key=lambda u: (h(u[0]) if u[0] is not None else null_h(u[2]), u[0] or 0, u[1]))
+    chosen, left = Counter(), wanted
+    for i, size, _ in order:  # each document that still fits
+        if size <= left:
+            chosen[i, size] += 1
+            left -= size
     assert wanted > 5000 and left < 10
-    assert {(r["doc_id"], r["size"]) for r in got if r["taken"]} == chosen and sum(r["taken"] for r in got) == wanted - left
+    assert Counter((r["doc_id"], r["size"]) for r in got if r["taken"]) == chosen and sum(r["taken"] for r in got) == wanted - left
 
 
-# -- operator 7 -------------------------------------------------------------------------------
+def null_h(text):
+    return hashlib.md5(f"mix:text:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_of_rows_without_ids(spark, same):
+    """A source without ids, of different texts or of one text, comes within a document of its target, as the others do."""
+    text = lambda s, i: f"{s} {0 if same else i} " + "w " * 48
+    rows = [(None if s == "b" else k * 1000 + i, s, text(s, i)) for k, s in enumerate("abc") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix_sources(docs, F.array("source")).collect()
+    assert len(got) == 1800
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < 50 and all(r["taken"] in (0, 50, 100) for r in own)
+
+
+def test_mix_sql_on_a_table_of_several_rounds(spark):
+    import duckdb
+
+    from slimwire.llm.queries import MIX_SQL
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 9 == 0 else i // 2, ["a", "b", None, "c"][i % 4], "w " * int(rng.integers(0, 3000 if i % 5 == 0 else 40))) for i in range(900)] + [(7, "a", "w " * 33)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(df.repartition(4), F.array("source")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "source": [r[1] for r in rows], "text": [r[2] for r in rows]}))
+    want = con.execute(MIX_SQL).fetchall()
+    show = lambda rows: sorted((r[0] is None, r[0] or 0, r[1], r[2], round(r[3], 6), r[4]) for r in rows)
+    assert show(map(tuple, got)) == show(want)
+
 
 def test_benchmark_items_are_found(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
