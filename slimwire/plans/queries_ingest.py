@@ -80,14 +80,14 @@ def q_i3_shape(spark, d):
 
 @register("i5_roundtrip_audit", ov.with_views("requests") + """
 SELECT session_id, request_id, conv_id % 6 IN (1, 2) AS messages_differ, conv_id % 6 IN (0, 3) AS system_differ,
-       conv_id % 6 = 4 AS tools_differ, CAST(CASE WHEN conv_id % 6 = 0 THEN 2 ELSE 0 END AS BIGINT) AS dropped_system_blocks
+       conv_id % 6 = 4 AS tools_differ, false AS others_differ, CAST(CASE WHEN conv_id % 6 = 0 THEN 2 ELSE 0 END AS BIGINT) AS dropped_system_blocks
 FROM requests WHERE conv_id % 6 <> 5""")
 def q_i5(spark, d):
     return ig.roundtrip_audit(tb.lossy_json(spark, d))
 
 
 @register("i5_roundtrip_audit_clean", ov.with_views("requests") + """
-SELECT session_id, request_id, true AS messages_differ, true AS system_differ, true AS tools_differ,
+SELECT session_id, request_id, true AS messages_differ, true AS system_differ, true AS tools_differ, true AS others_differ,
        CAST(0 AS BIGINT) AS dropped_system_blocks FROM requests WHERE false""")
 def q_i5_clean(spark, d):
     return ig.roundtrip_audit(tb.request_json(spark, d, broken=False))

@@ -183,7 +183,8 @@ def reduce_requests(blocks: DataFrame, config: Config | None = None,
                 .drop("n_text", "n_drop", "n_cache", "n_tok", "n_hits", "n_obj", "n_note", "n_reversible", "_edit"))
         stage_structs.append((ord_, stage))
 
-    out_blocks = df.withColumn("tokens_after", F.sum("tok").over(w).cast("bigint"))
+    out_blocks = (df.withColumn("tokens_after", F.sum("tok").over(w).cast("bigint"))
+                    .withColumn("changed", F.max("_changed").over(w)))   # of the whole request
 
     is_block = F.col("type") != "none"
     aggs = [F.first("model").alias("model"), F.first("provider").alias("provider"),

@@ -155,28 +155,51 @@ def _json_of(name: str) -> Column:
     return F.when(F.col(name + "_k") == "NULL", F.lit("null")).otherwise(F.to_json(F.col(name)))
 
 
-# Levels of tool results within tool results that are rendered as text; the wire formats know one. Column
-# expressions can't recurse, so the levels are written out; a block below them is rendered as its JSON.
-NESTED_LEVELS = 8
-
-
-def _render_inner(b: Column, levels: int = NESTED_LEVELS) -> Column:
-    """blockText of a block within a tool_result: its text, name and input, its own content's text, or its JSON."""
+def _piece(b: Column) -> Column:
+    """blockText of a block within a tool_result that holds no blocks: its text, name and input, its string content, or its JSON."""
     t = F.try_variant_get(b, "$.type", "string")
-    content = field(b, "content")
-    if levels:
-        within = F.when(vtype(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(
-            F.array_join(F.transform(F.coalesce(as_array(content), F.array().cast("array<variant>")),
-                                     lambda c: _render_inner(c, levels - 1)), ""))
-    else:
-        within = json_text(content)
     return (F.when(t == "text", F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit("")))
-             .when(t == "tool_use", F.concat(F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("")),
-                                             json_text(field(b, "input"))))
-             .when(t == "tool_result", within)
+             .when(t == "tool_use", F.concat(F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("")), json_text(field(b, "input"))))
+             .when(t == "tool_result", F.when(vtype(field(b, "content")) == "STRING", F.try_variant_get(field(b, "content"), "$", "string")).otherwise(F.lit("")))
              .otherwise(json_text(b)))
 
 
+def _is_result(b: Column) -> Column:
+    return F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False))
+
+
+WAITING = "struct<waiting:array<variant>,pieces:array<string>>"
+
+
+def _render_inner(blocks: Column) -> Column:
+    """The text of a tool_result's blocks, of any depth, in order.
+
+    Results within results are unfolded one block at a time: a result's own blocks take its place at the head of those
+    that wait, any other block gives its piece. There are no more steps than braces in the JSON. Without such
+    results, which the wire formats don't know, the pieces are joined as they are."""
+    none = F.array().cast("array<variant>")
+
+    def step(state: Column, _: Column) -> Column:
+        head, rest = F.element_at(state["waiting"], 1), F.slice(state["waiting"], F.lit(2), F.greatest(F.size(state["waiting"]) - 1, F.lit(0)))
+        own = F.when(_is_result(head), as_array(field(head, "content")))
+        out = F.when(own.isNotNull(), F.struct(F.concat(own, rest).alias("waiting"), state["pieces"].alias("pieces"))) \
+               .otherwise(F.struct(rest.alias("waiting"), F.concat(state["pieces"], F.array(_piece(head))).alias("pieces")))
+        return F.when(F.size(state["waiting"]) == 0, state).otherwise(out).cast(WAITING)
+
+    blocks = F.coalesce(blocks, none)
+    steps = F.transform(blocks, lambda b: F.regexp_count(F.to_json(b), F.lit(r"\{")) + 1)
+    total = F.aggregate(steps, F.lit(0), lambda a, x: a + x) + F.size(blocks)
+    start = F.struct(blocks.alias("waiting"), F.array().cast("array<string>").alias("pieces")).cast(WAITING)
+    # a string among the blocks has no brace; each block gives a step of its own beside its braces
+    unfolded = F.aggregate(F.sequence(F.lit(1), F.greatest(total + _strings(blocks), F.lit(1))), start, step)["pieces"]
+    return F.array_join(F.when(F.exists(blocks, _is_result), unfolded).otherwise(F.transform(blocks, _piece)), "")
+
+
+def _strings(blocks: Column) -> Column:
+    """No fewer than the values that aren't objects in the blocks' arrays: a comma stands between any two of them."""
+    return F.aggregate(F.transform(blocks, lambda b: F.regexp_count(F.to_json(b), F.lit(r"[,\[]"))), F.lit(0), lambda a, x: a + x)
+
+
 ITEM = "array<struct<section:string,idx:bigint,v:variant>>"
 
 
@@ -197,7 +220,7 @@ def _items(v: Column, provider: Column) -> Column:
 
 
 def normalize(log: DataFrame, provider: str | Column | None = None,
-              session_header: str = SESSION_HEADER, keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+              session_header: str = SESSION_HEADER, keep_empty: bool = False, with_raw: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse a request log into (requests, blocks).
 
     ``log`` has request_id, body and optionally session_id, at_ms, provider, headers.
@@ -208,6 +231,7 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
     ``keep_empty`` adds rows of type ``none`` (block_idx -1): one for each request (section
     ``request``, msg_idx -1) and one for each message without blocks, so that requests and
     messages without blocks are seen downstream. The log is read, parsed and exploded once.
+    ``with_raw``: the request's row has its body as ``raw``, so that blocks alone go back to bodies.
     """
     df = parse_bodies(log).where(F.col("v").isNotNull())
     if provider is not None:
@@ -226,8 +250,10 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
     keys = ["request_id", "session_id", "at_ms", "provider", "model"]
     anth = F.col("provider") == "anthropic"
 
-    items = df.select(*keys, F.explode(_items(v, F.col("provider"))).alias("it")) \
-              .select(*keys, F.col("it.section").alias("section"), F.col("it.idx").alias("idx"), F.col("it.v").alias("iv"))
+    own = [F.when(F.col("it.section") == "request", F.col("body")).alias("raw")] if with_raw else []
+    also = ["raw"] if with_raw else []
+    items = df.select(*keys, *(["body"] if with_raw else []), F.explode(_items(v, F.col("provider"))).alias("it")) \
+              .select(*keys, *own, F.col("it.section").alias("section"), F.col("it.idx").alias("idx"), F.col("it.v").alias("iv"))
     items = _with_variant(items, "_role", field(F.col("iv"), "role"))
     # the content: a message's, a system value itself, a tool definition as one block
     is_msg, is_tool = F.col("section") == "message", F.col("section") == "tool"
@@ -235,7 +261,7 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
     arr = (F.when(is_tool, F.array(F.col("iv")))
             .when((F.col("_c_k") == "STRING") & (F.length(F.try_variant_get("_c", "$", "string")) > 0), F.array(F.col("_c")))
             .when(F.col("_c_k") == "ARRAY", F.try_variant_get("_c", "$", "array<variant>")))
-    ex = items.select(*keys, "section", "idx", F.when(is_msg, _jstr_of("_role", "user")).when(F.col("section") == "system", F.lit("system")).alias("role"),
+    ex = items.select(*keys, *also, "section", "idx", F.when(is_msg, _jstr_of("_role", "user")).when(F.col("section") == "system", F.lit("system")).alias("role"),
                       ((F.col("_c_k") == "STRING") & ~is_tool).alias("_from_str"), F.posexplode_outer(arr).alias("pos", "b"))
     ex = _with_variant(ex, "_b", F.col("b"))
     ex = ex.withColumn("_bt", F.when(F.col("_b_k") == "OBJECT", F.try_variant_get("_b", "$.type", "string")))
@@ -255,8 +281,7 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
              .when(t == "text", _jstr_of("_tx"))
              .when(t == "tool_result",
                    F.when(F.col("_in_k") == "STRING", F.try_variant_get("_in", "$", "string"))
-                    .when(F.col("_in_k") == "ARRAY",
-                          F.array_join(F.transform(F.try_variant_get("_in", "$", "array<variant>"), lambda x: _render_inner(x)), ""))
+                    .when(F.col("_in_k") == "ARRAY", _render_inner(F.try_variant_get("_in", "$", "array<variant>")))
                     .otherwise(F.lit(""))))
     cache = anth & ~F.col("_from_str") & (t == "text") & (
         _kind(F.schema_of_variant(field(F.col("_b"), "cache_control"))) == "OBJECT")
@@ -274,12 +299,12 @@ def normalize(log: DataFrame, provider: str | Column | None = None,
         *keys, "section", F.when(is_msg, F.col("idx")).when(F.col("section") == "request", F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("msg_idx"),
         F.when(t == "none", F.lit(-1)).when(is_tool, F.col("idx")).otherwise(F.col("pos")).cast("bigint").alias("block_idx"),
         "role", "type", text.alias("text"), tool_id.alias("tool_id"), tool_name.alias("tool_name"), payload.alias("payload"),
-        is_error.alias("is_error"), F.coalesce(cache, F.lit(False)).alias("cache_control"))
+        is_error.alias("is_error"), F.coalesce(cache, F.lit(False)).alias("cache_control"), *also)
     blocks = blocks.withColumn("rendered", F.when(t == "tool", F.concat("tool_name", F.coalesce("text", F.lit("")), "payload")))
     kept = (t != "none") | (F.col("section").isin("request", "message") if keep_empty else F.lit(False))
     # a system value's blocks are its text blocks
     kept = kept & ((F.col("section") != "system") | (t == "text"))
-    return requests, blocks.where(kept).select(*BLOCK_COLUMNS)
+    return requests, blocks.where(kept).select(*BLOCK_COLUMNS, *also)
 
 
 # --------------------------------------------------------------------------- denormalize
@@ -310,17 +335,18 @@ def _block_json(anthropic: bool) -> Column:
              .when(t == "tool_result", tool_result).when(t == "tool", tool).otherwise(F.col("payload")))
 
 
-def denormalize(requests: DataFrame, blocks: DataFrame, per_request: DataFrame | None = None) -> DataFrame:
+def denormalize(requests: DataFrame | None, blocks: DataFrame) -> DataFrame:
     """Blocks back to a wire body per request, overlaid on the original body.
 
     One exchange: block rows and request rows are unioned and grouped once by
     (session_id, request_id) (a request's blocks are bounded by its size), then the body
-    is assembled row-locally with higher-order functions.
+    is assembled row-locally with higher-order functions. Without ``requests`` the blocks'
+    own request rows have the body (``normalize(..., keep_empty=True, with_raw=True)``), and blocks
+    that are already dealt by request, as a reduction leaves them, aren't dealt again.
 
     Reads the state a reduction leaves, where it is there: ``drop`` (left out), ``cache`` (the
     marker in force, else ``cache_control``), ``edited`` (a tool result or tool definition whose
-    text a stage rewrote). ``per_request`` (a reduction's requests, with ``changed``): a request that
-    no stage changed keeps its raw body, byte for byte.
+    text a stage rewrote), ``changed`` (a request that no stage changed keeps its raw body, byte for byte).
 
     Anthropic: system is absent, a string (one unmarked block) or an array; a message left
     without blocks is sent with ``content: []``. OpenAI: message *i* keeps the extra fields of raw
@@ -329,27 +355,31 @@ def denormalize(requests: DataFrame, blocks: DataFrame, per_request: DataFrame |
     touched stay as they were; if all are dropped, the original ones stay. Output: session_id,
     request_id, body (JSON text).
     """
-    b = blocks if "drop" not in blocks.columns else blocks.where(~F.col("drop"))
-    b = b.withColumn("marked", F.coalesce(F.col("cache" if "cache" in b.columns else "cache_control"), F.lit(False)))
-    if "edited" not in b.columns:
-        b = b.withColumn("edited", F.lit(False))
+    return _with_bodies(requests, blocks).select("session_id", "request_id", "body")
+
+
+def _with_bodies(requests: DataFrame | None, blocks: DataFrame) -> DataFrame:
+    """Per request its raw body, provider and the body made of its blocks."""
+    b = blocks.withColumn("marked", F.coalesce(F.col("cache" if "cache" in blocks.columns else "cache_control"), F.lit(False)))
+    for name, usual in (("drop", False), ("edited", False), ("changed", True)):
+        if name not in b.columns:
+            b = b.withColumn(name, F.lit(usual))
     is_anth = F.col("provider") == "anthropic"
-    b = b.where(F.col("type") != "none").withColumn("bj", F.when(is_anth, _block_json(True)).otherwise(_block_json(False)))
+    b = b.withColumn("bj", F.when(is_anth, _block_json(True)).otherwise(_block_json(False)))
     blk = F.struct(F.col("msg_idx").cast("bigint").alias("msg_idx"), F.col("block_idx").cast("bigint").alias("block_idx"),
                    "section", "role", "type", "text", "marked", "edited", "bj")
     keys = ["session_id", "request_id"]
-    none = F.lit(None).cast("string")
-    rows = (b.select(*keys, blk.alias("blk"), none.alias("raw"), none.alias("provider"), none.alias("model"), F.lit(None).cast("boolean").alias("changed"))
-             .unionByName(requests.select(*keys, F.lit(None).cast(BLK).alias("blk"), "raw", "provider", "model", F.lit(None).cast("boolean").alias("changed"))))
-    if per_request is not None:
-        rows = rows.unionByName(per_request.select(*keys, F.lit(None).cast(BLK).alias("blk"), none.alias("raw"), none.alias("provider"), none.alias("model"), "changed"))
+    rows = b.select(*keys, F.when((F.col("type") != "none") & ~F.col("drop"), blk).alias("blk"), (F.col("raw") if requests is None else F.lit(None).cast("string")).alias("raw"),
+                    "provider", "model", "changed")
+    if requests is not None:
+        rows = rows.unionByName(requests.select(*keys, F.lit(None).cast(BLK).alias("blk"), "raw", "provider", "model", F.lit(None).cast("boolean").alias("changed")))
     g = (rows.groupBy(*keys)
           .agg(F.array_sort(F.collect_list("blk")).alias("bl"), F.first("raw", ignorenulls=True).alias("raw"),
                F.first("provider", ignorenulls=True).alias("provider"),
                F.first("model", ignorenulls=True).alias("model"), F.coalesce(F.max("changed"), F.lit(True)).alias("changed"))
           .where(F.col("raw").isNotNull()))
 
-    v = F.try_parse_json(F.col("raw"))
+    v = F.when(F.col("changed"), F.try_parse_json(F.col("raw")))   # an unchanged body is not read
     empty_arr = F.array().cast("array<variant>")
     listed = lambda name: F.coalesce(F.when(vtype(field(F.col("v"), name)) == "ARRAY",
                                             F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>")), empty_arr)
@@ -400,7 +430,7 @@ def denormalize(requests: DataFrame, blocks: DataFrame, per_request: DataFrame |
     sys_part = F.when(anth & sys_json.isNotNull(), F.array(F.concat(F.lit('"system":'), sys_json))).otherwise(no_part)
     tool_part = F.when(touched, F.array(F.concat(F.lit('"tools":'), tools_json))).otherwise(no_part)
     body = F.concat(F.lit("{"), F.array_join(F.concat(entries, new, sys_part, tool_part), ","), F.lit("}"))
-    return g.select(*keys, F.when(F.col("changed"), body).otherwise(F.col("raw")).alias("body"))
+    return g.select(*keys, "raw", "provider", F.when(F.col("changed"), body).otherwise(F.col("raw")).alias("body"))
 
 
 def optimized_bodies(log: DataFrame, config=None, provider: str | Column | None = None, **reduction) -> DataFrame:
@@ -409,9 +439,8 @@ def optimized_bodies(log: DataFrame, config=None, provider: str | Column | None
     log -> normalize -> reduce -> denormalize; the raw body where no stage changed the request. Invalid JSON
     is left out. Further arguments go to ``reduce_requests``."""
     from slimwire.plans.reduce import reduce_requests
-    requests, blocks = normalize(log, provider, keep_empty=True)
-    red = reduce_requests(blocks, config, **reduction)
-    return denormalize(requests, red.blocks, red.requests)
+    _, blocks = normalize(log, provider, keep_empty=True, with_raw=True)
+    return denormalize(None, reduce_requests(blocks, config, **reduction).blocks)
 
 
 BLK = ("struct<msg_idx:bigint,block_idx:bigint,section:string,role:string,type:string,text:string,"
@@ -419,57 +448,64 @@ BLK = ("struct<msg_idx:bigint,block_idx:bigint,section:string,role:string,type:s
 
 
 # --------------------------------------------------------------------------- round trip
-def _extra_keys(b: Column, known: tuple[str, ...]) -> Column:
-    keys = F.map_keys(F.try_variant_get(b, "$", "map<string,variant>"))
-    return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, F.lit(False))
-
-
-def _lossy_block(b: Column, provider: Column) -> Column:
-    """Whether a content block of a body comes back differently than it was."""
-    t = F.try_variant_get(b, "$.type", "string")
+def _content_json(content: Column) -> Column:
+    """Content as canonical JSON: a string is the one text block that it stands for, no or empty content no block; keys in
+    order, null ones left out."""
+    text = F.try_variant_get(content, "$", "string")
+
+    def block(b: Column) -> Column:
+        entries = F.try_variant_get(b, "$", "map<string,variant>")
+        full = F.map_filter(entries, lambda k, v: vtype(v) != "NULL")
+        return F.coalesce(_object_json(full), F.to_json(b))
+    return (F.when(vtype(content) == "STRING", F.when(text == "", F.lit("[]")).otherwise(F.concat(F.lit('[{"text":'), _jstr(text), F.lit(',"type":"text"}]'))))
+             .when(vtype(content) == "ARRAY", F.concat(F.lit("["), F.array_join(F.transform(as_array(content), block), ","), F.lit("]")))
+             .when(vtype(content) == "NULL", F.lit("[]")).otherwise(F.to_json(content)))
+
+
+def _object_json(entries: Column) -> Column:
+    pairs = F.transform(F.array_sort(F.map_entries(F.transform_values(entries, lambda k, v: F.to_json(v)))), lambda e: F.concat(_jstr(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def _canonical(v: Column, provider: Column) -> Column:
+    """The parts of a body, as canonical JSON texts: struct(messages, system, blocks of system, tools, others)."""
+    empty = F.create_map().cast("map<string,variant>")
+
+    def message(m: Column) -> Column:
+        own = F.coalesce(F.try_variant_get(m, "$", "map<string,variant>"), empty)
+        rest = F.map_filter(own, lambda k, _: ~k.isin("content", "role"))
+        role = F.when(vtype(field(m, "role")) == "NULL", F.lit('"user"')).otherwise(F.to_json(field(m, "role")))
+        return F.array_join(F.array(role, _content_json(field(m, "content")), _object_json(rest)), "|")
+    messages = F.coalesce(as_array(field(v, "messages")), F.array().cast("array<variant>"))
     anth = provider == "anthropic"
-    mark = field(b, "cache_control")
-    other_mark = (vtype(mark) != "NULL") & (F.to_json(mark) != '{"type":"ephemeral"}')
-    text = _extra_keys(b, ("type", "text", "cache_control")) | (vtype(field(b, "text")) != "STRING") | other_mark
-    plain = _extra_keys(b, ("type", "text")) | (vtype(field(b, "text")) != "STRING")
-    use = _extra_keys(b, ("type", "id", "name", "input"))
-    wrong_flag = (vtype(field(b, "is_error")) != "NULL") & ~F.coalesce(is_true(field(b, "is_error")), F.lit(False))
-    result = _extra_keys(b, ("type", "tool_use_id", "content", "is_error")) | wrong_flag
-    return F.coalesce(F.when(~anth, (t == "text") & plain).when(t == "text", text).when(t == "tool_use", use)
-                       .when(t == "tool_result", result), F.lit(False))
+    system = field(v, "system")
+    top = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), empty)
+    others = F.map_filter(top, lambda k, _: ~(k.isin("messages", "model", "tools") | (anth & (k == "system"))))
+    empty_text = F.coalesce(F.try_variant_get(system, "$", "string") == "", F.lit(False))
+    return F.struct(F.array_join(F.transform(messages, message), ",").alias("messages"),
+                    F.when(anth, F.when(empty_text, F.lit('""')).otherwise(_content_json(system))).alias("system"),
+                    F.when(anth & (vtype(system) == "ARRAY"), F.size(as_array(system))).when(anth & (vtype(system) == "STRING"), 1).otherwise(0).alias("system_blocks"),
+                    json_text(field(v, "tools")).alias("tools"), _object_json(others).alias("others"))
 
 
 def roundtrip_audit(log: DataFrame) -> DataFrame:
-    """Requests whose content ``denormalize(normalize(body))`` does not give back, compared with the parsed
-    source body: (session_id, request_id, messages_differ, system_differ, tools_differ, dropped_system_blocks).
-
-    Row-local, no exchange. What counts as a loss: keys of a content block beyond the model's, a text that is no
-    string, a cache marker of another kind or on another block than text, an ``is_error`` that isn't true, content
-    that is neither string nor array, system blocks that aren't text, a system of another kind, tools that are no
-    array. A string content that comes back as a one-block array is the same content; extra keys of messages and of
-    tool definitions come back and are no loss.
+    """Requests whose content ``denormalize(normalize(body))`` does not give back: (session_id, request_id,
+    messages_differ, system_differ, tools_differ, others_differ, dropped_system_blocks).
+
+    The bodies are really made and compared part by part as canonical JSON (keys in order, numbers as the parser reads
+    them) with the source bodies, row by row; the only exchange is denormalize's own. A string content that comes
+    back as a one-block array is the same content, a null key of a block is none. Tools that are no list come back as they
+    were, but blocks don't hold them: they count as different. Requests are told apart by (session_id, request_id).
     """
-    df = parse_bodies(log).where(F.col("v").isNotNull())
-    if "session_id" not in df.columns:
-        df = df.withColumn("session_id", F.lit(tx.DEFAULT_SESSION))
-    v, provider = F.col("v"), F.col("provider")
-    empty = F.array().cast("array<variant>")
-    df = df.withColumn("_m", F.coalesce(as_array(field(v, "messages")), empty)).withColumn("_s", field(v, "system"))
-    df = df.withColumn("_sl", F.coalesce(as_array(F.col("_s")), empty))
-
-    def lossy_message(m: Column) -> Column:
-        content = field(m, "content")
-        blocks = F.coalesce(as_array(content), empty)
-        other = ~vtype(content).isin("STRING", "ARRAY", "NULL") & (provider == "anthropic")
-        return other | F.exists(blocks, lambda b: _lossy_block(b, provider))
-
-    not_text = F.filter("_sl", lambda b: ~F.coalesce(F.try_variant_get(b, "$.type", "string") == "text", F.lit(False)))
-    anth = provider == "anthropic"
-    system = anth & ((F.size(not_text) > 0) | F.exists("_sl", lambda b: _lossy_block(b, provider))
-                     | ~vtype(F.col("_s")).isin("STRING", "ARRAY", "NULL") | (F.try_variant_get("_s", "$", "string") == ""))
-    tools = field(v, "tools")
-    out = df.select("session_id", "request_id", F.exists("_m", lossy_message).alias("messages_differ"),
-                    F.coalesce(system, F.lit(False)).alias("system_differ"),
-                    (~vtype(tools).isin("ARRAY", "NULL")).alias("tools_differ"),
-                    F.when(anth, F.size(not_text)).otherwise(0).cast("bigint").alias("dropped_system_blocks"))
-    return out.where("messages_differ or system_differ or tools_differ")
+    _, blocks = normalize(log, keep_empty=True, with_raw=True)
+    made = _with_bodies(None, blocks)
+    # parsed twice, as what came back has been: numbers are then spelt alike
+    before = made.withColumn("_a", F.try_parse_json(F.to_json(F.try_parse_json("raw")))).withColumn("_b", F.try_parse_json("body"))
+    provider = F.col("provider")
+    parts = before.select("session_id", "request_id", (~vtype(field(F.col("_a"), "tools")).isin("ARRAY", "NULL")).alias("_odd"),
+                          _canonical(F.col("_a"), provider).alias("_x"), _canonical(F.col("_b"), provider).alias("_y"))
+    differ = {c: ~F.col(f"_x.{c}").eqNullSafe(F.col(f"_y.{c}")) for c in ("messages", "system", "tools", "others")}
+    out = parts.select("session_id", "request_id", differ["messages"].alias("messages_differ"), differ["system"].alias("system_differ"),
+                       (differ["tools"] | F.col("_odd")).alias("tools_differ"), differ["others"].alias("others_differ"),
+                       F.greatest(F.col("_x.system_blocks") - F.col("_y.system_blocks"), F.lit(0)).cast("bigint").alias("dropped_system_blocks"))
+    return out.where("messages_differ or system_differ or tools_differ or others_differ")

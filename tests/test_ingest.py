@@ -177,3 +177,54 @@ def test_denormalize_after_strip_drops_blocks(spark):
     # openai: all blocks stripped -> original content kept; extra keys and top-level keys survive
     assert out[1]["messages"][0] == {"role": "assistant", "content": "   ", "tool_calls": [1]}
     assert out[1]["system"] == "keep me"
+
+
+def test_nested_tool_results_of_any_depth(spark):
+    import json
+
+    def text_of(b):
+        if isinstance(b, dict) and b.get("type") == "text":
+            return b.get("text") or ""
+        if isinstance(b, dict) and b.get("type") == "tool_use":
+            return b.get("name", "") + json.dumps(b.get("input"), separators=(",", ":"), sort_keys=True)
+        if isinstance(b, dict) and b.get("type") == "tool_result":
+            c = b.get("content")
+            return c if isinstance(c, str) else "".join(map(text_of, c)) if isinstance(c, list) else ""
+        return json.dumps(b, separators=(",", ":"), sort_keys=True)
+
+    import random
+    random.seed(1)
+
+    def some(depth):
+        kind = random.randrange(6)
+        if depth and kind < 4:
+            return {"type": "tool_result", "content": [some(depth - 1) for _ in range(random.randint(0, 3))]}
+        return random.choice([{"type": "text", "text": "ab{c"}, {"type": "tool_use", "name": "f", "input": {"q": [1, {"r": 2}]}}, {"type": "tool_result", "content": "s,[t"},
+                              {"type": "image", "source": {"a": 1}}, "plain", 7, {"type": "text"}, {"type": "tool_result", "content": 5}])
+    deep = {"type": "text", "text": "bottom"}
+    for k in range(50):
+        deep = {"type": "tool_result", "content": [{"type": "text", "text": f"{k} "}, deep]}
+    wide = {"type": "tool_result", "content": [{"type": "tool_result", "content": "x"}] * 300}
+    tops = [{"type": "tool_result", "content": [some(9) for _ in range(3)]} for _ in range(40)] + [deep, wide]
+    bodies = [json.dumps({"messages": [{"role": "user", "content": [t]}]}) for t in tops]
+    _, blocks = norm(spark, bodies)
+    assert {r.request_id: r.text for r in blocks.collect()} == {i: text_of(t) for i, t in enumerate(tops)}
+
+
+def test_audit_sees_a_broken_denormalize(spark, monkeypatch):
+    bodies = ['{"model":"m","system":"S","max_tokens":5,"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"type":"text","text":"ok"},{"type":"tool_use","id":"t1","name":"f","input":{"q":1}}]}]}',
+              '{"messages":[{"content":[{"type":"text","text":"x","cache_control":null}]}],"temperature":1e3,"top_p":0.10,"n":12345678901234567890,"z":-0.5,"w":1.0}', '{"a":1}']
+    log = spark.createDataFrame([(i, b, p) for i, (b, p) in enumerate([(b, p) for b in bodies for p in ("anthropic", "openai")])], "request_id long, body string, provider string")
+    got = {r.request_id: [c for c in ("messages", "system", "tools", "others") if r[f"{c}_differ"]] for r in ig.roundtrip_audit(log).collect()}
+    assert got in ({}, {3: ["messages"]})    # an openai text block's null key is no part of the model
+    whole = ig._block_json
+    monkeypatch.setattr(ig, "_block_json", lambda anthropic: F.regexp_replace(whole(anthropic), "ok", "KO"))
+    broken = {r.request_id for r in ig.roundtrip_audit(log).collect()}
+    assert {0, 1} <= broken
+
+
+def test_bodies_take_one_exchange_and_one_scan(spark, tmp_path):
+    log = spark.createDataFrame([(1, "s", '{"model":"m","messages":[{"role":"user","content":"hi"}]}', "anthropic")], "request_id long, session_id string, body string, provider string")
+    log.write.parquet(str(tmp_path / "log"))
+    plan = ig.optimized_bodies(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
