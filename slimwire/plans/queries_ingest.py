@@ -53,12 +53,6 @@ def q_i2(spark, d):
     return blocks.select(*BLOCK_OUT)
 
 
-@register("i3_i4_denormalize")
-def q_i3(spark, d):
-    reqs, blocks = _normalized(spark, d)
-    return ig.denormalize(reqs, blocks)
-
-
 @register("i3_i4_denormalize_shape", ov.with_views("request_blocks") + """
 SELECT request_id, any_value(model) AS model,
        CAST(count(*) FILTER (WHERE section = 'message') AS BIGINT) AS n_messages,
@@ -94,9 +88,12 @@ def q_i5_clean(spark, d):
 
 
 # --------------------------------------------------------------------------- P6: the body that is sent on
-def _body_sql(strip: bool) -> str:
-    """The bodies of ``request_json`` after cache (and strip), spelled out for both providers. The keys of a body come
-    back in order of their names, then model, messages and system."""
+def _body_sql(strip: bool, mark: bool = True) -> str:
+    """The bodies of ``request_json`` after cache (if ``mark``) and strip, spelled out for both providers. The keys of a body
+    come back in order of their names, then model, messages and system; one unmarked system block is a string."""
+    system = """concat('[{"type":"text","text":', CAST(to_json(sy.c) AS VARCHAR), ',"cache_control":{"type":"ephemeral"}}]')"""
+    if not mark:  # every third conversation comes with its marker
+        system = f"CASE WHEN conv_id % 3 = 0 THEN {system} ELSE CAST(to_json(sy.c) AS VARCHAR) END"
     clean = ov.clean_sql("text") if strip else "text"
     blank = f"regexp_matches({clean}, '{ov.RE_BLANK}')" if strip else "false"
     return NORMALIZED_SQL + f""",
@@ -111,7 +108,7 @@ def _body_sql(strip: bool) -> str:
  sent AS (SELECT r.session_id, r.request_id, r.provider, r.conv_id, CASE WHEN r.provider = 'anthropic' THEN
    concat('{{"max_tokens":', CAST(1024 + conv_id % 7 AS VARCHAR), ',"stream":', CASE WHEN conv_id % 4 = 0 THEN 'true' ELSE 'false' END,
           ',"model":"', r.model, '","messages":[', coalesce(ms.m, ''), ']',
-          CASE WHEN sy.kept THEN concat(',"system":[{{"type":"text","text":', CAST(to_json(sy.c) AS VARCHAR), ',"cache_control":{{"type":"ephemeral"}}}}]') ELSE '' END, '}}')
+          CASE WHEN sy.kept THEN concat(',"system":', {system}) ELSE '' END, '}}')
    ELSE concat('{{', CASE WHEN conv_id % 3 = 1 THEN concat('"max_completion_tokens":', CAST(512 + conv_id % 5 AS VARCHAR))
                           ELSE concat('"max_tokens":', CAST(256 + conv_id % 5 AS VARCHAR)) END,
           ',"stop":["\\n\\n"],"temperature":', CASE WHEN conv_id % 5 = 0 THEN '"0.7"' ELSE '0.5' END,
@@ -119,6 +116,12 @@ def _body_sql(strip: bool) -> str:
    FROM requests r LEFT JOIN ms USING (request_id) LEFT JOIN sy USING (request_id))"""
 
 
+@register("i3_i4_denormalize", _body_sql(False, False) + " SELECT session_id, request_id, body FROM sent")
+def q_i3(spark, d):
+    reqs, blocks = _normalized(spark, d)
+    return ig.denormalize(reqs, blocks)
+
+
 @register("p6_optimized_body", _body_sql(True) + " SELECT session_id, request_id, body FROM sent")
 def q_p6_body(spark, d):
     return ig.optimized_bodies(tb.request_json(spark, d))
