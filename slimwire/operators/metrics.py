@@ -55,8 +55,8 @@ def metrics_by_model(metrics: DataFrame) -> DataFrame:
                        F.sum("saved").cast("bigint").alias("saved"),
                        F.min("id").alias("_first")))
     # clients name the models, so their number has no bound: ranked without a window over all of them in one task
-    from slimwire.plans.sequence import sequence
-    ranked = sequence(agg.withColumn("_down", -F.col("tokens_before")), ["_down", "_first"], "rank")
+    from slimwire.plans.ordered import numbered
+    ranked = numbered(agg, [F.desc("tokens_before"), "_first"], "rank")
     return ranked.select("model", "requests", "tokens_before", "saved", "rank")
 
 

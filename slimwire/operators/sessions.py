@@ -81,16 +81,17 @@ def resume_sessions(turns: DataFrame, cap: int = 0) -> DataFrame:
     one row. ``turns`` is the retained count, ``all_turns`` counts every turn.
     Filter by ``session_id`` for one checkpoint; an unknown id yields no row.
     """
-    st = session_state(turns)
     cols = ["session_id", "model", "messages"]
     if cap > 0:
-        tl = (timeline(turns, cap)
-              .groupBy("session_id")
-              .agg(F.array_sort(F.collect_list(F.struct("index", "model", "tokens", "at_ms"))).alias("timeline")))
-        # both sides are aggregated by session_id: the join reuses that partitioning
-        st = st.join(tl, "session_id")
-        return st.select(*cols, "timeline", F.size("timeline").cast("bigint").alias("turns"),
-                         F.col("turns").alias("all_turns"), "first_seen", "last_active", "total_tokens")
+        # the numbered turns are a table of their own: the turns are built once for both sides
+        numbered_ = turn_index(turns)
+        st = session_state(numbered_)
+        kept = (numbered_.select("session_id", "turn_index", "model", "tokens", "at_ms").join(st.select("session_id", F.col("turns").alias("_n")), "session_id")
+                .where(F.col("turn_index") >= F.col("_n") - cap))
+        tl = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn_index").alias("index"), "model", "tokens", "at_ms"))).alias("timeline"))
+        return st.join(tl, "session_id").select(*cols, "timeline", F.size("timeline").cast("bigint").alias("turns"),
+                                                F.col("turns").alias("all_turns"), "first_seen", "last_active", "total_tokens")
+    st = session_state(turns)
     return st.select(*cols, F.col("turns").cast("bigint").alias("turns"), F.col("turns").alias("all_turns"),
                      "first_seen", "last_active", "total_tokens")
 
