@@ -174,26 +174,32 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text): n_chars, its fingerprint, the edited text's hash and fingerprint, and how alike
     the fingerprint is to the edited text's and to the next document's.
 
-    Next is by ascending doc_id, nulls first, ties by text (null: empty); after the last comes the first. Empty texts
-    have empty fingerprints, repeated rows follow one another, other columns are ignored, an empty table gives no rows.
+    Next is by ascending doc_id, nulls first, ties by the text's hash (null: empty); after the last comes the first. Empty
+    texts have empty fingerprints, repeated rows follow one another, other columns are ignored, an empty table gives no
+    rows.
 
-    Rows are dealt once into buckets of neighbouring ids (boundaries from approximate quantiles), and the first document
-    of a bucket also goes to the bucket before it, so that each finds its next one where it is.
+    Rows are dealt once into buckets of neighbours, cut at approximate quantiles of id and text hash, so that the rows of one
+    id, or those without, are split as well unless their texts are the same; the first document of a bucket also
+    goes to the bucket before it, so that each finds its next one where it is.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = slim.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     n = 4 * shuffle_partitions(spark)
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="as_bucket").transform(
-        slim.withColumn("as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e308))))
-    dealt = dealt.withColumn("bucket", F.col("as_bucket").cast("int")).drop("as_double", "as_bucket")
-    firsts = dealt.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none")).orderBy("bucket").collect()  # one row a bucket
-    heads = [(None if r["none"] else r["least"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    head = F.broadcast(spark.createDataFrame(heads, "head long, before int"))
-    marked = dealt.join(head, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    least = slim.agg(F.min("doc_id")).first()[0] or 0
+    # rounding keeps the order of (id, hash), so every cut falls between neighbours
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float(least) - 2)) + (F.col("h").cast("double") / 2.0**64 + 0.5)
+    slim = slim.withColumn("place", place)
+    cuts = slim.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="place", outputCol="as_bucket").transform(slim)
+    dealt = dealt.withColumn("bucket", F.col("as_bucket").cast("int")).drop("as_bucket", "place")
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h")).alias("first")).orderBy("bucket").collect()  # one row a bucket
+    heads = [(r["first"]["doc_id"], r["first"]["h"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    head = F.broadcast(spark.createDataFrame(heads, "head long, head_h long, before int"))
+    marked = dealt.join(head, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(0).alias("tail")))).otherwise(
         F.array(F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))))
-    spread = marked.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.tail", "doc_id", "text")
-    ordered = spread.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.coalesce("text", F.lit("")))
+    spread = marked.select("doc_id", "h", "text", F.explode(places).alias("p")).select("p.bucket", "p.tail", "doc_id", "h", "text")
+    ordered = spread.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "h", F.coalesce("text", F.lit("")))
     return ordered.transform(in_batches, _stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

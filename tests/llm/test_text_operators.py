@@ -279,6 +279,21 @@ def test_equal_substrings_have_equal_phrases():
     assert all(np.array_equal(p, q) for p, q in zip(together, apart, strict=True))
 
 
+def test_rows_of_one_id_and_without_ids_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], rng.integers(30, 60)))
+    rows = [(None, text()) for _ in range(300)] + [(7, text()) for _ in range(300)] + [(i, text()) for i in range(100)] + [(7, "the same text " * 9)] * 5
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = fingerprint.fingerprint_documents(docs)
+    placed = found.withColumn("task", F.spark_partition_id())
+    tasks = {(r["doc_id"], r["task"]) for r in placed.select("doc_id", "task").distinct().collect()}
+    assert sum(i is None for i, _ in tasks) > 1 and sum(i == 7 for i, _ in tasks) > 1
+    order = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
+    changed = Counter(hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    assert Counter(r["edited_sha256"] for r in found.collect()) == changed
+
+
 # -- operator 6 -------------------------------------------------------------------------------
 
 def naive_components(rows):
