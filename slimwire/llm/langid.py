@@ -39,6 +39,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 
 UNDETERMINED = "und"
 SAMPLE = 300        # distinct texts a language that its machines learn from, at most: those of the least text hashes
+BIN_BITS = 16          # first bits of a text's hash by which a language's distinct texts are counted: 2^16 bins a language at most
 WIDTH = 4096        # hashed features
 STEEP = 2.0         # slope of the curve from margins to probabilities
 FOLDS = 5
@@ -130,10 +131,17 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
 
     Copies are put together before any exchange of more than hashes."""
     keyed = labelled.withColumn("h", F.xxhash64("text"))
-    ids = keyed.select("lang", "h").distinct()
+    ids = written(keyed.select("lang", "h").distinct(), "langid-hashes")
+    # counts by the hashes' first bits say up to which of them the sample reaches, so that no task gets more than about it
+    bins = ids.groupBy("lang", F.shiftright("h", 64 - BIN_BITS).alias("bin")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
+    last = bins.withColumn("before", before).filter(F.col("before") < sample).groupBy("lang").agg(F.max("bin").alias("last"))  # one row a language
+    ids = ids.join(F.broadcast(last), "lang").filter(F.shiftright("h", 64 - BIN_BITS) <= F.col("last")).select("lang", "h")
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample).drop("r")
     texts = keyed.join(F.broadcast(ids), ["lang", "h"]).select("lang", "h", "text")  # at most ``sample`` rows a language
-    return texts.transform(in_batches, _featured, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
+    # copies of a text are one before its features are made: each task sends on one
+    texts = texts.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return texts.transform(in_batches, _featured, "lang string, h long, x binary")
 
 
 class Hierarchy:
