@@ -107,7 +107,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     """Each row of ``docs`` (doc_id, text) with held_out, score and predicted, learned from ``labels`` (doc_id, toxic).
 
     Labels count where they aren't null, the id's crc32 mod 3 is not 1 and the document is there; several labels of
-    one id count as the highest. Null and empty texts are scored by their zero features; a null doc_id is in fold 0;
+    one id count as the highest, of several texts of one id one teaches. Null and empty texts are scored by their zero features; a null doc_id is in fold 0;
     repeated rows are scored each; an empty table gives no rows; without labels every score is 0.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -116,7 +116,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
              .filter(crc_mod("doc_id", FOLDS) != 1).groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id")))
     least = [known.filter(F.col("label") == label).orderBy("h", "doc_id").limit(sample) for label in (0, 1)]  # each task sends its own least ones
     few = least[0].unionByName(least[1]).select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).alias("third"))
-    rows = written(slim.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label", "half", "third"), "toxic-sample")  # 2 * sample rows, at most
+    # of an id that comes several times one text, that of the least hash: 2 * sample rows at most, and one an id leaves each task
+    one = slim.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "half", "third").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written(one.select("doc_id", "text", "label", "half", "third"), "toxic-sample")
     crossed = [with_features(rows.filter(F.col("half") == i), *lexicon(rows.filter(F.col("half") != i))) for i in (0, 1)]
     learned = written(crossed[0].unionByName(crossed[1]), "toxic-features")
     model = Boosted(learned.filter("third <> 2"))
