@@ -37,6 +37,9 @@ FLUSH = 1 << 20      # shingles a task holds before it sends them on
 CELL_BYTES = 8 << 20  # bytes of cells a shard holds, about
 BLOCK = 50_000       # points of a cell handled in one task; larger cells are handled in blocks
 TEXTS = 10_000       # texts of a provisional component compared in one task; larger ones likewise
+# A point of more bytes and a text of more shingles count as several, so that blocks are bounded in bytes: 100 MB and 80 MB.
+POINT_BYTES, TEXT_SHINGLES = 2048, 1000
+SEEN = 1 << 20       # names of texts a task remembers while it drops copies
 
 
 def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +329,10 @@ class Overlaps:
 
 def in_blocks(rows: DataFrame, key: str, node: str, block: int = BLOCK) -> DataFrame:
     """``rows`` with columns x, y and side: groups of at most ``block`` nodes are one block (0, 0); larger ones are dealt
-    into blocks by hash and every two blocks (x <= y) meet in a task of their own, so no task gets more than two."""
-    large = rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > block)
+    into blocks by hash and every two blocks (x <= y) meet in a task of their own, so no task gets more than two. A node
+    counts as its ``weight``, if ``rows`` has that column."""
+    weight = F.sum("weight") if "weight" in rows.columns else F.count("*")
+    large = rows.groupBy(key).agg(weight.alias("rows")).filter(F.col("rows") > block)
     parts = large.select(key, F.ceil(F.col("rows") / block).cast("int").alias("parts"))
     marked = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     marked = marked.withColumn("mine", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
@@ -350,6 +355,20 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield rows
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without those of a text that the task has sent on: copies of a text are one in its block."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        kept = []
+        for k, name in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "x", "y")), strict=True)):
+            if name not in seen:
+                seen.add(name)
+                kept.append(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept, pa.int64()))
+
+
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
@@ -424,16 +443,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total * 10 / CELL_BYTES)))))
     cells = sized.select("node", "prefix").transform(in_batches, _deal(bits), "shard long, data binary").repartition(max(tasks, (1 << bits) // 4), "shard").sortWithinPartitions("shard")
-    live = written(cells.transform(in_batches, _live, "cell long, node long").distinct(), "cells")
-    at = in_blocks(live, "cell", "node").join(nodes.select("node", "n", "point"), "node")
+    point = sum((F.when(F.col("n") >= limit, 2 << more).otherwise(0) for limit, more in zip(LIMITS, BITS[1:], strict=True)), F.lit(2 << BITS[0]))
+    sizes = nodes.select("node", "n", F.greatest(F.lit(1), point / POINT_BYTES).cast("long").alias("weight"))
+    live = written(cells.transform(in_batches, _live, "cell long, node long").distinct().join(sizes, "node"), "cells")
+    at = in_blocks(live, "cell", "node").join(nodes.select("node", "point"), "node")
     survivors = at.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").transform(in_batches, _survivors, "a long, b long")
-    near = written(components(survivors).select("node", F.col("label").alias("comp")), "near")
+    lengths = nodes.select("node", F.greatest(F.lit(1), F.col("n") / TEXT_SHINGLES).cast("long").alias("weight"))
+    near = written(components(survivors).select("node", F.col("label").alias("comp")).join(lengths, "node"), "near")
 
     members = in_blocks(near, "comp", "node", TEXTS).join(nodes.select("node", "doc_id", "text_hash"), "node")
     wanted = ["comp", "x", "y", "side", "node", "text"]
     # rows without an id are found by their text alone, copies once
     nameless = slim.filter("doc_id is null").groupBy("text_hash").agg(F.first("text").alias("text")).join(members.filter("doc_id is null"), "text_hash")
     texts = slim.join(members, ["doc_id", "text_hash"]).select(wanted).unionByName(nameless.select(wanted))
+    texts = in_batches(texts, _once, texts.schema)
     exact = texts.repartition(tasks, "comp", "x", "y").sortWithinPartitions("comp", "x", "y").transform(in_batches, _verified, "a long, b long")
     label = written(components(exact), "labels")
     least = label.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
