@@ -108,7 +108,7 @@ LEAST_ID = -(1 << 63)  # stands for a null doc_id
 BEHIND = "g"           # behind all hashes
 PLACE = "struct<h:string,doc_id:long,size:long>"
 ROUNDS = f"array<struct<most:long,start:{PLACE},stop:{PLACE},part:long>>"
-BIN = 4                # hexadecimal digits of the seeded hash that make a bin of the order
+BIN = 3                # hexadecimal digits of the seeded hash that make a bin of the order
 
 
 def place() -> Column:
