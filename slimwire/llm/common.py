@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,12 +70,27 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, column: str =
 BATCH_BYTES = 4 << 20
 
 
+def _free_unused() -> None:
+    """Give memory that the process holds but doesn't use back to the machine: idle Python workers stay beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of about BATCH_BYTES (a longer row is a batch of its own).
+    """``df.mapInArrow(run, schema)`` with batches of about BATCH_BYTES (a longer row is a batch of its own); a task's worker
+    frees what it doesn't use when the task ends.
 
     Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` in the session."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _free_unused()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def mounted(path: str) -> str:
