@@ -39,7 +39,7 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 
 UNDETERMINED = "und"
 SAMPLE = 300        # distinct texts a language that its machines learn from, at most: those of the least text hashes
-BIN_BITS = 16          # first bits of a text's hash by which a language's distinct texts are counted: 2^16 bins a language at most
+BIN_BITS = 12          # first bits of a text's hash by which a language's distinct texts are counted: 2^12 bins a language at most
 WIDTH = 4096        # hashed features
 STEEP = 2.0         # slope of the curve from margins to probabilities
 FOLDS = 5
