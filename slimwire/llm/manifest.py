@@ -126,24 +126,10 @@ def leaf_of(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in fields)), 256)
 
 
-def manifest(docs: DataFrame, height: int = BLOCK, tampered: int = TAMPERED) -> DataFrame:
-    """Every row's ``doc_id``, ``lang``, ``leaf``, ``subroot``, ``root``, ``proof_sha256`` (of its witness's digests), and a test of
-    the proofs: ``folded_root``, from the leaf (of the row with one more in n_chars where ``tampered`` divides the crc32 of
-    doc_id) and the original witness, and whether it is ``verified`` as the root.
-
-    Leaves ascend by doc_id in their language, null first, equal ids by leaf; repeated rows are leaves of their own.
-    A null field counts as ``-``, a null language is a group of its own before all others; a row without doc_id or n_chars
-    is not tampered with. A row without siblings has the proof of the empty text. An empty table gives no rows.
-    Other columns of ``docs``, whatever their names, are not looked at.
-    """
-    group = F.coalesce(F.concat(F.lit("."), F.col("lang")), F.lit(""))
-    more = F.when(F.col("doc_id").isNotNull() & (crc_mod("doc_id", tampered) == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    rows = docs.select("doc_id", "lang", group.alias("g"), leaf_of([F.col(c) for c in FIELDS]).alias("digest"),
-                       leaf_of([more if c == "n_chars" else F.col(c) for c in FIELDS]).alias("changed"))
-    leaves = written(_places(rows, ["doc_id", "digest"], "leaves"), "leaves")
-    layers = climb(leaves, height)
+def over_groups(layers: list[DataFrame], height: int = BLOCK) -> DataFrame:
+    """(g, i, above, subroot, root) of the lowest blocks of all groups, by the groups' layers; ``above`` goes on through the tree of groups."""
     if len(layers) == 1:  # no group has two leaves: each is a block of its own
-        layers.append(leaves.select("g", "i", "digest"))
+        layers = [*layers, layers[0].select("g", "i", "digest")]
     # the groups' roots, in order of their names, are the leaves of the last tree, a group "" of its own
     ends = layers[-1].select(F.lit("").alias("g"), F.col("g").alias("own"), "digest")
     tops = written(_places(ends, ["own"], "subroots"), "subroots")
@@ -161,7 +147,26 @@ def manifest(docs: DataFrame, height: int = BLOCK, tampered: int = TAMPERED) ->
 
     own = tops.withColumn("b", F.shiftright("i", height)).groupBy("g", "b")
     last = own.cogroup(descend(over, root, height).withColumnRenamed("i", "b").groupBy("g", "b")).applyInArrow(join_groups, "g string, i long, above array<string>, subroot string, root string")
-    above = descend(layers, written(last, "subroots"), height)
+    return descend(layers, written(last, "subroots"), height)
+
+
+def manifest(docs: DataFrame, height: int = BLOCK, tampered: int = TAMPERED) -> DataFrame:
+    """Every row's ``doc_id``, ``lang``, ``leaf``, ``subroot``, ``root``, ``proof_sha256`` (of its witness's digests), and a test of
+    the proofs: ``folded_root``, from the leaf (of the row with one more in n_chars where ``tampered`` divides the crc32 of
+    doc_id) and the original witness, and whether it is ``verified`` as the root.
+
+    Leaves ascend by doc_id in their language, null first, equal ids by leaf; repeated rows are leaves of their own.
+    A null field counts as ``-``, a null language is a group of its own before all others; a row without doc_id or n_chars
+    is not tampered with. A row without siblings has the proof of the empty text. An empty table gives no rows.
+    Other columns of ``docs``, whatever their names, are not looked at.
+    """
+    group = F.coalesce(F.concat(F.lit("."), F.col("lang")), F.lit(""))
+    more = F.when(F.col("doc_id").isNotNull() & (crc_mod("doc_id", tampered) == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = docs.select("doc_id", "lang", group.alias("g"), leaf_of([F.col(c) for c in FIELDS]).alias("digest"),
+                       leaf_of([more if c == "n_chars" else F.col(c) for c in FIELDS]).alias("changed"))
+    leaves = written(_places(rows, ["doc_id", "digest"], "leaves"), "leaves")
+    layers = climb(leaves, height)
+    above = over_groups(layers, height)
 
     id_type = docs.schema["doc_id"].dataType
     schema = StructType([StructField("doc_id", id_type), docs.schema["lang"], *StructType.fromDDL("leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean").fields])

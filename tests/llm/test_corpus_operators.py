@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from slimwire.llm import manifest, resample, sharding
+from slimwire.llm import manifest, manifest_store, resample, sharding
 from slimwire.llm.common import numbered
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -286,3 +287,77 @@ def test_witnesses_grow_as_subtrees_close(n):
     root, proofs = brute_tree(leaves)
     assert f.close() == root
     assert f.witness == [["" if s is None else s[0] + s[1] for s in p] for p in proofs]
+
+
+def in_ranges(spark, n=300):
+    """Rows in order of their ids: all languages, one of them from the middle on, null ids first, a repeated id."""
+    rows = [(None if i < 3 else i, None if i % 7 == 0 else f"text {i} é", ("en", "en", None, "", "de" if i > n // 2 else "en")[i % 5], "s", i, "", "", 0, 0, 0) for i in range(n)]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def proofs_of(rows):
+    return sorted(((r["doc_id"], r["lang"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("height", [1, 3, 12])
+def test_appended_manifest_is_the_whole_one(spark, tmp_path, height):
+    rows, whole = in_ranges(spark)
+    store = manifest_store.ManifestStore(spark, str(tmp_path / "m"), height)
+    assert store.proofs().count() == 0
+    cuts = [0, 9, 9, 120, 121, 300]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        store.append(spark.createDataFrame(rows[a:b], SCHEMA).repartition(3))
+    want = proofs_of(manifest.manifest(whole, height).collect())
+    got = store.proofs()
+    assert proofs_of(got.collect()) == want
+    assert got.filter(manifest_store.folded(F.col("leaf"), F.col("witness")) != F.col("root")).count() == 0
+    assert got.filter(manifest_store.folded(F.sha2(F.col("leaf"), 256), F.col("witness")) == F.col("root")).count() == 0
+    part = proofs_of(manifest.manifest(spark.createDataFrame(rows[:120], SCHEMA), height).collect())
+    assert proofs_of(store.proofs(2).collect()) == part  # versions count from 0; the one of the empty batch is 1
+
+
+def test_appends_close_blocks_once(spark, tmp_path):
+    rows, _ = in_ranges(spark)
+    store = manifest_store.ManifestStore(spark, str(tmp_path / "m"), 2)
+    for a in range(0, 300, 100):
+        store.append(spark.createDataFrame(rows[a:a + 100], SCHEMA))
+    closed = [store._table("closed", manifest_store.CLOSED, [v]).count() for v in store.versions()]
+    still = store._table("open", manifest_store.LEAVES, [2])
+    assert sum(closed) + still.count() == 300 and all(0 < n <= 100 + 3 * 4 for n in closed)
+    assert still.groupBy("g").count().filter("count > 3").count() == 0
+
+
+def test_appends_that_are_refused_store_nothing(spark, tmp_path):
+    rows, _ = in_ranges(spark, 40)
+    path = str(tmp_path / "m")
+    store = manifest_store.ManifestStore(spark, path, 2)
+    store.append(spark.createDataFrame(rows[:20], SCHEMA), 5)
+    before = proofs_of(store.proofs().collect())
+    for late in (rows[10:12], [(None, *rows[30][1:])], rows[19:25]):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame(late, SCHEMA))
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame(rows[20:], SCHEMA), 4)
+    with pytest.raises(ValueError):
+        manifest_store.ManifestStore(spark, path, 3).versions()
+    assert store.append(spark.createDataFrame(rows[20:], SCHEMA), 5) == 5  # a batch that comes twice
+    assert proofs_of(store.proofs().collect()) == before
+    # a writer that failed before its version was listed: files of version 6 that do not count, and are replaced
+    store._write(spark.createDataFrame([("x", 9, 9)], manifest_store.GROUPS), "groups", 6)
+    assert store.versions() == [5] and store.append(spark.createDataFrame(rows[20:], SCHEMA)) == 6
+    assert proofs_of(store.proofs().collect()) == proofs_of(manifest.manifest(spark.createDataFrame(rows, SCHEMA), 2).collect())
+
+
+def test_manifest_of_a_stream(spark, tmp_path):
+    rows, whole = in_ranges(spark, 90)
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k:30 * k + 30], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store = manifest_store.ManifestStore(spark, str(tmp_path / "m"), 3)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    assert store.versions() == [0, 1, 2]
+    assert proofs_of(store.proofs().collect()) == proofs_of(manifest.manifest(whole, 3).collect())
