@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slimwire.llm import decontaminate, jaccard, langid, mixing, secrets
-from slimwire.llm.common import table, written
+from slimwire.llm.common import scratch, table, written
 
 #: Below this confidence a text's language isn't told; a coin toss between two families and two languages has 0.25.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over ``documents``: each result is written to the shared folder and read as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """Every stage in turn over ``documents``: each result is written to the shared folder and read as the next one's docs; what
+    a stage read and wrote on its way is removed once its own result is whole."""
+    docs, made = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark, made) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

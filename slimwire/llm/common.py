@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    for made in _scratch[-1:]:
+        made.append(path)
+    return path
+
+
+_scratch: list[list[str]] = []  # paths made in the scopes that are open
+
+
+@contextmanager
+def scratch(spark: SparkSession, before: Sequence[str] = ()) -> Iterator[list[str]]:
+    """A scope whose last written table stays: the paths made within before it, and those of ``before``, are removed at its end.
+
+    For steps whose last act is to write their whole result. Yields the paths; after the end, the one that stays. After
+    an error nothing is removed."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+    for path in [*before, *made[:-1]]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del made[:-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slimwire.llm import decontaminate, html, langid, mixing, toxicity, urls
+from slimwire.llm import common, decontaminate, html, langid, mixing, toxicity, urls
 from slimwire.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -491,7 +491,28 @@ def test_tags_that_never_end_are_text():
 
 # -- the pipeline ---------------------------------------------------------------------------------
 
-def test_pipeline_stage_by_stage(spark):
+def test_only_the_last_table_of_a_scope_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: f"file://{tmp_path}")
+
+    def left():
+        return sorted(p.name.split("-")[1] for p in tmp_path.glob("llm-*"))
+
+    with common.scratch(spark) as first:
+        common.written(spark.range(3), "a")
+        with common.scratch(spark):  # a scope of its own
+            common.written(spark.range(2), "x")
+        kept = common.written(spark.range(5), "b")
+    assert len(first) == 1 and left() == ["b", "x"] and kept.count() == 5
+    with common.scratch(spark, first) as second:
+        kept = common.written(kept.filter("id > 1"), "c")
+    assert len(second) == 1 and left() == ["c", "x"] and kept.count() == 3
+    with pytest.raises(RuntimeError), common.scratch(spark, second):
+        common.written(spark.range(1), "d")
+        raise RuntimeError
+    assert kept.count() == 3 and left() == ["c", "d", "x"]
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path, monkeypatch):
     import corpus_pipeline
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     odd = spark.createDataFrame([(10 ** 6, None, "en", "src1", 0), (10 ** 6 + 1, "1234 5678 ...", "en", "src1", 13), (10 ** 6 + 2, docs.first()["text"], "en", "src2", 5),
@@ -513,5 +534,7 @@ def test_pipeline_stage_by_stage(spark):
             assert sizes[-1] == sizes[-2] and "[secret]" in out.filter(f"doc_id = {10 ** 6 + 3}").first()["text"]
         now = out
     assert all(a >= b for a, b in itertools.pairwise(sizes)) and now.filter("taken <= 0").count() == 0
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: f"file://{tmp_path}")
     whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert whole.count() > 0 and set(docs.columns) <= set(whole.columns)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("llm-*")] == ["llm-stage-mix"]  # nothing else is left behind
