@@ -1,8 +1,8 @@
 """Structured Streaming jobs over the request log, each with a batch twin.
 
-Sources are file streams with a fixed schema (``readStream.schema(...)``); the
-bundled tables are streamed with ``pathGlobFilter`` so a single parquet file in a
-folder becomes a stream. Sinks write parquet under the shared checkpoint folder:
+Sources are file streams with a fixed schema (``readStream.schema(...)``); a
+bundled table that is a folder of files is streamed as it is, one that is a single
+parquet file with ``pathGlobFilter`` over its folder. Sinks write parquet under the shared checkpoint folder:
 
 * windows are appended once the watermark has passed them; rows behind it go to a side table;
 * small aggregations can also run in ``complete`` mode through ``foreachBatch`` that writes a
@@ -41,12 +41,15 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A bundled parquet table as a file stream with a fixed schema."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A bundled parquet table, one file or a folder of files, as a file stream with a fixed schema."""
+    table = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(table).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return r.parquet(table)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream's source is a folder
 
 
 def stream_dir(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",

@@ -39,6 +39,15 @@ def test_stream_sessions_equal_batch(spark):
     assert got == want
 
 
+def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    from slimwire.plans.queries_stream import q_g3
+    from slimwire.sources import tables as tb
+    tb.read_table(spark, SF_SMALL, "documents").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {tuple(r) for r in tb.context_puts(spark, SF_SMALL).select("session_id", F.md5("content")).collect()}
+    got = [tuple(r) for r in q_g3(spark, str(tmp_path)).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
 T0 = 1_704_067_200_000
 FILE_SCHEMA = "session_id string, path string, text string, request_id long, ts timestamp"
 
