@@ -194,3 +194,20 @@ def test_sequence_ids_outlive_a_clear(spark, tmp_path):
     assert mx.restore_sequence(spark, path) == 20
     mx.clear_metrics(spark, path)
     assert mx.restore_sequence(spark, path) == 0
+
+
+def test_store_gate_with_a_filter_on_the_setting(spark):
+    from conftest import SF_SMALL
+    from slimwire.plans.config_asof import config_as_of
+    from slimwire.plans.queries_stages import q_h8
+    from slimwire.sources import tables as tb
+    blocks = tb.request_blocks(spark, SF_SMALL)
+    log = [tuple(r) for r in tb.config_log(spark).select("valid_from_ms", "valid_to_ms", "store").collect()]
+
+    def kept(at):
+        return all(store for lo, hi, store in log if lo <= at < hi)
+
+    met = config_as_of(blocks, tb.config_log(spark)).where(F.coalesce(F.col("store"), F.lit(True))).select("request_id", "at_ms")
+    want = sorted((r.request_id, r.at_ms) for r in blocks.select("request_id", "at_ms").collect() if kept(r.at_ms))
+    assert want and sorted(map(tuple, met.collect())) == want
+    assert {r.session_id for r in q_h8(spark, SF_SMALL).collect()} == {r.session_id for r in blocks.collect() if kept(r.at_ms)}
