@@ -24,6 +24,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,10 @@ PRETOKEN_PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 MAX_RANKS_IN_TASK = 2_000_000        # rank tables above this are not shipped to tasks
 MERGES_A_ROUND = 32                  # merges learned from one count of pairs, at most
 PAIRS_A_ROUND = 2_000                # most frequent pairs looked at for that
-PARTS = 12                           # deltas of a table until it is written as one
+PARTS = 48                           # deltas of the index until it is written as one
 MEMO, MEMO_BYTES = 200_000, 64       # pre-tokens a task remembers, and how long they are at most
+MEMO_TEXTS = 1 << 22                 # characters of the texts that a task remembers
+WORDS_HELD = 300_000                 # distinct pre-tokens a task counts before it hands them on
 
 
 def pretokens(text: Column) -> Column:
@@ -54,10 +57,31 @@ def hex_symbols(word: Column) -> Column:
     return F.filter(F.split(h, r"(?<=\G..)"), lambda s: s != "")
 
 
+def _pattern():
+    import regex  # the stdlib re has no \p{L}
+    return regex.compile(PRETOKEN_PATTERN.replace(r"\x{85}", "\x85"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    find, held = _pattern().findall, Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            held.update(find(text.as_py() or ""))
+            if len(held) >= WORDS_HELD:
+                yield flush()
+                held.clear()
+    yield flush()
+
+
 def word_table(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """The heavy pass: distinct pre-tokens with their corpus frequency, as symbol arrays."""
-    words = texts.select(F.explode(pretokens(F.col(text_col))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """The heavy pass: distinct pre-tokens with their corpus frequency, as symbol arrays. Counted in the tasks first, so
+    that a text's tokens are no rows."""
+    counts = (texts.select(F.col(text_col).cast("string")).mapInArrow(_count_words, "word string, n long")
+                   .groupBy("word").agg(F.sum("n").alias("n")))
     return counts.select("word", "n", hex_symbols(F.col("word")).alias("syms"))
 
 
@@ -89,7 +113,6 @@ class Encoder:
         self.ranks = ranks
         self.by_pair = any(isinstance(k, tuple) for k in ranks)
         self.longest = max((len(k[0]) + len(k[1]) if self.by_pair else len(k) for k in ranks), default=0)
-        self.memo: dict[str, int] = {}
 
     def _rank(self, word: bytes, at: int, mid: int, end: int) -> int | None:
         if end - at > self.longest:
@@ -120,15 +143,43 @@ class Encoder:
             i = end[i]
         return out
 
-    def count(self, pretoken: str) -> int:
-        got = self.memo.get(pretoken)
+
+class _Counts(dict):
+    """Token counts of pre-tokens, encoded when first asked for; long ones are not kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, pretoken: str) -> int:
+        raw = pretoken.encode()
+        got = len(self.encoder.encode(raw))
+        if len(raw) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[pretoken] = got
+        return got
+
+
+class TextEncoder:
+    """Token counts of texts: pre-tokens are encoded once, and so are texts that come again soon, as re-sent blocks do."""
+
+    def __init__(self, ranks: dict):
+        self.find = _pattern().findall
+        self.counts = _Counts(Encoder(ranks))
+        self.texts: dict[str, int] = {}
+        self.held = 0
+
+    def total(self, text: str) -> int:
+        got = self.texts.get(text)
         if got is None:
-            raw = pretoken.encode()
-            got = len(self.encode(raw))
-            if len(raw) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[pretoken] = got
+            got = sum(map(self.counts.__getitem__, self.find(text)))
+            if self.held + len(text) > MEMO_TEXTS:
+                self.texts.clear()
+                self.held = 0
+            if len(text) <= MEMO_TEXTS:
+                self.texts[text] = got
+                self.held += len(text)
         return got
 
 
@@ -141,18 +192,71 @@ def _pairs(tokens: list[bytes]) -> Counter:
     return Counter(zip(tokens, tokens[1:]))
 
 
+def _joined(words: pa.Array) -> np.ndarray:
+    """The words' bytes one after the other as symbols (value + 1), a 0 behind each word."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1], kind, len(words) + 1, words.offset * np.dtype(kind).itemsize).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    size = np.diff(offsets)
+    out = np.zeros(len(data) + len(size), np.int64)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.int64) + 1
+    return out
+
+
+def _merged(syms: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
+    """The symbols with each pair (a, b) as ``new``, from left to right."""
+    at = np.flatnonzero(syms[:-1] == a)
+    at = at[syms[at + 1] == b]
+    if not len(at):
+        return syms
+    if a == b:   # in a run every second pair is there
+        begins = np.concatenate([[True], np.diff(at) > 1])
+        at = at[(np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0]
+    out = syms.copy()
+    out[at] = new
+    keep = np.ones(len(syms), bool)
+    keep[at + 1] = False
+    return out[keep]
+
+
+def _word_pairs(syms: np.ndarray, width: int) -> np.ndarray:
+    """A number for each adjacent pair: its word's place, its symbols."""
+    both = np.flatnonzero((syms[:-1] != 0) & (syms[1:] != 0))
+    return (np.cumsum(syms == 0)[both] * width + syms[both]) * width + syms[both + 1]
+
+
 def _changes(known: dict, found: dict):
-    """What merging ``found`` changes in the pairs of each word, after the merges ``known``."""
+    """What merging ``found`` changes in the pairs of each word, after the merges ``known``; all words of a batch at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = Encoder(known), Encoder({**known, **found})
+        tokens = [b"", *(bytes([v]) for v in range(256))]
+        symbol = {t: k for k, t in enumerate(tokens) if t}
+
+        def steps(ranks: dict) -> list[tuple[int, int, int]]:
+            out = []
+            for a, b in sorted(ranks, key=ranks.__getitem__):
+                if a + b not in symbol:
+                    symbol[a + b] = len(tokens)
+                    tokens.append(a + b)
+                out.append((symbol[a], symbol[b], symbol[a + b]))
+            return out
+
+        before, after = steps(known), steps(found)
+        width, names = len(tokens), pa.array([t.hex() for t in tokens], pa.string())
         for batch in batches:
-            rows = []
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                was, now = _pairs(old.encode(word.encode())), _pairs(new.encode(word.encode()))
-                rows += [(a.hex(), b.hex(), word, n, now[a, b] - was[a, b], (a, b) not in was) for a, b in was.keys() | now.keys() if now[a, b] != was[a, b]]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "word", "n", "more", "fresh"])
+            words = batch.column("word")
+            syms = _joined(words)
+            for m in before:
+                syms = _merged(syms, *m)
+            was = _word_pairs(syms, width)
+            for m in after:
+                syms = _merged(syms, *m)
+            key, where = np.unique(np.concatenate([was, _word_pairs(syms, width)]), return_inverse=True)
+            old = np.bincount(where[:len(was)], minlength=len(key))
+            more = np.bincount(where[len(was):], minlength=len(key)) - old
+            some = np.flatnonzero(more)
+            key, word = key[some], pa.array(key[some] // (width * width))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(key // width % width)), names.take(pa.array(key % width)), words.take(word), batch.column("n").take(word),
+                                              pa.array(more[some], pa.int64()), pa.array(old[some] == 0)], ["a", "b", "word", "n", "more", "fresh"])
     return run
 
 
@@ -174,19 +278,19 @@ def learn_bpe_ranks(texts: DataFrame, merges: int, text_col: str = "text") -> Da
     held = in_order(by_word)
     index = held.drop("more")
     pairs = stored(summed(held.select("a", "b", (F.col("n") * F.col("more")).alias("cnt"))), "bpe-pairs")
-    paths: list[str] = []     # of the changes since both tables were written
+    paths: list[str] = []     # of the changes since the index was written
     learned: list[tuple] = []
     known: dict[tuple[bytes, bytes], int] = {}
     while len(learned) < merges:
-        now, whole = pairs, index
+        whole = index
         if paths:
-            changes = spark.read.schema(CHANGES).parquet(*paths)
-            now = summed(pairs.unionByName(changes.select("a", "b", (F.col("n") * F.col("more")).alias("cnt"))))
-            whole = index.unionByName(changes.where("fresh").select(index.columns))
+            changes = spark.read.schema(CHANGES).parquet(paths[-1])
+            pairs = stored(summed(pairs.unionByName(changes.select("a", "b", (F.col("n") * F.col("more")).alias("cnt")))), "bpe-pairs")
+            whole = index.unionByName(spark.read.schema(CHANGES).parquet(*paths).where("fresh").select(index.columns))
         if len(paths) == PARTS:
-            now, whole, paths = stored(now, "bpe-pairs"), in_order(whole), []
-            pairs, index = now, whole
-        best = now.orderBy(F.col("cnt").desc(), "a", "b").limit(PAIRS_A_ROUND).collect()   # a bounded head of the list
+            index, paths = in_order(whole), []
+            whole = index
+        best = pairs.orderBy(F.col("cnt").desc(), "a", "b").limit(PAIRS_A_ROUND).collect()   # a bounded head of the list
         found = _sure_merges([(r["a"], r["b"], int(r["cnt"])) for r in best],
                              min(MERGES_A_ROUND, merges - len(learned)), len(best) < PAIRS_A_ROUND)
         if not found:
@@ -215,16 +319,13 @@ def ranks_from_table(ranks_df: DataFrame) -> dict:
 
 def bpe_tokenizer_udf(ranks: dict):
     """A ``Column -> Column`` tokenizer (Arrow-batched) for ``reduce_requests``; a null text has no tokens."""
-    import regex  # the stdlib re has no \\p{L}
-    pattern = regex.compile(PRETOKEN_PATTERN.replace(r"\x{85}", "\x85"))
-    encoders: list[Encoder] = []  # one a task's process, made there
+    encoders: list[TextEncoder] = []  # one a task's process, made there
 
     @F.pandas_udf(LongType())
     def count(s: pd.Series) -> pd.Series:
         if not encoders:
-            encoders.append(Encoder(ranks))
-        one = encoders[0].count
-        return pd.Series([sum(one(m[0]) for m in pattern.finditer(t or "")) for t in s], dtype="int64")
+            encoders.append(TextEncoder(ranks))
+        return pd.Series([encoders[0].total(t or "") for t in s], dtype="int64")
 
     return count
 

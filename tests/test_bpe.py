@@ -135,3 +135,18 @@ def test_input_cost_fallback_and_shuffle_path(spark, monkeypatch):
     monkeypatch.setattr(tk, "BROADCAST_MAX_ROWS", 0)
     out = tk.input_cost(df, tb.prices(spark))
     assert {r.model: r.usd for r in out.collect()} == want
+
+
+def test_tokens_of_a_text_are_counted_in_the_task(spark):
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, None, ""]], "text string")
+    words = bpe.word_table(df)
+    assert "Generate" not in words._jdf.queryExecution().executedPlan().toString()
+    want = df.select(F.explode(bpe.pretokens(F.col("text"))).alias("word")).groupBy("word").count().collect()
+    assert {(r.word, r.n) for r in words.collect()} == {tuple(r) for r in want}
+
+
+def test_a_text_sent_again_is_not_tokenized_again():
+    one = bpe.TextEncoder({b"ab": 0})
+    asked, find = [], one.find
+    one.find = lambda t: asked.append(t) or find(t)
+    assert [one.total(t) for t in ("ab ab", "x", "ab ab", "")] == [3, 1, 3, 0] and asked == ["ab ab", "x", ""]
