@@ -63,10 +63,10 @@ def config_as_of(rows: DataFrame, config_log: DataFrame, time_col: str = "at_ms"
         found = merged.where("_is_row").withColumn("_cfg", F.col("_last._cfg"))
     elif some:
         starts = sorted(r["valid_from_ms"] for r in some)
-        # places are rows of their own: a computed key on this side lets Spark infer a filter on it that names the rows' time
+        # neither side's key is a named expression: from one with a lambda Spark infers a filter on the log that names the rows' time
         places = rows.sparkSession.createDataFrame([(v, i + 1) for i, v in enumerate(starts)], "valid_from_ms long, _place int")
         own = cfg.join(F.broadcast(places), "valid_from_ms").select("_place", F.struct(*cfg.columns).alias("_cfg"))
-        found = rows.withColumn("_place", _place(starts, t)).join(F.broadcast(own), "_place", "left")
+        found = rows.withColumn("_place", F.explode(F.array(_place(starts, t)))).join(F.broadcast(own), "_place", "left")
     else:
         found = rows.withColumn("_cfg", F.lit(None).cast(cfg.select(F.struct(*cfg.columns).alias("c")).schema["c"].dataType))
     return found.select(*rows.columns, *(F.when(inside, F.col(f"_cfg.{c}")).alias(c) for c in CONFIG_COLS))
