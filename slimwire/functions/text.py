@@ -1,14 +1,17 @@
 """Column functions shared by every operator.
 
-All of them are built from native Spark expressions so they stay inside
-whole-stage codegen (the higher-order ones run interpreted, still on the JVM).
+All but ``fnv1a32`` (an Arrow UDF) are built from native Spark expressions so they stay
+inside whole-stage codegen (the higher-order ones run interpreted, still on the JVM).
 They take and return ``Column`` objects and can be used in ``select``/``withColumn``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -102,27 +105,43 @@ def detect_path(text: Column | str) -> Column:
     return F.when(found != "", found)
 
 
-def utf16_units(text: Column | str) -> Column:
-    """Array of UTF-16 code units of a string (astral characters become surrogate pairs)."""
-    cps = F.transform(F.split(col_(text), ""), lambda c: F.ascii(c).cast("bigint"))
-    units = F.transform(
-        cps,
-        lambda cp: F.when(cp > 0xFFFF, F.array(
-            F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10),
-            F.lit(0xDC00) + (cp - F.lit(0x10000)).bitwiseAND(F.lit(0x3FF)),
-        )).otherwise(F.array(cp)),
-    )
-    return F.when(F.length(col_(text)) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(units))
+FEW = 32   # rows below which a step over all of them costs more than one text's plain loop
+
+
+@F.arrow_udf(LongType())
+def _fnv_of_utf16(texts: pa.Array) -> pa.Array:
+    """FNV-1a of UTF-16LE texts, NULL for NULL: one unit of all texts that go on at a time, the last few texts by themselves."""
+    wide = pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype="int64" if wide else "int32", count=len(texts) + 1, offset=texts.offset * (8 if wide else 4)).astype("int64") // 2
+    units = np.frombuffer(data or b"", dtype="<u2", count=int(bounds[-1]))
+    order = np.argsort(bounds[:-1] - bounds[1:], kind="stable")   # the longest first
+    at, left = bounds[:-1][order], np.diff(bounds)[order]
+    h = np.full(len(order), FNV_OFFSET, dtype="uint32")
+    done, k = 0, int(np.searchsorted(-left, 0))
+    while k >= FEW:
+        for _ in range(done, int(left[k - 1])):   # all k have these units
+            h[:k] ^= units.take(at[:k])
+            h[:k] *= np.uint32(FNV_PRIME)
+            at[:k] += 1
+        done = int(left[k - 1])
+        k = int(np.searchsorted(-left, -done))
+    for j in range(k):
+        x = int(h[j])
+        for u in units[at[j]:at[j] + left[j] - done].tolist():
+            x = (x ^ u) * FNV_PRIME & 0xFFFFFFFF
+        h[j] = x
+    out = np.empty(len(order), dtype="int64")
+    out[order] = h
+    return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False))
 
 
 def fnv1a32(text: Column | str) -> Column:
-    """32-bit FNV-1a over UTF-16 code units, as unpadded lower-case hex."""
-    h = F.aggregate(
-        utf16_units(text),
-        F.lit(FNV_OFFSET).cast("bigint"),
-        lambda acc, u: F.pmod(acc.bitwiseXOR(u) * F.lit(FNV_PRIME), F.lit(1 << 32)),
-    )
-    return F.lower(F.conv(h.cast("string"), 10, 16))
+    """32-bit FNV-1a over UTF-16 code units, as unpadded lower-case hex.
+
+    Each unit needs the one before, and a native ``aggregate`` goes through boxed values one unit at a time; an Arrow
+    UDF takes a unit of all the batch's texts at once."""
+    return F.lower(F.hex(_fnv_of_utf16(F.encode(col_(text), "UTF-16LE"))))
 
 
 def content_key(text: Column | str) -> Column:

@@ -10,6 +10,7 @@ from slimwire.operators import context as cx
 from slimwire.plans import oracle_views as ov
 from slimwire.plans.queries_state import _scratch, _toxic_sessions
 from slimwire.registry import register
+from slimwire.session import stored
 from slimwire.sources import snapshot as snap
 from slimwire.sources import tables as tb
 
@@ -127,7 +128,7 @@ SELECT ids.id, CASE WHEN b.content IS NULL THEN 'not_found' ELSE 'ok' END AS sta
        CAST(length(b.content) AS BIGINT) AS content_len
 FROM ids LEFT JOIN by_id b USING (id)""")
 def q_c2(spark, d):
-    store = _store(spark, d)
+    store = stored(_store(spark, d), "contexts")   # read for its ids and for its contents
     bench = tb.read_table(spark, d, "benchmark").select(
         F.concat(F.lit(cx.CTX_PREFIX), tx.fnv1a32("text")).alias("id"))
     ids = store.select("id").union(bench).distinct()

@@ -52,6 +52,13 @@ def test_fnv1a32_matches_python(spark):
         assert one(spark, tx.fnv1a32("t"), s) == py_fnv(s), s
 
 
+def test_fnv1a32_of_many_texts_without_a_lambda_a_unit(spark):
+    texts = [None, "", *("ab\U0001F600É"[i % 4] * (i % 57) + str(i) for i in range(300)), "long " * 4000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(2).select("i", tx.fnv1a32("t").alias("h"))
+    assert {r["i"]: r["h"] for r in df.collect()} == {i: None if t is None else py_fnv(t) for i, t in enumerate(texts)}
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()   # a native fold took 160 of 200 CPU seconds of c2
+
+
 def test_detect_path(spark):
     cases = {"src/app.ts": "src/app.ts", "// src/a.ts": "src/a.ts", "# tools/x.py": "tools/x.py",
              "-- q.sql": "q.sql", "/* styles/a.css */": "styles/a.css", "hello world": None,
