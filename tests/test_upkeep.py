@@ -26,6 +26,25 @@ def test_contexts_in_pieces(spark, tmp_path):
     assert sorted(map(tuple, store.read().select(cols).collect())) == sorted(map(tuple, whole.select(cols).collect()))
 
 
+def test_contexts_are_hashed_once_a_content(spark):
+    class Taken:
+        def put(self, delta):
+            return delta
+
+    puts = spark.createDataFrame([("same", "", i) for i in range(50)], "content string, label string, at_ms long")
+    delta = up.put_contexts(Taken(), puts)
+    plan = delta._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")   # above the grouping, not below it
+    assert [(r["id"], r["bytes"], r["puts"]) for r in delta.collect()] == [("ctx_" + cx_fnv("same"), 4, 50)]
+
+
+def cx_fnv(text):
+    h = 0x811C9DC5
+    for u in text.encode("utf-16-le")[::2]:
+        h = (h ^ u) * 0x01000193 & 0xFFFFFFFF
+    return format(h, "x")
+
+
 def test_files_in_pieces(spark, tmp_path):
     random.seed(2)
     rows = [(random.choice("stu"), random.choice(["a.py", "b.py"]), f"text {i}", i // 2, i) for i in range(60)]
