@@ -135,7 +135,7 @@ def noisy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ordered_join(arr_of_struct: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(arr_of_struct), lambda x: x["text"]), sep)
+    return F.array_join(F.transform(F.sort_array(arr_of_struct), lambda x: x["text"]), sep)
 
 
 def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,7 @@ def request_json(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataF
              .agg(F.first("provider").alias("provider"), F.first("model").alias("model"),
                   F.first("conv_id").alias("conv_id"), F.first("session_id").alias("session_id"),
                   F.first("at_ms").alias("at_ms"),
-                  F.array_sort(F.collect_list(F.when(F.col("section") == "message",
+                  F.sort_array(F.collect_list(F.when(F.col("section") == "message",
                                                      F.struct("msg_idx", msg.alias("j"))))).alias("ms"),
                   F.first(F.when(F.col("section") == "system", sysj), ignorenulls=True).alias("sys")))
     msgs = F.concat(F.lit("["), F.array_join(F.transform("ms", lambda x: x["j"]), ","), F.lit("]"))

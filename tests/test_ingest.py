@@ -1,5 +1,7 @@
 """Wire-format normalization: tolerant reads, params, headers, round trip."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from slimwire.sources import ingest as ig
@@ -228,3 +230,13 @@ def test_bodies_take_one_exchange_and_one_scan(spark, tmp_path):
     log.write.parquet(str(tmp_path / "log"))
     plan = ig.optimized_bodies(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_audit_tests_what_it_found_not_the_bodies_again(spark):
+    text = json.dumps([{"role": "user" if i % 2 else "assistant", "content": f"turn {i}"} for i in range(30) if i != 7] + [{"role": "user", "content": []}, {"role": "user", "content": "last"}])
+    rows = [(1, "s", 0, "anthropic", '{"model":"m","messages":' + text + "}"), (2, "s", 0, "openai", '{"model":"m","messages":' + text + "}"),
+            (3, "s", 0, "anthropic", '{"system":[{"type":"image"}],"messages":' + text + "}")]
+    audit = ig.roundtrip_audit(spark.createDataFrame(rows, "request_id long, session_id string, at_ms long, provider string, body string"))
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line[:200] for line in plan.split("\n") if "Filter" in line[:200] and "array_join" in line]   # both bodies, at each use
+    assert [(r["request_id"], r["messages_differ"], r["system_differ"]) for r in audit.collect()] == [(3, False, True)]
