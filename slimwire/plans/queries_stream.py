@@ -88,10 +88,11 @@ def q_g4(spark, d):
     lo, step = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // SLICES + 1
     late = F.when(F.col("request_id") % 5 == 0, 1).otherwise(0)
     arrival = F.least(F.floor((F.col("at_ms") - lo) / step) + late, F.lit(SLICES - 1))
+    out, watermark = sj.new_run_dir(spark, "g4"), f"{2 * step} milliseconds"
     for i in range(SLICES):
         log.where(arrival == i).write.mode("append").parquet(src)
-    stream = sj.stream_dir(spark, src, log.schema, max_files=8)
-    out = sj.run_append(sj.stream_file_versions(stream, f"{2 * step} milliseconds"), sj.new_run_dir(spark, "g4"))
+        # a slice is read when it has come; batches of so many files would be as many as the tasks that wrote them, and each goes over all state
+        sj.run_append(sj.stream_file_versions(sj.stream_dir(spark, src, log.schema), watermark), out)
     return spark.read.parquet(out).drop("batch_id")
 
 

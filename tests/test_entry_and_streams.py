@@ -136,3 +136,23 @@ def test_complete_results_are_versions(spark):
         spark.range(v + 1).write.parquet(f"{out}/version={v}")
     spark.range(9).write.parquet(f"{out}/version=10/unfinished")   # a version without _SUCCESS of its own
     assert sj.read_newest(spark, out).count() == 3
+
+
+def test_g4_batches_are_as_many_as_slices_not_as_files(spark, monkeypatch):
+    import os
+
+    from slimwire.plans.queries_stream import SLICES, q_g4
+    from slimwire.streaming import jobs as sj
+    outs, run = set(), sj.run_append
+    monkeypatch.setattr(sj, "run_append", lambda stream, out, **more: outs.add(out) or run(stream, out, **more))
+    cut = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "0"}   # dozens of files a slice
+    before = {k: spark.conf.get(k) for k in cut}
+    for k, v in cut.items():
+        spark.conf.set(k, v)
+    try:
+        rows = q_g4(spark, SF_SMALL).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    batches = [b for out in outs for b in os.listdir(out) if b.startswith("batch_id=")]
+    assert rows and SLICES <= len(batches) <= 2 * SLICES   # with the one without rows after each, in which timers run out
