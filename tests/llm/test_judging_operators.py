@@ -266,6 +266,49 @@ def test_a_bounded_fit_finds_what_a_fit_on_all_finds(spark):
     assert len(few & whole) >= 0.95 * len(whole) and len(few & want) >= 0.9 * len(want)
 
 
+def space_by_hand(texts, passages, terms, rank, seed=5):
+    """The latent space by one dense matrix of all passages: its steps in numpy, in one place."""
+    def counted(words):
+        out = np.zeros(len(terms.vocabulary))
+        at = {int(w): k for k, w in enumerate(terms.vocabulary)}
+        for w in words:
+            if int(w) in at:
+                out[at[int(w)]] += 1
+        return out * terms.idf
+
+    rows = []
+    for t in texts:
+        words = decontaminate.words_of([t or ""])[0]
+        rows += [counted(words[k:k + 32]) for k in range(0, max(1, len(words) - 16), 16)]
+    a, b = np.array(rows), np.array([counted(p.words) for p in passages])
+    w = np.random.default_rng(seed).standard_normal((a.shape[1], min(a.shape[1], rank + decontaminate.MORE)))
+    share = max(1.0, ((a @ w) ** 2).sum() / ((b @ w) ** 2).sum())
+    w, _ = np.linalg.qr(a.T @ (a @ w) + share * (b.T @ (b @ w)))
+    share = max(1.0, ((a @ w) ** 2).sum() / ((b @ w) ** 2).sum())
+    _, vector = np.linalg.eigh((a @ w).T @ (a @ w) + share * ((b @ w).T @ (b @ w)))
+    return w @ vector[:, ::-1][:, :rank]
+
+
+def test_the_latent_space_is_of_all_passages(spark, monkeypatch):
+    """6,000 different texts, some copies, nulls and a long one: the space is that of every passage, whatever the cuts on the way."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"v{k}" for k in range(150)])
+    passages = list(decontaminate.passages_of((k, " ".join(rng.choice(words, 24, replace=False))) for k in range(12)))
+    texts = [f"own{k} " + " ".join(rng.choice(words, int(rng.integers(1, 40)))) for k in range(6000)]
+    texts += texts[:50] * 3 + [None, "", " ".join(rng.choice(words, 3000))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    monkeypatch.setattr(decontaminate, "STOP_SHARE", 1.0)
+    block = decontaminate.prepare(passages, docs, rank=10)
+    want = space_by_hand(texts, passages, block.terms, 10)
+    got = block.space / block.terms.idf[:, None]
+    np.testing.assert_allclose(got @ got.T, want @ want.T, atol=1e-4)   # the same space; signs are free
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    monkeypatch.setattr(decontaminate, "FIT_TOGETHER", 3)
+    monkeypatch.setattr(decontaminate, "TERMS_PART", 16)
+    again = decontaminate.prepare(passages, docs.repartition(3), rank=10)
+    np.testing.assert_allclose(again.space @ again.space.T, block.space @ block.space.T, atol=1e-3)
+
+
 def test_blocks_are_bounded_by_passages_and_words():
     items = [(k, " ".join(f"w{k}x{j}" for j in range(100))) for k in range(20)] + [(99, "too few words"), (100, None or "a b c d e answer: f g")]
     passages = list(decontaminate.passages_of(items))
