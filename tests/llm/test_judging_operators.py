@@ -309,6 +309,28 @@ def test_the_latent_space_is_of_all_passages(spark, monkeypatch):
     np.testing.assert_allclose(again.space @ again.space.T, block.space @ block.space.T, atol=1e-3)
 
 
+def test_the_pipelines_space_is_of_all_its_rows(spark, monkeypatch):
+    """More different texts than a bounded fit would take: the stage fits on each row it is given, and leaves no table of the fit."""
+    import os
+
+    import corpus_pipeline
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    more = docs.crossJoin(spark.range(6)).select("doc_id", F.concat("text", F.lit(" copy "), "id").alias("text"))
+    every = more.unionByName(docs).unionByName(docs)
+    fitted, fit = [], decontaminate.latent_space
+
+    def spied(texts, *more):
+        fitted.append(texts.count())
+        return fit(texts, *more)
+
+    monkeypatch.setattr(decontaminate, "latent_space", spied)
+    kept = corpus_pipeline.benchmark_leaks(spark, every, SF)
+    assert more.distinct().count() > 4000 and fitted == [every.count()]
+    leaky = {r["doc_id"] for r in decontaminate.leaks(docs, table(spark, SF, "benchmark")).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in every.collect() if r["doc_id"] not in leaky)
+    assert not [x for x in os.listdir(common.checkpoint_dir(spark).removeprefix("file:")) if x.startswith("llm-passages")]
+
+
 def test_blocks_are_bounded_by_passages_and_words():
     items = [(k, " ".join(f"w{k}x{j}" for j in range(100))) for k in range(20)] + [(99, "too few words"), (100, None or "a b c d e answer: f g")]
     passages = list(decontaminate.passages_of(items))
